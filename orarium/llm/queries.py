@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orarium.llm.compression_bands import compression_bands
+from orarium.llm.fair_mix import ORACLE as MIX_SQL
+from orarium.llm.fair_mix import fair_mix
 from orarium.llm.repair_output import token_output
 from orarium.llm.token_counts import token_counts
+from orarium.llm.url_trees import url_verdicts
 from orarium.llm.wu_manber import decontamination
 
 
@@ -39,6 +42,14 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op3_decontamination, op4_token_counts, op5_token_output)}
+def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op3_decontamination, op4_token_counts, op5_token_output, op8_url_trees, op10_fair_mix)}
+
+ORACLE_SQL: dict[str, str] = {"op10_fair_mix": MIX_SQL}
