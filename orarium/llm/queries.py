@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orarium.llm.bbit_minhash import near_duplicates
 from orarium.llm.compression_bands import compression_bands
 from orarium.llm.fair_mix import ORACLE as MIX_SQL
 from orarium.llm.fair_mix import fair_mix
@@ -46,10 +47,14 @@ def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op3_decontamination, op4_token_counts, op5_token_output, op8_url_trees, op10_fair_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op3_decontamination, op4_token_counts, op5_token_output, op8_url_trees, op9_bbit_minhash, op10_fair_mix)}
 
 ORACLE_SQL: dict[str, str] = {"op10_fair_mix": MIX_SQL}
