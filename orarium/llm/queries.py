@@ -10,6 +10,7 @@ from orarium.llm.bbit_minhash import near_duplicates
 from orarium.llm.compression_bands import compression_bands
 from orarium.llm.fair_mix import ORACLE as MIX_SQL
 from orarium.llm.fair_mix import fair_mix
+from orarium.llm.quality_net import quality_scores
 from orarium.llm.repair_output import token_output
 from orarium.llm.token_counts import token_counts
 from orarium.llm.url_trees import url_verdicts
@@ -31,6 +32,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +60,6 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op3_decontamination, op4_token_counts, op5_token_output, op8_url_trees, op9_bbit_minhash, op10_fair_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op2_quality_net, op3_decontamination, op4_token_counts, op5_token_output, op8_url_trees, op9_bbit_minhash, op10_fair_mix)}
 
 ORACLE_SQL: dict[str, str] = {"op10_fair_mix": MIX_SQL}
