@@ -104,7 +104,8 @@ def mixed_stream(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, range-sorted by virtual finish time."""
     mixed = fair_mix(docs, carry=True, **options).where("copies > 0")
     step = F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).otherwise(F.lit(0.0))
-    copies = mixed.select("row", (F.col("finish") + F.explode(F.sequence(F.lit(0), F.col("copies") - 1)) * step).alias("finish"))
+    copies = mixed.select("row", "finish", step.alias("step"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
+    copies = copies.select("row", (F.col("finish") + F.col("epoch") * F.col("step")).alias("finish"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return copies.repartitionByRange(n, "finish").sortWithinPartitions("finish").select("row.*")
 

@@ -11,6 +11,7 @@ from orarium.llm.bbit_minhash import near_duplicates
 from orarium.llm.compression_bands import compression_bands
 from orarium.llm.fair_mix import ORACLE as MIX_SQL
 from orarium.llm.fair_mix import fair_mix
+from orarium.llm.line_chunks import line_dedup
 from orarium.llm.mixture_lid import language_mixtures
 from orarium.llm.quality_net import quality_scores
 from orarium.llm.repair_output import token_output
@@ -54,6 +55,10 @@ def op6_mixture_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixtures(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", F.array_join("langs", ",").alias("langs"))
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -66,6 +71,6 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op2_quality_net, op3_decontamination, op4_token_counts, op5_token_output, op6_mixture_lid, op8_url_trees, op9_bbit_minhash, op10_fair_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op2_quality_net, op3_decontamination, op4_token_counts, op5_token_output, op6_mixture_lid, op7_line_chunks, op8_url_trees, op9_bbit_minhash, op10_fair_mix)}
 
 ORACLE_SQL: dict[str, str] = {"op10_fair_mix": MIX_SQL}
