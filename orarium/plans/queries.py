@@ -1,6 +1,8 @@
-"""Queries over the shared test tables, each with the DuckDB statement it is compared with."""
+"""All queries over the shared test tables, each with the DuckDB statement it is compared with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from orarium.plans import entity_queries, interval_queries
+
+QUERIES: dict = interval_queries.QUERIES | entity_queries.QUERIES
+ORACLE_SQL: dict = interval_queries.ORACLE_SQL | entity_queries.ORACLE_SQL
