@@ -32,7 +32,10 @@ def ranked_search(prepared: DataFrame, query: str, name: str, code: str, query_w
     if len("".join(query_words)) < MIN_QUERY:
         return prepared.withColumn("score", F.lit(0)).limit(0)
     digits = "".join(query.split())
-    each = lambda pool: [F.exists(pool, lambda w, q=q: word_matches(F.lit(q), w)) for q in query_words]
+    def each(pool) -> list[Column]:
+        has = lambda q: F.exists(pool, lambda w: word_matches(F.lit(q), w))
+        return [has(q) for q in query_words]
+
     every = lambda tests: F.forall(F.array(*tests), lambda t: t)
     in_name = every(each("name_words"))
     in_both = every(each(F.concat("name_words", "substance_words")))
