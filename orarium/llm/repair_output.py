@@ -20,26 +20,33 @@ ordered by the text's hash; an empty table writes an empty table.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orarium.llm.common import arrow_map, batch, pick, scratch, utf8
+from orarium.llm.common import arrow_map, batch, pick, scratch
 
 END_ID = 1
 #: Ids of a shard, rounds of a grammar, rules of a round, and how often a pair must occur.
 SHARD_TOKENS, ROUNDS, RULES, LEAST = 1 << 20, 4, 1024, 8
 #: Distinct words that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
+#: A mark after an ASCII letter begins a piece of its own (an apostrophe may not), so a space between them changes nothing.
+CUT = r"([a-z])([!-&(-/:-@\[-`{-~])", r"\1 \2"
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer that drops white space, so that words can be looked up one by one."""
+    """Ids of whole texts by a tokenizer that drops white space and lower-cases, so that words can be looked up.
+
+    A tokenizer for which the probes show otherwise encodes each text in one call."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,19 +56,52 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
-        probe = [self.library.encode(x, add_special_tokens=False).ids for x in ("ab cd\n ef", "ab", "cd", "ef")]
-        self.by_word = probe[0] == probe[1] + probe[2] + probe[3]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.array(e.ids, np.uint32) for e in self.library.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        ids = lambda x: self.library.encode(x, add_special_tokens=False).ids
+        self.by_word = ids("ab Cd,.\n ef7") == ids("ab") + ids("cd") + ids(",.") + ids("ef") + ids("7")
+        #: Lower-case ASCII letters are one piece for the model, unchanged by what comes before it.
+        self.straight = all(ids(x) == [t.id for t in self.library.model.tokenize(x)] for x in ("a", "the", "straightforward", "qzxjvwkq"))
+
+    def library_ids(self, words: list[bytes]) -> list[bytes]:
+        made = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in made]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Looks up new words: plain ones at the model, others through all steps of the library."""
+        known, model = self.known, self.library.model.tokenize
+        plain = [w for w in words if self.straight and w.isalpha()]
+        known.update((w, array("I", [t.id for t in model(w.decode())]).tobytes()) for w in plain)
+        rest = list(set(words).difference(plain))
+        known.update(zip(rest, self.library_ids(rest), strict=True))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. A text with a special token's string, in any case, is one call of the library."""
+        texts = texts.cast(pa.string()).fill_null("")
+        whole = pa.array([not self.by_word] * len(texts))
+        for token in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, token, ignore_case=True))
+        out = iter(self.by_words(texts.filter(pc.invert(whole))))
+        alone = iter(self.library_ids([t.encode() for t in texts.filter(whole).to_pylist()]))
+        return [np.frombuffer(next(alone), "<u4") if w else next(out) for w in whole.to_pylist()]
+
+    def by_words(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each distinct word of the batch is looked up once."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, words = self.known, [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        made = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made, strict=True))
-        return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
+        texts = pc.replace_substring_regex(pc.ascii_lower(texts), *CUT)
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        unique, known = coded.dictionary.cast(pa.binary()).to_pylist(), self.known
+        self.learn(list(set(unique).difference(known)))
+        values = [known[w] for w in unique]
+        flat = np.frombuffer(b"".join(values), "<u4")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        at = coded.indices.to_numpy()
+        n, ends = size[at], np.cumsum(size[at])
+        first = (np.cumsum(size) - size)[at]
+        ids = flat[np.repeat(first - ends + n, n) + np.arange(int(n.sum()))]
+        edges = np.concatenate(([0], ends))[np.asarray(words.offsets) - words.offsets[0].as_py()]
+        return [ids[b:e] for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -80,6 +120,13 @@ def pairs_of(x: np.ndarray, end_id: int) -> np.ndarray:
     return code
 
 
+SLOTS = 1 << 18
+
+
+def slots(code: np.ndarray) -> np.ndarray:
+    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+
+
 def compress(ids: np.ndarray, end_id: int = END_ID, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> dict[str, np.ndarray]:
     """The grammar of a shard: replaces the most frequent pairs, counts again, until none is frequent or the rounds end."""
     x = ids.astype(np.uint32)
@@ -98,19 +145,26 @@ def compress(ids: np.ndarray, end_id: int = END_ID, rounds: int = ROUNDS, rules:
         found, count = order[first][ok], count[ok]
         if not len(found):
             break
-        top = np.sort(found[np.lexsort((found, -count))[:rules]])
-        at = np.searchsorted(top, code)
-        at[at == len(top)] = 0
+        top = found[np.lexsort((found, -count))[:rules]]
+        slot, number = np.unique(slots(top), return_index=True)  # of pairs that share a slot one waits for the next round
+        top = top[number]
+        table = np.zeros(SLOTS, np.int32)
+        table[slot] = np.arange(len(top))
+        at = table[slots(code)]
         here = top[at] == code
         # of neighbouring matches every other one is replaced, from the left
-        begin = here & ~np.concatenate(([False], here[:-1]))
-        where = np.arange(len(here))
+        where = np.flatnonzero(here)
+        if not len(where):
+            break
+        begin = np.concatenate(([True], np.diff(where) > 1))
         run = np.maximum.accumulate(np.where(begin, where, 0))
-        take = here & ((where - run) % 2 == 0)
+        take = where[(where - run) % 2 == 0]
         made = base + sum(map(len, left))
         x = x.copy()
-        x[:-1][take] = (made + at[take]).astype(np.uint32)
-        x = x[np.concatenate(([True], ~take))]
+        x[take] = (made + at[take]).astype(np.uint32)
+        stay = np.ones(len(x), bool)
+        stay[take + 1] = False
+        x = x[stay]
         left.append((top >> np.uint64(32)).astype(np.uint32))
         right.append((top & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         ends.append(made - base + len(top))
@@ -180,7 +234,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
             return batch(SHARD, [part], [seq], [rel], [len(held)], [len(x)], [keys], [nulls], [lengths], *[[v] for v in pack(compress(x, end_id))])
 
         for b in batches:
-            for k, x in zip(b.column("doc_id").cast(pa.int64()).to_pylist(), tool.encode(utf8(b.column("text"))), strict=True):
+            for k, x in zip(b.column("doc_id").cast(pa.int64()).to_pylist(), tool.encode(b.column("text")), strict=True):
                 ids.append(k)
                 held.append(np.concatenate((x, end)))
                 size += len(x) + 1
