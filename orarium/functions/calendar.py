@@ -12,7 +12,7 @@ from orarium.functions.timez import iso_weekday
 FIXED_HOLIDAYS = ((1, 1, "New Year's Day"), (1, 6, "Epiphany"), (3, 25, "Independence Day"), (5, 1, "Labour Day"), (8, 15, "Dormition of the Theotokos"), (10, 28, "Ohi Day"), (12, 25, "Christmas Day"), (12, 26, "Boxing Day"))
 EASTER_HOLIDAYS = ((-48, "Clean Monday", False), (-2, "Good Friday", True), (0, "Easter Sunday", False), (1, "Easter Monday", False), (50, "Whit Monday", True))
 LOCAL_HOLIDAYS = (("thessaloniki", "metro", 10, 26, "Feast of Saint Demetrius"), ("attiki", "attiki", 9, 14, "Exaltation of the Holy Cross"))
-HOLIDAY_HEADING = r"αργι(ες|α)(?!\p{L})"
+HOLIDAY_HEADING = r"αργι(εσ|α)(?!\p{L})"
 
 
 def orthodox_easter(year: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Latin capitals that are typed for Greek ones.
 LATIN_LOOKALIKES, GREEK_LOOKALIKES = "ABEZHIKMNOPTYX", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
@@ -214,7 +215,7 @@ def romanized(text: str) -> str:
     return pattern.sub(spell, plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def transliterate(x: pd.Series) -> pd.Series:
     known = {t: romanized(t) for t in x.dropna().unique()}
     return x.map(known, na_action="ignore")

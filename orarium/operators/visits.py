@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GAP = "INTERVAL 30 MINUTES"
 # Requests in a window, and the window in seconds.
@@ -53,7 +54,7 @@ def rate_limit(events: DataFrame, client: str, at: str, order: str, limit: int =
     A pause of at least the window cuts a client's sequence into pieces that don't touch; some hundreds of them are a
     group, so even a busy client is spread where it pauses."""
     piece = sessions(events.withColumn("_at", F.col(at)), [client], "_at", f"INTERVAL {window} SECONDS").withColumn("_piece", F.floor(F.col("visit") / PIECES)).drop("visit")
-    schema = events.schema.add("allowed", "boolean")
+    schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([at, order])

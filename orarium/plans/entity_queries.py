@@ -200,8 +200,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, b
 SELECT p_partkey, best, round(score, 6) AS score FROM r WHERE n = 1""")
 def fuzzy_best_match(spark, d):
     t = part_tokens(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey")
-    other = t.select(F.col("p_partkey").alias("best"), "p_brand", F.col("p_size").alias("_size"), F.col("tokens").alias("_tokens"))
-    pairs = t.join(other, "p_brand").where("p_partkey <> best")
+    other = t.select(F.col("p_partkey").alias("best"), F.col("p_brand").alias("_brand"), F.col("p_size").alias("_size"), F.col("tokens").alias("_tokens"))
+    # only the same size, or tokens alike, can score: two equi joins in place of all pairs of a brand
+    sized = t.select("p_partkey", "p_brand", "p_size").join(other, (F.col("p_brand") == F.col("_brand")) & (F.col("p_size") == F.col("_size"))).select("p_partkey", "best")
+    alike = resolve.similar(t, other.withColumnRenamed("_tokens", "tokens"), "p_partkey", "best", resolve.NAME_ONLY).select("p_partkey", "best")
+    pairs = sized.union(alike).where("p_partkey <> best").distinct().join(t, "p_partkey").join(other, "best").where("p_brand = _brand")
     score = resolve.match_score(text.jaccard(F.col("tokens"), F.col("_tokens")), F.col("p_size") == F.col("_size"), F.lit(True), F.col("p_partkey") % 10 == F.col("best") % 10)
     found = resolve.best_match(pairs.withColumn("score", score).select("p_partkey", "best", "score"), "p_partkey", "best", "best")
     return found.select("p_partkey", "best", F.round("score", 6).alias("score"))

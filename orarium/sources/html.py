@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def all_of(page: Column, pattern: str, group: int = 1) -> Column:
@@ -28,7 +29,7 @@ def cards(pages: DataFrame, start: str, fields: dict[str, str]) -> DataFrame:
     return cut.select("page_id", "position", *[text_of(F.regexp_extract("card", p, 1)).alias(n) for n, p in fields.items()])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(x: pd.Series) -> pd.Series:
     """Named and numeric entities."""
     return x.map(entities.unescape, na_action="ignore")
