@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from orarium.llm.bbit_minhash import near_duplicates
 from orarium.llm.compression_bands import compression_bands
-from orarium.llm.fair_mix import ORACLE as MIX_SQL
 from orarium.llm.fair_mix import fair_mix
 from orarium.llm.line_chunks import line_dedup
 from orarium.llm.mixture_lid import language_mixtures
+from orarium.llm.oracles import ORACLE_SQL as ORACLES
 from orarium.llm.quality_net import quality_scores
 from orarium.llm.repair_output import token_output
 from orarium.llm.token_counts import token_counts
@@ -73,4 +73,4 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op2_quality_net, op3_decontamination, op4_token_counts, op5_token_output, op6_mixture_lid, op7_line_chunks, op8_url_trees, op9_bbit_minhash, op10_fair_mix)}
 
-ORACLE_SQL: dict[str, str] = {"op10_fair_mix": MIX_SQL}
+ORACLE_SQL: dict[str, str] = dict(ORACLES)
