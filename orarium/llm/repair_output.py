@@ -38,7 +38,7 @@ END_ID = 1
 #: Ids of a shard, rounds of a grammar, rules of a round, and how often a pair must occur.
 SHARD_TOKENS, ROUNDS, RULES, LEAST = 1 << 20, 4, 1024, 8
 #: Distinct words that a Python worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: A mark after an ASCII letter begins a piece of its own (an apostrophe may not), so a space between them changes nothing.
 CUT = r"([a-z])([!-&(-/:-@\[-`{-~])", r"\1 \2"
 
@@ -75,9 +75,10 @@ class Encoder:
         known.update(zip(rest, self.library_ids(rest), strict=True))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text. A text with a special token's string, in any case, is one call of the library."""
+        """The ids of each text. A text with a special token's string, in any case, is one call of the library; so is one
+        with a combining mark after a capital, which may compose only after lower-casing."""
         texts = texts.cast(pa.string()).fill_null("")
-        whole = pa.array([not self.by_word] * len(texts))
+        whole = pc.match_substring_regex(texts, r"[A-Z]\p{M}") if self.by_word else pa.array([True] * len(texts))
         for token in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, token, ignore_case=True))
         out = iter(self.by_words(texts.filter(pc.invert(whole))))
@@ -252,31 +253,34 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     return path
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """One row for each document of the shards: doc_id, start (ids before it in the whole output), n_tokens, ids (binary, uint32), all decoded from the grammar."""
+def read_documents(shards: DataFrame, ids: bool = True) -> DataFrame:
+    """One row for each document of the shards: doc_id, start (ids before it in the whole output), n_tokens, and the ids
+    (binary, uint32) or their crc32, all decoded from the grammar."""
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row for each partition that wrote, not for each document
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("part_start"))
-    types = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
+    types = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64()} | ({"ids": pa.binary()} if ids else {"ids_crc32": pa.int64()})
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # a worker that has encoded before needs its words no more
+        pa.default_memory_pool().release_unused()
         for b in batches:
             for i in range(b.num_rows):
                 row = {k: v[0] for k, v in b.slice(i, 1).to_pydict().items()}
                 g = unpack([row[k] for k in GRAMMAR])
-                ids = expand(g["symbols"], g).astype("<u4")
+                data = memoryview(expand(g["symbols"], g).astype("<u4").tobytes())
                 sizes = np.frombuffer(row["doc_tokens"], "<i8")
                 ends = np.cumsum(sizes)
                 keys = np.frombuffer(row["doc_ids"], "<i8").tolist()
                 keys = [None if gone else k for k, gone in zip(keys, row["doc_nulls"], strict=True)]
-                raw = ids.tobytes()
-                yield batch(types, keys, ends - sizes + row["rel_start"] + row["part_start"], sizes, [raw[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)])
+                own = (data[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True))
+                yield batch(types, keys, ends - sizes + row["rel_start"] + row["part_start"], sizes, [bytes(x) if ids else zlib.crc32(x) for x in own])
 
-    return arrow_map(shards.join(F.broadcast(before), "part"), decode, "doc_id long, start long, n_tokens long, ids binary")
+    return arrow_map(shards.join(F.broadcast(before), "part"), decode, "doc_id long, start long, n_tokens long, " + ("ids binary" if ids else "ids_crc32 long"))
 
 
 def token_output(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all texts, reads the files back, and gives doc_id, start, n_tokens and ids_crc32 of each document."""
     spark = docs.sparkSession
     path = write_shards(docs, tokenizer, scratch(spark, "token-ids"), id_col, text_col)
-    return read_documents(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_documents(spark.read.parquet(path), ids=False)
