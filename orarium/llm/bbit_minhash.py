@@ -1,16 +1,18 @@
 """MinHash near-duplicates with b-bit signatures.
 
 A document's set is its distinct five-word shingles (64-bit hashes). Equal sets are one class from the start. Of 128
-minima a signature keeps the low 4 bits, in bit planes; bands of 4 whole minima give the buckets. In a bucket every
-class is paired with its smallest one only (a star, never all pairs). The signatures' equal lanes, counted by
-bit_count, estimate the similarity with chance collisions taken off; of the pairs that may reach the threshold each
-class's smallest is confirmed on the full sets. Then buckets that still hold several components are paired again, with
-other centres and only across components, until `EMPTY_ROUNDS` rounds in a row find no link. Classes of large buckets
-also meet in buckets of several bands in a row, which hold few but the most alike.
+minima a signature keeps the low 4 bits, in bit planes; bands of 4 whole minima give the buckets. A first round links
+every class with the smallest one of its buckets where that is likely: it only joins what is plainly alike. Then all
+pairs of a bucket that are still in different components are compared, without emitting them:
 
-A link at the threshold meets in no band with probability (1 - 0.85^4)^24 = 2e-8, and its estimate falls below the cut
-(0.66, some 5.8 standard deviations) about as rarely. Links that a star leaves out are between classes joined by other
-links, or are met by the later rounds' centres.
+- in a bucket of up to `SMALL` classes by their signatures' equal lanes, counted by bit_count, with chance collisions
+  taken off; pairs that reach the cut are confirmed on the full sets;
+- in a larger one on the full sets, in cells of two blocks of `BLOCK` classes: a cell gives only the links that join its
+  components. Classes of the bucket's largest component are never compared with each other.
+
+So a link is lost only by chance: at the threshold its classes share no bucket with probability (1 - 0.85^4)^24 = 2e-8,
+and the estimate falls below the cut (0.66, some 5.8 standard deviations) about as rarely. No bucket is too crowded. The
+cost of a bucket grows with the product of its components' sizes.
 
 Defined results: null or empty text has the empty set, n_shingles 0, and is its own component; a row whose doc_id is
 null is linked with nothing, has component_id null, and is kept; rows that share a doc_id are one node; further columns
@@ -20,7 +22,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,8 @@ SHINGLE, PERCENT = 5, 85
 MINIMA, BITS, BANDS, ROWS = 128, 4, 24, 4
 #: Pairs whose estimate is below this are not confirmed.
 CUT = 0.66
-#: Centres of a bucket in each later round, and the rounds without a link that end the search.
-CENTRES, EMPTY_ROUNDS = 3, 2
-#: Classes of a bucket beyond which they also meet by so many bands in a row.
-LARGE, DEPTHS = 8, (2, 4, 6)
+#: Classes of a bucket up to which likely pairs leave it, and classes in a block of a larger one.
+SMALL, BLOCK = 32, 1024
 WORDS = 64
 PLANES = BITS * MINIMA // WORDS
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -180,43 +180,134 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = likely(members.where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), classes, cut)
     pairs = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     forest = stars(confirmed(pairs, texts, percent))
-    members = members.select("key", "rid").unionByName(deeper(members, classes))
-    members = written(members.join(classes.select("rid", "sig"), "rid"), "all-members")
-    tried, part, empty = pairs, 0, 0
-    while empty < EMPTY_ROUNDS:
-        part += 1
-        more = written(across(members, labels(forest), part, cut).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not more.head(1):
-            empty += 1
-            continue
-        tried = tried.unionByName(more)
-        found = written(confirmed(more, texts, percent), "links")
-        empty = 0 if found.head(1) else empty + 1
-        if not empty:
-            forest = stars(forest.unionByName(found))
+    more = written(small_buckets(held(members, forest), classes, cut).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    forest = stars(forest.unionByName(confirmed(more, texts, percent)))
+    forest = stars(forest.unionByName(written(crowded_buckets(held(members, forest), classes, texts, percent, cut), "links")))
     whole = classes.join(labels(forest).withColumnRenamed("node", "rid"), "rid", "left").select("sid", F.coalesce("component", "rid").alias("component"))
     out = rows.join(whole, "sid", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deeper(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, rid: the classes of large buckets by several bands in a row, where another class has the same."""
-    crowded = members.where(F.col("n") > LARGE).select("rid").distinct()
-    round_ = F.concat("bands", F.slice("bands", 1, max(DEPTHS)))
-    keys = [F.xxhash64(F.lit(k), F.lit(d), F.slice(round_, k + 1, d)) for d in DEPTHS for k in range(BANDS)]
-    deep = classes.join(crowded, "rid", "left_semi").select("rid", F.explode(F.array(*keys)).alias("key"))
-    several = deep.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).where("a < z").select("key")
-    return written(deep.join(several, "key").select("key", "rid"), "deep-members")
-
-
-def across(members: DataFrame, known: DataFrame, part: int, cut: float) -> DataFrame:
-    """Likely pairs a < b of different components in a bucket: each member with those of the bucket's CENTRES centres that
-    are of another component; the centres are taken by hash, in each round anew."""
-    held = members.join(known.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "sig", F.coalesce("component", "rid").alias("component"))
-    picks = [F.min(F.struct(F.xxhash64("rid", F.lit(part), F.lit(k)).alias("h"), "rid", "component")).alias(f"c{k}") for k in range(CENTRES)]
-    several = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *picks).where("low < high")
-    centres = several.select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"c{k}.rid").alias("centre"), F.col(f"c{k}.component").alias("other")) for k in range(CENTRES)]))).alias("c")).select("key", "c.*")
-    centres = centres.join(members.select(F.col("key"), F.col("rid").alias("centre"), F.col("sig").alias("centre_sig")), ["key", "centre"])
-    pairs = held.alias("m").join(centres.alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("component") != F.col("other")) & (estimate(F.col("sig"), F.col("centre_sig")) >= cut))
-    return pairs.select(F.least("rid", "centre").alias("a"), F.greatest("rid", "centre").alias("b")).distinct()
+def held(members: DataFrame, forest: DataFrame) -> DataFrame:
+    """key, rid, component of the members of buckets that hold several components; most, n_most, n: the bucket's largest
+    component, its classes and all classes."""
+    known = labels(forest).withColumnRenamed("node", "rid")
+    rows = written(members.select("key", "rid").join(known, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("component")), "held")
+    each = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    buckets = each.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("n")).where("n > m.c")
+    return rows.join(buckets.select("key", F.col("m.component").alias("most"), F.col("m.c").alias("n_most"), "n"), "key")
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches sorted by it."""
+    last, parts = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy() for c in by])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[:, begin])
+            if parts and key != last:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            last = key
+            parts.append(b.slice(begin, end - begin))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The signatures as rows of planes."""
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, BITS, MINIMA // WORDS)
+
+
+def alike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """As estimate, of one signature and each of the others."""
+    equal = MINIMA - np.bitwise_count(np.bitwise_or.reduce(others ^ one, axis=1).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return (equal / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def in_buckets(df: DataFrame, by: tuple[str, ...], pairs_of: Callable[[pa.Table], Iterator[tuple[int, int]]], schema: str) -> DataFrame:
+    """The pairs that pairs_of finds in the rows of each key."""
+    a, b = (x.split()[0] for x in schema.split(", "))
+    types = {a: pa.int64(), b: pa.int64()}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in groups(batches, by):
+            out.extend(pairs_of(group))
+            if len(out) > 10_000:
+                yield batch(types, *map(list, zip(*out, strict=True)))
+                out = []
+        yield batch(types, *(map(list, zip(*out, strict=True)) if out else [[]] * 2))
+
+    return arrow_map(df.repartition(*by).sortWithinPartitions(*by), find, schema)
+
+
+def small_buckets(members: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
+    """All likely pairs a < b of different components in the buckets of up to SMALL classes."""
+
+    def pairs_of(group: pa.Table) -> Iterator[tuple[int, int]]:
+        rid, component, sig = group["rid"].to_numpy(), group["component"].to_numpy(), matrix(group["sig"])
+        for i in range(1, len(rid)):
+            for j in np.flatnonzero((component[:i] != component[i]) & (alike(sig[i], sig[:i]) >= cut)):
+                yield min(rid[i], rid[j]), max(rid[i], rid[j])
+
+    rows = members.where(F.col("n") <= SMALL).select("key", "rid", "component").join(classes.select("rid", "sig"), "rid")
+    return in_buckets(rows, ("key",), pairs_of, "a long, b long").distinct()
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """rid and set (its shingles' hashes) of each text."""
+    types = {"rid": pa.int64(), "set": pa.binary()}
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(types, b.column("rid").cast(pa.int64()), [shingles(x).tobytes() for x in utf8(b.column("text"))])
+
+    return arrow_map(texts.select("rid", "text"), sets, "rid long, set binary")
+
+
+def crowded_buckets(members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, cut: float) -> DataFrame:
+    """Links u, v that join all components of a bucket which have a link there, for the buckets of over SMALL classes.
+
+    The blocks of the largest component come first (0 to d - 1) and meet only the r blocks of the rest; those meet all."""
+
+    def links_of(group: pa.Table) -> Iterator[tuple[int, int]]:
+        rid, block, sig = group["rid"].to_numpy(), group["block"].to_numpy(), matrix(group["sig"])
+        now = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        x = [np.frombuffer(s, np.uint64) for s in group["set"].to_pylist()]
+        size = np.array(list(map(len, x)))
+        number = np.split(np.unique(np.concatenate(x), return_inverse=True)[1], np.cumsum(size)[:-1])
+        marks = np.zeros(max(int(n.max()) for n in number) + 1, bool)
+        first, second = group["i"][0].as_py(), group["j"][0].as_py()
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        if len(left) > len(right):
+            left, right = right, left
+        for at, k in enumerate(left):
+            other = left[:at] if first == second else right
+            small, large = np.minimum(size[other], size[k]), np.maximum(size[other], size[k])
+            other = other[(now[other] != now[k]) & (100 * small >= percent * large)]
+            other = other[alike(sig[k], sig[other]) >= cut]
+            if not len(other):
+                continue
+            marks[number[k]] = True
+            for m in other:
+                if now[m] != now[k]:
+                    common = int(np.count_nonzero(marks[number[m]]))
+                    if 100 * common >= percent * (size[k] + size[m] - common):
+                        now[now == now[m]] = now[k]
+                        yield rid[k], rid[m]
+            marks[number[k]] = False
+
+    rows = members.where(F.col("n") > SMALL)
+    d, r = F.ceil(F.col("n_most") / BLOCK), F.ceil((F.col("n") - F.col("n_most")) / BLOCK)
+    dealt = lambda n: F.pmod(F.xxhash64("rid"), n)
+    in_most = F.col("component") == F.col("most")
+    rows = written(rows.select("key", "rid", "component", F.when(in_most, dealt(d)).otherwise(d + dealt(r)).alias("block"), F.when(in_most, F.sequence(d, d + r - 1)).otherwise(F.sequence(F.lit(0).cast("long"), d + r - 1)).alias("meets")), "crowded")
+    sets = written(full_sets(texts.withColumnRenamed("doc_id", "rid").join(rows.select("rid").distinct(), "rid", "left_semi")), "full-sets")
+    cells = rows.select("key", "rid", "component", "block", F.explode("meets").alias("other")).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rid", "component", "block")
+    cells = cells.join(classes.select("rid", "sig"), "rid").join(sets, "rid")
+    return in_buckets(cells, ("key", "i", "j"), links_of, "u long, v long")

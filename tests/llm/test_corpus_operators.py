@@ -100,6 +100,37 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.component_id for r in out} == {0} and sum(r.kept for r in out) == 1
 
 
+def crowded_rows(n, planted, p=0.86):
+    """Texts of passages of one pool, so that their buckets are crowded with what is no link, and near copies among them."""
+    rng = np.random.default_rng(21)
+    pool = [" ".join(words(rng, 30, "p", 50_000)) for _ in range(40)]
+    texts = [" ".join(x for x, take in zip(pool, rng.random(40) < p, strict=True) if take) for _ in range(n)]
+    for k in rng.choice(n, planted, replace=False):
+        copy = texts[k].split()
+        for at in rng.choice(len(copy) // 8 - 1, len(copy) // 65, replace=False):
+            copy[8 * at + 4] = f"own{k}x{at}"
+        texts.append(" ".join(copy))
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+def test_links_in_crowded_buckets(spark, monkeypatch):
+    """No link is lost where all classes share crowded buckets; blocks are small, so that there are several cells."""
+    monkeypatch.setattr(bbit_minhash, "BLOCK", 200)
+    rows = crowded_rows(900, 60)
+    ids = {}
+    of = [[ids.setdefault(s, len(ids)) for s in sets(t)] for _, t in rows]
+    x = np.zeros((len(of), len(ids)), np.float32)
+    for i, s in enumerate(of):
+        x[i, s] = 1
+    common, size = x @ x.T, x.sum(axis=1)
+    alike = 100 * common >= 85 * (size[:, None] + size - common)
+    pairs = [(int(a), int(b)) for a, b in zip(*np.nonzero(alike), strict=True) if a < b]
+    component = {i: i for i in range(len(rows))} | reach(pairs)
+    assert len(pairs) >= 50
+    got = {r.doc_id: r.component_id for r in bbit_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == component
+
+
 def test_no_near_duplicates_of_no_rows(spark):
     assert bbit_minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
