@@ -1,5 +1,13 @@
 """Line dedup by content-defined chunks: globally repeated runs of lines are removed, all but the first.
 
+`run_dedup`, the query, finds every repeated run of `long_words` words or more, wherever it is cut: besides the chunks of
+`line_dedup` (below) its candidates are, from each line, the fewest lines onward and the fewest lines backward that have
+so many words. These windows depend on nothing outside of them, so equal runs have equal windows, and the windows inside
+a run cover it whole (but for blank lines at its ends). A line goes if it is in a candidate that stands earlier too;
+lines that the earlier one itself holds stay.
+
+`line_dedup` removes whole chunks only.
+
 A rolling hash over the last two lines' hashes ends a chunk where it is 0 modulo `mean_lines`, so a run of lines that
 stands in several texts is cut alike in each, wherever it stands. A line of `long_words` words or more is a chunk of
 its own, and a chunk has at most `most_lines` lines. Chunks of two lines with text, or of one long line, count as
@@ -17,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -97,3 +106,82 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array_sort(F.collect_list(F.when(~F.col("removed"), F.struct("no", "text")))).alias("left"),
     )
     return whole.select("doc_id", F.when(F.col("there"), F.array_join(F.col("left.text"), "\n")).alias("text"), "n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks")
+
+
+def windows(lines: list[bytes], long_words: int = LONG_WORDS) -> set[tuple[int, int]]:
+    """begin, end of the shortest runs of lines from each line, and up to each line, with `long_words` words or more."""
+    count = [len(x.split()) for x in lines]
+    before = [0, *accumulate(count)]
+    out, end, begin = set(), 0, 0
+    for i in range(len(lines)):
+        while end < len(lines) and before[end] - before[i] < long_words:
+            end += 1
+        if count[i] and before[end] - before[i] >= long_words:
+            out.add((i, end))
+        while before[i + 1] - before[begin + 1] >= long_words:
+            begin += 1
+        if count[i] and before[i + 1] - before[begin] >= long_words:
+            out.add((begin, i + 1))
+    return out
+
+
+def numbered(texts: DataFrame) -> DataFrame:
+    """uid of the row, doc_id and text."""
+    types = {"uid": pa.int64(), "doc_id": pa.int64(), "text": pa.string()}
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 36
+        for b in batches:
+            yield batch(types, list(range(uid, uid + b.num_rows)), b.column("doc_id").cast(pa.int64()), b.column("text").cast(pa.string()))
+            uid += b.num_rows
+
+    return arrow_map(texts, number, "uid long, doc_id long, text string")
+
+
+def run_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, most_lines: int = MOST_LINES, long_words: int = LONG_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """As line_dedup, of all repeated runs; a chunk counts as removed if all its lines are."""
+    texts = written(numbered(pick(docs, doc_id=id_col, text=text_col)), "texts")
+    types = {"uid": pa.int64(), "doc_id": pa.int64(), "begin": pa.int32(), "end": pa.int32(), "digest": pa.binary()}
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                lines = text.encode().split(b"\n") if text is not None else []
+                whole = {(begin, end) for begin, end, may in chunks(lines, mean_lines, most_lines, long_words) if may}
+                for begin, end in whole | windows(lines, long_words):
+                    out.append((uid, doc_id, begin, end, hashlib.blake2b(b"\n".join(lines[begin:end]), digest_size=16).digest()))
+            yield batch(types, *(map(list, zip(*out, strict=True)) if out else [[]] * 5))
+
+    table = written(arrow_map(texts, spans, "uid long, doc_id long, begin int, end int, digest binary"), "spans")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "begin", "end")
+    repeated = table.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.uid").alias("first_uid"), F.col("first.begin").alias("first_begin"), F.col("first.end").alias("first_end"))
+    repeated = written(repeated, "repeated")
+    source = texts.select(F.col("uid").alias("first_uid"), F.split("text", "\n").alias("lines"))
+    first = repeated.join(source, "first_uid").select("digest", "first_uid", "first_begin", "first_end", F.array_join(F.slice("lines", F.col("first_begin") + 1, F.col("first_end") - F.col("first_begin")), "\n").alias("first_text"))
+    first = written(first, "first-spans")
+    size = first.agg(F.sum(F.octet_length("first_text") + 64)).first()[0] or 0
+    later = table.join(F.broadcast(first) if size <= broadcast_bytes else first, "digest").where("uid <> first_uid OR begin <> first_begin")
+    own = F.when(F.col("uid") == F.col("first_uid"), F.greatest("begin", "first_end")).otherwise(F.col("begin"))
+    marks = later.groupBy("uid").agg(F.collect_list(F.struct("begin", "end", own.alias("gone"), "first_text")).alias("marks"))
+    result = {"doc_id": pa.int64(), "text": pa.string(), **dict.fromkeys(("n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks"), pa.int64())}
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc_id, text, found in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
+                if text is None:
+                    out.append((doc_id, None, 0, 0, 1, 0))
+                    continue
+                lines = text.encode().split(b"\n")
+                goes = [False] * len(lines)
+                for m in found or ():
+                    if b"\n".join(lines[m["begin"] : m["end"]]) == m["first_text"].encode():
+                        goes[m["gone"] : m["end"]] = [True] * max(0, m["end"] - m["gone"])
+                cut = chunks(lines, mean_lines, most_lines, long_words)
+                left = b"\n".join(x for x, gone in zip(lines, goes, strict=True) if not gone).decode()
+                out.append((doc_id, left, len(lines), sum(goes), len(cut), sum(all(goes[begin:end]) for begin, end, _ in cut)))
+            yield batch(result, *(map(list, zip(*out, strict=True)) if out else [[]] * 6))
+
+    both = texts.join(marks, "uid", "left").select("doc_id", "text", "marks")
+    return arrow_map(both, remove, "doc_id long, text string, n_lines long, n_removed_lines long, n_chunks long, n_removed_chunks long")

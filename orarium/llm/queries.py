@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orarium.llm.bbit_minhash import near_duplicates
 from orarium.llm.compression_bands import compression_bands
 from orarium.llm.fair_mix import fair_mix
-from orarium.llm.line_chunks import line_dedup
+from orarium.llm.line_chunks import run_dedup
 from orarium.llm.mixture_lid import language_mixtures
 from orarium.llm.oracles import ORACLE_SQL as ORACLES
 from orarium.llm.quality_net import quality_scores
@@ -56,7 +56,7 @@ def op6_mixture_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return run_dedup(table(spark, sf_dir, "documents"))
 
 
 def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

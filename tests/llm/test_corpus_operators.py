@@ -193,6 +193,33 @@ def test_line_dedup_by_either_join(spark, limit):
     assert line_chunks.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_repeated_runs_go_whatever_surrounds_them(spark, limit):
+    rng = np.random.default_rng(6)
+    line = lambda n: " ".join(words(rng, n, "l", 100_000))
+    passages = [[line(-(-54 // n)) for _ in range(n)] for n in range(2, 13)]
+    short = [line(20), line(20)]
+    rows = []
+    for i in range(66):
+        own = [[line(int(rng.integers(3, 30))) for _ in range(int(rng.integers(1, 5)))] for _ in range(2)]
+        rows.append((i, own[0], passages[i % 11] if i < 55 else [short[i % 2]], own[1]))
+    docs = spark.createDataFrame([(i, "\n".join(a + p + b)) for i, a, p, b in rows] + [(None, "x\n" + "\n".join(passages[0])), (90, None), (91, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_chunks.run_dedup(docs.repartition(3), broadcast_bytes=limit).collect()}
+    for i, a, p, b in rows:
+        again = i == 0 or 11 <= i < 55
+        assert got[i].text == "\n".join(a + ([] if again else p) + b), i
+        assert got[i].n_removed_lines == (len(p) if again else 0)
+    assert got[None].n_removed_lines == 0 and got[90].text is None and (got[91].text, got[91].n_lines) == ("", 1)
+
+
+def test_a_run_that_repeats_itself(spark):
+    rng = np.random.default_rng(8)
+    period = [" ".join(words(rng, 15, "l", 100_000)) for _ in range(2)]
+    docs = spark.createDataFrame([(0, "\n".join(period * 6)), (1, "\n".join(["begin", *period * 2, "end"]))], "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_chunks.run_dedup(docs).collect()}
+    assert got[0][:4] == period * 2 and len(got[0]) < 12 and got[1] == ["begin", "end"]
+
+
 # --- mixing ---
 
 
