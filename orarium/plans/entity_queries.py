@@ -125,6 +125,15 @@ def match_key(spark, d):
     return table(spark, d, "documents").select("doc_id", text.match_key(first).alias("key"))
 
 
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), x AS (SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM l)
+SELECT doc_id, line_no::INT AS line_no, trim(regexp_replace(translate(upper(replace(strip_accents(line), 'ß', 'ss')), 'ABEZHIKMNOPTYX', 'ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ'), '[^\p{L}\p{N}]+', ' ', 'g')) AS key
+FROM (SELECT doc_id, line_no, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM x)""")
+def match_key_lines(spark, d):
+    """match_key of every line of each text, with the line's position."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", text.match_key(F.col("line")).alias("key"))
+
+
 SOUND = "p_name"
 for _pattern, _to in (("au|ay", "av"), ("eu|ey", "ev"), ("ai", "e"), ("ei|oi|ui|yi", "i"), ("ou|oy", "o"), ("ph", "f"), ("ch|kh", "h"), ("th", "t"), ("dh", "d"), ("gh", "g"), ("mp|mb", "b"), ("nt", "d"), ("gk", "g"), ("gg", "ng"), ("x", "ks"), ("ks", "h"), ("[cq]", "k"), ("[jy]", "i"), ("w", "o"), ("u", "o"), ("[bf]", "v"), ("e", "i"), ("[^a-z0-9]", "")):
     SOUND = f"regexp_replace({SOUND}, '{_pattern}', '{_to}', 'g')"

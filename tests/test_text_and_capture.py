@@ -35,6 +35,14 @@ def test_keys(spark):
     assert values(spark, [(["ΑΓΙΟΥ-", "ΔΗΜΗΤΡΙΟΥ", " ", "5"],)], text.join_lines(x), schema="x array<string>") == ["ΑΓΙΟΥ-ΔΗΜΗΤΡΙΟΥ 5"]
 
 
+def test_match_keys_of_all_lines(spark, tmp_path):
+    from orarium.plans.entity_queries import QUERIES
+
+    spark.createDataFrame([(1, "Ermou 9\n\nΆγιος  Νίκος"), (2, None)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): r.key for r in QUERIES["match_key_lines"](spark, f"file://{tmp_path}").collect()}
+    assert got == {(1, 0): "ΕRΜΟU 9", (1, 1): "", (1, 2): "ΑΓΙΟΣ ΝΙΚΟΣ"}
+
+
 def test_names_and_ids(spark):
     assert values(spark, ["+30 2310 123456", "00302310123456", "6912345678", "123", None], text.normalize_phone(F.col("x"))) == ["2310123456", "2310123456", "6912345678", None, None]
     a, b = text.name_tokens(F.col("a")), text.name_tokens(F.col("b"))
