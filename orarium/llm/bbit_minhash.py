@@ -7,7 +7,7 @@ pairs of a bucket that are still in different components are compared, without e
 
 - in a bucket of up to `SMALL` classes by their signatures' equal lanes, counted by bit_count, with chance collisions
   taken off; pairs that reach the cut are confirmed on the full sets;
-- in a larger one on the full sets, in cells of two blocks of `BLOCK` classes: a cell gives only the links that join its
+- in a larger one by signatures and full sets at once, in cells of two blocks of `BLOCK` classes: a cell gives only the links that join its
   components. Classes of the bucket's largest component are never compared with each other.
 
 So a link is lost only by chance: at the threshold its classes share no bucket with probability (1 - 0.85^4)^24 = 2e-8,
