@@ -10,13 +10,14 @@ pairs of a bucket that are still in different components are compared, without e
 - in a larger one by signatures and full sets at once, in cells of two blocks of `BLOCK` classes: a cell gives only the links that join its
   components. Classes of the bucket's largest component are never compared with each other.
 
-So a link is lost only by chance: at the threshold its classes share no bucket with probability (1 - 0.85^4)^24 = 2e-8,
-and the estimate falls below the cut (0.66, some 5.8 standard deviations) about as rarely. No bucket is too crowded. The
+So a link is lost only by chance: at the threshold of 85 % its classes share no bucket with probability (1 - 0.85^4)^24 =
+2e-8 (at 80 %, as the pipeline asks: 3e-6), and the estimate falls below the cut (19 points under the threshold, some 5
+standard deviations or more) about as rarely. No bucket is too crowded. The
 cost of a bucket grows with the product of its components' sizes.
 
-Defined results: null or empty text has the empty set, n_shingles 0, and is its own component; a row whose doc_id is
-null is linked with nothing, has component_id null, and is kept; rows that share a doc_id are one node; further columns
-are ignored.
+Defined results: null or empty text has the empty set, n_shingles 0, and is linked with nothing; a row whose doc_id is
+null is linked with nothing, has component_id null, and is kept; rows that share a doc_id are one node, with the links of
+each of its texts; a text of any length is one set; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orarium.llm.common import arrow_map, batch, pick, utf8, written
+from orarium.llm.common import arrow_map, batch, discard, pick, utf8, written
 from orarium.llm.components import labels, stars
 
 SHINGLE, PERCENT = 5, 85
 MINIMA, BITS, BANDS, ROWS = 128, 4, 24, 4
-#: Pairs whose estimate is below this are not confirmed.
-CUT = 0.66
+#: Pairs whose estimate is so far below the threshold are not confirmed.
+MARGIN = 0.19
 #: Classes of a bucket up to which likely pairs leave it, and classes in a block of a larger one.
 SMALL, BLOCK = 32, 1024
 WORDS = 64
@@ -167,33 +168,49 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "text_a", "text_b"), confirm, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, cut: float = CUT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    cut = percent / 100 - MARGIN
     texts = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = written(signed(texts), "sets")
     classes = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    used: list[DataFrame] = []
     members = classes.select("rid", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("z"), F.count("*").alias("n")).where("a < z").select("key", "a", "n")
-    members = written(members.join(shared, "key"), "members")
+    members = written(members.join(shared, "key"), "members", used)
     # the texts that can be in a link: what the later joins move
-    texts = written(texts.join(members.select(F.col("rid").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = written(texts.join(members.select(F.col("rid").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts", used)
     pairs = likely(members.where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), classes, cut)
-    pairs = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    forest = stars(confirmed(pairs, texts, percent))
-    more = written(small_buckets(held(members, forest), classes, cut).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    forest = stars(forest.unionByName(confirmed(more, texts, percent)))
-    forest = stars(forest.unionByName(written(crowded_buckets(held(members, forest), classes, texts, percent, cut), "links")))
-    whole = classes.join(labels(forest).withColumnRenamed("node", "rid"), "rid", "left").select("sid", F.coalesce("component", "rid").alias("component"))
-    out = rows.join(whole, "sid", "left")
+    pairs = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs", used)
+    forest = stars(confirmed(pairs, texts, percent).unionByName(own_links(rows, classes)))
+    more = written(small_buckets(held(members, forest, used), classes, cut).join(pairs, ["a", "b"], "left_anti"), "pairs", used)
+    before, forest = forest, stars(forest.unionByName(confirmed(more, texts, percent)))
+    discard(before)
+    links = written(crowded_buckets(held(members, forest, used), classes, texts, percent, cut, used), "links", used)
+    before, forest = forest, stars(forest.unionByName(links))
+    discard(before, *used)
+    known = labels(forest)
+    whole = classes.join(known.withColumnRenamed("node", "rid"), "rid", "left").select("sid", F.coalesce("component", "rid").alias("component"))
+    full = rows.where("sid IS NOT NULL").join(whole, "sid", "left").select("doc_id", "n", "component")
+    empty = rows.where("sid IS NULL").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "component")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def held(members: DataFrame, forest: DataFrame) -> DataFrame:
+def own_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links u, v of each id that has several sets with the representatives of their classes: rows that share an id are
+    one node."""
+    sets = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.bool_or(F.col("sid").isNull()).alias("empty"))
+    several = sets.where("low < high OR (empty AND low IS NOT NULL)").select("doc_id")
+    own = rows.where("sid IS NOT NULL").join(several, "doc_id", "left_semi").select("doc_id", "sid").distinct()
+    return own.join(classes.select("sid", "rid"), "sid").select(F.col("doc_id").alias("u"), F.col("rid").alias("v"))
+
+
+def held(members: DataFrame, forest: DataFrame, used: list[DataFrame]) -> DataFrame:
     """key, rid, component of the members of buckets that hold several components; most, n_most, n: the bucket's largest
     component, its classes and all classes."""
     known = labels(forest).withColumnRenamed("node", "rid")
-    rows = written(members.select("key", "rid").join(known, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("component")), "held")
+    rows = written(members.select("key", "rid").join(known, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("component")), "held", used)
     each = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     buckets = each.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("n")).where("n > m.c")
     return rows.join(buckets.select("key", F.col("m.component").alias("most"), F.col("m.c").alias("n_most"), "n"), "key")
@@ -270,7 +287,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return arrow_map(texts.select("rid", "text"), sets, "rid long, set binary")
 
 
-def crowded_buckets(members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, cut: float) -> DataFrame:
+def crowded_buckets(members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, cut: float, used: list[DataFrame]) -> DataFrame:
     """Links u, v that join all components of a bucket which have a link there, for the buckets of over SMALL classes.
 
     The blocks of the largest component come first (0 to d - 1) and meet only the r blocks of the rest; those meet all."""
@@ -306,8 +323,8 @@ def crowded_buckets(members: DataFrame, classes: DataFrame, texts: DataFrame, pe
     d, r = F.ceil(F.col("n_most") / BLOCK), F.ceil((F.col("n") - F.col("n_most")) / BLOCK)
     dealt = lambda n: F.pmod(F.xxhash64("rid"), n)
     in_most = F.col("component") == F.col("most")
-    rows = written(rows.select("key", "rid", "component", F.when(in_most, dealt(d)).otherwise(d + dealt(r)).alias("block"), F.when(in_most, F.sequence(d, d + r - 1)).otherwise(F.sequence(F.lit(0).cast("long"), d + r - 1)).alias("meets")), "crowded")
-    sets = written(full_sets(texts.withColumnRenamed("doc_id", "rid").join(rows.select("rid").distinct(), "rid", "left_semi")), "full-sets")
+    rows = written(rows.select("key", "rid", "component", F.when(in_most, dealt(d)).otherwise(d + dealt(r)).alias("block"), F.when(in_most, F.sequence(d, d + r - 1)).otherwise(F.sequence(F.lit(0).cast("long"), d + r - 1)).alias("meets")), "crowded", used)
+    sets = written(full_sets(texts.withColumnRenamed("doc_id", "rid").join(rows.select("rid").distinct(), "rid", "left_semi")), "full-sets", used)
     cells = rows.select("key", "rid", "component", "block", F.explode("meets").alias("other")).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rid", "component", "block")
     cells = cells.join(classes.select("rid", "sig"), "rid").join(sets, "rid")
     return in_buckets(cells, ("key", "i", "j"), links_of, "u long, v long")

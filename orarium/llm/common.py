@@ -10,25 +10,49 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of whole texts that a Python worker holds at once.
-BATCH_ROWS = 2000
+#: Rows, and bytes, of whole texts that a Python worker is sent at once; a single longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+#: Bytes of text for a task of a range sort, beyond the session's number of shuffle partitions.
+SORT_BYTES = 512 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder of spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
+    """A new path below the shared folder of spark.checkpoint.dir. Only a local session (tests) may leave that unset: it
+    gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="orarium-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: cuts lineage, and survives lost executors."""
+def partitions_for(spark: SparkSession, size: int | None) -> int:
+    """How many partitions a sort of `size` bytes takes: the session's number, and more where they would grow too large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // SORT_BYTES))
+
+
+def written(df: DataFrame, name: str, temporary: list[DataFrame] | None = None) -> DataFrame:
+    """The rows of df as a table in the shared folder: cuts lineage, and survives lost executors.
+
+    temporary: where the table is noted that its maker will discard."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if temporary is not None:
+        temporary.append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -37,10 +61,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """mapInArrow with batches that stay small although texts are long."""
+    """mapInArrow with batches that stay small although texts are long.
+
+    Spark reads both limits from the session when the plan runs, so they are lowered there, and stay so."""
     spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
@@ -56,9 +85,3 @@ def batch(types: dict[str, pa.DataType], *columns: list) -> pa.RecordBatch:
 def fold(doc_id: Column) -> Column:
     """crc32 of doc_id as text, mod 4: learners leave out the rows where it is 2. Null: -1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(-1))
-
-
-def in_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)

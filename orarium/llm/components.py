@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orarium.llm.common import written
+from orarium.llm.common import discard, written
 
 
 def star(links: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def stars(links: DataFrame, name: str = "components") -> DataFrame:
     """u, v (longs, in any order) -> u, v: each node but its component's smallest, with that one."""
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
     while not is_forest(now):
-        now = written(star(star(now, large=True), large=False), name)
+        before, now = now, written(star(star(now, large=True), large=False), name)
+        discard(before)
     return now
 
 
