@@ -1,12 +1,14 @@
 """Quality rules by compression: zstandard ratios of whole texts and of fixed chunks must lie in a band for their length.
 
 Text that repeats itself compresses too well, random strings too badly. A text is rejected if its own ratio
-(compressed bytes / bytes) is outside the band of its length, or if more than `bad_share` of its chunks are.
+(compressed bytes / bytes) is outside the band of its length, or if more than `bad_share` of its chunks are. A text of
+more than `chunk_bytes` bytes is cut into chunks of that size; a rest of under LEAST_CHUNK bytes belongs to the last one.
 
 Base counts come with the verdict: words are runs of anything but space and \\t-\\r; see the columns below.
 
 Defined results: null or empty text has no words, all counts 0, base_failed true, kept false, ratio null. One row for
-each row of the input; further columns are ignored.
+each row of the input, ties and repeated rows included; a text of any length is judged whole; further columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -80,18 +82,17 @@ class Bands:
         return not low <= ratio <= high
 
     def judge(self, data: bytes) -> tuple[float | None, int, int, bool]:
-        """ratio of the whole, chunks, chunks outside their band, and whether the text passes. A last chunk of under LEAST_CHUNK bytes isn't judged."""
+        """ratio of the whole, chunks, chunks outside their band, and whether the text passes."""
         if not data:
             return None, 0, 0, False
         ratio = len(self.press(data)) / len(data)
         chunks = bad = 0
         if len(data) > self.chunk_bytes:
             view = memoryview(data)
-            for at in range(0, len(data), self.chunk_bytes):
-                part = view[at : at + self.chunk_bytes]
-                if len(part) >= LEAST_CHUNK:
-                    chunks += 1
-                    bad += self.outside(len(part), len(self.press(part)) / len(part))
+            cuts = [*range(0, len(data) - min(LEAST_CHUNK, self.chunk_bytes) + 1, self.chunk_bytes), len(data)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                chunks += 1
+                bad += self.outside(end - begin, len(self.press(view[begin:end])) / (end - begin))
         return ratio, chunks, bad, not self.outside(len(data), ratio) and bad <= self.bad_share * chunks
 
 
