@@ -11,9 +11,11 @@ are summed in two rounds, so a task holds a block's sum and not all that is sent
 size. Labels come from at most `sample` rows (taken by hash) outside the held-out fold; labels, lang, source and doc_id
 are no inputs of a score.
 
-Defined results: null and empty texts are scored as texts without words; ids with labels of both kinds take the mean;
-without labelled rows of both kinds the score is the smoothed share of 1 among the labels (0.5 without any). Repeated
-rows are scored each; further columns are ignored.
+Defined results: null and empty texts are scored as texts without words; ids with labels of both kinds take the mean; of
+an id with several texts the one with the smallest hash is learned from; rows without an id teach the word vectors, and
+have no label; without labelled rows of both kinds the score is the smoothed share of 1 among the labels (0.5 without
+any). Repeated rows are scored each; a text of any length is pooled whole; further columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -184,8 +186,9 @@ def train(texts: DataFrame, labels: DataFrame, vectors, sample: int) -> Net:
     """The network, from at most `sample` labelled rows outside the held-out fold; every fifth of them only calibrates."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     known = known.where((fold(F.col("doc_id")) != 2) & (fold(F.col("doc_id")) >= 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # the broadcast side has at most `sample` rows of two numbers
-    rows = features(texts.join(F.broadcast(known), "doc_id").select((F.col("quality") >= 0.5).cast("double").alias("y"), "text"), vectors, "y").limit(2 * sample).collect()
+    # the broadcast side has at most `sample` rows of two numbers; one text an id, so what is collected is as small
+    taught = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = features(taught.select((F.col("quality") >= 0.5).cast("double").alias("y"), "text"), vectors, "y").collect()
     x = np.array([np.frombuffer(bytes(r.x), np.float32) for r in rows], float)
     y = np.array([r.y for r in rows])
     net = Net()
@@ -204,17 +207,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """doc_id, held_out, score and predicted of every document (carry: and all columns of docs, in a struct `row`)."""
     spark = docs.sparkSession
     texts = pick(docs, doc_id=id_col, text=text_col)
+    at = docs.columns.index(text_col) if carry else None
     vectors = spark.sparkContext.broadcast(gather(texts.select("text")))
     net = train(texts, pick(labels, doc_id=id_col, quality=label_col), vectors, sample)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vectors.value
         for b in batches:
-            x = np.array([pooled(d, v) for d in utf8(b.column("text"))])
+            x = np.array([pooled(d, v) for d in utf8(b.column("text") if at is None else b.column("row").field(at))])
             score = pa.array(net.score(x) if len(x) else [], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("row"), score], names=["row", "score"])
 
-    frame = docs.select((F.struct("*") if carry else F.struct(F.col(f"`{id_col}`").alias("doc_id"))).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    frame = docs.select(F.struct("*").alias("row")) if carry else texts.select(F.struct("doc_id").alias("row"), "text")
     out = arrow_map(frame, judge, f"row {frame.schema['row'].dataType.simpleString()}, score double")
     doc_id = F.col(f"row.`{id_col if carry else 'doc_id'}`")
     return out.select(doc_id.alias("doc_id"), (fold(doc_id) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["row"] * carry)
