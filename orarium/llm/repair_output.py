@@ -1,20 +1,23 @@
 """Token-ID output: shards of ids compressed by a Re-Pair grammar, with random access.
 
 Documents are range-sorted by id, encoded, and gathered into shards of about `shard_tokens` ids (a document is never
-split). In each shard, rounds replace the most frequent pairs of neighbouring symbols by nonterminals, left to right;
-a pair never holds the end id, so no phrase crosses a document. A shard is one row of a table in the shared folder:
+split). In each shard, rounds replace the most frequent pairs of neighbouring symbols by nonterminals, left to right,
+until no pair is found LEAST times (a rule for fewer costs more than it saves); a pair never holds the end id, so no
+phrase crosses a document. A shard is one row of a table in the shared folder:
 
     part, seq      place in the order; rel_start: ids of the part before the shard
     doc_ids        int64 ids (and a null mask), doc_tokens: int64 lengths with the end id
     left, right    uint32 pairs of the rules; rule k makes symbol base + k
     rounds         uint32 number of rules made up to each round's end
     lengths        uint32 expansion lengths of the rules
-    symbols        uint32 sequence of ids and nonterminals, zlib-packed
+    symbols        uint32 sequence of ids and nonterminals, in zlib-packed blocks of BLOCK symbols
+    block_ends     uint32 ids up to the end of each block
 
-all little-endian. Lengths give each symbol's place in the ids, so one document is decoded without the rest.
+all little-endian. Lengths give each symbol's place in the ids, so one document is decoded from its own blocks alone.
 
 Defined results: null or empty text is the end id alone; a null doc_id sorts first and stays null; equal ids are
-ordered by the text's hash; an empty table writes an empty table.
+ordered by the text's hash, repeated rows are written each; a text of any length is one document of one shard; further
+columns are ignored; an empty table writes an empty table.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orarium.llm.common import arrow_map, batch, pick, scratch
+from orarium.llm.common import arrow_map, batch, partitions_for, pick, scratch
 
 END_ID = 1
-#: Ids of a shard, rounds of a grammar, rules of a round, and how often a pair must occur.
-SHARD_TOKENS, ROUNDS, RULES, LEAST = 1 << 20, 4, 1024, 8
+#: Ids of a shard, rules that one round makes at most, how often a pair must occur, and symbols of a packed block.
+SHARD_TOKENS, RULES, LEAST, BLOCK = 1 << 20, 1 << 14, 8, 1 << 14
 #: Distinct words that a Python worker remembers.
 REMEMBERED = 500_000
 #: A mark after an ASCII letter begins a piece of its own (an apostrophe may not), so a space between them changes nothing.
@@ -128,16 +131,14 @@ def slots(code: np.ndarray) -> np.ndarray:
     return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
 
-def compress(ids: np.ndarray, end_id: int = END_ID, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> dict[str, np.ndarray]:
-    """The grammar of a shard: replaces the most frequent pairs, counts again, until none is frequent or the rounds end."""
+def compress(ids: np.ndarray, end_id: int = END_ID, rules: int = RULES, least: int = LEAST) -> dict[str, np.ndarray]:
+    """The grammar of a shard: replaces the most frequent pairs, counts again, until none is frequent."""
     x = ids.astype(np.uint32)
     base = int(x.max(initial=0)) + 1
     left, right, ends = [], [], []
     lengths = np.zeros(0, np.uint32)
     never = np.uint64(end_id) << np.uint64(32) | np.uint64(end_id)
-    for _ in range(rounds):
-        if len(x) < 2:
-            break
+    while len(x) > 1:
         code = pairs_of(x, end_id)
         order = np.sort(code)
         first = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
@@ -194,27 +195,47 @@ def expand(x: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
     return x
 
 
-def pack(g: dict[str, np.ndarray]) -> list[bytes]:
-    return [g[k].astype("<u4").tobytes() if k != "symbols" else zlib.compress(g[k].astype("<u4").tobytes(), 1) for k in GRAMMAR]
+RULE_PARTS = ("base", "left", "right", "rounds", "lengths")
+GRAMMAR = (*RULE_PARTS, "block_ends", "symbols")
+
+
+def pack(g: dict[str, np.ndarray], block: int = BLOCK) -> list:
+    """The values of a shard's columns: rules and lengths plain, symbols in blocks that are unpacked alone."""
+    x = g["symbols"].astype("<u4")
+    ends = np.cumsum(length_of(x, int(g["base"][0]), g["lengths"]))
+    cuts = range(0, len(x), block)
+    block_ends = ends[[min(at + block, len(x)) - 1 for at in cuts]] if len(x) else ends
+    return [*(g[k].astype("<u4").tobytes() for k in RULE_PARTS), block_ends.astype("<u4").tobytes(), [zlib.compress(x[at : at + block].tobytes(), 1) for at in cuts]]
+
 
+def unpack(values: list) -> dict:
+    """The grammar of a shard; its blocks of symbols stay packed."""
+    return {k: v if k == "symbols" else np.frombuffer(v, "<u4") for k, v in zip(GRAMMAR, values, strict=True)}
 
-GRAMMAR = ("base", "left", "right", "rounds", "lengths", "symbols")
 
+def symbols_of(g: dict, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The symbols of the blocks from first to before last."""
+    return np.frombuffer(b"".join(map(zlib.decompress, g["symbols"][first:last])), "<u4")
 
-def unpack(values: list[bytes]) -> dict[str, np.ndarray]:
-    return {k: np.frombuffer(zlib.decompress(v) if k == "symbols" else v, "<u4") for k, v in zip(GRAMMAR, values, strict=True)}
 
+def document(g: dict, doc_tokens: np.ndarray, k: int) -> np.ndarray:
+    """Random access: the ids of the k-th document of a shard, from its own symbols in its own blocks."""
+    begin, size = int(doc_tokens[:k].sum()), int(doc_tokens[k])
+    first, last = np.searchsorted(g["block_ends"], [begin, begin + size - 1], "right")
+    x = symbols_of(g, first, last + 1)
+    begin -= int(g["block_ends"][first - 1]) if first else 0
+    ends = np.cumsum(length_of(x, int(g["base"][0]), g["lengths"]))
+    low, high = np.searchsorted(ends, [begin, begin + size - 1], "right")
+    return expand(x[low : high + 1], g)
 
-def document(g: dict[str, np.ndarray], doc_tokens: np.ndarray, k: int) -> np.ndarray:
-    """Random access: the ids of the k-th document of a shard, from its own symbols only."""
-    begin = int(doc_tokens[:k].sum())
-    ends = np.cumsum(length_of(g["symbols"], int(g["base"][0]), g["lengths"]))
-    low, high = np.searchsorted(ends, [begin, begin + int(doc_tokens[k]) - 1], "right")
-    return expand(g["symbols"][low : high + 1], g)
 
+COLUMNS = {**{k: pa.binary() for k in GRAMMAR}, "symbols": pa.list_(pa.binary())}
+SHARD = {"part": pa.int32(), "seq": pa.int32(), "rel_start": pa.int64(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.binary(), "doc_nulls": pa.binary(), "doc_tokens": pa.binary(), **COLUMNS}
+SHARD_SCHEMA = "part int, seq int, rel_start long, n_docs long, n_tokens long, doc_ids binary, doc_nulls binary, doc_tokens binary, " + ", ".join(f"`{k}` binary" for k in GRAMMAR[:-1]) + ", symbols array<binary>"
 
-SHARD = {"part": pa.int32(), "seq": pa.int32(), "rel_start": pa.int64(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.binary(), "doc_nulls": pa.binary(), "doc_tokens": pa.binary(), **{k: pa.binary() for k in GRAMMAR}}
-SHARD_SCHEMA = "part int, seq int, rel_start long, n_docs long, n_tokens long, doc_ids binary, doc_nulls binary, doc_tokens binary, " + ", ".join(f"`{k}` binary" for k in GRAMMAR)
+
+def keys_of(row: dict) -> list[int | None]:
+    return [None if gone else k for k, gone in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), row["doc_nulls"], strict=True)]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> str:
@@ -246,7 +267,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
             yield shard()
 
     columns = pick(docs, doc_id=id_col, text=text_col)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(columns.sparkSession, columns.agg(F.sum(F.octet_length("text"))).first()[0])
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
     placed = columns.repartitionByRange(n, *order).sortWithinPartitions(*order)
     arrow_map(placed, encode, SHARD_SCHEMA).write.parquet(path)
@@ -268,17 +289,32 @@ def read_documents(shards: DataFrame, ids: bool = True) -> DataFrame:
             for i in range(b.num_rows):
                 row = {k: v[0] for k, v in b.slice(i, 1).to_pydict().items()}
                 g = unpack([row[k] for k in GRAMMAR])
-                data = memoryview(expand(g["symbols"], g).astype("<u4").tobytes())
+                data = memoryview(expand(symbols_of(g), g).astype("<u4").tobytes())
                 sizes = np.frombuffer(row["doc_tokens"], "<i8")
                 ends = np.cumsum(sizes)
-                keys = np.frombuffer(row["doc_ids"], "<i8").tolist()
-                keys = [None if gone else k for k, gone in zip(keys, row["doc_nulls"], strict=True)]
                 own = (data[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True))
-                yield batch(types, keys, ends - sizes + row["rel_start"] + row["part_start"], sizes, [bytes(x) if ids else zlib.crc32(x) for x in own])
+                yield batch(types, keys_of(row), ends - sizes + row["rel_start"] + row["part_start"], sizes, [bytes(x) if ids else zlib.crc32(x) for x in own])
 
     return arrow_map(shards.join(F.broadcast(before), "part"), decode, "doc_id long, start long, n_tokens long, " + ("ids binary" if ids else "ids_crc32 long"))
 
 
+def find_documents(shards: DataFrame, wanted: list[int]) -> DataFrame:
+    """doc_id and ids (binary, uint32) of some documents, each decoded from its own blocks; wanted: ids that fit in a task."""
+    asked = frozenset(wanted)
+    types = {"doc_id": pa.int64(), "ids": pa.binary()}
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {k: v[0] for k, v in b.slice(i, 1).to_pydict().items()}
+                places = [(k, doc_id) for k, doc_id in enumerate(keys_of(row)) if doc_id in asked]
+                if places:
+                    g, sizes = unpack([row[k] for k in GRAMMAR]), np.frombuffer(row["doc_tokens"], "<i8")
+                    yield batch(types, [doc_id for _, doc_id in places], [document(g, sizes, k).astype("<u4").tobytes() for k, _ in places])
+
+    return arrow_map(shards, decode, "doc_id long, ids binary")
+
+
 def token_output(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all texts, reads the files back, and gives doc_id, start, n_tokens and ids_crc32 of each document."""
     spark = docs.sparkSession

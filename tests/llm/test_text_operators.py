@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orarium.llm.compression_bands import compression_bands
 from orarium.llm.queries import vocabulary
-from orarium.llm.repair_output import compress, document, expand, pack, token_output, unpack, write_shards
+from orarium.llm.repair_output import compress, document, expand, find_documents, pack, symbols_of, token_output, unpack, write_shards
 from orarium.llm.token_counts import Counter, token_counts
 from orarium.llm.wu_manber import decontamination, digest
 
@@ -140,14 +140,19 @@ def test_repair_round_trip():
     rng = np.random.default_rng(4)
     parts = [np.append(rng.integers(2, 30, n), 1).astype(np.uint32) for n in (0, 5, 400, 3, 2000)]
     ids = np.concatenate(parts)
-    grammar = unpack(pack(compress(ids, rounds=6, rules=20, least=2)))
-    assert len(grammar["symbols"]) < len(ids)
-    assert (expand(grammar["symbols"], grammar) == ids).all()
+    grammar = unpack(pack(compress(ids, rules=20, least=2), block=64))
+    symbols = symbols_of(grammar)
+    assert len(symbols) < len(ids) and len(grammar["symbols"]) == len(grammar["block_ends"]) > 5
+    assert (expand(symbols, grammar) == ids).all()
+    # the grammar is complete: no pair without the end id stands twice
+    pairs = Count(p for p in zip(symbols.tolist(), symbols[1:].tolist(), strict=False) if 1 not in p)
+    assert max(pairs.values()) == 1
     sizes = np.array([len(p) for p in parts])
     for k, part in enumerate(parts):
         assert (document(grammar, sizes, k) == part).all()
     same_symbol = np.full(1001, 7, np.uint32)
     assert (expand(compress(same_symbol)["symbols"], compress(same_symbol)) == same_symbol).all()
+    assert len(unpack(pack(compress(np.zeros(0, np.uint32))))["symbols"]) == 0
 
 
 def test_token_output(docs):
@@ -177,6 +182,9 @@ def test_small_shards(spark, docs, tmp_path):
     assert shards.count() > 2
     out = read_documents(shards).orderBy("start").select("start", "n_tokens").collect()
     assert [r.start for r in out] == [sum(r.n_tokens for r in out[:k]) for k in range(len(out))]
+    whole = {r.doc_id: r.ids for r in read_documents(shards).collect()}
+    some = sorted(k for k in whole if k is not None)[::5]
+    assert {r.doc_id: r.ids for r in find_documents(shards, some).collect()} == {k: whole[k] for k in some}
 
 
 def test_word_lookup_agrees_with_whole_texts():
