@@ -5,11 +5,15 @@ n-grams are a mixture of the languages' distributions and of a flat one; EM esti
 the best single language, a language joins the set while it raises the log-likelihood by more than the penalty
 (PENALTY * log of the number of n-grams). The prediction is the language with the largest proportion.
 
-Counts leave the executors as one row for each language and block of buckets, and are summed in two rounds; what the
-driver gets and broadcasts is languages x buckets numbers, whatever the input's size (at most MAX_LANGUAGES).
+N-grams are three code points: white space, digits and marks between letters are one space.
+
+Counts leave the executors as one row for each language and block of buckets, and are summed in two rounds. The model has
+BUCKETS numbers for each distinct value of lang (64 KB when broadcast, 256 KB in a Python worker), whatever the number of rows: it is the only thing
+that grows with the languages, and the driver and each Python worker hold it once.
 
 Defined results: null texts, and texts without a letter, are `und` with score 0; so is every text if nothing could be
-learned. Rows with null lang are predicted, not learned from; repeated rows count each; further columns are ignored.
+learned. Rows with null lang or null doc_id are predicted, not learned from; ties go to the language first in order;
+repeated rows count each; a text of any length is read whole; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from orarium.llm.common import arrow_map, batch, fold, pick
 
-BUCKETS, BLOCK, MAX_LANGUAGES = 1 << 14, 1 << 10, 500
+BUCKETS, BLOCK = 1 << 14, 1 << 10
 SMOOTH, PENALTY, ROUNDS, FLAT = 0.05, 4.0, 12, 0.02
 UNKNOWN = "und"
 #: What isn't a letter in a lower-cased text becomes one space.
@@ -34,13 +38,13 @@ OTHER = re.compile(r"[\W\d_]+")
 
 
 def grams(text: str | None) -> np.ndarray:
-    """Hashed trigrams (of UTF-8 bytes of letters and single spaces) of a text; none without a letter."""
+    """Hashed trigrams (code points of letters and single spaces) of a text; none without a letter."""
     plain = OTHER.sub(" ", (text or "").lower()).strip()
     if not any(map(str.isalpha, plain)):
         return np.zeros(0, np.int64)
-    x = np.frombuffer(f" {plain} ".encode(), np.uint8).astype(np.uint32)
-    code = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)
+    x = np.frombuffer(f" {plain} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code = (x[:-2] << np.uint64(42)) ^ (x[1:-1] << np.uint64(21)) ^ x[2:]
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int64)
 
 
 def gather(learned: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -74,19 +78,18 @@ def gather(learned: DataFrame) -> tuple[list[str], np.ndarray]:
 
     partial = arrow_map(arrow_map(learned, count, schema).repartition(256, "lang", "block", "part"), add, schema).withColumn("part", F.lit(0))
     whole = arrow_map(partial.repartition(64, "lang", "block"), add, schema)
-    rows = whole.limit(MAX_LANGUAGES * BUCKETS // BLOCK + 1).collect()
+    rows = whole.collect()  # BUCKETS numbers a language
     langs = sorted({r.lang for r in rows})
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    out = np.zeros((len(langs), BUCKETS))
+    place = {lang: k for k, lang in enumerate(langs)}
+    out = np.zeros((len(langs), BUCKETS), np.float32)
     for r in rows:
-        out[langs.index(r.lang), r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(bytes(r.counts)), "<i8")
+        out[place[r.lang], r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(bytes(r.counts)), "<i8")
     return langs, out
 
 
 class Mixture:
     def __init__(self, counts: np.ndarray):
-        p = counts + SMOOTH
+        p = counts.astype(float) + SMOOTH
         self.p = (p / p.sum(axis=1, keepdims=True)).T.copy()  # bucket x language
         self.log = np.log(self.p)
 
@@ -126,7 +129,7 @@ class Mixture:
 def language_mixtures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score (the proportion of lang_pred), langs and shares (the chosen set) of every document."""
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    learned = rows.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)).select("lang", "text")
+    learned = rows.where(F.col("lang").isNotNull() & ~fold(F.col("doc_id")).isin(2, -1)).select("lang", "text")
     langs, counts = gather(learned)
     bound = docs.sparkSession.sparkContext.broadcast((langs, counts))
     types = {"doc_id": pa.int64(), "lang_pred": pa.string(), "score": pa.float64(), "langs": pa.list_(pa.string()), "shares": pa.list_(pa.float64())}
