@@ -1,14 +1,16 @@
 """URL filter: rules by host and path, and gradient-boosted trees on lexical features for what no rule decides.
 
 DataFrame operations only. The URLs that a rule decides are the labelled ones. Features: lengths, depths, digit
-ratios, entropy, parameter counts, and statistics of the host's suffix (how often labelled URLs have it, and how many
-of those are blocked). Each feature is cut into bins at quantiles; each level of a tree is one aggregation of
+ratios, entropy, parameter counts, and statistics of the host's suffix, its last label (how often labelled URLs have it,
+and how many of those are blocked). A labelled URL sees the statistics of the other folds only (FOLDS, by its hash), so
+its own label is no feature of it; all others see those of all folds. Each feature is cut into bins at quantiles; each level of a tree is one aggregation of
 gradients by node, feature and bin, whose result (at most nodes x features x bins rows) picks the splits. Gradients are summed as whole
 numbers, so that reruns agree. A tree is an expression over the bins.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule, and the trees' verdict; without
-labelled URLs of both kinds the trees say what all labels say, or allow. Repeated rows stay; further columns are
-ignored; an empty table gives no rows.
+labelled URLs of both kinds the trees say what all labels say, or allow. Ties between splits go to the first feature and
+the lowest bin. Repeated rows stay; a url of any length is read whole; further columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from orarium.llm.common import pick, written
 #: (verdict, host, path): a rule fits the host and its subdomains where the path starts so; the longest wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Labelled rows that the trees are fitted on (about; taken by hash), and the table of suffix statistics.
-TRAIN_ROWS, SUFFIX_BUCKETS = 200_000, 4096
+#: Labelled rows that the trees are fitted on (about; taken by hash), and folds of the suffix statistics.
+TRAIN_ROWS, FOLDS = 200_000, 5
 TREES, DEPTH, BINS, RATE, LAMBDA, LEAST = 10, 3, 16, 0.4, 1.0, 20.0
 SCALE = 1_000_000
 
@@ -79,7 +81,7 @@ def lexical(pages: DataFrame, url: Column, host: Column, path: Column, rest: Col
         "f_query_length": F.length(query).cast("double"),
         "f_fragment": F.contains(rest, F.lit("#")).cast("double"),
     }
-    return pages.withColumns(found).withColumn("suffix", F.pmod(F.xxhash64(F.element_at(F.split(host, r"\."), -1)), F.lit(SUFFIX_BUCKETS)).cast("int"))
+    return pages.withColumns(found).withColumn("suffix", F.substring_index(host, ".", -1))
 
 
 def grow(table: DataFrame, features: list[str]) -> str:
@@ -154,6 +156,18 @@ def value(tree: dict, k: int) -> str:
     return f"({at!r}D)"
 
 
+def with_suffixes(base: DataFrame, labelled: DataFrame, none: Column) -> DataFrame:
+    """base with f_suffix_count and f_suffix_blocked of its suffix: of all folds but the row's own."""
+    seen = labelled.groupBy("suffix", "fold").agg(F.count("y").alias("n"), F.sum("y").alias("blocked"))
+    every = seen.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    own = seen.select("suffix", "fold", F.col("n").alias("own_n"), F.col("blocked").alias("own_blocked"))
+    others = own.join(every, "suffix").select("suffix", "fold", (F.col("n") - F.col("own_n")).alias("n"), (F.col("blocked") - F.col("own_blocked")).alias("blocked"))
+    left = others.unionByName(every.select("suffix", none.alias("fold"), "n", "blocked"))
+    stats = written(left.select("suffix", "fold", F.log1p("n").alias("f_suffix_count"), ((F.col("blocked") + 1) / (F.col("n") + 2)).alias("f_suffix_blocked")), "url-suffixes")
+    # few suffixes are in use, but nothing bounds them: Spark broadcasts the table only where its size allows it
+    return base.join(stats, ["suffix", "fold"], "left").fillna({"f_suffix_count": 0.0, "f_suffix_blocked": 0.5})
+
+
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' probability of block) of every page."""
     base = pick(pages, page_id=id_col, url=url_col)
@@ -162,12 +176,11 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     base = base.withColumns({"rule": rule, "ruled": ruled})
     base = lexical(base, F.col("url"), F.col("host"), F.col("path"), F.col("rest")).drop("rest")
+    none = F.lit(-1).cast("long")  # the fold of what has no label
+    base = base.withColumn("fold", F.when(F.col("ruled").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(FOLDS))).otherwise(none))
     base = written(base, "url-features")
     labelled = base.where("ruled IS NOT NULL").withColumn("y", (F.col("ruled") == "block").cast("int"))
-    seen = labelled.groupBy("suffix").agg(F.count("y").alias("n"), F.sum("y").alias("blocked"))
-    # at most SUFFIX_BUCKETS rows
-    stats = written(seen.select("suffix", F.log1p("n").alias("f_suffix_count"), ((F.col("blocked") + 1) / (F.col("n") + 2)).alias("f_suffix_blocked")), "url-suffixes")
-    full = base.join(F.broadcast(stats), "suffix", "left").fillna({"f_suffix_count": 0.0, "f_suffix_blocked": 0.5})
+    full = with_suffixes(base, labelled, none)
     features = [c for c in full.columns if c.startswith("f_")]
     total = labelled.count()
     part = full.where("ruled IS NOT NULL")
