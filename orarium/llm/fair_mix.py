@@ -6,12 +6,16 @@ is above its size repeats. As targets add up to the budget, the stream sorted by
 the virtual time is 1. A source whose cut leaves a gap takes one further copy of the document whose size comes nearest
 to the gap, if that brings it nearer to its target.
 
+The cut is made by source (cumulative size against target), which is the sorted stream's cut at virtual time 1; only
+`mixed_stream` needs the rows in the stream's order.
+
 Cumulative sizes are summed over prefixes of the hash, three hex digits at a time, so that no task holds a source: a
-window sees some 256 rows or 4096 sums however large a source is. Only the table of sources (one row each) is ranked
-as a whole.
+window sees some 256 rows or 4096 sums however large a source is. Sources are ranked and filled over range partitions.
 
 Defined results: null text has size 0; null sources are one source, ranked last; documents of size 0 take no words;
-sources without words have the target 0; repeated rows are documents of their own; empty tables give no rows.
+sources without words have the target 0; repeated rows are documents of their own (of rows equal in id and text it is
+not said which has the further copy); a text of any length is one document; further columns are ignored, or carried;
+empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orarium.llm.common import written
+from orarium.llm.common import partitions_for, written
 
 WEIGHTS, REPEATS = (5, 2, 1), 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,18 +39,28 @@ def shuffle_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("|", doc_id.cast("string"), text).cast("binary"))
 
 
+def running(df: DataFrame, order: list[Column], **columns: Column) -> DataFrame:
+    """df with the sum of each column over all rows up to this one in a total order: sums within range partitions, and
+    what the partitions before hold (one row each)."""
+    placed = written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("part").agg(*[F.sum(c).alias(f"{n}_before") for n, c in columns.items()])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("part", *[F.coalesce(F.sum(f"{n}_before").over(earlier), F.lit(0)).alias(f"{n}_before") for n in columns])
+    upto = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.join(F.broadcast(before), "part").select(*df.columns, *[(F.sum(c).over(upto) + F.col(f"{n}_before")).alias(n) for n, c in columns.items()])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """skey, source, source_size -> with target: the total is shared by weight, and what is above `repeats` times a source's size is shared again."""
-    everything = Window.partitionBy(F.lit(0))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1).cast("long")).withColumn("cap", F.col("source_size") * repeats)
-    filling = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ranked.withColumn("total", F.sum("source_size").over(everything)).withColumn("all_weight", F.sum("weight").over(everything))
-    ranked = ranked.withColumn("cap_before", F.sum("cap").over(filling) - F.col("cap")).withColumn("weight_left", F.col("all_weight") - F.sum("weight").over(filling) + F.col("weight"))
-    ranked = ranked.withColumn("full", F.col("cap") * F.col("weight_left") <= (F.col("total") - F.col("cap_before")) * F.col("weight"))
-    left = (F.col("total") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(everything)) * F.col("weight")
-    share = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(everything)
-    return ranked.select("skey", "source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(left / share).alias("target"))
+    ranked = running(sizes, [F.asc_nulls_last("source")], rank=F.lit(1))
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long")).withColumn("cap", F.col("source_size") * repeats)
+    filled = running(ranked, [(F.col("cap") / F.col("weight")).asc(), F.col("rank").asc()], cap_upto=F.col("cap"), weight_upto=F.col("weight"))
+    every = filled.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all_weight"))
+    full = F.col("cap") * (F.col("all_weight") - F.col("weight_upto") + F.col("weight")) <= (F.col("total") - F.col("cap_upto") + F.col("cap")) * F.col("weight")
+    filled = filled.crossJoin(every).withColumn("full", full)  # one row of totals
+    rest = filled.agg(F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).alias("full_cap"), F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).alias("share"))
+    left = (F.col("total") - F.col("full_cap")) * F.col("weight")
+    return filled.crossJoin(rest).select("skey", "source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(left / F.col("share")).alias("target"))
 
 
 def prefix_offsets(sums: DataFrame, digits: int) -> DataFrame:
@@ -66,37 +80,42 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     carry: also all columns of docs, in a struct `row`."""
     doc_id, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
-    row = [F.struct("*").alias("row")] if carry else []
-    base = docs.select(
-        doc_id.alias("doc_id"),
-        source.alias("source"),
-        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("skey"),
-        word_count(text).alias("size"),
-        shuffle_key(doc_id, text).alias("key"),
-        *row,
-    )
-    if not carry:
-        base = written(base, "mix-base")
+    columns = {
+        "doc_id": doc_id,
+        "source": source,
+        "skey": F.coalesce(F.concat(F.lit("s"), source), F.lit("n")),
+        "size": word_count(text),
+        "key": shuffle_key(doc_id, text),
+    }
+    base = written(docs.select(*[c.alias(n) for n, c in columns.items()]), "mix-base")
     n = base.count()
     digits = 0
     while 16**digits * PREFIX_ROWS < n:
         digits += 1
-    base = base.withColumn("p", F.substring("key", 1, digits) if digits else F.lit(""))
+    prefix = F.substring("key", 1, digits) if digits else F.lit("")
+    base = base.withColumn("p", prefix)
     sums = written(base.groupBy("skey", "p").agg(F.sum("size").alias("n"), F.first("source").alias("source")), "mix-sums")
     targets = source_targets(sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("n").alias("source_size")), weights, repeats).drop("source")
-    edges = prefix_offsets(sums, digits).join(targets, "skey")
+    edges = written(prefix_offsets(sums, digits).join(targets, "skey"), "mix-edges")
     window = Window.partitionBy("skey", "p").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = base.withColumn("within", F.sum("size").over(window)).withColumn("place", F.row_number().over(window)).join(edges, ["skey", "p"])
     cum, size, target = F.col("offset") + F.col("within"), F.col("source_size"), F.col("target")
     copies = F.when(size == 0, 1).when(cum > target, 0).otherwise(F.least(F.lit(repeats), F.floor((target - cum) / size) + 1)).cast("int")
-    placed = placed.withColumn("copies", copies).withColumn("finish", F.when(target > 0, cum / target).otherwise(F.lit(0.0))).drop("offset", "within")
-    placed = written(placed, "mix-placed")
+
+    def with_places(rows: DataFrame) -> DataFrame:
+        """Rows with place, finish and copies. The sums join by the windows' own keys: no further shuffle of the rows."""
+        inner = rows.withColumn("within", F.sum("size").over(window)).withColumn("place", F.row_number().over(window)).join(edges.hint("merge"), ["skey", "p"])
+        return inner.withColumn("copies", copies).withColumn("finish", F.when(target > 0, cum / target).otherwise(F.lit(0.0))).drop("offset", "within")
+
+    placed = written(with_places(base), "mix-placed")
     taken = placed.groupBy("skey").agg(F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken")).select("skey", (F.col("target") - F.col("taken")).alias("gap"))
     # of each size in a source the first document that may have a further copy
     first = placed.where((F.col("copies") < repeats) & (F.col("size") > 0)).groupBy("skey", "size").agg(F.min(F.struct("p", "place")).alias("at"))
     fits = first.join(taken, "skey").withColumn("rest", F.abs(F.col("gap") - F.col("size"))).where(F.col("rest") < F.col("gap"))
-    best = fits.groupBy("skey").agg(F.min(F.struct("rest", "size", "at")).alias("best")).select("skey", F.col("best.at.p").alias("p"), F.col("best.at.place").alias("place"), F.lit(1).alias("more"))
-    mixed = placed.join(best, ["skey", "p", "place"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
+    best = fits.groupBy("skey").agg(F.min(F.struct("rest", "size", "at")).alias("best")).select("skey", F.col("best.at.p").alias("p"), F.col("best.at.place").alias("further"))
+    if carry:  # whole rows take the same places, so that they move once and are written nowhere
+        placed = with_places(docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in columns.items()]).withColumn("p", prefix))
+    more = F.coalesce((F.col("place") == F.col("further")).cast("int"), F.lit(0))
+    mixed = placed.join(best.hint("merge"), ["skey", "p"], "left").withColumn("copies", F.col("copies") + more)
     return mixed.select("doc_id", "source", "size", "source_size", "target", "finish", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *["row"] * carry)
 
 
@@ -106,7 +125,7 @@ def mixed_stream(docs: DataFrame, **options) -> DataFrame:
     step = F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).otherwise(F.lit(0.0))
     copies = mixed.select("row", "finish", step.alias("step"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
     copies = copies.select("row", (F.col("finish") + F.col("epoch") * F.col("step")).alias("finish"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(docs.sparkSession, docs.agg(F.sum(F.octet_length(F.col(f"`{options.get('text_col', 'text')}`")))).first()[0])
     return copies.repartitionByRange(n, "finish").sortWithinPartitions("finish").select("row.*")
 
 
