@@ -19,32 +19,42 @@ from orarium.llm.wu_manber import benchmark_hits, contaminated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts, as they are."""
+    """Documents that the classifier accepts, as they are; null and empty texts are scored like others, repeated rows stay."""
     return quality_scores(docs, table(spark, sf_dir, "labels"), carry=True).where("predicted = 1").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id; of equal rows one; all without an id."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """One document of each group of near duplicates (shingles alike by 80 % or more): the one of the smallest id.
+
+    Rows that share an id are one document, which stays or goes; of rows equal in id and text one stays, the first by its
+    other columns. Rows without an id are documents by their text, after all others. Null and empty texts stay, once an id."""
+    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("key"), F.struct("*").alias("row"))
+    kept = near_duplicates(keyed.select("key", F.col("row.text").alias("text")), id_col="key", percent=PERCENT).where("kept").select(F.col("doc_id").alias("key")).distinct()
+    one = keyed.join(kept, "key", "left_semi").groupBy("key", F.col("row.text").alias("text")).agg(F.min_by("row", F.to_json(F.struct("row"))).alias("row"))
+    return one.select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too little of the benchmark to be contaminated."""
+    """Documents that hold too little of the benchmark to be contaminated; null and empty texts hold none of it."""
     return benchmark_hits(docs, table(spark, sf_dir, "benchmark")).where(~contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights: documents left out, or repeated."""
+    """The sources at their target weights: documents left out, or repeated; a null source is one source, and documents
+    without a word are taken once."""
     return mixed_stream(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of all documents, written as shards and read back."""
+    """The ids of all documents, written as shards in ascending order of id (copies side by side) and read back; the mix
+    decides what is written, its order is not kept. A null text is the end id alone."""
     return token_output(docs, vocabulary("word_bpe_49k.json"))
 
 
+#: Near duplicates share so many percent of their five-word shingles.
+PERCENT = 80
+
 STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("mixing sources", mix), ("token-ID output", token_ids)]
 
 #: A trained network and a tokenizer are no SQL; the stages are tested against brute force.
