@@ -1,24 +1,26 @@
 """Line dedup by content-defined chunks: globally repeated runs of lines are removed, all but the first.
 
-`run_dedup`, the query, finds every repeated run of `long_words` words or more, wherever it is cut: besides the chunks of
-`line_dedup` (below) its candidates are, from each line, the fewest lines onward and the fewest lines backward that have
-so many words. These windows depend on nothing outside of them, so equal runs have equal windows, and the windows inside
-a run cover it whole (but for blank lines at its ends). A line goes if it is in a candidate that stands earlier too;
-lines that the earlier one itself holds stay.
-
-`line_dedup` removes whole chunks only.
-
 A rolling hash over the last two lines' hashes ends a chunk where it is 0 modulo `mean_lines`, so a run of lines that
 stands in several texts is cut alike in each, wherever it stands. A line of `long_words` words or more is a chunk of
-its own, and a chunk has at most `most_lines` lines. Chunks of two lines with text, or of one long line, count as
-repeated if an equal chunk stands anywhere else. Digests (128 bits) find the candidates; each is removed only after
-its bytes equal those of the chunk that stays: the one of the smallest doc_id, the first there.
-
-Digests are counted with partial sums. What repeats is broadcast while its texts are at most `broadcast_bytes`; beyond
-that the chunks are joined by digest, where Spark splits hot ones.
+its own (the one line is then the passage), and a chunk has at most `most_lines` lines. Chunks of two lines with text,
+or of one long line, count as repeated if an equal chunk stands anywhere else.
+
+`line_dedup` removes whole chunks. `run_dedup`, the query, finds every repeated run of `long_words` words or more,
+wherever it is cut: besides the chunks its candidates are, from each line, the fewest lines onward and the fewest lines
+backward that have so many words. These windows depend on nothing outside of them, so equal runs have equal windows, and
+the windows inside a run cover it whole (but for blank lines at its ends). A line goes if it is in a candidate that
+stands earlier too; lines that the earlier one itself holds stay.
+
+One pass packs each text (zstandard) beside the places and 128-bit digests of its candidates. Digests are counted with
+partial sums and give the first place of each: the smallest doc_id, then the text's hash, so rows in another order give
+the same result. Candidates of one text that repeat one stretch of one earlier text are joined to a run; only then texts
+move, packed, to where their bytes are compared: what a run says was there before, cut out of the earlier text, and the
+text itself. These are sort-merge joins, alike at every size, in which Spark splits hot digests and hot first texts;
+`broadcast_bytes` lets a caller have what repeats broadcast while it is no larger.
 
 Defined results: null text stays null, with no lines; empty text is one empty line; a null doc_id comes first; rows
-that share a doc_id are texts of their own; further columns are ignored. A text may end up empty.
+that share a doc_id are texts of their own; further columns are ignored. A text may end up empty. One text is held by
+one task at a time, whatever its length.
 """
 
 from __future__ import annotations
@@ -29,13 +31,13 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orarium.llm.common import arrow_map, batch, pick, written
+from orarium.llm.common import arrow_map, batch, discard, pick, written
 
 MEAN_LINES, MOST_LINES, LONG_WORDS = 4, 32, 50
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 0
 
 
 def chunks(lines: list[bytes], mean_lines: int = MEAN_LINES, most_lines: int = MOST_LINES, long_words: int = LONG_WORDS) -> list[tuple[int, int, bool]]:
@@ -62,52 +64,6 @@ def chunks(lines: list[bytes], mean_lines: int = MEAN_LINES, most_lines: int = M
     return out
 
 
-def chunk_table(texts: DataFrame, mean_lines: int, most_lines: int, long_words: int) -> DataFrame:
-    """uid (of the row), doc_id, no, n_lines, digest (null: may not be removed) and text of each chunk."""
-    types = {"uid": pa.int64(), "doc_id": pa.int64(), "no": pa.int32(), "n_lines": pa.int32(), "digest": pa.binary(), "text": pa.string()}
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 36
-        for b in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(b.column("doc_id").cast(pa.int64()).to_pylist(), b.column("text").to_pylist(), strict=True):
-                if text is None:
-                    out.append((uid, doc_id, 0, 0, None, None))
-                else:
-                    lines = text.encode().split(b"\n")
-                    for no, (begin, end, may) in enumerate(chunks(lines, mean_lines, most_lines, long_words)):
-                        data = b"\n".join(lines[begin:end])
-                        out.append((uid, doc_id, no, end - begin, hashlib.blake2b(data, digest_size=16).digest() if may else None, data.decode()))
-                uid += 1
-            yield batch(types, *(map(list, zip(*out, strict=True)) if out else [[]] * 6))
-
-    return arrow_map(texts, cut, "uid long, doc_id long, no int, n_lines int, digest binary, text string")
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, most_lines: int = MOST_LINES, long_words: int = LONG_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, text (without what repeats), n_lines, n_removed_lines, n_chunks and n_removed_chunks of every text."""
-    table = written(chunk_table(pick(docs, doc_id=id_col, text=text_col), mean_lines, most_lines, long_words), "chunks")
-    marked = table.where("digest IS NOT NULL")
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "no")
-    repeated = written(marked.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.uid").alias("first_uid"), F.col("first.no").alias("first_no")), "repeated")
-    small = repeated.count() * 64 <= broadcast_bytes
-    first = marked.join(F.broadcast(repeated) if small else repeated, "digest").where("uid = first_uid AND no = first_no").select("digest", F.col("text").alias("first_text"), "first_uid", "first_no")
-    first = written(first, "first-chunks")
-    size = first.agg(F.sum(F.octet_length("first_text") + 64)).first()[0] or 0
-    first = F.broadcast(first) if size <= broadcast_bytes else first
-    same = table.join(first, "digest", "left").withColumn("removed", F.coalesce((F.col("text") == F.col("first_text")) & ~((F.col("uid") == F.col("first_uid")) & (F.col("no") == F.col("first_no"))), F.lit(False)))
-    whole = same.groupBy("uid").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.sum("n_lines").alias("n_lines"),
-        F.sum(F.when(F.col("removed"), F.col("n_lines")).otherwise(0)).alias("n_removed_lines"),
-        F.count("*").alias("n_chunks"),
-        F.sum(F.col("removed").cast("long")).alias("n_removed_chunks"),
-        F.max(F.col("text").isNotNull()).alias("there"),
-        F.array_sort(F.collect_list(F.when(~F.col("removed"), F.struct("no", "text")))).alias("left"),
-    )
-    return whole.select("doc_id", F.when(F.col("there"), F.array_join(F.col("left.text"), "\n")).alias("text"), "n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks")
-
-
 def windows(lines: list[bytes], long_words: int = LONG_WORDS) -> set[tuple[int, int]]:
     """begin, end of the shortest runs of lines from each line, and up to each line, with `long_words` words or more."""
     count = [len(x.split()) for x in lines]
@@ -125,63 +81,113 @@ def windows(lines: list[bytes], long_words: int = LONG_WORDS) -> set[tuple[int,
     return out
 
 
-def numbered(texts: DataFrame) -> DataFrame:
-    """uid of the row, doc_id and text."""
-    types = {"uid": pa.int64(), "doc_id": pa.int64(), "text": pa.string()}
+def packed(texts: DataFrame, cut) -> DataFrame:
+    """uid of the row, doc_id, tie (the text's hash), z (the packed text) and spans (begin, end, digest) that cut finds."""
+    span = pa.struct({"begin": pa.int32(), "end": pa.int32(), "digest": pa.binary()})
+    types = {"uid": pa.int64(), "doc_id": pa.int64(), "tie": pa.int64(), "z": pa.binary(), "spans": pa.list_(span)}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        import zstandard
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
         uid = TaskContext.get().partitionId() << 36
         for b in batches:
-            yield batch(types, list(range(uid, uid + b.num_rows)), b.column("doc_id").cast(pa.int64()), b.column("text").cast(pa.string()))
-            uid += b.num_rows
+            rows = []
+            for doc_id, text in zip(b.column("doc_id").cast(pa.int64()).to_pylist(), b.column("text").to_pylist(), strict=True):
+                if text is None:
+                    rows.append((uid, doc_id, 0, None, []))
+                else:
+                    data = text.encode()
+                    lines = data.split(b"\n")
+                    digest = lambda at: hashlib.blake2b(b"\n".join(lines[at[0] : at[1]]), digest_size=16).digest()  # noqa: B023, E731
+                    rows.append((uid, doc_id, xxhash.xxh64_intdigest(data) >> 1, press(data), [(*at, digest(at)) for at in cut(lines)]))
+                uid += 1
+            yield batch(types, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 5))
 
-    return arrow_map(texts, number, "uid long, doc_id long, text string")
+    return arrow_map(texts, pack, "uid long, doc_id long, tie long, z binary, spans array<struct<begin: int, `end`: int, digest: binary>>")
 
 
-def run_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, most_lines: int = MOST_LINES, long_words: int = LONG_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """As line_dedup, of all repeated runs; a chunk counts as removed if all its lines are."""
-    texts = written(numbered(pick(docs, doc_id=id_col, text=text_col)), "texts")
-    types = {"uid": pa.int64(), "doc_id": pa.int64(), "begin": pa.int32(), "end": pa.int32(), "digest": pa.binary()}
+def stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """first_uid, first_begin, first_end and first_z: the wanted stretches cut out of their texts, packed."""
+    types = {"first_uid": pa.int64(), "first_begin": pa.int32(), "first_end": pa.int32(), "first_z": pa.binary()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         for b in batches:
-            out: list[tuple] = []
-            for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                lines = text.encode().split(b"\n") if text is not None else []
-                whole = {(begin, end) for begin, end, may in chunks(lines, mean_lines, most_lines, long_words) if may}
-                for begin, end in whole | windows(lines, long_words):
-                    out.append((uid, doc_id, begin, end, hashlib.blake2b(b"\n".join(lines[begin:end]), digest_size=16).digest()))
-            yield batch(types, *(map(list, zip(*out, strict=True)) if out else [[]] * 5))
-
-    table = written(arrow_map(texts, spans, "uid long, doc_id long, begin int, end int, digest binary"), "spans")
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", "begin", "end")
-    repeated = table.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.uid").alias("first_uid"), F.col("first.begin").alias("first_begin"), F.col("first.end").alias("first_end"))
-    repeated = written(repeated, "repeated")
-    source = texts.select(F.col("uid").alias("first_uid"), F.split("text", "\n").alias("lines"))
-    first = repeated.join(source, "first_uid").select("digest", "first_uid", "first_begin", "first_end", F.array_join(F.slice("lines", F.col("first_begin") + 1, F.col("first_end") - F.col("first_begin")), "\n").alias("first_text"))
-    first = written(first, "first-spans")
-    size = first.agg(F.sum(F.octet_length("first_text") + 64)).first()[0] or 0
-    later = table.join(F.broadcast(first) if size <= broadcast_bytes else first, "digest").where("uid <> first_uid OR begin <> first_begin")
-    own = F.when(F.col("uid") == F.col("first_uid"), F.greatest("begin", "first_end")).otherwise(F.col("begin"))
-    marks = later.groupBy("uid").agg(F.collect_list(F.struct("begin", "end", own.alias("gone"), "first_text")).alias("marks"))
+            for uid, z, places in zip(b.column("uid").to_pylist(), b.column("z").to_pylist(), b.column("places").to_pylist(), strict=True):
+                lines = unpack(z).split(b"\n")
+                rows = [(uid, p["first_begin"], p["first_end"], press(b"\n".join(lines[p["first_begin"] : p["first_end"]]))) for p in places]
+                yield batch(types, *map(list, zip(*rows, strict=True)))
+
+    by_text = wanted.groupBy(F.col("first_uid").alias("uid")).agg(F.collect_list(F.struct("first_begin", "first_end")).alias("places"))
+    return arrow_map(texts.select("uid", "z").join(by_text, "uid"), cut, "first_uid long, first_begin int, first_end int, first_z binary")
+
+
+def deduplicated(docs: DataFrame, runs: bool, id_col: str, text_col: str, mean_lines: int, most_lines: int, long_words: int, broadcast_bytes: int) -> DataFrame:
+    def candidates(lines: list[bytes]) -> list[tuple[int, int]]:
+        found = {(begin, end) for begin, end, may in chunks(lines, mean_lines, most_lines, long_words) if may}
+        return sorted(found | windows(lines, long_words) if runs else found)
+
+    def side(df: DataFrame, size: Column) -> DataFrame:
+        return F.broadcast(df) if broadcast_bytes and (df.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes else df.hint("merge")
+
+    texts = written(packed(pick(docs, doc_id=id_col, text=text_col), candidates), "texts")
+    spans = texts.select("uid", "doc_id", "tie", F.inline("spans"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie", "uid", "begin", "end")
+    repeated = spans.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = written(repeated.select("digest", F.col("first.uid").alias("first_uid"), F.col("first.begin").alias("first_begin"), F.col("first.end").alias("first_end")), "repeated")
+
+    later = spans.join(side(repeated, F.lit(40)), "digest").where("uid <> first_uid OR begin <> first_begin")
+    gone = F.when(F.col("uid") == F.col("first_uid"), F.greatest("begin", "first_end")).otherwise(F.col("begin"))
+    later = later.select("uid", "begin", "end", gone.alias("gone"), "first_uid", (F.col("begin") - F.col("first_begin")).alias("shift"))
+    order = Window.partitionBy("uid", "first_uid", "shift").orderBy("begin", "end")
+    fresh = F.col("begin") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    numbered = later.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy("uid", "first_uid", "shift", "run").agg(F.min("begin").alias("at"), F.max("end").alias("to"), F.collect_list(F.struct("begin", "end", "gone")).alias("parts"))
+    found = written(joined.select("uid", "at", "parts", "first_uid", (F.col("at") - F.col("shift")).alias("first_begin"), (F.col("to") - F.col("shift")).alias("first_end")), "runs")
+
+    keys = ["first_uid", "first_begin", "first_end"]
+    wanted = written(found.select(*keys).distinct(), "wanted")
+    first = written(stretches(texts, side(wanted, F.lit(16))), "stretches")
+    marks = found.join(side(first, F.octet_length("first_z") + 16), keys).groupBy("uid").agg(F.collect_list(F.struct("at", "parts", "first_z")).alias("marks"), F.sum(F.octet_length("first_z") + 16 * F.size("parts") + 16).alias("bytes"))
+    marks = written(marks, "marks")
+    discard(repeated, found, wanted, first)
     result = {"doc_id": pa.int64(), "text": pa.string(), **dict.fromkeys(("n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks"), pa.int64())}
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = []
-            for doc_id, text, found in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
-                if text is None:
+            for doc_id, z, found in zip(b.column("doc_id").to_pylist(), b.column("z").to_pylist(), b.column("marks").to_pylist(), strict=True):
+                if z is None:
                     out.append((doc_id, None, 0, 0, 1, 0))
                     continue
-                lines = text.encode().split(b"\n")
+                lines = unpack(z).split(b"\n")
                 goes = [False] * len(lines)
                 for m in found or ():
-                    if b"\n".join(lines[m["begin"] : m["end"]]) == m["first_text"].encode():
-                        goes[m["gone"] : m["end"]] = [True] * max(0, m["end"] - m["gone"])
+                    earlier, at = unpack(m["first_z"]).split(b"\n"), m["at"]
+                    for p in m["parts"]:
+                        if p["gone"] < p["end"] and lines[p["begin"] : p["end"]] == earlier[p["begin"] - at : p["end"] - at]:
+                            goes[p["gone"] : p["end"]] = [True] * (p["end"] - p["gone"])
                 cut = chunks(lines, mean_lines, most_lines, long_words)
                 left = b"\n".join(x for x, gone in zip(lines, goes, strict=True) if not gone).decode()
                 out.append((doc_id, left, len(lines), sum(goes), len(cut), sum(all(goes[begin:end]) for begin, end, _ in cut)))
             yield batch(result, *(map(list, zip(*out, strict=True)) if out else [[]] * 6))
 
-    both = texts.join(marks, "uid", "left").select("doc_id", "text", "marks")
+    both = texts.select("uid", "doc_id", "z").join(side(marks, F.col("bytes")), "uid", "left").select("doc_id", "z", "marks")
     return arrow_map(both, remove, "doc_id long, text string, n_lines long, n_removed_lines long, n_chunks long, n_removed_chunks long")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, most_lines: int = MOST_LINES, long_words: int = LONG_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, text (without what repeats), n_lines, n_removed_lines, n_chunks and n_removed_chunks of every text."""
+    return deduplicated(docs, False, id_col, text_col, mean_lines, most_lines, long_words, broadcast_bytes)
+
+
+def run_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, most_lines: int = MOST_LINES, long_words: int = LONG_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """As line_dedup, of all repeated runs; a chunk counts as removed if all its lines are."""
+    return deduplicated(docs, True, id_col, text_col, mean_lines, most_lines, long_words, broadcast_bytes)
