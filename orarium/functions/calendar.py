@@ -56,7 +56,7 @@ def with_holiday(days: DataFrame, holidays: DataFrame, listed: DataFrame, defaul
     A published list decides soft holidays, and may announce one that the calendar lacks."""
     keyed = days.withColumn("_group", F.coalesce("group_id", F.lit(default_group)))
     keys = keyed.select("date", "_group").distinct()
-    known = keys.join(F.broadcast(holidays.withColumnRenamed("group_id", "_of")), "date").where(F.col("_of").isNull() | (F.col("_of") == F.col("_group")))
+    known = keys.join(holidays.withColumnRenamed("group_id", "_of"), "date").where(F.col("_of").isNull() | (F.col("_of") == F.col("_group")))
     known = known.groupBy("date", "_group").agg(F.min("soft").alias("_soft"))
     lists = listed.select("date", F.col("group_id").alias("_group"), F.col("listed").alias("_listed"))
     found = keys.join(known, ["date", "_group"], "left").join(lists, ["date", "_group"], "left")

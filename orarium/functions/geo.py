@@ -56,7 +56,3 @@ def sun_elevation(at: Column, lat: Column, lon: Column) -> Column:
 def sun_is_down(at: Column, lat: Column, lon: Column) -> Column:
     """Below the horizon, with refraction and the sun's radius as sunset is timed."""
     return sun_elevation(at, lat, lon) < -0.833
-
-
-def format_distance(metres: Column) -> Column:
-    return F.when(metres < 1000, F.format_string("%d m", (F.round(metres / 10) * 10).cast("int"))).otherwise(F.format_string("%.1f km", metres / 1000))

@@ -25,8 +25,8 @@ PLACE_SOUNDS = (
 )
 # The same for medicine names.
 MEDICINE_PAIRS = (("ου", "u"), ("αυ", "av"), ("ευ", "ev"), ("μπ", "b"), ("ντ", "d"), ("γκ", "g"), ("γγ", "ng"), ("τσ", "ts"), ("τζ", "tz"))
-MEDICINE_ONE, MEDICINE_LATIN = "αβγδεζηθικλμνορσςτυφχω", "avgdezitiklmnorsstifho"
-MEDICINE_TWO = (("ξ", "ks"), ("ψ", "ps"), ("π", "p"))
+MEDICINE_ONE, MEDICINE_LATIN = "αβγδεζηθικλμνοπρσςτυφχω", "avgdezitiklmnoprsstifho"
+MEDICINE_TWO = (("ξ", "ks"), ("ψ", "ps"))
 MEDICINE_SOUNDS = (("ph", "f"), ("th", "t"), ("ch", "h"), ("ou", "u"), ("ai", "e"), ("[eo]i", "i"), ("qu", "kv"), ("x", "ks"))
 MEDICINE_LAST = (("c", "k"), ("y", "i"), ("w", "v"), ("b", "v"), ("j", "i"))
 # Words that say nothing about which entity it is.
@@ -124,7 +124,10 @@ def normalize_phone(raw: Column) -> Column:
 
 
 def format_phone(phone: Column) -> Column:
-    return F.when(phone.startswith("21"), F.concat_ws(" ", F.substring(phone, 1, 3), F.substring(phone, 4, 3), F.substring(phone, 7, 4))).otherwise(F.concat_ws(" ", F.substring(phone, 1, 4), F.substring(phone, 5, 6)))
+    """A space after the area code, of three, four or five digits; mobiles in three groups; anything else as it is."""
+    d = F.regexp_replace(phone, r"\D", "")
+    cut = lambda *sizes: F.regexp_replace(d, "^" + "".join(rf"(\d{{{n}}})" for n in sizes) + "$", " ".join(f"${k + 1}" for k in range(len(sizes))))
+    return F.when(F.length(d) != 10, phone).when(d.rlike("^21"), cut(3, 7)).when(d.rlike("^2[2-8]1"), cut(4, 6)).when(d.rlike("^2"), cut(5, 5)).when(d.rlike("^69"), cut(3, 3, 4)).otherwise(phone)
 
 
 def phone_e164(phone: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orarium.operators.ranges import numbered
+
 
 def upsert_latest(stored: DataFrame, fetched: DataFrame, keys: list[str], version: str, content: list[str]) -> DataFrame:
     """One row a key: the later version wins, fetched before stored at the same one; unchanged content keeps the stored row."""
@@ -73,16 +75,24 @@ def diff_summary(before: DataFrame, after: DataFrame, diff: DataFrame) -> DataFr
 
 
 def dictionary(rows: DataFrame, value: str, position: str, code: str = "code") -> DataFrame:
-    """value, code: codes from 0 by first appearance. The table of distinct values is ranked, not the rows."""
+    """value, code: codes from 0 by first appearance. The distinct values are numbered over range partitions, not the rows."""
     first = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(position).alias("_first"))
-    return first.withColumn(code, F.row_number().over(Window.orderBy("_first", value)) - 1).drop("_first")
+    return numbered(first, [F.col("_first").asc(), F.col(value).asc()], code).withColumn(code, F.col(code).cast("int")).drop("_first")
 
 
 def encode(rows: DataFrame, value: str, codes: DataFrame, code: str) -> DataFrame:
     return rows.join(codes.withColumnRenamed("code", code), value, "left").drop(value)
 
 
-def decode(rows: DataFrame, code: str, codes: DataFrame, value: str) -> DataFrame:
+def check_version(found: int, known: int) -> None:
+    """A dictionary of another version can't be decoded."""
+    if found != known:
+        raise ValueError(f"version {found} of the dictionary, not {known}")
+
+
+def decode(rows: DataFrame, code: str, codes: DataFrame, value: str, version: tuple[int, int] = (1, 1)) -> DataFrame:
+    """Codes as values again; version: the dictionary's and the one that can be read."""
+    check_version(*version)
     return rows.join(codes.withColumnRenamed("code", code), code, "left").drop(code)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orarium.functions.text import strip_accents
 from orarium.operators.capture import changes, dictionary, flags, fold
+from orarium.operators.ranges import numbered
 
 
 def plan(bulletins: DataFrame, title: str, base_pattern: str) -> DataFrame:
@@ -37,17 +39,17 @@ def sort_key(name):
 
 def encode(medicines: DataFrame, columns: tuple[str, ...] = ("substance", "company", "bulletin")) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Rows with codes by first appearance in the order of names, cents and flags; and the dictionaries."""
-    order = Window.orderBy(F.expr("name_key COLLATE el_CI_AI"), "barcode")  # the index is one small file
-    rows = medicines.withColumn("name_key", sort_key(F.col("name"))).withColumn("position", F.row_number().over(order) - 1)
+    keyed = medicines.withColumn("name_key", strip_accents(sort_key(F.col("name"))))
+    rows = numbered(keyed, [F.expr("name_key COLLATE el").asc(), F.col("barcode").asc()], "position")
     books = {c: dictionary(rows, c, "position") for c in columns}
     out = rows.withColumns({"cents": F.round(F.col("price") * 100).cast("int"), "flags": flags(F.col("otc"), F.col("not_reimbursed"))})
     for c, book in books.items():
-        out = out.join(F.broadcast(book.withColumnRenamed("code", f"{c}_code")), c, "left").drop(c)
+        out = out.join(book.withColumnRenamed("code", f"{c}_code"), c, "left").drop(c)
     return out.drop("name_key", "price", "otc", "not_reimbursed"), books
 
 
 def decode(rows: DataFrame, books: dict[str, DataFrame]) -> DataFrame:
     out = rows.withColumns({"price": (F.col("cents") / 100).cast("decimal(10,2)"), "otc": F.col("flags").bitwiseAND(1) == 1, "not_reimbursed": F.col("flags").bitwiseAND(2) == 2}).drop("cents", "flags")
     for c, book in books.items():
-        out = out.join(F.broadcast(book.withColumnRenamed("code", f"{c}_code")), f"{c}_code", "left").drop(f"{c}_code")
+        out = out.join(book.withColumnRenamed("code", f"{c}_code"), f"{c}_code", "left").drop(f"{c}_code")
     return out

@@ -24,8 +24,8 @@ def duplicates(rows: DataFrame, keys: list[str], code: str = "duplicate-extended
 
 
 def out_of_range(counts: DataFrame, limits: DataFrame, keys: list[str], n: str, code: str = "count") -> DataFrame:
-    """keys, n against a small table of low and high."""
-    both = counts.join(F.broadcast(limits), keys)
+    """keys, n against a table of low and high."""
+    both = counts.join(limits, keys)
     return rule(both, "error", code, ~F.col(n).between(F.col("low"), F.col("high")), F.format_string("%s: %d", F.concat_ws(" ", *keys), F.col(n).cast("long")))
 
 

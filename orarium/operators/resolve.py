@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orarium.functions.geo import REGISTRY_RADIUS_METRES, haversine
 from orarium.functions.text import jaccard
+from orarium.operators.ranges import settled
 
 # Similarity that a name alone needs, and what the same locality adds to break ties.
 NAME_ONLY, SAME_LOCALITY = 0.8, 0.01
 
 
-def token_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str = "tokens", most: float = 1.0) -> DataFrame:
-    """left_key, right_key, common: pairs that share a token, with how many they share.
+def token_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str = "tokens", most: float = 1.0, ordered: bool = False) -> DataFrame:
+    """left_key, right_key: pairs that share a token; ordered: only those with left_key < right_key, for a table with itself.
 
     Tokens are exploded so that the match is an equi join. With a similarity in view (most < 1), only the rarest
     tokens that a pair must share are joined: of n tokens the n - ceil(most * n) + 1 rarest."""
@@ -27,12 +27,13 @@ def token_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str
         return long.withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= F.col("_s") - F.ceil(F.col("_s") * most) + 1).select(key, "token")
 
     a, b = (prefix(df, k) if most < 1 else df.select(k, F.explode("_t").alias("token")) for df, k in zip(rows, (left_key, right_key), strict=True))
-    return a.join(b, "token").select(left_key, right_key).distinct()
+    both = a.join(b, (a.token == b.token) & (F.col(left_key) < F.col(right_key))) if ordered else a.join(b, "token")
+    return both.select(left_key, right_key).distinct()
 
 
-def similar(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float, tokens: str = "tokens") -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float, tokens: str = "tokens", ordered: bool = False) -> DataFrame:
     """left_key, right_key, score: all pairs whose token sets have a Jaccard index of `least` or more."""
-    pairs = token_pairs(left, right, left_key, right_key, tokens, least)
+    pairs = token_pairs(left, right, left_key, right_key, tokens, least, ordered)
     both = pairs.join(left.select(left_key, F.col(tokens).alias("_a")), left_key).join(right.select(right_key, F.col(tokens).alias("_b")), right_key)
     return both.withColumn("score", jaccard(F.col("_a"), F.col("_b"))).where(F.col("score") >= least).select(left_key, right_key, "score")
 
@@ -49,27 +50,66 @@ def best_match(scored: DataFrame, key: str, other: str, position: str) -> DataFr
     return scored.where("score IS NOT NULL").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
+def closest(rows: DataFrame, key: str, group: str, address: str, near: str, tokens: str) -> DataFrame:
+    """key, best, score: for each row the best other row of its group by match_score (ties: the smallest key); none without
+    one. Rows of a group share a token (the group's); near: equal values count as the same locality.
+
+    Rows with equal tokens at one address are a cell, in which nothing but the key and `near` tells them apart, so a row
+    that isn't alone in its cell has its best there. Rows that are alone meet the other cells of their address, as one row
+    each; rows alone at their address meet those with similar tokens. No pair of rows is made inside a cell. (Sets of
+    99 tokens or more may differ by less than what `near` is worth: they meet the other cells too.)"""
+    base = rows.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(address).alias("a"), F.col(near).alias("r"), F.array_sort(tokens).alias("t"))
+    cell = ["g", "a", "t"]
+    first = Window.partitionBy(*cell).orderBy("k")
+    close = Window.partitionBy(*cell, "r").orderBy("k")
+    own = base.withColumns({"n": F.count("*").over(Window.partitionBy(*cell)), "k1": F.min("k").over(Window.partitionBy(*cell)), "k2": F.nth_value("k", 2).over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "r1": F.min("k").over(Window.partitionBy(*cell, "r")), "r2": F.nth_value("k", 2).over(close.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    other = lambda a, b: F.when(F.col(a) == F.col("k"), F.col(b)).otherwise(F.col(a))
+    one = F.lit(1.0)
+    score = lambda s, same, nearby: match_score(s, same, F.lit(True), nearby)
+    inside = own.where("n > 1").select("k", F.coalesce(other("r1", "r2"), other("k1", "k2")).alias("b"), score(one, F.lit(True), other("r1", "r2").isNotNull()).alias("score"))
+    lone = own.where("n = 1 OR size(t) >= 99").select("k", "g", "a", "r", "t")
+    by_near = base.groupBy(*cell, "r").agg(F.min("k").alias("b"))
+    cells = by_near.groupBy("g", "a", F.col("t").alias("_t")).agg(F.map_from_entries(F.collect_list(F.struct("r", "b"))).alias("firsts"), F.min("b").alias("b"))
+    met = lone.join(cells, ["g", "a"]).where("t <> _t").withColumn("_b", F.try_element_at("firsts", "r"))
+    across = met.select("k", F.coalesce("_b", "b").alias("b"), score(jaccard(F.col("t"), F.col("_t")), F.lit(True), F.col("_b").isNotNull()).alias("score"))
+    found = inside.unionByName(across)
+    # only a row without a better one at its address can be matched by name alone
+    top = found.groupBy("k").agg(F.max("score").alias("top"))
+    rest = lone.join(top.where(F.col("top") > 1 + SAME_LOCALITY), "k", "left_anti")
+    tagged = lambda t: F.transform(t, lambda x: F.concat_ws("|", F.col("g").cast("string"), x))
+    named = similar(rest.withColumn("tokens", tagged(F.col("t"))), base.select(F.col("k").alias("b"), tagged(F.col("t")).alias("tokens")), "k", "b", NAME_ONLY).where("k <> b")
+    named = named.join(rest.select("k", F.col("a").alias("_a"), F.col("r").alias("_r")), "k").join(base.select(F.col("k").alias("b"), "a", "r"), "b")
+    named = named.select("k", "b", score(F.col("score"), F.col("a") == F.col("_a"), F.col("r") == F.col("_r")).alias("score"))
+    best = found.unionByName(named).groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("x"))
+    return best.select(F.col("k").alias(key), F.col("x.b").alias("best"), (-F.col("x.s")).alias("score"))
+
+
 def greedy_assignment(scored: DataFrame, lists: str, key: str, other: str) -> DataFrame:
     """One-to-one matches inside each list: entries in order of their best score, then of position; an entry whose best
     is taken gets its next strong candidate, or none.
 
-    Order decides, so each list (some hundred rows of one publisher) is one task's work; lists run in parallel.
+    As every candidate would rather have the entry whose turn is first, offers can be made at once: each free entry asks
+    its first candidate that hasn't refused it, and a candidate holds the earliest that asks. Rounds end when nobody is
+    left to ask; each is two aggregations, and no list is held by one task.
     scored: lists, key, position, other, other_position, score, strong."""
-    types = {f.name: f.dataType.simpleString() for f in scored.schema}
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "other_position"], ascending=[False, True], kind="stable")
-        options = {k: list(zip(g[other], g["strong"], strict=True)) for k, g in rows.groupby(key, sort=False)}
-        turn = rows.groupby(key).agg(score=("score", "max"), position=("position", "min")).sort_values(["score", "position"], ascending=[False, True], kind="stable")
-        taken: set = set()
-        out = []
-        for k in turn.index:
-            choice = next((o for i, (o, strong) in enumerate(options[k]) if o not in taken and (i == 0 or strong)), None)
-            taken.add(choice)
-            out.append((rows[lists].iloc[0], k, choice))
-        return pd.DataFrame(out, columns=[lists, key, other])
-
-    return scored.where("score IS NOT NULL").groupBy(lists).applyInPandas(assign, f"{lists} {types[lists]}, {key} {types[key]}, {other} {types[other]}")
+    fit = scored.where("score IS NOT NULL")
+    order = Window.partitionBy(lists, key).orderBy(F.desc("score"), "other_position")
+    ranked = fit.withColumn("choice", F.row_number().over(order)).where(F.col("strong") | (F.col("choice") == 1))
+    turn = fit.groupBy(lists, key).agg(F.struct((-F.max("score")).alias("s"), F.min("position").alias("p"), F.first(key).alias("k")).alias("turn"))
+    offers = settled(ranked.select(lists, key, other, "choice").join(turn, [lists, key]))
+    entries = turn.select(lists, key)
+    held, refused = None, None
+    while True:
+        open_offers = offers if refused is None else offers.join(refused, [lists, key, other], "left_anti")
+        asking = open_offers.groupBy(lists, key).agg(F.min_by(other, "choice").alias(other), F.first("turn").alias("turn"))
+        keeps = asking.withColumn("kept", F.col("turn") == F.min("turn").over(Window.partitionBy(lists, other)))
+        keeps = settled(keeps)
+        lost = keeps.where("NOT kept").select(lists, key, other)
+        if lost.isEmpty():
+            held = keeps.select(lists, key, other)
+            break
+        refused = settled(lost if refused is None else refused.unionByName(lost))
+    return entries.join(held, [lists, key], "left").select(lists, key, other)
 
 
 def unique_best(scored: DataFrame, key: str, other: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from orarium.functions.timez import iso_weekday
 from orarium.operators.intervals import range_span, window_span
 
+#: Validity periods that a join by range takes.
+MOST_PERIODS = 100_000
 RANGES = "array<struct<`from`:string,`to`:string>>"
 
 
@@ -45,8 +47,11 @@ def in_period(date: Column, start: Column, end: Column) -> Column:
 
 
 def first_period(days: DataFrame, periods: DataFrame, on: Column, seq: str, keys: list[str]) -> DataFrame:
-    """Each row of days with the first period (by seq) that fits it; periods are a small table of a known size."""
+    """Each row of days with the first period (by seq) that fits it. The condition is a range, so Spark loops over the
+    periods, which it broadcasts: up to MOST_PERIODS of them."""
     first = Window.partitionBy(*keys).orderBy(seq)
+    if len(periods.take(MOST_PERIODS + 1)) > MOST_PERIODS:
+        raise ValueError(f"more than {MOST_PERIODS} periods: join them by an equi key first")
     return days.join(F.broadcast(periods), on, "left").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
@@ -110,6 +115,6 @@ def openings(days: DataFrame, regular: DataFrame, extended: DataFrame, listings:
 def with_mornings(days: DataFrame, mornings: DataFrame) -> DataFrame:
     """entity_id, date, ranges; where none starts before noon the regular morning (weekday, from, to) is put first."""
     early = F.exists("ranges", lambda r: r["from"] < "12:00")
-    keyed = days.withColumn("weekday", iso_weekday(F.col("date"))).join(F.broadcast(mornings.select("weekday", F.struct("from", "to").alias("morning"))), "weekday", "left")
+    keyed = days.withColumn("weekday", iso_weekday(F.col("date"))).join(mornings.select("weekday", F.struct("from", "to").alias("morning")), "weekday", "left")
     fuller = F.when(early | F.col("morning").isNull() | (F.size("ranges") == 0), F.col("ranges")).otherwise(F.concat(F.array("morning"), F.col("ranges")))
     return keyed.withColumn("ranges", fuller).drop("weekday", "morning")

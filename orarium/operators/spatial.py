@@ -8,18 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orarium.functions.geo import box_area, haversine, in_box
+from orarium.operators.ranges import settled
 
 METRES_A_DEGREE = 111_195.0
 
 
-def knn(points: DataFrame, others: DataFrame, k: int, key: str = "id", other: str = "other", degrees: float = 1.0, lat: str = "lat", lon: str = "lon", metres=lambda d: d) -> DataFrame:
-    """key, other, metres, nth: the k nearest others of each point, ties by key; a row is not its own neighbour.
+#: Targets up to which each point meets all of them; more are searched by grid.
+FEW_TARGETS = 1000
 
-    Points meet in grid cells: first those in the 3 x 3 cells around, then, for points whose k-th neighbour may lie
-    farther out, wider rings, doubled until every point has its k or the rings cover the map. Each round is an equi
-    join; one hot cell is split by Spark."""
-    other_rows = others.select(F.col(key).alias(other), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    open_points, done = points.select(key, lat, lon), None
+
+def cell_size(points: DataFrame, others: DataFrame, k: int, lat: str, lon: str) -> float:
+    """Degrees of a grid cell of which 3 x 3 hold some 4 k of the others: from their number and the box around them."""
+    n, south, north, west, east = others.agg(F.count(lat), F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
+    if not n:
+        return 180.0
+    area = max(north - south, 1e-3) * max(east - west, 1e-3)
+    return min(180.0, max(1e-3, math.sqrt(area * 4 * k / n) / 3))
+
+
+def knn(points: DataFrame, others: DataFrame, k: int, key: str = "id", other: str = "other", degrees: float | None = None, lat: str = "lat", lon: str = "lon", metres=lambda d: d, same: bool = True) -> DataFrame:
+    """key, other, metres, nth: the k nearest others of each point, ties by key.
+
+    same: both are one table (a row is not its own neighbour); else `other` is also the name of the others' key. Points meet
+    in grid cells: first those in the 3 x 3 cells around, of a size that suits the density; then, for points whose k-th
+    neighbour may lie farther out, wider rings, until every point has its k or the rings cover the map. Each round is an
+    equi join and is settled before the next; one hot cell is split by Spark."""
+    other_rows = others.where(F.col(lat).isNotNull()).select(F.col(key if same else other).alias(other), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    open_points, done = points.where(F.col(lat).isNotNull()).select(key, lat, lon), None
+    degrees = degrees or cell_size(points, others, k, lat, lon)
     best = Window.partitionBy(key).orderBy("metres", other)
     while True:
         size = lambda c: F.floor(F.col(c) / degrees).cast("int")  # noqa: B023, E731
@@ -27,33 +43,42 @@ def knn(points: DataFrame, others: DataFrame, k: int, key: str = "id", other: st
         wrap = math.ceil(360 / degrees)
         near = open_points.withColumn("y", F.explode(F.transform(ring, lambda d: size(lat) + d))).withColumn("x", F.explode(F.array_distinct(F.transform(ring, lambda d: F.pmod(size(lon) + d, F.lit(wrap))))))
         cells = other_rows.withColumns({"y": size("_lat"), "x": F.pmod(size("_lon"), F.lit(wrap))})
-        found = near.join(cells, ["y", "x"]).where(F.col(key) != F.col(other)).withColumn("metres", metres(haversine(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon"))))
+        found = near.join(cells, ["y", "x"]).where(F.col(key) != F.col(other) if same else F.lit(True)).withColumn("metres", metres(haversine(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon"))))
         found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select(key, other, "metres", "nth")
         if degrees >= 180:
             return found if done is None else done.unionByName(found)
+        found = settled(found)
         # nothing beyond the ring is nearer than the cell's width at the point's latitude
         reach = open_points.select(key, (F.lit(degrees * METRES_A_DEGREE * 0.99) * F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + degrees)))).alias("reach"))
         full = found.groupBy(key).agg(F.count("*").alias("n"), F.max("metres").alias("far")).join(reach, key).where((F.col("n") == k) & (F.col("far") <= F.col("reach"))).select(key)
         sure = found.join(full, key, "left_semi")
         done = sure if done is None else done.unionByName(sure)
-        open_points = open_points.join(full, key, "left_anti")
+        open_points = settled(open_points.join(full, key, "left_anti"))
         if open_points.isEmpty():
             return done
-        degrees *= 4
+        degrees = min(180.0, degrees * 2)
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, metres=lambda d: d) -> DataFrame:
-    """The nearest of a small table of targets for each point (ties by target); the targets are broadcast."""
+    """The nearest target of each point (ties by target). A few targets are broadcast and all measured; more are searched
+    by grid."""
+    if len(targets.select(target).take(FEW_TARGETS + 1)) > FEW_TARGETS:
+        return knn(points, targets, 1, key, target, metres=metres, same=False).select(key, target, "metres")
     pairs = points.crossJoin(F.broadcast(targets.select(F.col(target), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))))
     found = pairs.withColumn("metres", metres(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))))
     return found.groupBy(key).agg(F.min(F.struct("metres", target)).alias("best")).select(key, f"best.{target}", "best.metres")
 
 
 def smallest_box(points: DataFrame, boxes: DataFrame, key: str, area: str, position: str) -> DataFrame:
-    """The smallest box that holds each point, ties by list order; boxes: a small table of west, south, east, north."""
-    inside = points.join(F.broadcast(boxes), in_box(F.col("lat"), F.col("lon"), F.col("west"), F.col("south"), F.col("east"), F.col("north")), "left")
+    """The smallest box (west, south, east, north) that holds each point, ties by list order; null outside of all.
+
+    Boxes are spread over the whole degrees they touch, so points meet them by an equi join whatever the number of boxes."""
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int")))
+    spread = boxes.withColumn("_y", cells("south", "north")).withColumn("_x", cells("west", "east"))
+    at = points.select(key, "lat", "lon", F.floor("lat").cast("int").alias("_y"), F.floor("lon").cast("int").alias("_x"))
+    inside = at.join(spread, ["_y", "_x"], "left").withColumn("fits", in_box(F.col("lat"), F.col("lon"), F.col("west"), F.col("south"), F.col("east"), F.col("north")))
     inside = inside.withColumn("size", box_area(F.col("west"), F.col("south"), F.col("east"), F.col("north")))
-    return inside.groupBy(key).agg(F.min(F.when(F.col(area).isNotNull(), F.struct("size", position, area))).alias("best")).select(key, F.col(f"best.{area}").alias(area))
+    return inside.groupBy(key).agg(F.min(F.when(F.col("fits"), F.struct("size", position, area))).alias("best")).select(key, F.col(f"best.{area}").alias(area))
 
 
 def centroids(rows: DataFrame, by: str, precise: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orarium.functions.timez import duty_date, local_to_instant, zoned_date
-from orarium.operators.intervals import clip, contains, islands, window_span
+from orarium.operators.intervals import contains, islands, merge, window_span
 
 HORIZON = "INTERVAL 7 DAYS"
 CLOSING_SOON = "INTERVAL 30 MINUTES"
@@ -95,5 +95,18 @@ def next_change(openings: DataFrame, on_call: DataFrame, at: Column, zone: str)
     return moments.where(F.col("t") > at).agg(F.least(F.min("t"), F.first(own)).alias("t")).select(F.coalesce("t", own).alias("next_change"))
 
 
-def clipped_intervals(runs: DataFrame, low: Column, high: Column) -> DataFrame:
-    return clip(runs, low, high)
+def status_grid(entities: DataFrame, openings: DataFrame, low: Column, high: Column, step: str) -> DataFrame:
+    """entity_id, at, is_open, until, closing_soon of every entity at every `step` from low to before high.
+
+    Runs are spread over the instants they hold, which makes one equi join with the spine of entities and instants; only
+    openings that touch the range, or the horizon after it, are merged, so a long history costs a filter."""
+    spine = entities.select("entity_id", F.explode(F.sequence(low, high - F.expr("INTERVAL 1 MICROSECOND"), F.expr(step))).alias("at"))
+    runs = merge(openings.where((F.col("end") > low) & (F.col("start") < high + F.expr(HORIZON))), ["entity_id"])
+    length = F.unix_micros(low + F.expr(step)) - F.unix_micros(low)
+    first = F.greatest(F.ceil((F.unix_micros("start") - F.unix_micros(low)) / length), F.lit(0))
+    last = F.floor((F.unix_micros(F.least("end", high)) - F.unix_micros(low) - 1) / length)
+    held = runs.withColumns({"_f": first, "_l": last}).where("_f <= _l").select("entity_id", F.col("end").alias("until"), F.explode(F.sequence("_f", "_l")).alias("_k"))
+    held = held.select("entity_id", F.timestamp_micros(F.unix_micros(low) + F.col("_k") * length).alias("at"), "until")
+    out = spine.join(held, ["entity_id", "at"], "left")
+    soon = F.coalesce(F.col("until") <= F.col("at") + F.expr(CLOSING_SOON), F.lit(False))
+    return out.select("entity_id", "at", F.col("until").isNotNull().alias("is_open"), "until", soon.alias("closing_soon"))

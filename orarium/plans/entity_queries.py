@@ -8,23 +8,13 @@ from pyspark.sql import functions as F
 from orarium.functions import text
 from orarium.functions.geo import haversine, in_box
 from orarium.operators import capture, quality, resolve, search, spatial
+from orarium.plans.registry import register
 from orarium.sources import html
 from orarium.sources.tables import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None):
-    """Registers a query under its function's name."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+query = register(QUERIES, ORACLE_SQL)
 
 
 def point(key: Column) -> tuple[Column, Column]:
@@ -198,8 +188,7 @@ PARTS = "t AS (SELECT p_partkey AS k, list_distinct(list_concat(string_split(p_n
 SELECT left_key, right_key, c::DOUBLE / u AS score FROM c WHERE c::DOUBLE / u >= 0.8""")
 def jaccard_parts(spark, d):
     t = part_tokens(spark, d)
-    found = resolve.similar(t.withColumnRenamed("p_partkey", "left_key"), t.withColumnRenamed("p_partkey", "right_key"), "left_key", "right_key", 0.8)
-    return found.where("left_key < right_key")
+    return resolve.similar(t.withColumnRenamed("p_partkey", "left_key"), t.withColumnRenamed("p_partkey", "right_key"), "left_key", "right_key", 0.8, ordered=True)
 
 
 @query("""WITH t AS (SELECT p_partkey AS k, p_brand, p_size, list_distinct(list_concat(string_split(p_name, ' '), [p_brand, p_type])) AS tokens FROM part),
@@ -208,26 +197,32 @@ m AS (SELECT p_partkey, best, CASE WHEN same_size THEN 1 + sim WHEN sim >= 0.8 T
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, best) AS n FROM m WHERE score IS NOT NULL)
 SELECT p_partkey, best, round(score, 6) AS score FROM r WHERE n = 1""")
 def fuzzy_best_match(spark, d):
-    t = part_tokens(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey")
-    other = t.select(F.col("p_partkey").alias("best"), F.col("p_brand").alias("_brand"), F.col("p_size").alias("_size"), F.col("tokens").alias("_tokens"))
-    # only the same size, or tokens alike, can score: two equi joins in place of all pairs of a brand
-    sized = t.select("p_partkey", "p_brand", "p_size").join(other, (F.col("p_brand") == F.col("_brand")) & (F.col("p_size") == F.col("_size"))).select("p_partkey", "best")
-    alike = resolve.similar(t, other.withColumnRenamed("_tokens", "tokens"), "p_partkey", "best", resolve.NAME_ONLY).select("p_partkey", "best")
-    pairs = sized.union(alike).where("p_partkey <> best").distinct().join(t, "p_partkey").join(other, "best").where("p_brand = _brand")
-    score = resolve.match_score(text.jaccard(F.col("tokens"), F.col("_tokens")), F.col("p_size") == F.col("_size"), F.lit(True), F.col("p_partkey") % 10 == F.col("best") % 10)
-    found = resolve.best_match(pairs.withColumn("score", score).select("p_partkey", "best", "score"), "p_partkey", "best", "best")
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", (F.col("p_partkey") % 10).alias("near"), F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_brand", "p_type"))).alias("tokens"))
+    found = resolve.closest(part, "p_partkey", "p_brand", "p_size", "near", "tokens")
     return found.select("p_partkey", "best", F.round("score", 6).alias("score"))
 
 
-@query(None)
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS k, p_brand, p_partkey // 400 AS street, list_distinct(list_concat(string_split(p_name, ' '), [p_brand, p_type])) AS tokens FROM part),
+s AS (SELECT a.p_brand, a.k AS entry, b.k AS match, a.street = b.street AS strong, len(list_intersect(a.tokens, b.tokens))::DOUBLE / len(list_distinct(list_concat(a.tokens, b.tokens))) AS sim FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.k % 2 = 1 AND b.k % 2 = 0),
+m AS (SELECT *, CASE WHEN strong THEN 1 + sim WHEN sim >= 0.8 THEN sim END AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY score DESC, match) AS choice FROM m WHERE score IS NOT NULL),
+o AS (SELECT p_brand, entry, max(score) AS best, list(match ORDER BY choice) FILTER (WHERE strong OR choice = 1) AS options FROM r GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY best DESC, entry) AS turn FROM o),
+walk AS (SELECT p_brand, 0::BIGINT AS turn, NULL::BIGINT AS entry, NULL::BIGINT AS match, []::BIGINT[] AS taken FROM (SELECT DISTINCT p_brand FROM q)
+  UNION ALL SELECT q.p_brand, q.turn, q.entry, list_filter(q.options, lambda x: NOT list_contains(w.taken, x))[1], list_concat(w.taken, list_filter(q.options, lambda x: NOT list_contains(w.taken, x))[1:1]) FROM walk w JOIN q ON q.p_brand = w.p_brand AND q.turn = w.turn + 1)
+SELECT p_brand, entry, match FROM walk WHERE turn > 0""")
 def greedy_assignment(spark, d):
-    """Odd parts of a brand matched one to one with its even parts."""
-    t = part_tokens(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey")
+    """Odd parts of a brand matched one to one with its even parts; parts of one street (400 numbers) are strong matches."""
+    t = part_tokens(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand", F.floor(F.col("p_partkey") / 400).alias("street")), "p_partkey")
     odd = t.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "entry")
-    even = t.where("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("match"), F.col("p_size").alias("_size"), F.col("tokens").alias("_tokens"))
-    similarity = text.jaccard(F.col("tokens"), F.col("_tokens"))
-    pairs = odd.join(even, "p_brand").withColumn("strong", F.col("p_size") == F.col("_size")).withColumn("score", resolve.match_score(similarity, F.col("strong"), F.lit(True), F.lit(False)))
-    scored = pairs.select("p_brand", "entry", F.col("entry").alias("position"), "match", F.col("match").alias("other_position"), "score", "strong")
+    even = t.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "match")
+    # a street's numbers are bounded; beyond it only similar names are candidates
+    strong = odd.select("entry", "p_brand", "street").join(even.select("match", "p_brand", "street"), ["p_brand", "street"]).select("entry", "match")
+    alike = resolve.similar(odd, even, "entry", "match", resolve.NAME_ONLY).select("entry", "match")
+    mate = even.select("match", F.col("p_brand").alias("_brand"), F.col("street").alias("_street"), F.col("tokens").alias("_tokens"))
+    pairs = strong.union(alike).distinct().join(odd, "entry").join(mate, "match").where("p_brand = _brand").withColumn("strong", F.col("street") == F.col("_street"))
+    score = resolve.match_score(text.jaccard(F.col("tokens"), F.col("_tokens")), F.col("strong"), F.lit(True), F.lit(False))
+    scored = pairs.select("p_brand", "entry", F.col("entry").alias("position"), "match", F.col("match").alias("other_position"), score.alias("score"), "strong")
     return resolve.greedy_assignment(scored, "p_brand", "entry", "match")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from orarium.functions.calendar import holiday_rows, orthodox_easter, years_between
 from orarium.functions.geo import sun_elevation
 from orarium.functions.timez import duty_date, is_proper_range, iso_weekday, local_to_instant, normalize_time, time_of, zoned_date, zoned_minutes
-from orarium.operators import intervals, schedules, visits
+from orarium.operators import intervals, schedules, status, visits
+from orarium.plans.registry import register
 from orarium.sources.tables import table
 
 HOUR = 3_600_000_000
@@ -35,18 +36,40 @@ RUNS = f"{NUMBERED}, runs AS (SELECT user_id, min(s) AS start_us, max(e) AS end_
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+query = register(QUERIES, ORACLE_SQL)
 
 
-def query(sql: str | None):
-    """Registers a query under its function's name."""
+def at_instant():
+    return F.timestamp_micros(F.lit(AT))
 
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
 
-    return register
+def opened(spark: SparkSession, d: str) -> DataFrame:
+    """The intervals as openings with instants and a reason."""
+    own = acts(spark, d)
+    return own.select(F.col("user_id").alias("entity_id"), F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"), F.col("event_type").alias("reason"))
+
+
+def listed(spark: SparkSession, d: str) -> DataFrame:
+    """Errors are listings without hours on their duty day; signups are on call for three hours, from their minute on."""
+    ts = F.col("ts")
+    begin, end = zoned_minutes(ts, ZONE), zoned_minutes(ts, ZONE) + 180
+    calling = F.col("event_type") == "signup"
+    return table(spark, d, "events").where("event_type IN ('error', 'signup')").select(
+        F.col("user_id").alias("entity_id"),
+        F.when(calling, zoned_date(ts, ZONE)).otherwise(duty_date(ts, ZONE)).alias("date"),
+        F.col("event_type").alias("kind"),
+        F.col("event_id").alias("position"),
+        F.when(calling, time_of(begin)).alias("from"),
+        F.when(calling, time_of(end)).alias("to"),
+        (end >= 1440).alias("next_day"),
+        calling.alias("on_call"),
+    )
+
+
+def statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Every user, and one that nobody knows, at the fixed instant."""
+    entities = table(spark, d, "events").select(F.col("user_id").alias("entity_id")).distinct().union(spark.range(-1, 0).toDF("entity_id"))
+    return status.status_at(entities, opened(spark, d), listed(spark, d), at_instant(), ZONE)
 
 
 @query(f"WITH {RUNS} SELECT * FROM runs")
@@ -72,28 +95,62 @@ def next_open(spark, d):
     return ahead.groupBy("user_id").agg(F.min("start_us").alias("next_us"), F.min_by("end_us", "start_us").alias("until_us"))
 
 
-@query(f"WITH {RUNS} SELECT user_id, end_us - {AT} AS left_us FROM runs WHERE start_us <= {AT} AND {AT} < end_us AND end_us - {AT} <= 1800000000")
+STATUSES = f"""{RUNS}, ahead AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_us) AS n FROM runs WHERE end_us > {AT} AND start_us < {AT + 168 * HOUR}),
+first_run AS (SELECT user_id, start_us, least(end_us, {AT + 168 * HOUR}) AS until_us FROM ahead WHERE n = 1),
+local AS (SELECT user_id, event_type, ts, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Athens' AS at FROM events),
+now AS (SELECT make_timestamp({AT}) AS ts, (make_timestamp({AT}) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Athens' AS at),
+known AS (SELECT DISTINCT user_id FROM events UNION ALL SELECT -1),
+on_list AS (SELECT user_id, bool_or(event_type = 'error' AND (l.at - INTERVAL 8 HOUR)::DATE = (now.at - INTERVAL 8 HOUR)::DATE) AS unread,
+  bool_or(event_type = 'signup' AND date_trunc('minute', l.ts) <= now.ts AND now.ts < date_trunc('minute', l.ts) + INTERVAL 3 HOUR) AS calling FROM local l, now GROUP BY user_id),
+statuses AS (SELECT user_id, start_us, until_us, coalesce(start_us <= {AT}, false) AS is_open, coalesce(unread, false) AS unread, coalesce(calling, false) AS calling
+  FROM known LEFT JOIN first_run USING (user_id) LEFT JOIN on_list USING (user_id))"""
+
+
+@query(f"WITH {STATUSES} SELECT user_id, until_us - {AT} AS left_us FROM statuses WHERE is_open AND until_us - {AT} <= 1800000000")
 def closing_soon(spark, d):
-    held = runs(spark, d).where(intervals.contains(F.lit(AT), "start_us", "end_us"))
-    return held.where(F.col("end_us") - AT <= 1_800_000_000).select("user_id", (F.col("end_us") - AT).alias("left_us"))
+    soon = statuses(spark, d).where("closing_soon")
+    return soon.select(F.col("entity_id").alias("user_id"), (F.unix_micros("until") - AT).alias("left_us"))
 
 
-@query(f"""WITH {ACTS}, moments AS (SELECT unnest([s, e, e - 1800000000, s - {168 * HOUR} + 1000]) AS t FROM acts UNION ALL SELECT unnest([{AT + 12 * HOUR}, {AT + 20 * HOUR}]))
+@query(f"""WITH {ACTS}, moments AS (SELECT unnest([s, e, e - 1800000000, s - {168 * HOUR} + 1000]) AS t FROM acts UNION ALL SELECT unnest([{AT + 12 * HOUR}, {AT + 20 * HOUR}])
+UNION ALL SELECT unnest([s, s + {3 * HOUR}]) FROM acts WHERE event_type = 'signup')
 SELECT min(t) AS next_us FROM moments WHERE t > {AT}""")
 def next_status_change(spark, d):
-    edges = F.array("start_us", "end_us", F.col("end_us") - 1_800_000_000, F.col("start_us") - 168 * HOUR + 1000)
-    moments = acts(spark, d).select(F.explode(edges).alias("t")).where(F.col("t") > AT)
-    return moments.agg(F.least(F.min("t"), F.lit(AT + 12 * HOUR)).alias("next_us"))
+    """In UTC, so that the day's own clock is midnight and 8 in the morning there."""
+    calls = opened(spark, d).where("reason = 'signup'").select("start", (F.col("start") + F.expr("INTERVAL 3 HOURS")).alias("end"))
+    return status.next_change(opened(spark, d), calls, at_instant(), "UTC").select(F.unix_micros("next_change").alias("next_us"))
 
 
-@query(f"""WITH {RUNS}, state AS (SELECT user_id, bool_or(start_us <= {AT} AND {AT} < end_us) AS is_open FROM runs GROUP BY user_id),
-listed AS (SELECT user_id, bool_or(event_type = 'error' AND s BETWEEN {AT - 8 * HOUR} AND {AT}) AS unknown FROM acts GROUP BY user_id)
-SELECT user_id, CASE WHEN is_open THEN 'open' WHEN unknown THEN 'duty-hours-unknown' ELSE 'closed' END AS state FROM state JOIN listed USING (user_id)""")
+@query(f"""WITH {STATUSES} SELECT user_id, CASE WHEN is_open THEN 'open' WHEN unread OR calling THEN 'duty-hours-unknown' ELSE 'closed' END AS state,
+CASE WHEN is_open THEN until_us END AS until_us, CASE WHEN NOT is_open THEN start_us END AS next_us,
+CASE WHEN NOT is_open AND (unread OR calling) THEN NOT unread END AS on_call FROM statuses""")
 def status_classify(spark, d):
-    own = acts(spark, d)
-    state = runs(spark, d).groupBy("user_id").agg(F.bool_or(intervals.contains(F.lit(AT), "start_us", "end_us")).alias("is_open"))
-    listed = own.groupBy("user_id").agg(F.bool_or((F.col("event_type") == "error") & F.col("start_us").between(AT - 8 * HOUR, AT)).alias("unknown"))
-    return state.join(listed, "user_id").select("user_id", F.when(F.col("is_open"), "open").when(F.col("unknown"), "duty-hours-unknown").otherwise("closed").alias("state"))
+    found = statuses(spark, d)
+    return found.select(F.col("entity_id").alias("user_id"), "state", F.unix_micros("until").alias("until_us"), F.unix_micros("next_open").alias("next_us"), "on_call")
+
+
+@query(f"""WITH {NUMBERED}, parts AS (SELECT *, min(s) OVER w AS rs, max(e) OVER w AS re FROM numbered WINDOW w AS (PARTITION BY user_id, run)),
+first_run AS (SELECT *, min(run) OVER (PARTITION BY user_id) AS f FROM parts WHERE re > {AT} AND rs < {AT + 168 * HOUR})
+SELECT user_id, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (WHERE CASE WHEN rs <= {AT} THEN s <= {AT} AND {AT} < e ELSE greatest(s, {AT}) = greatest(rs, {AT}) END), '') AS reasons,
+string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS run_reasons FROM first_run WHERE run = f GROUP BY user_id""")
+def status_reasons(spark, d):
+    """Why just now (or why the next opening), and why in the whole run; compared as sets."""
+    text = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return statuses(spark, d).where("run_reasons IS NOT NULL").select(F.col("entity_id").alias("user_id"), text("reasons"), text("run_reasons"))
+
+
+DAY = AT // (24 * HOUR) * 24 * HOUR
+
+
+@query(f"""WITH {RUNS}, known AS (SELECT DISTINCT user_id FROM events), spine AS (SELECT user_id, unnest(range({DAY}, {DAY + 24 * HOUR}, {HOUR // 2})) AS t FROM known)
+SELECT s.user_id, t AS at_us, r.end_us IS NOT NULL AS is_open, r.end_us AS until_us, coalesce(r.end_us - t <= 1800000000, false) AS closing_soon
+FROM spine s LEFT JOIN runs r ON s.user_id = r.user_id AND r.start_us <= t AND t < r.end_us""")
+def status_grid(spark, d):
+    """Every user at every half hour of a day."""
+    known = table(spark, d, "events").select(F.col("user_id").alias("entity_id")).distinct()
+    low, high = (F.timestamp_micros(F.lit(x)) for x in (DAY, DAY + 24 * HOUR))
+    grid = status.status_grid(known, opened(spark, d), low, high, "INTERVAL 30 MINUTES")
+    return grid.select(F.col("entity_id").alias("user_id"), F.unix_micros("at").alias("at_us"), "is_open", F.unix_micros("until").alias("until_us"), "closing_soon")
 
 
 @query(f"""WITH {RUNS} SELECT count(*)::BIGINT AS n_runs, count(*) FILTER (WHERE start_us <= {AT} AND {AT} < end_us)::BIGINT AS n_open,
@@ -129,23 +186,39 @@ def interval_join(spark, d):
     return intervals.covering(spans, asked, "t", ["k"]).groupBy("q_id").agg(F.count("*").alias("n_covering"), F.min("event_id").alias("first_id"))
 
 
-@query(f"""WITH {RUNS}, days AS (SELECT user_id, start_us, end_us, unnest(range(start_us // {24 * HOUR}, (end_us - 1) // {24 * HOUR} + 1)) AS day FROM runs)
-SELECT user_id, day, count(*)::BIGINT AS n_ranges, sum(least(end_us, (day + 1) * {24 * HOUR}) - greatest(start_us, day * {24 * HOUR}))::BIGINT AS open_us FROM days GROUP BY user_id, day""")
+SPLIT = f"days AS (SELECT user_id, day, greatest(start_us, day * {24 * HOUR}) AS s, least(end_us, (day + 1) * {24 * HOUR}) AS e FROM (SELECT user_id, start_us, end_us, unnest(range(start_us // {24 * HOUR}, (end_us - 1) // {24 * HOUR} + 1)) AS day FROM runs))"
+
+
+def day_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The runs cut at midnight, with the number of the day."""
+    whole = intervals.merge(opened(spark, d).withColumnRenamed("entity_id", "user_id"), ["user_id"])
+    return intervals.split_days(whole).withColumn("day", F.unix_date("day").cast("long"))
+
+
+@query(f"WITH {RUNS}, {SPLIT} SELECT user_id, day, count(*)::BIGINT AS n_ranges, sum(e - s)::BIGINT AS open_us FROM days GROUP BY user_id, day")
 def split_days(spark, d):
-    day = 24 * HOUR
-    spread = runs(spark, d).withColumn("day", F.explode(F.sequence(F.floor(F.col("start_us") / day), F.floor((F.col("end_us") - 1) / day))))
-    open_us = F.least("end_us", (F.col("day") + 1) * day) - F.greatest("start_us", F.col("day") * day)
-    return spread.groupBy("user_id", "day").agg(F.count("*").alias("n_ranges"), F.sum(open_us).alias("open_us"))
+    length = F.unix_micros("end") - F.unix_micros("start")
+    return day_ranges(spark, d).groupBy("user_id", "day").agg(F.count("*").alias("n_ranges"), F.sum(length).alias("open_us"))
+
+
+FIRST_DAY = AT // (24 * HOUR) - 3
 
 
-@query(f"""WITH {RUNS}, days AS (SELECT user_id, start_us, end_us, unnest(range(start_us // {24 * HOUR}, (end_us - 1) // {24 * HOUR} + 1)) AS day FROM runs)
-SELECT user_id, start_us, max(end_us) AS end_us, count(*)::BIGINT AS n_days FROM days GROUP BY user_id, start_us""")
+@query(f"""WITH RECURSIVE {RUNS}, {SPLIT}, spine AS (SELECT user_id, unnest(range({FIRST_DAY}, {FIRST_DAY + 7})) AS day FROM (SELECT DISTINCT user_id FROM events)),
+d AS (SELECT user_id, day, count(s) AS n, min(s) AS f_s, min(e) AS f_e, max(e) AS l_e FROM spine LEFT JOIN days USING (user_id, day) GROUP BY ALL),
+walk AS (SELECT user_id, day, n, l_e, false AS taken FROM d WHERE day = {FIRST_DAY}
+  UNION ALL SELECT d.user_id, d.day, d.n, d.l_e, coalesce(w.n - w.taken::INT > 0 AND d.n > 0 AND w.l_e = d.f_s AND d.f_e - d.f_s < {23 * HOUR}, false) FROM walk w JOIN d ON d.user_id = w.user_id AND d.day = w.day + 1)
+SELECT w.user_id, w.day, (w.n - w.taken::INT)::BIGINT AS n_ranges, CASE WHEN w.n - w.taken::INT > 0 THEN CASE WHEN x.taken THEN d.f_e ELSE w.l_e END END AS last_end_us
+FROM walk w LEFT JOIN walk x ON x.user_id = w.user_id AND x.day = w.day + 1 LEFT JOIN d ON d.user_id = w.user_id AND d.day = w.day + 1""")
 def overnight_join(spark, d):
-    """Runs cut at midnight and joined again: what touches across midnight is one range of the day it starts."""
-    micros = lambda c: F.unix_micros(c)
-    stamps = runs(spark, d).select("user_id", F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"))
-    cut = intervals.split_days(stamps).withColumns({"s": micros("start"), "e": micros("end")})
-    return intervals.merge(cut, ["user_id"], "s", "e").select("user_id", F.col("s").alias("start_us"), F.col("e").alias("end_us"), F.col("n_parts").alias("n_days"))
+    """Seven days of ranges; what touches across midnight is shown on the day it starts, unless the next range lasts all day."""
+    users = table(spark, d, "events").select("user_id").distinct()
+    spine = users.withColumn("day", F.explode(F.sequence(F.lit(FIRST_DAY), F.lit(FIRST_DAY + 6))))
+    day = day_ranges(spark, d).groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+    full = spine.join(day, ["user_id", "day"], "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<struct<start:timestamp,end:timestamp>>")))
+    week = full.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "ranges"))), lambda x: x["ranges"]).alias("days"))
+    shown = week.select("user_id", F.posexplode(intervals.join_overnight(F.col("days"))).alias("k", "ranges"))
+    return shown.select("user_id", (F.col("k") + FIRST_DAY).cast("long").alias("day"), F.size("ranges").cast("long").alias("n_ranges"), F.unix_micros(F.try_element_at("ranges", F.lit(-1))["end"]).alias("last_end_us"))
 
 
 @query("""SELECT event_id, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Athens', '%Y-%m-%d') AS local_date,
@@ -208,15 +281,22 @@ def period_first_match(spark, d):
     return schedules.first_period(orders, periods(spark), fits, "seq", ["o_orderkey"]).where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n_orders"))
 
 
-@query("""WITH p AS (SELECT * FROM (VALUES (DATE '1996-01-01', DATE '1998-12-31', [1, 2, 3]), (DATE '1997-06-01', DATE '1999-06-30', [3, 6, 7])) t(list_from, list_to, days)),
-m AS (SELECT o_orderkey, list_from, row_number() OVER (PARTITION BY o_orderkey ORDER BY list_from DESC) AS n FROM orders JOIN p ON o_orderdate::DATE BETWEEN list_from AND list_to AND list_contains(days, isodow(o_orderdate)::INT))
-SELECT strftime(list_from, '%Y-%m-%d') AS list_from, count(*)::BIGINT AS n_orders FROM m WHERE n = 1 GROUP BY list_from""")
+LISTS = "(VALUES (DATE '1996-01-01', DATE '1998-12-31', 'weekly', '1,2,3'), (DATE '1997-06-01', DATE '1999-06-30', 'weekly', '3,6,7'), (DATE '1997-01-01', DATE '1997-12-31', 'dates', '1997-03-25,1997-07-01'))"
+
+
+@query(f"""WITH p AS (SELECT *, string_split(keys, ',') AS k FROM {LISTS} t(list_from, list_to, type, keys)), days AS (SELECT DISTINCT o_custkey AS c, o_orderdate::DATE AS d FROM orders),
+m AS (SELECT c, d, list_from, row_number() OVER (PARTITION BY c, d ORDER BY list_from DESC, list_to DESC) AS n FROM days JOIN p ON d BETWEEN list_from AND list_to
+  AND CASE WHEN type = 'dates' THEN list_contains(k, strftime(d, '%Y-%m-%d')) ELSE c % 11 <> 0 AND list_contains(k, isodow(d)::VARCHAR) END)
+SELECT strftime(list_from, '%Y-%m-%d') AS list_from, count(*)::BIGINT AS n_days FROM m WHERE n = 1 GROUP BY list_from""")
 def extended_priority(spark, d):
-    """Newest list in force that names the weekday; one that doesn't falls through to the older."""
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.to_date("o_orderdate").alias("date"), F.lit(False).alias("is_holiday"))
-    lists = spark.sql("SELECT * FROM (VALUES (DATE '1996-01-01', DATE '1998-12-31', array(1, 2, 3)), (DATE '1997-06-01', DATE '1999-06-30', array(3, 6, 7))) AS p(list_from, list_to, days)")
-    hits = orders.join(F.broadcast(lists), F.col("date").between(F.col("list_from"), F.col("list_to")) & F.array_contains("days", iso_weekday(F.col("date"))))
-    return hits.groupBy("entity_id").agg(F.max("list_from").alias("list_from")).groupBy(F.col("list_from").cast("string").alias("list_from")).agg(F.count("*").alias("n_orders"))
+    """Newest list in force that names the day; one that doesn't falls through to the older. Holidays end weekly lists only."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.to_date("o_orderdate").alias("date")).distinct()
+    days = orders.withColumn("is_holiday", F.col("entity_id") % 11 == 0)
+    lists = spark.sql(f"SELECT list_from, list_to, type, explode(split(keys, ',')) AS key FROM {LISTS} AS t(list_from, list_to, type, keys)")
+    ranges = F.array(F.struct(F.col("list_from").cast("string").alias("from"), F.lit("00:00").alias("to")))
+    extended = orders.select("entity_id").distinct().join(F.broadcast(lists)).select("entity_id", "list_from", "list_to", F.lit(0).alias("position"), "type", "key", ranges.alias("ranges"))  # nine rows of keys
+    found = schedules.extended_ranges(days, extended)
+    return found.groupBy(F.get("ranges", F.lit(0))["from"].alias("list_from")).agg(F.count("*").alias("n_days"))
 
 
 @query("""WITH spine AS (SELECT unnest(range(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 1 DAY))::DATE AS date)
@@ -264,7 +344,11 @@ def topk_frequent(spark, d):
     return top.select("user_id", "visits", F.row_number().over(Window.orderBy(F.desc("visits"), F.desc("latest"), "user_id")).alias("rank"))
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS (SELECT user_id % 20 AS client, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events),
+walk AS (SELECT client, 0::BIGINT AS n, []::BIGINT[] AS held, 0::BIGINT AS n_allowed FROM (SELECT DISTINCT client FROM e)
+  UNION ALL SELECT e.client, e.n, CASE WHEN len(k) < 5 THEN list_append(k, e.us) ELSE k END, w.n_allowed + (len(k) < 5)::INT
+  FROM (SELECT w.*, e.us, e.n AS m, list_filter(w.held, lambda x: e.us - x < 600000000) AS k FROM walk w JOIN e ON e.client = w.client AND e.n = w.n + 1) w JOIN e ON e.client = w.client AND e.n = w.m)
+SELECT client, max(n)::BIGINT AS n, max(n_allowed)::BIGINT AS n_allowed FROM walk GROUP BY client""")
 def rate_limit(spark, d):
     e = table(spark, d, "events").select("event_id", (F.col("user_id") % 20).alias("client"), "ts")
     return visits.rate_limit(e, "client", "ts", "event_id").groupBy("client").agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"))
