@@ -77,18 +77,23 @@ def numeric_date(text: Column) -> Column:
 
 def spoken_clock(text: Column) -> Column:
     """HH:MM of `8:30 ΠΡΩΙ`, `12 ΜΕΣΗΜΕΡΙ`, `21:00`; null where hour and part of the day don't go together, or for a bare hour."""
-    plain = F.upper(strip_accents(text))
     pattern = r"^\s*(\d{1,2})(?:[:.](\d{2}))?\s*(\p{L}+)?\s*$"
-    hour, minute, part = (F.nullif(F.regexp_extract(plain, pattern, k), F.lit("")) for k in (1, 2, 3))
-    h, m = hour.cast("int"), F.coalesce(minute.cast("int"), F.lit(0))
-    plain_hour = F.when(minute.isNotNull() & (h <= 24), h % 24)
+    fields = F.transform(F.array(F.upper(strip_accents(text))), lambda t: F.struct(*[F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).alias(n) for k, n in enumerate(("hour", "minute", "part"), 1)]))
 
-    def of_part(word: str, fits, later) -> Column:
-        shifted = F.when(h == 12, 0 if word in MIDNIGHT_TWELVE else 12).when(h.isin(*(later or (-1,))), h + 12).otherwise(h)
-        return F.when(h.isin(*fits), shifted)
+    def clock(f: Column) -> Column:
+        h, part = f["hour"].cast("int"), f["part"]
 
-    value = reduce(lambda c, p: c.when(part == p[0], of_part(*p)), DAY_PARTS, F.when(part.isNull(), plain_hour))
-    return F.when((m < 60) & value.isNotNull(), F.concat_ws(":", F.lpad(value.cast("string"), 2, "0"), F.lpad(m.cast("string"), 2, "0")))
+        def of_part(word: str, fits, later) -> Column:
+            shifted = F.when(h == 12, 0 if word in MIDNIGHT_TWELVE else 12).when(h.isin(*(later or (-1,))), h + 12).otherwise(h)
+            return F.when(h.isin(*fits), shifted)
+
+        plain_hour = F.when(f["minute"].isNotNull() & (h <= 24), h % 24)
+        value = reduce(lambda c, p: c.when(part == p[0], of_part(*p)), DAY_PARTS, F.when(part.isNull(), plain_hour))
+        minute = F.coalesce(f["minute"], F.lit("00"))
+        return F.when((minute < "60") & value.isNotNull(), F.concat_ws(":", F.lpad(value.cast("string"), 2, "0"), minute))
+
+    # fields are computed once, whatever the number of places that use them
+    return F.get(F.transform(fields, clock), F.lit(0))
 
 
 def first_dates(now: Column, zone: Column | str) -> Column:
@@ -127,7 +132,7 @@ def address_and_phone(line: Column) -> Column:
     """(address, phone) of a line that ends in a phone, with or without the word for it before the number."""
     text = squash(line)
     found = F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
-    before = F.substring_index(text, F.get(found, F.lit(0)), 1)
+    before = F.call_function("substring_index", text, F.get(found, F.lit(0)), F.lit(1))
     address = rewrite(before, ((r"(?iu)[ΤT][ΗH][ΛL]\.?:?\s*$", ""), (r"[\s,.:–-]+$", "")))
     bare = F.regexp_replace(text, r"[\s,–-]+$", "")
     phone = F.get(F.filter(F.transform(found, normalize_phone), lambda p: p.isNotNull()), F.lit(0))

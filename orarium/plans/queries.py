@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from orarium.plans import entity_queries, interval_queries
+from orarium.plans import display_queries, entity_queries, interval_queries
 
-QUERIES: dict = interval_queries.QUERIES | entity_queries.QUERIES
-ORACLE_SQL: dict = interval_queries.ORACLE_SQL | entity_queries.ORACLE_SQL
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+for module in (interval_queries, entity_queries, display_queries):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
