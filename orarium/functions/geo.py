@@ -12,9 +12,9 @@ REGISTRY_RADIUS_METRES = 6_371_000.0
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_RADIUS_METRES) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null where a coordinate is."""
     half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(half)))
+    return F.when(half.isNotNull(), 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(half))))
 
 
 def in_box(lat: Column, lon: Column, west, south, east, north, margin: float = 0.0) -> Column:

@@ -53,6 +53,11 @@ def time_of(minutes: Column) -> Column:
     return F.concat(F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))
 
 
+def clock_of_seconds(seconds: Column) -> Column:
+    """Seconds from midnight as HH:MM, to the nearest minute; a day and more goes on from 00:00."""
+    return time_of(F.floor(seconds / 60 + 0.5).cast("int"))
+
+
 def normalize_time(raw: Column) -> Column:
     """8:00 becomes 08:00 and 24:00 becomes 00:00; null for what isn't a time."""
     hours, minutes = (F.try_to_number(F.nullif(F.regexp_extract(F.trim(raw), r"^(\d{1,2}):(\d{2})$", i), F.lit("")), F.lit("99")).cast("int") for i in (1, 2))

@@ -17,9 +17,9 @@ def by_distance(distance: str | None, name: str, key: str) -> list[Column]:
     return [*near, F.expr(f"{name} COLLATE el"), F.col(key)]
 
 
-def in_list_order(rows: DataFrame, distance: str | None = None, name: str = "name", key: str = "entity_id", place: str = "place") -> DataFrame:
-    """Adds the place in the list: open rows, those that close soon after the others, then the closed ones."""
-    order = Window.orderBy(F.col("look") == "closed", F.coalesce("closing_soon", F.lit(False)), *by_distance(distance, name, key))
+def in_list_order(rows: DataFrame, by: list[str], distance: str | None = None, name: str = "name", key: str = "entity_id", place: str = "place") -> DataFrame:
+    """Adds the place in each area's list: open rows, those that close soon after the others, then the closed ones."""
+    order = Window.partitionBy(*by).orderBy(F.col("look") == "closed", F.coalesce("closing_soon", F.lit(False)), *by_distance(distance, name, key))
     return rows.withColumn(place, F.row_number().over(order))
 
 

@@ -144,7 +144,7 @@ def article_days(pages: DataFrame) -> DataFrame:
     dates = blocks.where("`column` = 0").select("page_id", "row", numeric_date(F.col("text")).alias("date")).where("date IS NOT NULL")
     body = blocks.where("`column` > 0 AND text <> ''").join(dates, ["page_id", "row"])
     down = Window.partitionBy("page_id", "date", "column").orderBy("row")
-    body = body.where(~F.col("text").eqNullSafe(F.lag("text").over(down)) | F.lag("text").over(down).isNull())
+    body = body.withColumn("above", F.lag("text").over(down)).where(~F.col("text").eqNullSafe(F.col("above"))).drop("above")
     entity = r"^(.*?)\s+(?i:Τηλ\.?)\s*:?\s*([\d .-]+)$"
     body = body.withColumns({"phone": printed_phone(first(F.col("text"), entity, 2)), "who": first(F.col("text"), entity, 1)})
     body = body.withColumn("nth", F.count_if(F.col("phone") != "").over(down.rowsBetween(Window.unboundedPreceding, 0)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,6 +113,36 @@ def sitemap(pages: DataFrame, by: str) -> DataFrame:
     return pages.groupBy(by).agg(F.concat(F.lit(head), rows, F.lit("\n</urlset>\n")).alias("xml"))
 
 
+def sitemap_index(maps: DataFrame) -> DataFrame:
+    """loc of each area's sitemap -> the one index of them."""
+    entries = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), xml_text(F.col("loc")), F.lit("</loc></sitemap>")))), "\n")
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
+    return maps.agg(F.concat(F.lit(head), entries, F.lit("\n</sitemapindex>\n")).alias("xml"))
+
+
+def robots(spark: SparkSession, index: str, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """One text that lets readers in, but for hidden paths, and names the index."""
+    lines = ["User-agent: *", "Allow: /", *(f"Disallow: {p}" for p in hidden), f"Sitemap: {index}"]
+    return spark.range(1).select(F.lit("\n".join(lines) + "\n").alias("text"))
+
+
+def json_schema(df: DataFrame) -> DataFrame:
+    """One JSON Schema of a frame's rows: names, types and which columns may be null."""
+    kinds = {"string": "string", "bigint": "integer", "int": "integer", "double": "number", "boolean": "boolean", "date": "string", "timestamp": "string"}
+
+    def described(kind: T.DataType) -> dict:
+        if isinstance(kind, T.StructType):
+            return {"type": "object", "properties": {f.name: described(f.dataType) for f in kind}, "required": [f.name for f in kind if not f.nullable]}
+        if isinstance(kind, T.ArrayType):
+            return {"type": "array", "items": described(kind.elementType)}
+        if isinstance(kind, T.MapType):
+            return {"type": "object", "additionalProperties": described(kind.valueType)}
+        return {"type": kinds.get(kind.simpleString(), "number")}
+
+    text = json.dumps({"$schema": "https://json-schema.org/draft/2020-12/schema"} | described(df.schema), ensure_ascii=False)
+    return df.sparkSession.range(1).select(F.lit(text).alias("schema"))
+
+
 def json_ld(rows: DataFrame) -> DataFrame:
     """id, name, phone, street, locality, lat, lon -> a schema.org document each."""
     address = F.struct(F.lit("PostalAddress").alias("@type"), F.col("street").alias("streetAddress"), F.col("locality").alias("addressLocality"), F.lit("GR").alias("addressCountry"))
