@@ -109,10 +109,10 @@ def name_tokens(spark, d):
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(translate(upper(replace(strip_accents(line), 'ß', 'ss')), 'ABEZHIKMNOPTYX', 'ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ'), '[^\p{L}\p{N}]+', ' ', 'g')) AS key
-FROM (SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')) AS line FROM documents)""")
+FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM documents)""")
 def match_key(spark, d):
-    first = F.get(F.split("text", "\n"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", text.match_key(first).alias("key"))
+    """The key of each whole text."""
+    return table(spark, d, "documents").select("doc_id", text.match_key(F.col("text")).alias("key"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), x AS (SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM l)
@@ -297,9 +297,9 @@ def flag_pack(spark, d):
     return table(spark, d, "part").select("p_partkey", capture.flags(F.col("p_size") > 25, F.col("p_type") == "PROMO").alias("flags"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000)")
 def anti_missing(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -307,9 +307,9 @@ def semi_known(spark, d):
     return table(spark, d, "part").join(table(spark, d, "lineitem").where("l_returnflag = 'R'"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
 
 
-@query("SELECT DISTINCT c_nationkey AS nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT DISTINCT c_nationkey AS nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 AND s_suppkey % 3 = 0")
 def set_difference(spark, d):
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).subtract(table(spark, d, "supplier").select("s_nationkey"))
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).subtract(table(spark, d, "supplier").where("s_acctbal > 5000 AND s_suppkey % 3 = 0").select("s_nationkey"))
 
 
 def snapshots(spark, d):

@@ -281,11 +281,11 @@ def distinct_warnings(spark, d):
     return roster.distinct_warnings(rows, "position")
 
 
-@query("""SELECT l_partkey, l_orderkey, l_linenumber, last_value(CASE WHEN l_quantity > 30 THEN l_quantity END IGNORE NULLS) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS quantity FROM lineitem""")
+@query("""SELECT l_partkey, l_orderkey, l_linenumber, last_value(CASE WHEN l_quantity > 30 THEN l_quantity END IGNORE NULLS) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS quantity FROM lineitem""")
 def carry_forward(spark, d):
     """The last known value before each row."""
-    rows = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 30, F.col("l_quantity")).alias("quantity"))
-    return layout.carried(rows, ["l_partkey"], ["l_orderkey", "l_linenumber"], ["quantity"])
+    rows = table(spark, d, "lineitem").withColumn("quantity", F.when(F.col("l_quantity") > 30, F.col("l_quantity")))
+    return layout.carried(rows, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"], ["quantity"]).select("l_partkey", "l_orderkey", "l_linenumber", "quantity")
 
 
 # --- openings and medicines ---

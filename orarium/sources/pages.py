@@ -158,7 +158,8 @@ def article_days(pages: DataFrame) -> DataFrame:
 def map_entities(pages: DataFrame) -> DataFrame:
     """page_id, id, name, address, phone, town, town_key, lat, lon, windows (from_sec, to_sec, printed) of the features in
     a map page's script."""
-    data = F.from_json(unescape_js(first(F.col("html"), r"var data = '((?:[^'\\]|\\.)*)'")), MAP_DATA)
+    # up to the first quote that isn't escaped; a lazy dot, as a repeated group would recurse over a long literal
+    data = F.from_json(unescape_js(first(F.col("html"), r"var data = '(.*?)(?<!\\)'")), MAP_DATA)
     rows = pages.select("page_id", F.posexplode(data["features"]).alias("position", "f"))
     p = F.col("f.properties")
     pairs = F.flatten(F.transform(F.map_values(p["duties"]), lambda d: F.array(F.struct(d["start_time"].alias("from_sec"), d["end_time"].alias("to_sec"), d["duty_name"].alias("printed")), F.struct(d["start_time2"].alias("from_sec"), d["end_time2"].alias("to_sec"), d["duty_name"].alias("printed")))))
