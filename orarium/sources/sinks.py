@@ -19,7 +19,8 @@ def changed_partitions(new: DataFrame, old: DataFrame, keys: list[str]) -> DataF
 
 
 def write_changed(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Overwrites only the partitions that differ from what lies at the path; equal input writes nothing."""
+    """Overwrites only the partitions that differ from what lies at the path, and deletes those that have no rows any
+    more; equal input writes nothing."""
     spark = new.sparkSession
     try:
         old = spark.read.schema(new.schema).parquet(path)
@@ -30,8 +31,17 @@ def write_changed(new: DataFrame, path: str, keys: list[str]) -> None:
         new.write.partitionBy(*keys).parquet(path)
         return
     fresh = new.join(keys_changed, keys, "left_semi")
+    gone = keys_changed.join(new.select(*keys).distinct(), keys, "left_anti").select(*[F.col(k).cast("string") for k in keys]).collect()  # one row a partition
     if fresh.head(1):
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    for row in gone:
+        delete(spark, "/".join([path, *(f"{k}={row[k]}" for k in keys)]))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder or a file, wherever Spark can reach it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def published_window(days: DataFrame, today: Column, past: int = 7) -> DataFrame:

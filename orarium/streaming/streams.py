@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orarium.operators.capture import upsert_latest
 from orarium.operators.visits import RATE_LIMIT, RATE_WINDOW, accept
+from orarium.sources.sinks import delete
 
 VISIT_GAP = 30 * 60 * 1_000_000
 
@@ -18,16 +19,31 @@ VISIT_GAP = 30 * 60 * 1_000_000
 def upsert_sink(path: str, keys: list[str], version: str, content: list[str]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: each batch is folded into a table of the latest versions, written as a new generation.
 
-    A generation is named by its batch, so a batch that runs again after a failure writes the same one."""
+    A generation is named by its batch, so a batch that runs again after a failure writes the same one from the newest
+    before it, whatever the first batch's number and whichever wrote nothing. A batch without rows writes nothing. Of the
+    older generations the last stays, for readers of it and for a batch that runs again; the others go."""
 
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        stored = spark.read.parquet(f"{path}/{batch - 1}") if batch else rows.limit(0)
+        if rows.isEmpty():
+            return
+        found = [g for g in generations(spark, path) if g < batch]
+        stored = spark.read.parquet(f"{path}/{found[-1]}") if found else rows.limit(0)
         upsert_latest(stored.select(rows.columns), rows, keys, version, content).write.mode("overwrite").parquet(f"{path}/{batch}")
+        for g in found[:-1]:
+            delete(spark, f"{path}/{g}")
 
     return write
 
 
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the generations below a path, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in store.listStatus(where)] if store.exists(where) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
 def windowed_counts(events: DataFrame, at: str, by: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts by tumbling window, closed once the watermark has passed."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), by).count().select(F.col("window.start").alias("start"), by, F.col("count").alias("n"))
