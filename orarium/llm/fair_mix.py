@@ -71,7 +71,7 @@ def prefix_offsets(sums: DataFrame, digits: int) -> DataFrame:
         level = sums.groupBy("skey", F.substring("p", 1, low).alias("above"), F.substring("p", 1, high).alias("q")).agg(F.sum("n").alias("n"))
         window = Window.partitionBy("skey", "above").orderBy("q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         level = level.select("skey", "q", (F.sum("n").over(window) - F.col("n")).alias("before"))
-        out = out.withColumn("q", F.substring("p", 1, high)).join(level, ["skey", "q"]).select("skey", "p", (F.col("offset") + F.col("before")).alias("offset"))
+        out = out.withColumn("q", F.substring("p", 1, high)).join(level.hint("merge"), ["skey", "q"]).select("skey", "p", (F.col("offset") + F.col("before")).alias("offset"))
     return out
 
 
