@@ -236,7 +236,7 @@ def price_sheets(spark, d):
 # --- files that are written ---
 
 
-@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS area FROM supplier) SELECT area, (1 + count(*))::BIGINT AS n_lines, max(len(l)) <= 75 AS folded, bool_and(l LIKE 'SUMMARY:a\\, b\; ' || k || '%') AS escaped FROM (SELECT *, 'SUMMARY:a\\, b\; ' || k AS l FROM s) GROUP BY area""")
+@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS area FROM supplier) SELECT area, (1 + count(*))::BIGINT AS n_lines, max(len(l)) <= 75 AS folded, bool_and(l LIKE 'SUMMARY:a\\, b\\; ' || k || '%') AS escaped FROM (SELECT *, 'SUMMARY:a\\, b\\; ' || k AS l FROM s) GROUP BY area""")
 def calendars(spark, d):
     """One calendar an area: every event with its escaped summary, no line longer than 75 octets."""
     k = F.col("s_suppkey")
@@ -245,7 +245,7 @@ def calendars(spark, d):
     lines = F.split(F.col("ics"), "\r\n")
     made = sinks.calendar(events, "area", F.timestamp_seconds(F.lit(1_700_000_000))).select("area", F.explode(lines).alias("l"))
     summary = F.col("l").startswith("SUMMARY:")
-    return made.groupBy("area").agg((F.count_if(summary) + F.count_if(F.col("l") == "END:VCALENDAR")).alias("n_lines"), (F.max(F.octet_length("l")) <= 75).alias("folded"), F.bool_and(~summary | F.col("l").startswith("SUMMARY:a\\, b\; ")).alias("escaped"))
+    return made.groupBy("area").agg((F.count_if(summary) + F.count_if(F.col("l") == "END:VCALENDAR")).alias("n_lines"), (F.max(F.octet_length("l")) <= 75).alias("folded"), F.bool_and(~summary | F.col("l").startswith("SUMMARY:a\\, b\\; ")).alias("escaped"))
 
 
 @query("""SELECT c_nationkey AS area, count(*)::BIGINT AS n, min(c_custkey) AS first, 'Point' AS kind, (count(*) + 1)::BIGINT AS n_urls FROM customer GROUP BY 1""")
