@@ -38,6 +38,21 @@ def similar(left: DataFrame, right: DataFrame, left_key: str, right_key: str, le
     return both.withColumn("score", jaccard(F.col("_a"), F.col("_b"))).where(F.col("score") >= least).select(left_key, right_key, "score")
 
 
+def similar_within(rows: DataFrame, key: str, least: float, tokens: str = "tokens") -> DataFrame:
+    """left_key < right_key, score: all pairs of one table whose token sets have a Jaccard index of `least` or more.
+
+    Rows with equal sets are one class; classes are compared, and only similar ones are spread to their rows again."""
+    keyed = rows.where(F.size(tokens) > 0).select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t"))
+    classes = settled(keyed.groupBy("t").agg(F.min("k").alias("c")))
+    members = settled(keyed.join(classes, "t").select("k", "c"))
+    one, other = (classes.select(F.col("c").alias(n), F.col("t").alias("tokens")) for n in ("c1", "c2"))
+    alike = similar(one, other, "c1", "c2", least, ordered=True)
+    first, second = (members.select(F.col("k").alias(f"k{n}"), F.col("c").alias(f"c{n}")) for n in (1, 2))
+    across = alike.join(first, "c1").join(second, "c2").select("k1", "k2", "score")
+    inside = first.join(second, (F.col("c1") == F.col("c2")) & (F.col("k1") < F.col("k2"))).select("k1", "k2", F.lit(1.0).alias("score"))
+    return across.unionByName(inside).select(F.least("k1", "k2").alias("left_key"), F.greatest("k1", "k2").alias("right_key"), "score")
+
+
 def match_score(similarity: Column, same_address: Column, shares_token: Column, same_locality: Column) -> Column:
     """Above 1 for the same address and a shared name word; the similarity where it is high; null for no match."""
     base = F.when(same_address & shares_token, 1 + similarity).when(similarity >= NAME_ONLY, similarity)
@@ -72,12 +87,14 @@ def closest(rows: DataFrame, key: str, group: str, address: str, near: str, toke
     cells = by_near.groupBy("g", "a", F.col("t").alias("_t")).agg(F.map_from_entries(F.collect_list(F.struct("r", "b"))).alias("firsts"), F.min("b").alias("b"))
     met = lone.join(cells, ["g", "a"]).where("t <> _t").withColumn("_b", F.try_element_at("firsts", "r"))
     across = met.select("k", F.coalesce("_b", "b").alias("b"), score(jaccard(F.col("t"), F.col("_t")), F.lit(True), F.col("_b").isNotNull()).alias("score"))
-    found = inside.unionByName(across)
+    found = settled(inside.unionByName(across))
     # only a row without a better one at its address can be matched by name alone
     top = found.groupBy("k").agg(F.max("score").alias("top"))
     rest = lone.join(top.where(F.col("top") > 1 + SAME_LOCALITY), "k", "left_anti")
     tagged = lambda t: F.transform(t, lambda x: F.concat_ws("|", F.col("g").cast("string"), x))
-    named = similar(rest.withColumn("tokens", tagged(F.col("t"))), base.select(F.col("k").alias("b"), tagged(F.col("t")).alias("tokens")), "k", "b", NAME_ONLY).where("k <> b")
+    rest = settled(rest)
+    peers = base.join(rest.select("g").distinct(), "g", "left_semi")
+    named = similar(rest.withColumn("tokens", tagged(F.col("t"))), peers.select(F.col("k").alias("b"), tagged(F.col("t")).alias("tokens")), "k", "b", NAME_ONLY).where("k <> b")
     named = named.join(rest.select("k", F.col("a").alias("_a"), F.col("r").alias("_r")), "k").join(base.select(F.col("k").alias("b"), "a", "r"), "b")
     named = named.select("k", "b", score(F.col("score"), F.col("a") == F.col("_a"), F.col("r") == F.col("_r")).alias("score"))
     best = found.unionByName(named).groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("x"))

@@ -187,8 +187,7 @@ PARTS = "t AS (SELECT p_partkey AS k, list_distinct(list_concat(string_split(p_n
 @query(f"""WITH {PARTS}, x AS (SELECT k, len(tokens) AS n, unnest(tokens) AS tok FROM t), c AS (SELECT a.k AS left_key, b.k AS right_key, any_value(a.n) + any_value(b.n) - count(*) AS u, count(*) AS c FROM x a JOIN x b ON a.tok = b.tok AND a.k < b.k GROUP BY 1, 2)
 SELECT left_key, right_key, c::DOUBLE / u AS score FROM c WHERE c::DOUBLE / u >= 0.8""")
 def jaccard_parts(spark, d):
-    t = part_tokens(spark, d)
-    return resolve.similar(t.withColumnRenamed("p_partkey", "left_key"), t.withColumnRenamed("p_partkey", "right_key"), "left_key", "right_key", 0.8, ordered=True)
+    return resolve.similar_within(part_tokens(spark, d), "p_partkey", 0.8)
 
 
 @query("""WITH t AS (SELECT p_partkey AS k, p_brand, p_size, list_distinct(list_concat(string_split(p_name, ' '), [p_brand, p_type])) AS tokens FROM part),
