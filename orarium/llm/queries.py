@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from orarium.llm.bbit_minhash import near_duplicates
 from orarium.llm.compression_bands import compression_bands
 from orarium.llm.fair_mix import fair_mix
+from orarium.llm.kd_means import kd_means
 from orarium.llm.line_chunks import run_dedup
 from orarium.llm.mixture_lid import language_mixtures
 from orarium.llm.oracles import ORACLE_SQL as ORACLES
 from orarium.llm.quality_net import quality_scores
 from orarium.llm.repair_output import token_output
+from orarium.llm.spelling_variants import spelling_variants
 from orarium.llm.token_counts import token_counts
 from orarium.llm.url_trees import url_verdicts
 from orarium.llm.wu_manber import decontamination
@@ -71,6 +73,14 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op2_quality_net, op3_decontamination, op4_token_counts, op5_token_output, op6_mixture_lid, op7_line_chunks, op8_url_trees, op9_bbit_minhash, op10_fair_mix)}
+def op12_kd_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_means(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op2_quality_net, op3_decontamination, op4_token_counts, op5_token_output, op6_mixture_lid, op7_line_chunks, op8_url_trees, op9_bbit_minhash, op10_fair_mix, op12_kd_filter, op13_spelling_variants)}
 
 ORACLE_SQL: dict[str, str] = dict(ORACLES)
