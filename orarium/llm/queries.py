@@ -14,6 +14,7 @@ from orarium.llm.kd_means import kd_means
 from orarium.llm.line_chunks import run_dedup
 from orarium.llm.mixture_lid import language_mixtures
 from orarium.llm.oracles import ORACLE_SQL as ORACLES
+from orarium.llm.pruned_graph import near_vectors
 from orarium.llm.quality_net import quality_scores
 from orarium.llm.repair_output import token_output
 from orarium.llm.spelling_variants import spelling_variants
@@ -73,6 +74,10 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_kd_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_means(table(spark, sf_dir, "embeddings"))
 
@@ -81,6 +86,6 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op2_quality_net, op3_decontamination, op4_token_counts, op5_token_output, op6_mixture_lid, op7_line_chunks, op8_url_trees, op9_bbit_minhash, op10_fair_mix, op12_kd_filter, op13_spelling_variants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_bands, op2_quality_net, op3_decontamination, op4_token_counts, op5_token_output, op6_mixture_lid, op7_line_chunks, op8_url_trees, op9_bbit_minhash, op10_fair_mix, op11_pruned_graph, op12_kd_filter, op13_spelling_variants)}
 
 ORACLE_SQL: dict[str, str] = dict(ORACLES)
