@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orarium.functions.timez import is_proper_range, local_to_instant
+from orarium.operators.ranges import Run, in_order, running, settled
+
+#: Intervals of one key from which on they are spread over tasks.
+HOT = 1_000_000
 
 
 def range_span(date: Column, start: Column, end: Column, zone: Column | str) -> tuple[Column, Column]:
@@ -20,20 +24,43 @@ def window_span(date: Column, start: Column, end: Column, next_day: Column, zone
     return local_to_instant(date, start, zone), local_to_instant(F.when(next_day, F.date_add(date, 1)).otherwise(date), end, zone)
 
 
-def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", name: str = "run") -> DataFrame:
+def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", name: str = "run", hot: int | None = None) -> DataFrame:
     """Numbers the runs of overlapping or touching intervals of each key; empty intervals go.
 
-    One sort by key: a run starts where no earlier interval reaches."""
+    A run starts where no earlier interval reaches: a running maximum of the ends, in the order of the starts. Keys of up to
+    `hot` intervals take one sort by key. The intervals of others are range-sorted, so that a key is spread over tasks, and
+    the maximum and the number of runs are carried from partition to partition. Both give the same runs."""
+    hot = HOT if hot is None else hot
+    rows = df.where(F.col(end) > F.col(start))
+    crowded = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).drop("_n")
+    if crowded.isEmpty():
+        return sorted_islands(rows, keys, start, end, name)
+    crowded = settled(crowded, "hot-keys")
+    having = lambda how: rows.alias("a").join(crowded.alias("b"), F.expr(" AND ".join(f"a.`{k}` <=> b.`{k}`" for k in keys)), how)
+    return sorted_islands(having("left_anti"), keys, start, end, name).unionByName(spread_islands(having("left_semi"), keys, start, end, name))
+
+
+def fresh_run(reached: Column, start: str) -> Column:
+    return F.when(reached.isNull() | (F.col(start) > reached), 1).otherwise(0)
+
+
+def sorted_islands(rows: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(start, end)
     reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reached.isNull() | (F.col(start) > reached), 1).otherwise(0)
-    return df.where(F.col(end) > F.col(start)).withColumn("_fresh", fresh).withColumn(name, F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    return rows.withColumn("_fresh", fresh_run(reached, start)).withColumn(name, F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+
+
+def spread_islands(rows: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
+    order = [F.col(start).asc(), F.col(end).asc()]
+    reached = running(in_order(rows, order, keys), order, keys, _reached=Run(F.col(end), "max", before=True))
+    numbered = running(reached.withColumn("_fresh", fresh_run(F.col("_reached"), start)), order, keys, **{name: F.col("_fresh")})
+    return numbered.select(*rows.columns, name)
 
 
-def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", **aggregates: Column) -> DataFrame:
+def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", hot: int | None = None, **aggregates: Column) -> DataFrame:
     """keys, start, end, n_parts of the merged runs, with further aggregates of their parts."""
     return (
-        islands(df, keys, start, end)
+        islands(df, keys, start, end, hot=hot)
         .groupBy(*keys, "run")
         .agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_parts"), *[c.alias(n) for n, c in aggregates.items()])
         .drop("run")

@@ -5,52 +5,118 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orarium.functions.geo import REGISTRY_RADIUS_METRES, haversine
 from orarium.functions.text import jaccard
-from orarium.operators.ranges import settled
+from orarium.operators.ranges import discard, settled
+from orarium.operators.spatial import within
 
 # Similarity that a name alone needs, and what the same locality adds to break ties.
 NAME_ONLY, SAME_LOCALITY = 0.8, 0.01
 
 
-def token_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str = "tokens", most: float = 1.0, ordered: bool = False) -> DataFrame:
-    """left_key, right_key: pairs that share a token; ordered: only those with left_key < right_key, for a table with itself.
+def token_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str = "tokens", ordered: bool = False) -> DataFrame:
+    """left_key, right_key: pairs that share a token, as an equi join; ordered: only those with left_key < right_key, for a
+    table with itself."""
+    a, b = (df.select(F.col(k).alias(k), F.explode(tokens).alias("token")) for df, k in ((left, left_key), (right, right_key)))
+    both = a.join(b, (a.token == b.token) & (F.col(left_key) < F.col(right_key))) if ordered else a.join(b, "token")
+    return both.select(left_key, right_key).distinct()
 
-    Tokens are exploded so that the match is an equi join. With a similarity in view (most < 1), only the rarest
-    tokens that a pair must share are joined: of n tokens the n - ceil(most * n) + 1 rarest."""
-    rows = [df.select(F.col(k).alias(k), F.col(tokens).alias("_t")) for df, k in ((left, left_key), (right, right_key))]
-    counts = rows[0].select(F.explode("_t").alias("token")).unionByName(rows[1].select(F.explode("_t").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
 
-    def prefix(df: DataFrame, key: str) -> DataFrame:
-        long = df.select(key, F.size("_t").alias("_s"), F.explode("_t").alias("token")).join(counts, "token")
-        rare = Window.partitionBy(key).orderBy("n", "token")
-        return long.withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= F.col("_s") - F.ceil(F.col("_s") * most) + 1).select(key, "token")
+def shared_tokens(most: int) -> int:
+    """How many tokens make a key of `prefix_keys`, for sets of up to so many: more of them meet fewer strangers, but large
+    sets have too many combinations."""
+    return 3 if most <= 12 else 2 if most <= 40 else 1
 
-    a, b = (prefix(df, k) if most < 1 else df.select(k, F.explode("_t").alias("token")) for df, k in zip(rows, (left_key, right_key), strict=True))
-    both = a.join(b, (a.token == b.token) & (F.col(left_key) < F.col(right_key))) if ordered else a.join(b, "token")
-    return both.select(left_key, right_key).distinct()
+
+def prefix_keys(sets: DataFrame, key: str, least: float, count: int) -> DataFrame:
+    """key, _n (tokens), _k, _h: hashes of _k tokens each that sets alike by `least` must have in common; sets: key, _t (tokens, the
+    rarest first).
+
+    Sets of n tokens alike by `least` share c = ceil(least * n) or more, so both hold k of the shared ones among their
+    n - c + k rarest. k is `count`, or what the larger set's c allows where that is less: a set with a small c has keys of
+    every k from c on."""
+    n = F.size("_t")
+    c = F.greatest(F.ceil(F.round(F.lit(least) * n, 9)).cast("int"), F.lit(1))
+    each = sets.withColumns({"_n": n, "_c": c}).withColumn("_k", F.explode(F.sequence(F.least("_c", F.lit(count)), F.least("_n", F.lit(count)))))
+    each = each.withColumn("_p", F.slice("_t", 1, F.col("_n") - F.greatest("_c", "_k") + F.col("_k")))
+    at, last = (lambda i: F.col("_p")[i]), F.size("_p") - 1
+    after = lambda i: F.when(i < last, F.sequence(i + 1, last)).otherwise(F.array().cast("array<int>"))
+    every = F.sequence(F.lit(0), last)
+    one = F.transform(every, lambda i: F.xxhash64(at(i)))
+    two = F.flatten(F.transform(every, lambda i: F.transform(after(i), lambda j: F.xxhash64(at(i), at(j)))))
+    three = F.flatten(F.transform(every, lambda i: F.flatten(F.transform(after(i), lambda j: F.transform(after(j), lambda m: F.xxhash64(at(i), at(j), at(m)))))))
+    hashes = F.when(F.col("_k") == 1, one).when(F.col("_k") == 2, two).otherwise(three)
+    return each.select(key, "_n", "_k", F.explode(hashes).alias("_h"))
 
 
 def similar(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float, tokens: str = "tokens", ordered: bool = False) -> DataFrame:
-    """left_key, right_key, score: all pairs whose token sets have a Jaccard index of `least` or more."""
-    pairs = token_pairs(left, right, left_key, right_key, tokens, least, ordered)
-    both = pairs.join(left.select(left_key, F.col(tokens).alias("_a")), left_key).join(right.select(right_key, F.col(tokens).alias("_b")), right_key)
-    return both.withColumn("score", jaccard(F.col("_a"), F.col("_b"))).where(F.col("score") >= least).select(left_key, right_key, "score")
+    """left_key, right_key, score: all pairs whose token sets have a Jaccard index of `least` or more; ordered: only those
+    with left_key < right_key, for a table with itself.
+
+    Sets meet by combinations of their rarest tokens and by size; both sets travel with the keys, so each candidate is
+    measured where it is met."""
+    rows = [df.select(F.col(k).alias(k), F.array_distinct(tokens).alias("_t")).where(F.size("_t") > 0) for df, k in ((left, left_key), (right, right_key))]
+    counts = rows[0].select(F.explode("_t").alias("token")).unionByName(rows[1].select(F.explode("_t").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
+    most = max([0, *(df.agg(F.max(F.size("_t")).alias("n")).first().n or 0 for df in rows)])
+    count = shared_tokens(most)
 
+    def keyed(df: DataFrame, key: str, side: str) -> DataFrame:
+        long = df.select(key, F.explode("_t").alias("token")).join(counts, "token")
+        sets = settled(long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("_t")), "sorted-sets")
+        keys = prefix_keys(sets, key, least, count)
+        return keys.join(sets, key).select(key, F.col("_t").alias(f"_t{side}"), F.col("_n").alias(f"_n{side}"), "_k", "_h")
 
-def similar_within(rows: DataFrame, key: str, least: float, tokens: str = "tokens") -> DataFrame:
-    """left_key < right_key, score: all pairs of one table whose token sets have a Jaccard index of `least` or more.
+    a = keyed(rows[0], left_key, "a")
+    b = a.select(F.col(left_key).alias(right_key), F.col("_ta").alias("_tb"), F.col("_na").alias("_nb"), "_k", "_h") if ordered and left is right else keyed(rows[1], right_key, "b")
+    fits = (F.least("_na", "_nb") >= F.lit(least) * F.greatest("_na", "_nb") - 1e-9) & ((F.col(left_key) < F.col(right_key)) if ordered else F.lit(True))
+    score = jaccard(F.col("_ta"), F.col("_tb"))
+    return a.join(b, ["_k", "_h"]).where(fits).withColumn("score", score).where(F.col("score") >= least).groupBy(left_key, right_key).agg(F.first("score").alias("score"))
+
+
+def token_classes(rows: DataFrame, tokens: str = "tokens", by: list[str] | tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """One row for each set of tokens (sorted, without repeats; none for an empty one) and `by`, with further aggregates."""
+    sets = rows.withColumn(tokens, F.array_sort(F.array_distinct(tokens))).where(F.size(tokens) > 0)
+    return sets.groupBy(*by, tokens).agg(*[c.alias(n) for n, c in columns.items()])
 
-    Rows with equal sets are one class; classes are compared, and only similar ones are spread to their rows again."""
-    keyed = rows.where(F.size(tokens) > 0).select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t"))
-    classes = settled(keyed.groupBy("t").agg(F.min("k").alias("c")))
-    members = settled(keyed.join(classes, "t").select("k", "c"))
-    one, other = (classes.select(F.col("c").alias(n), F.col("t").alias("tokens")) for n in ("c1", "c2"))
-    alike = similar(one, other, "c1", "c2", least, ordered=True)
-    first, second = (members.select(F.col("k").alias(f"k{n}"), F.col("c").alias(f"c{n}")) for n in (1, 2))
-    across = alike.join(first, "c1").join(second, "c2").select("k1", "k2", "score")
-    inside = first.join(second, (F.col("c1") == F.col("c2")) & (F.col("k1") < F.col("k2"))).select("k1", "k2", F.lit(1.0).alias("score"))
-    return across.unionByName(inside).select(F.least("k1", "k2").alias("left_key"), F.greatest("k1", "k2").alias("right_key"), "score")
+
+def similar_classes(rows: DataFrame, key: str, least: float, tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """class_key (the smallest key of equal sets), n, tokens of the classes of a table; and one < other, score: the pairs of
+    classes whose sets have a Jaccard index of `least` or more."""
+    classes = settled(token_classes(rows, tokens, class_key=F.min(key), n=F.count("*")).withColumnRenamed(tokens, "tokens"), "token-classes")
+    one, other = (classes.select(F.col("class_key").alias(n), "tokens") for n in ("one", "other"))
+    return classes, similar(one, other, "one", "other", least, ordered=True)
+
+
+def similar_within(rows: DataFrame, key: str, least: float, tokens: str = "tokens") -> DataFrame:
+    """key, class_key, n_similar: each row with the smallest key of its own set, and how many other rows of the table have
+    a set with a Jaccard index of `least` or more. Rows without tokens are like none.
+
+    Rows with equal sets are one class; only classes are compared, and what comes out is a row for each row, however
+    many are alike. `similar_classes` has the pairs themselves, by class."""
+    classes, pairs = similar_classes(rows, key, least, tokens)
+    sizes = classes.select("class_key", "n")
+    both = pairs.join(sizes.select(F.col("class_key").alias("one"), F.col("n").alias("n_one")), "one").join(sizes.select(F.col("class_key").alias("other"), F.col("n").alias("n_other")), "other")
+    sides = F.array(F.struct(F.col("one").alias("class_key"), F.col("n_other").alias("more")), F.struct(F.col("other").alias("class_key"), F.col("n_one").alias("more")))
+    more = both.select(F.inline(sides)).groupBy("class_key").agg(F.sum("more").alias("more"))
+    counted = classes.join(more, "class_key", "left").select(F.col("tokens").alias("_t"), "class_key", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_similar"))
+    keyed = rows.select(F.col(key).alias(key), F.array_sort(F.array_distinct(tokens)).alias("_t"))
+    return keyed.join(counted, "_t", "left").select(key, F.coalesce("class_key", F.col(key)).alias("class_key"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"))
+
+
+def most_alike(entries: DataFrame, known: DataFrame, key: str, other: str, least: float, position: str = "position", tokens: str = "tokens", by: list[str] | tuple[str, ...] = (), rank: str = "score") -> DataFrame:
+    """key, other, score: for each entry the known row whose token set (of the same `by`) is most alike, from `least` on;
+    ties, or with rank="position" all, by position.
+
+    Equal sets are one class on both sides, of which the known row that comes first stands for all; classes meet by their
+    rarest tokens, tagged with `by`. So the work grows with the number of different sets, not with pairs of rows."""
+    tagged = F.transform(tokens, lambda t: F.concat_ws("|", *[F.col(c).cast("string") for c in by], t))
+    mine = settled(token_classes(entries, tokens, by, n=F.count("*")).withColumn("_e", F.monotonically_increasing_id()), "entry-classes")
+    theirs = settled(token_classes(known, tokens, by, first=F.min(F.struct(position, other))).withColumn("_k", F.monotonically_increasing_id()), "known-classes")
+    pairs = similar(mine.select("_e", tagged.alias("tokens")), theirs.select("_k", tagged.alias("tokens")), "_e", "_k", least).join(theirs.select("_k", "first"), "_k")
+    order = F.struct((-F.col("score")).alias("s"), F.col("first")) if rank == "score" else F.struct(F.col("first"), (-F.col("score")).alias("s"))
+    best = pairs.groupBy("_e").agg(F.min(order).alias("best"))
+    found = mine.join(best, "_e").select(*by, F.col(tokens).alias("_t"), "best")
+    keyed = entries.select(key, *by, F.array_sort(F.array_distinct(tokens)).alias("_t"))
+    return keyed.join(found, [*by, "_t"]).select(key, F.col(f"best.first.{other}").alias(other), (-F.col("best.s")).alias("score"))
 
 
 def match_score(similarity: Column, same_address: Column, shares_token: Column, same_locality: Column) -> Column:
@@ -106,27 +172,38 @@ def greedy_assignment(scored: DataFrame, lists: str, key: str, other: str) -> Da
     is taken gets its next strong candidate, or none.
 
     As every candidate would rather have the entry whose turn is first, offers can be made at once: each free entry asks
-    its first candidate that hasn't refused it, and a candidate holds the earliest that asks. Rounds end when nobody is
-    left to ask; each is two aggregations, and no list is held by one task.
+    its first candidate that no earlier entry holds, and a candidate holds the earliest that asks. Entries with one and
+    the same list of candidates don't queue for its head: the second of them asks the second candidate, and so on, as the
+    ones before it will hold what comes before. Rounds end when nobody is left to ask; what is kept between them is who
+    holds each candidate.
     scored: lists, key, position, other, other_position, score, strong."""
     fit = scored.where("score IS NOT NULL")
     order = Window.partitionBy(lists, key).orderBy(F.desc("score"), "other_position")
     ranked = fit.withColumn("choice", F.row_number().over(order)).where(F.col("strong") | (F.col("choice") == 1))
     turn = fit.groupBy(lists, key).agg(F.struct((-F.max("score")).alias("s"), F.min("position").alias("p"), F.first(key).alias("k")).alias("turn"))
-    offers = settled(ranked.select(lists, key, other, "choice").join(turn, [lists, key]))
-    entries = turn.select(lists, key)
-    held, refused = None, None
+    options = F.transform(F.array_sort(F.collect_list(F.struct("choice", other))), lambda x: x[other])
+    entries = settled(ranked.groupBy(lists, key).agg(options.alias("options")).join(turn, [lists, key]), "entries")
+    offers = settled(entries.select(lists, key, "turn", "options", F.posexplode("options").alias("choice", other)), "offers")
+    held = None
     while True:
-        open_offers = offers if refused is None else offers.join(refused, [lists, key, other], "left_anti")
-        asking = open_offers.groupBy(lists, key).agg(F.min_by(other, "choice").alias(other), F.first("turn").alias("turn"))
-        keeps = asking.withColumn("kept", F.col("turn") == F.min("turn").over(Window.partitionBy(lists, other)))
-        keeps = settled(keeps)
-        lost = keeps.where("NOT kept").select(lists, key, other)
-        if lost.isEmpty():
-            held = keeps.select(lists, key, other)
+        if held is None:
+            free = offers.withColumn("holder", F.lit(None).cast(offers.schema["turn"].dataType))
+        else:
+            free = offers.join(held.select(lists, key), [lists, key], "left_anti").join(held.select(lists, other, F.col("turn").alias("holder")), [lists, other], "left")
+            free = free.where("holder IS NULL OR turn < holder")
+        alike = Window.partitionBy(lists, "options")
+        free = free.withColumns({"bound": F.min("holder").over(alike), "nth": F.dense_rank().over(alike.orderBy("turn")), "option": F.row_number().over(Window.partitionBy(lists, key).orderBy("choice"))})
+        # beyond the first holder's turn the candidates still open differ between alike entries: those wait a round
+        asks = free.where((F.col("option") == F.col("nth")) & ((F.col("nth") == 1) | F.col("bound").isNull() | (F.col("turn") < F.col("bound")))).select(lists, key, other, "turn")
+        asks = settled(asks, "asks")
+        if asks.isEmpty():
             break
-        refused = settled(lost if refused is None else refused.unionByName(lost))
-    return entries.join(held, [lists, key], "left").select(lists, key, other)
+        rows = asks if held is None else held.unionByName(asks)
+        best = rows.groupBy(lists, other).agg(F.min(F.struct("turn", key)).alias("b"))
+        before, held = held, settled(best.select(lists, F.col(f"b.{key}").alias(key), other, F.col("b.turn").alias("turn")), "held")
+        discard(asks, *([before] if before is not None else []))
+    matches = held.select(lists, key, other) if held is not None else offers.select(lists, key, other).limit(0)
+    return turn.select(lists, key).join(matches, [lists, key], "left").select(lists, key, other)
 
 
 def unique_best(scored: DataFrame, key: str, other: str) -> DataFrame:
@@ -155,10 +232,13 @@ def locate(entities: DataFrame, places: DataFrame, radius: float = 300.0) -> Dat
     confident), by a name token within the radius (nearest). The first way that finds one is taken.
 
     entities: entity_id, phone, tokens, address_key, lat, lon; places: place_id, phones, tokens, address_key, confidence, lat, lon."""
-    by_phone = entities.select("entity_id", "phone").join(places.select("place_id", "confidence", F.explode("phones").alias("phone")), "phone").select("entity_id", "place_id", F.lit(1).alias("way"), (-F.col("confidence")).alias("rank"))
-    pairs = token_pairs(entities, places, "entity_id", "place_id").join(entities.select("entity_id", "address_key", "lat", "lon"), "entity_id").join(places.select("place_id", "confidence", F.col("address_key").alias("_key"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "place_id")
-    metres = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), REGISTRY_RADIUS_METRES)
-    by_name = pairs.where("address_key = _key").select("entity_id", "place_id", F.lit(2).alias("way"), (-F.col("confidence")).alias("rank"))
-    by_distance = pairs.withColumn("rank", metres).where(F.col("rank") <= radius).select("entity_id", "place_id", F.lit(3).alias("way"), "rank")
+    by_phone = entities.select("entity_id", "phone").join(places.select(F.explode("phones").alias("phone"), F.struct((-F.col("confidence")).cast("double").alias("rank"), "place_id").alias("best")).groupBy("phone").agg(F.min("best").alias("best")), "phone").select("entity_id", F.lit(1).alias("way"), "best")
+    named = places.select(F.explode(F.array_distinct("tokens")).alias("token"), "address_key", "place_id", "confidence", "lat", "lon")
+    asked = entities.select("entity_id", F.explode(F.array_distinct("tokens")).alias("token"), "address_key", "lat", "lon")
+    # of the places of a token at one address only the most confident can be chosen, and at one spot only the first
+    at_address = named.groupBy("token", "address_key").agg(F.min(F.struct((-F.col("confidence")).cast("double").alias("rank"), "place_id")).alias("best"))
+    by_name = asked.join(at_address, ["token", "address_key"]).select("entity_id", F.lit(2).alias("way"), "best")
+    spots = named.groupBy("token", "lat", "lon").agg(F.min("place_id").alias("place_id"))
+    by_distance = within(asked.select("entity_id", "token", "lat", "lon"), spots, radius, ["token"]).select("entity_id", F.lit(3).alias("way"), F.struct(F.col("metres").alias("rank"), "place_id").alias("best"))
     every = by_phone.unionByName(by_name).unionByName(by_distance)
-    return every.groupBy("entity_id").agg(F.min(F.struct("way", "rank", "place_id")).alias("best")).select("entity_id", "best.place_id", "best.way")
+    return every.groupBy("entity_id").agg(F.min(F.struct("way", "best")).alias("x")).select("entity_id", "x.best.place_id", "x.way")

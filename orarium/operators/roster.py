@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orarium.functions.geo import REGISTRY_RADIUS_METRES, haversine
-from orarium.functions.text import entity_id, jaccard, match_key, name_tokens, normalize_phone
-from orarium.operators.resolve import similar
+from orarium.functions.text import entity_id, match_key, name_tokens, normalize_phone
+from orarium.operators.periods import held
+from orarium.operators.resolve import most_alike
 
 # Metres between a place matched by phone and the address's own before it is reported, and how far a place
 # of that name may lie from an address found exactly, by street or by locality.
@@ -46,8 +47,7 @@ def first_named(rows: DataFrame, roster: DataFrame, row_key: str, phones: str =
 
 def not_exempt(duties: DataFrame, exemptions: DataFrame) -> DataFrame:
     """Duties (phone, date, …) but those of a phone inside an exemption's dates (phone, from, to)."""
-    ranges = exemptions.select(F.col("phone").alias("_phone"), F.col("from").alias("_from"), F.col("to").alias("_to"))
-    return duties.join(ranges, (F.col("phone") == F.col("_phone")) & F.col("date").between(F.col("_from"), F.col("_to")), "left_anti")
+    return duties.join(held(duties, exemptions, "date", "from", "to", ["phone"]), ["phone", "date"], "left_anti")
 
 
 def entry_ids(entries: DataFrame, known: DataFrame) -> DataFrame:
@@ -57,8 +57,7 @@ def entry_ids(entries: DataFrame, known: DataFrame) -> DataFrame:
     entries: key, name, locality, phone; known: id, name, locality, position."""
     bad = entries.where(normalize_phone(F.col("phone")).isNull()).select("key", match_key(F.col("locality")).alias("_l"), name_tokens(F.col("name")).alias("_t"))
     have = known.select("id", "position", match_key(F.col("locality")).alias("_l"), name_tokens(F.col("name")).alias("_k"))
-    alike = bad.join(have, "_l").where(jaccard(F.col("_t"), F.col("_k")) >= BAD_PHONE)
-    found = alike.groupBy("key").agg(F.min_by("id", "position").alias("_id"))
+    found = most_alike(bad.withColumnRenamed("_t", "tokens"), have.withColumnRenamed("_k", "tokens"), "key", "id", BAD_PHONE, by=["_l"], rank="position").select("key", F.col("id").alias("_id"))
     return entries.join(found, "key", "left").select("key", F.coalesce("_id", entity_id(F.col("phone"), F.col("name"), F.col("locality"))).alias("id"))
 
 
@@ -103,8 +102,7 @@ def rematched(entries: DataFrame, known: DataFrame, key: str, least: float = 0.8
     first); entries without one go, as they did before.
 
     entries: key, tokens; known: entity_id, tokens, position."""
-    pairs = similar(entries, known, key, "entity_id", least).join(known.select("entity_id", "position"), "entity_id")
-    return pairs.groupBy(key).agg(F.min(F.struct(-F.col("score"), "position", "entity_id")).alias("best")).select(key, "best.entity_id")
+    return most_alike(entries, known, key, "entity_id", least).select(key, "entity_id")
 
 
 def choose_location(entities: DataFrame) -> DataFrame:

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from orarium.functions.timez import iso_weekday
 from orarium.operators.intervals import range_span, window_span
+from orarium.operators.periods import first_fitting
 
-#: Validity periods that a join by range takes.
-MOST_PERIODS = 100_000
 RANGES = "array<struct<`from`:string,`to`:string>>"
 
 
@@ -46,22 +45,19 @@ def in_period(date: Column, start: Column, end: Column) -> Column:
     return (start <= date) & (end.isNull() | (date <= end))
 
 
-def first_period(days: DataFrame, periods: DataFrame, on: Column, seq: str, keys: list[str]) -> DataFrame:
-    """Each row of days with the first period (by seq) that fits it. The condition is a range, so Spark loops over the
-    periods, which it broadcasts: up to MOST_PERIODS of them."""
-    first = Window.partitionBy(*keys).orderBy(seq)
-    if len(periods.take(MOST_PERIODS + 1)) > MOST_PERIODS:
-        raise ValueError(f"more than {MOST_PERIODS} periods: join them by an equi key first")
-    return days.join(F.broadcast(periods), on, "left").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-
-
 def regular_ranges(days: DataFrame, regular: DataFrame) -> DataFrame:
     """entity_id, date, group_id -> ranges of the first area-wide or fitting period; none without a period.
 
     A null group matches area-wide periods only."""
-    fits = in_period(F.col("date"), F.col("valid_from"), F.col("valid_to")) & (F.col("groups").isNull() | F.coalesce(F.array_contains("groups", F.col("group_id")), F.lit(False)))
+    every = F.lit("all")
     periods = regular.groupBy("seq", "valid_from", "valid_to", "groups").agg(F.map_from_entries(F.collect_list(F.struct("weekday", "ranges"))).alias("week"))
-    found = first_period(days, periods, fits, "seq", ["entity_id", "date"])
+    own = lambda g: F.concat(F.lit("group "), g)
+    by_group = periods.select("seq", "valid_from", "valid_to", F.explode(F.coalesce(F.transform("groups", own), F.array(every))).alias("whose"))
+    # groups and dates are few, whatever the number of entities
+    seen = days.select("group_id", "date").distinct().select("group_id", "date", F.explode(F.array_compact(F.array(every, own(F.col("group_id"))))).alias("whose"))
+    first = seen.join(first_fitting(seen, by_group, "date", "valid_from", "valid_to", "seq", ["whose"]), ["whose", "date"]).groupBy("group_id", "date").agg(F.min("seq").alias("seq"))
+    weeks = first.join(periods.select("seq", "week").dropDuplicates(["seq"]), "seq").select(F.col("group_id").alias("_g"), F.col("date").alias("_d"), "seq", "week")
+    found = days.join(weeks, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("date") == F.col("_d")), "left")
     return found.select("entity_id", "date", F.try_element_at("week", iso_weekday(F.col("date"))).alias("ranges"), F.col("seq").isNotNull().alias("regular_known"))
 
 

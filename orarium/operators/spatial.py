@@ -7,16 +7,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orarium.functions.geo import box_area, haversine, in_box
+from orarium.functions.geo import REGISTRY_RADIUS_METRES, box_area, haversine, in_box
 from orarium.operators.ranges import settled
 
 METRES_A_DEGREE = 111_195.0
 
 
-#: Targets up to which each point meets all of them; more are searched by grid.
+#: Targets up to which each point meets all of them; more are searched by grid, with the same result.
 FEW_TARGETS = 1000
 
 
+def located(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+
+
 def cell_size(points: DataFrame, others: DataFrame, k: int, lat: str, lon: str) -> float:
     """Degrees of a grid cell of which 3 x 3 hold some 4 k of the others: from their number and the box around them."""
     n, south, north, west, east = others.agg(F.count(lat), F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
@@ -33,8 +37,9 @@ def knn(points: DataFrame, others: DataFrame, k: int, key: str = "id", other: st
     in grid cells: first those in the 3 x 3 cells around, of a size that suits the density; then, for points whose k-th
     neighbour may lie farther out, wider rings, until every point has its k or the rings cover the map. Each round is an
     equi join and is settled before the next; one hot cell is split by Spark."""
-    other_rows = others.where(F.col(lat).isNotNull()).select(F.col(key if same else other).alias(other), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    open_points, done = points.where(F.col(lat).isNotNull()).select(key, lat, lon), None
+    others, points = located(others, lat, lon), located(points, lat, lon)
+    other_rows = others.select(F.col(key if same else other).alias(other), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    open_points, done = points.select(key, lat, lon), None
     degrees = degrees or cell_size(points, others, k, lat, lon)
     best = Window.partitionBy(key).orderBy("metres", other)
     while True:
@@ -60,8 +65,10 @@ def knn(points: DataFrame, others: DataFrame, k: int, key: str = "id", other: st
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, metres=lambda d: d) -> DataFrame:
-    """The nearest target of each point (ties by target). A few targets are broadcast and all measured; more are searched
-    by grid."""
+    """The nearest target of each point (ties by target); none of a point without a place, or where no target has one.
+
+    A few targets are broadcast and all measured; more are searched by grid."""
+    points, targets = located(points), located(targets)
     if len(targets.select(target).take(FEW_TARGETS + 1)) > FEW_TARGETS:
         return knn(points, targets, 1, key, target, metres=metres, same=False).select(key, target, "metres")
     pairs = points.crossJoin(F.broadcast(targets.select(F.col(target), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))))
@@ -69,6 +76,29 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, metres
     return found.groupBy(key).agg(F.min(F.struct("metres", target)).alias("best")).select(key, f"best.{target}", "best.metres")
 
 
+def within(points: DataFrame, others: DataFrame, radius: float, keys: list[str] | tuple[str, ...] = (), sphere: float = REGISTRY_RADIUS_METRES) -> DataFrame:
+    """points with the others (of equal keys) at most `radius` metres away, and metres; columns of both but the others' place.
+
+    Both meet in cells: bands of latitude as wide as the radius, cut into lengths that are as wide at the band's edge
+    nearest a pole; a point asks the cells that its circle touches in three bands, around the date line as well."""
+    deg = math.degrees(radius / sphere) * 1.0001
+    bands = math.ceil(180 / deg)
+    band = lambda lat: F.floor((lat + 90) / deg)
+    edge = lambda y: F.greatest(F.abs(y * deg - 90), F.abs((y + 1) * deg - 90))
+    lengths = lambda y: F.greatest(F.floor(360 / deg * F.cos(F.radians(F.least(edge(y), F.lit(90.0))))), F.lit(1))
+    column = lambda lon, y: F.floor((lon + 180) / 360 * lengths(y))
+    # how far the circle reaches in longitude; round the pole it takes all
+    top = F.abs(F.col("lat")) + deg
+    reach = F.when(top >= 89.9, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(math.radians(min(deg, 90.0)))) / F.cos(F.radians("lat"))))) * 1.0001)
+    asked = located(points).withColumn("_y", F.explode(F.sequence(F.greatest(band(F.col("lat")) - 1, F.lit(0)), F.least(band(F.col("lat")) + 1, F.lit(bands)))))
+    n = lengths(F.col("_y"))
+    low, high = column(F.col("lon") - reach, F.col("_y")), column(F.col("lon") + reach, F.col("_y"))
+    asked = asked.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(low, F.least(high, low + n - 1)), lambda x: F.pmod(x, n)))))
+    there = located(others).withColumn("_y", band(F.col("lat"))).withColumn("_x", F.pmod(column(F.col("lon"), F.col("_y")), lengths(F.col("_y"))))
+    both = asked.join(there.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), [*keys, "_y", "_x"])
+    return both.withColumn("metres", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), sphere)).where(F.col("metres") <= radius).drop("_x", "_y", "_lat", "_lon")
+
+
 def smallest_box(points: DataFrame, boxes: DataFrame, key: str, area: str, position: str) -> DataFrame:
     """The smallest box (west, south, east, north) that holds each point, ties by list order; null outside of all.
 

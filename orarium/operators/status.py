@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from orarium.functions.timez import duty_date, local_to_instant, zoned_date
 from orarium.operators.intervals import contains, islands, merge, window_span
+from orarium.operators.ranges import Run, running
 
 HORIZON = "INTERVAL 7 DAYS"
 CLOSING_SOON = "INTERVAL 30 MINUTES"
 
 
-def status_at(entities: DataFrame, openings: DataFrame, listings: DataFrame, at: Column, zone: str) -> DataFrame:
+def status_at(entities: DataFrame, openings: DataFrame, listings: DataFrame, at: Column, zone: str, past: bool = True) -> DataFrame:
     """entity_id -> state (open, duty-hours-unknown, closed), until, closing_soon, next_open, reasons, run_reasons.
 
     openings: those of the dates from the day before `at` to the last day of the horizon; entities: every id asked for
     (unknown ones are closed). In this order: open; listed on the duty day without hours; on call just now; closed.
-    `until` and `next_open` look 7 x 24 hours ahead, and a run that goes on is cut there."""
+    `until` and `next_open` look 7 x 24 hours ahead, and a run that goes on is cut there. past: whether the reasons of a run
+    include those of its parts that have ended; without them only openings that touch the horizon are read, so a long history
+    costs a filter, and state, until and next_open are the same."""
+    if not past:
+        openings = openings.where((F.col("end") > at) & (F.col("start") < at + F.expr(HORIZON)))
     numbered = islands(openings, ["entity_id"])
     run = Window.partitionBy("entity_id", "run")
     whole = numbered.withColumns({"run_start": F.min("start").over(run), "run_end": F.max("end").over(run)})
@@ -95,6 +100,35 @@ def next_change(openings: DataFrame, on_call: DataFrame, at: Column, zone: str)
     return moments.where(F.col("t") > at).agg(F.least(F.min("t"), F.first(own)).alias("t")).select(F.coalesce("t", own).alias("next_change"))
 
 
+def state_changes(openings: DataFrame) -> DataFrame:
+    """at, opened, closed, n_open: every instant at which an entity opens or closes, and how many are open from then on.
+
+    A sweep over the edges of the merged runs: +1 where one starts, -1 where it ends, summed by instant, then a running sum
+    over range partitions."""
+    edge = lambda at, opened: F.struct(F.col(at).alias("at"), F.lit(opened).alias("opened"), F.lit(1 - opened).alias("closed"))
+    edges = merge(openings, ["entity_id"]).select(F.inline(F.array(edge("start", 1), edge("end", 0))))
+    moments = edges.groupBy("at").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
+    return running(moments, [F.col("at").asc()], n_open=F.col("opened") - F.col("closed"))
+
+
+def next_changes(asked: DataFrame, openings: DataFrame, on_call: DataFrame, zone: str, at: str = "at") -> DataFrame:
+    """Each row of asked with next_change, as `next_change` finds it for one instant.
+
+    Instants and edges are put in one order from the last to the first; the latest edge passed is the next one to come. So
+    no instant meets all edges, and no task holds them."""
+    step = F.expr("INTERVAL 1 MILLISECOND")
+    edges = F.array("start", "end", F.col("end") - F.expr(CLOSING_SOON), F.col("start") - F.expr(HORIZON) + step)
+    moments = openings.where("end > start").select(F.explode(edges).alias("_t")).unionByName(on_call.select(F.explode(F.array("start", "end")).alias("_t"))).distinct()
+    # an edge at the very instant is no change to come: it stands after the instant
+    rows = asked.select(F.col(at).alias("_t"), F.lit(0).alias("_edge"), F.struct(*asked.columns).alias("_row")).unionByName(moments.select("_t", F.lit(1).alias("_edge")), allowMissingColumns=True)
+    order = [F.col("_t").desc(), F.col("_edge").asc()]
+    passed = running(rows, order, _next=Run(F.when(F.col("_edge") == 1, F.col("_t")), "min", before=True)).where("_edge = 0")
+    today = zoned_date(F.col("_t"), zone)
+    clock = F.array(*[local_to_instant(F.date_add(today, k), F.lit(t), zone) for k in (0, 1) for t in ("00:00", "08:00")])
+    own = F.array_min(F.filter(clock, lambda t: t > F.col("_t")))
+    return passed.select("_row.*", F.least("_next", own).alias("next_change"))
+
+
 def status_grid(entities: DataFrame, openings: DataFrame, low: Column, high: Column, step: str) -> DataFrame:
     """entity_id, at, is_open, until, closing_soon of every entity at every `step` from low to before high.
 

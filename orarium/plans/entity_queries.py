@@ -184,9 +184,11 @@ def part_tokens(spark, d):
 PARTS = "t AS (SELECT p_partkey AS k, list_distinct(list_concat(string_split(p_name, ' '), [p_brand, p_type])) AS tokens FROM part)"
 
 
-@query(f"""WITH {PARTS}, x AS (SELECT k, len(tokens) AS n, unnest(tokens) AS tok FROM t), c AS (SELECT a.k AS left_key, b.k AS right_key, any_value(a.n) + any_value(b.n) - count(*) AS u, count(*) AS c FROM x a JOIN x b ON a.tok = b.tok AND a.k < b.k GROUP BY 1, 2)
-SELECT left_key, right_key, c::DOUBLE / u AS score FROM c WHERE c::DOUBLE / u >= 0.8""")
+@query(f"""WITH {PARTS}, x AS (SELECT k, len(tokens) AS n, unnest(tokens) AS tok FROM t), c AS (SELECT a.k, b.k AS other, any_value(a.n) + any_value(b.n) - count(*) AS u, count(*) AS c FROM x a JOIN x b ON a.tok = b.tok AND a.k <> b.k GROUP BY 1, 2),
+m AS (SELECT k, count(*) AS n FROM c WHERE c::DOUBLE / u >= 0.8 GROUP BY k)
+SELECT k AS p_partkey, min(k) OVER (PARTITION BY list_sort(tokens)) AS class_key, coalesce(n, 0)::BIGINT AS n_similar FROM t LEFT JOIN m USING (k)""")
 def jaccard_parts(spark, d):
+    """Each part with the smallest one of equal tokens, and how many others are alike by 0.8 or more."""
     return resolve.similar_within(part_tokens(spark, d), "p_partkey", 0.8)
 
 
@@ -215,9 +217,9 @@ def greedy_assignment(spark, d):
     t = part_tokens(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand", F.floor(F.col("p_partkey") / 400).alias("street")), "p_partkey")
     odd = t.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "entry")
     even = t.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "match")
-    # a street's numbers are bounded; beyond it only similar names are candidates
+    # a street's numbers are bounded; beyond it only the most similar name can be chosen
     strong = odd.select("entry", "p_brand", "street").join(even.select("match", "p_brand", "street"), ["p_brand", "street"]).select("entry", "match")
-    alike = resolve.similar(odd, even, "entry", "match", resolve.NAME_ONLY).select("entry", "match")
+    alike = resolve.most_alike(odd, even.withColumn("position", F.col("match")), "entry", "match", resolve.NAME_ONLY, by=["p_brand"]).select("entry", "match")
     mate = even.select("match", F.col("p_brand").alias("_brand"), F.col("street").alias("_street"), F.col("tokens").alias("_tokens"))
     pairs = strong.union(alike).distinct().join(odd, "entry").join(mate, "match").where("p_brand = _brand").withColumn("strong", F.col("street") == F.col("_street"))
     score = resolve.match_score(text.jaccard(F.col("tokens"), F.col("_tokens")), F.col("strong"), F.lit(True), F.lit(False))
@@ -373,6 +375,24 @@ def ranked_search(spark, d):
     return search.ranked_search(p, "bo", "p_name", "code", ["bo"]).select("p_partkey", "score")
 
 
+ASKED = """q AS (SELECT p_partkey AS query_id, [lower(p_type)] AS t, string_split(p_name, ' ') AS n, p_partkey % 5 AS kind FROM part),
+asked AS (SELECT query_id, CASE kind WHEN 0 THEN [n[1][:2]] WHEN 1 THEN [n[1][:3], n[2][:2]] WHEN 2 THEN [t[1] || 's'] WHEN 3 THEN [n[2], t[1][:3]] ELSE [t[1][:-2] || 'ie'] END AS w FROM q)"""
+HIT = "(starts_with({w}, {q}) OR len({w}) >= 7 AND (starts_with({q}, {w}) AND len({q}) - len({w}) <= 2 OR NOT starts_with({q}, {w}) AND starts_with({q}, {w}[:-2]) AND len({q}) - len({w}) + 1 <= 2))"
+
+
+@query(f"""WITH {ASKED}, lists AS (SELECT DISTINCT w FROM asked), names AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS n, lower(p_type) AS t, p_type FROM part),
+s AS (SELECT w, p_name, p_type, CASE WHEN len(list_filter(w, lambda q: len(list_filter(n, lambda x: {HIT.format(w='x', q='q')})) > 0)) = len(w) THEN CASE WHEN {HIT.format(w='n[1]', q='w[1]')} THEN 0 ELSE 1 END
+  WHEN len(list_filter(w, lambda q: len(list_filter(list_append(n, t), lambda x: {HIT.format(w='x', q='q')})) > 0)) = len(w) THEN 2 END AS score FROM lists CROSS JOIN names),
+r AS (SELECT w, p_partkey, score, row_number() OVER (PARTITION BY w ORDER BY score, p_name, p_partkey)::INT AS nth FROM s JOIN part USING (p_name, p_type) WHERE score IS NOT NULL)
+SELECT query_id, p_partkey, score, nth FROM asked JOIN r USING (w) WHERE nth <= 3""")
+def search_many(spark, d):
+    """Three parts for each of as many queries as there are parts: whole and cut words, and words with other endings."""
+    p = table(spark, d, "part").select("p_partkey", "p_name", F.split("p_name", " ").alias("name_words"), F.array(F.lower("p_type")).alias("substance_words"))
+    k, n, t = F.col("p_partkey"), F.col("name_words"), F.col("substance_words")[0]
+    asked = F.when(k % 5 == 0, F.array(F.left(n[0], F.lit(2)))).when(k % 5 == 1, F.array(F.left(n[0], F.lit(3)), F.left(n[1], F.lit(2)))).when(k % 5 == 2, F.array(F.concat(t, F.lit("s")))).when(k % 5 == 3, F.array(n[1], F.left(t, F.lit(3)))).otherwise(F.array(F.concat(F.left(t, F.length(t) - 1), F.lit("ie"))))
+    return search.search_many(p.select(k.alias("query_id"), asked.alias("query_words")), p, "p_partkey", ["p_name", "p_partkey"], 3)
+
+
 @query("""SELECT n_name, starts_with(k, 'nation1') AS starts FROM (SELECT n_name, replace(lower(n_name), '_', '') AS k FROM nation) WHERE contains(k, 'nation1')""")
 def prefix_search(spark, d):
     n = table(spark, d, "nation").withColumn("key", F.replace(F.lower("n_name"), F.lit("_"), F.lit("")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orarium.functions.calendar import holiday_rows, orthodox_easter, years_between
 from orarium.functions.geo import sun_elevation
 from orarium.functions.timez import duty_date, is_proper_range, iso_weekday, local_to_instant, normalize_time, time_of, zoned_date, zoned_minutes
-from orarium.operators import intervals, schedules, status, visits
+from orarium.operators import intervals, periods, schedules, status, visits
 from orarium.plans.registry import register
 from orarium.sources.tables import table
 
@@ -66,10 +66,10 @@ def listed(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def statuses(spark: SparkSession, d: str) -> DataFrame:
+def statuses(spark: SparkSession, d: str, past: bool = False) -> DataFrame:
     """Every user, and one that nobody knows, at the fixed instant."""
     entities = table(spark, d, "events").select(F.col("user_id").alias("entity_id")).distinct().union(spark.range(-1, 0).toDF("entity_id"))
-    return status.status_at(entities, opened(spark, d), listed(spark, d), at_instant(), ZONE)
+    return status.status_at(entities, opened(spark, d), listed(spark, d), at_instant(), ZONE, past)
 
 
 @query(f"WITH {RUNS} SELECT * FROM runs")
@@ -91,7 +91,8 @@ def open_at_instant(spark, d):
 @query(f"""WITH {RUNS}, ahead AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_us) AS n FROM runs WHERE end_us > {AT} AND start_us < {AT + 168 * HOUR})
 SELECT user_id, greatest(start_us, {AT}) AS next_us, least(end_us, {AT + 168 * HOUR}) AS until_us FROM ahead WHERE n = 1""")
 def next_open(spark, d):
-    ahead = intervals.clip(runs(spark, d), F.lit(AT), F.lit(AT + 168 * HOUR), "start_us", "end_us")
+    ahead = acts(spark, d).where((F.col("end_us") > AT) & (F.col("start_us") < AT + 168 * HOUR))
+    ahead = intervals.clip(intervals.merge(ahead, ["user_id"], "start_us", "end_us"), F.lit(AT), F.lit(AT + 168 * HOUR), "start_us", "end_us")
     return ahead.groupBy("user_id").agg(F.min("start_us").alias("next_us"), F.min_by("end_us", "start_us").alias("until_us"))
 
 
@@ -121,6 +122,34 @@ def next_status_change(spark, d):
     return status.next_change(opened(spark, d), calls, at_instant(), "UTC").select(F.unix_micros("next_change").alias("next_us"))
 
 
+@query(f"""WITH {RUNS}, x AS (SELECT unnest([start_us, end_us]) AS at_us, unnest([1, 0]) AS opened FROM runs), g AS (SELECT at_us, sum(opened)::BIGINT AS opened, (count(*) - sum(opened))::BIGINT AS closed FROM x GROUP BY at_us)
+SELECT *, (sum(opened - closed) OVER (ORDER BY at_us))::BIGINT AS n_open FROM g""")
+def state_changes(spark, d):
+    """Every instant at which a user opens or closes, and how many are open from then on."""
+    return status.state_changes(opened(spark, d)).select(F.unix_micros("at").alias("at_us"), "opened", "closed", "n_open")
+
+
+@query(f"""WITH {ACTS}, moments AS (SELECT unnest([s, e, e - 1800000000, s - {168 * HOUR} + 1000]) AS t FROM acts UNION SELECT unnest([s, s + {3 * HOUR}]) FROM acts WHERE event_type = 'signup'),
+now AS (SELECT event_id, epoch_us(ts) AS n FROM events)
+SELECT event_id, least(t, (n // {24 * HOUR} + 1) * {24 * HOUR}, ((n - {8 * HOUR}) // {24 * HOUR} + 1) * {24 * HOUR} + {8 * HOUR}) AS next_us FROM now ASOF LEFT JOIN moments ON n < t""")
+def next_changes(spark, d):
+    """The next instant at which any answer can change, at every event; in UTC."""
+    calls = opened(spark, d).where("reason = 'signup'").select("start", (F.col("start") + F.expr("INTERVAL 3 HOURS")).alias("end"))
+    asked = table(spark, d, "events").select("event_id", F.col("ts").alias("at"))
+    return status.next_changes(asked, opened(spark, d), calls, "UTC").select("event_id", F.unix_micros("next_change").alias("next_us"))
+
+
+SECONDS = "acts AS (SELECT epoch_us(ts) AS s, epoch_us(ts) + event_id % 40 * 1000000 AS e FROM events WHERE event_id % 40 > 0), reached AS (SELECT *, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM acts), numbered AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM reached)"
+
+
+@query(f"WITH {SECONDS} SELECT min(s) AS start_us, max(e) AS end_us, count(*)::BIGINT AS n_parts FROM numbered GROUP BY run")
+def merge_hot_key(spark, d):
+    """All events as intervals of one key, spread over tasks."""
+    start = F.unix_micros("ts")
+    one = table(spark, d, "events").select(F.lit("all").alias("key"), start.alias("start_us"), (start + F.col("event_id") % 40 * 1_000_000).alias("end_us"))
+    return intervals.merge(one, ["key"], "start_us", "end_us", hot=0).drop("key")
+
+
 @query(f"""WITH {STATUSES} SELECT user_id, CASE WHEN is_open THEN 'open' WHEN unread OR calling THEN 'duty-hours-unknown' ELSE 'closed' END AS state,
 CASE WHEN is_open THEN until_us END AS until_us, CASE WHEN NOT is_open THEN start_us END AS next_us,
 CASE WHEN NOT is_open AND (unread OR calling) THEN NOT unread END AS on_call FROM statuses""")
@@ -136,7 +165,7 @@ string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS run_reasons FROM fir
 def status_reasons(spark, d):
     """Why just now (or why the next opening), and why in the whole run; compared as sets."""
     text = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
-    return statuses(spark, d).where("run_reasons IS NOT NULL").select(F.col("entity_id").alias("user_id"), text("reasons"), text("run_reasons"))
+    return statuses(spark, d, past=True).where("run_reasons IS NOT NULL").select(F.col("entity_id").alias("user_id"), text("reasons"), text("run_reasons"))
 
 
 DAY = AT // (24 * HOUR) * 24 * HOUR
@@ -268,7 +297,7 @@ def holiday_orders(spark, d):
 PERIODS = "(VALUES (1, DATE '1996-01-01', DATE '1997-06-30', 'a'), (2, DATE '1997-01-01', DATE '1999-12-31', 'b'), (3, DATE '1995-01-01', NULL, 'c'))"
 
 
-def periods(spark):
+def three_periods(spark):
     return spark.sql(f"SELECT * FROM {PERIODS.replace('NULL', 'CAST(NULL AS DATE)')} AS p(seq, valid_from, valid_to, label)")
 
 
@@ -277,8 +306,27 @@ m AS (SELECT o_orderkey, label, row_number() OVER (PARTITION BY o_orderkey ORDER
 SELECT label, count(*)::BIGINT AS n_orders FROM m WHERE n = 1 GROUP BY label""")
 def period_first_match(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
-    fits = schedules.in_period(F.col("date"), F.col("valid_from"), F.col("valid_to"))
-    return schedules.first_period(orders, periods(spark), fits, "seq", ["o_orderkey"]).where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n_orders"))
+    found = periods.first_period(orders, three_periods(spark), "date", "valid_from", "valid_to", "seq")
+    return found.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n_orders"))
+
+
+SPANS = "p AS (SELECT l_orderkey * 10 + l_linenumber AS seq, l_suppkey % 50 AS g, l_shipdate::DATE AS f, CASE WHEN l_linenumber = 7 AND l_quantity > 40 THEN NULL ELSE l_shipdate::DATE + floor(l_quantity * l_quantity / 10)::INT - 2 END AS t FROM lineitem)"
+
+
+def line_periods(spark: SparkSession, d: str) -> DataFrame:
+    """A validity period for each line: from its ship date on, some none at all, some for most of a year, some open."""
+    length = F.floor(F.col("l_quantity") * F.col("l_quantity") / 10).cast("int") - 2
+    start = F.to_date("l_shipdate")
+    end = F.when(~((F.col("l_linenumber") == 7) & (F.col("l_quantity") > 40)), F.date_add(start, length))
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_suppkey") % 50).alias("g"), start.alias("valid_from"), end.alias("valid_to"))
+
+
+@query(f"""WITH {SPANS}, o AS (SELECT DISTINCT o_custkey % 60 AS g, o_orderdate::DATE AS d FROM orders), m AS (SELECT o.g, o.d, min(seq) AS seq FROM o JOIN p ON p.g = o.g AND f <= d AND (t IS NULL OR d <= t) GROUP BY ALL)
+SELECT o_orderkey, seq FROM orders LEFT JOIN m ON m.g = o_custkey % 60 AND m.d = o_orderdate::DATE""")
+def first_line_period(spark, d):
+    """Every order with the first of its group's validity periods that holds its date: as many periods as lines."""
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 60).alias("g"), F.to_date("o_orderdate").alias("date"))
+    return periods.first_period(orders, line_periods(spark, d), "date", "valid_from", "valid_to", "seq", ["g"]).select("o_orderkey", "seq")
 
 
 LISTS = "(VALUES (DATE '1996-01-01', DATE '1998-12-31', 'weekly', '1,2,3'), (DATE '1997-06-01', DATE '1999-06-30', 'weekly', '3,6,7'), (DATE '1997-01-01', DATE '1997-12-31', 'dates', '1997-03-25,1997-07-01'))"
