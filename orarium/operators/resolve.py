@@ -28,24 +28,24 @@ def shared_tokens(most: int) -> int:
 
 
 def prefix_keys(sets: DataFrame, key: str, least: float, count: int) -> DataFrame:
-    """key, _n (tokens), _k, _h: hashes of _k tokens each that sets alike by `least` must have in common; sets: key, _t (tokens, the
-    rarest first).
+    """key, _tokens (their number), _taken, _hash: hashes of _taken tokens each, of which sets alike by `least` must have
+    one in common; sets: key, _t (tokens, the rarest first).
 
     Sets of n tokens alike by `least` share c = ceil(least * n) or more, so both hold k of the shared ones among their
     n - c + k rarest. k is `count`, or what the larger set's c allows where that is less: a set with a small c has keys of
     every k from c on."""
     n = F.size("_t")
     c = F.greatest(F.ceil(F.round(F.lit(least) * n, 9)).cast("int"), F.lit(1))
-    each = sets.withColumns({"_n": n, "_c": c}).withColumn("_k", F.explode(F.sequence(F.least("_c", F.lit(count)), F.least("_n", F.lit(count)))))
-    each = each.withColumn("_p", F.slice("_t", 1, F.col("_n") - F.greatest("_c", "_k") + F.col("_k")))
+    each = sets.withColumns({"_tokens": n, "_least": c}).withColumn("_taken", F.explode(F.sequence(F.least("_least", F.lit(count)), F.least("_tokens", F.lit(count)))))
+    each = each.withColumn("_p", F.slice("_t", 1, F.col("_tokens") - F.greatest("_least", "_taken") + F.col("_taken")))
     at, last = (lambda i: F.col("_p")[i]), F.size("_p") - 1
     after = lambda i: F.when(i < last, F.sequence(i + 1, last)).otherwise(F.array().cast("array<int>"))
     every = F.sequence(F.lit(0), last)
     one = F.transform(every, lambda i: F.xxhash64(at(i)))
     two = F.flatten(F.transform(every, lambda i: F.transform(after(i), lambda j: F.xxhash64(at(i), at(j)))))
     three = F.flatten(F.transform(every, lambda i: F.flatten(F.transform(after(i), lambda j: F.transform(after(j), lambda m: F.xxhash64(at(i), at(j), at(m)))))))
-    hashes = F.when(F.col("_k") == 1, one).when(F.col("_k") == 2, two).otherwise(three)
-    return each.select(key, "_n", "_k", F.explode(hashes).alias("_h"))
+    hashes = F.when(F.col("_taken") == 1, one).when(F.col("_taken") == 2, two).otherwise(three)
+    return each.select(key, "_tokens", "_taken", F.explode(hashes).alias("_hash"))
 
 
 def similar(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float, tokens: str = "tokens", ordered: bool = False) -> DataFrame:
@@ -63,13 +63,13 @@ def similar(left: DataFrame, right: DataFrame, left_key: str, right_key: str, le
         long = df.select(key, F.explode("_t").alias("token")).join(counts, "token")
         sets = settled(long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("_t")), "sorted-sets")
         keys = prefix_keys(sets, key, least, count)
-        return keys.join(sets, key).select(key, F.col("_t").alias(f"_t{side}"), F.col("_n").alias(f"_n{side}"), "_k", "_h")
+        return keys.join(sets, key).select(key, F.col("_t").alias(f"_t{side}"), F.col("_tokens").alias(f"_n{side}"), "_taken", "_hash")
 
     a = keyed(rows[0], left_key, "a")
-    b = a.select(F.col(left_key).alias(right_key), F.col("_ta").alias("_tb"), F.col("_na").alias("_nb"), "_k", "_h") if ordered and left is right else keyed(rows[1], right_key, "b")
+    b = a.select(F.col(left_key).alias(right_key), F.col("_ta").alias("_tb"), F.col("_na").alias("_nb"), "_taken", "_hash") if ordered and left is right else keyed(rows[1], right_key, "b")
     fits = (F.least("_na", "_nb") >= F.lit(least) * F.greatest("_na", "_nb") - 1e-9) & ((F.col(left_key) < F.col(right_key)) if ordered else F.lit(True))
     score = jaccard(F.col("_ta"), F.col("_tb"))
-    return a.join(b, ["_k", "_h"]).where(fits).withColumn("score", score).where(F.col("score") >= least).groupBy(left_key, right_key).agg(F.first("score").alias("score"))
+    return a.join(b, ["_taken", "_hash"]).where(fits).withColumn("score", score).where(F.col("score") >= least).groupBy(left_key, right_key).agg(F.first("score").alias("score"))
 
 
 def token_classes(rows: DataFrame, tokens: str = "tokens", by: list[str] | tuple[str, ...] = (), **columns: Column) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Below the table's path lie
 
-    delta/batch=<n>/bucket=<b>/    the rows of a batch, only in the buckets that it touches
-    base/batch=<n>/bucket=<b>/     what a bucket's deltas came to up to a batch
-    manifest/<n>                   one JSON object: the batch, the number of buckets, each bucket's base and deltas after it
+    data/kind=delta/batch=<n>/bucket=<b>/    the rows of a batch, only in the buckets that it touches
+    data/kind=base/batch=<n>/bucket=<b>/     what a bucket's deltas came to up to a batch
+    manifest/<n>                             one JSON object: the batch, the number of buckets, each bucket's base and deltas after it
 
 A manifest is written last, so a batch that fails half-way is not seen; one that runs again writes the same folders from
 the manifest before it and gives the same table. No batch reads or rewrites the table: only buckets with many deltas are
@@ -79,7 +79,7 @@ class BucketTable:
         store.rename(part, target)
 
     def _read(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.option("basePath", self.path).schema(self._schema).parquet(*folders)
+        return self.spark.read.option("basePath", f"{self.path}/data").schema(self._schema).parquet(*folders)
 
     def _packed(self, rows: DataFrame, batch: int) -> DataFrame:
         """The rows as stored: of each key the highest version of the batch (ties: by its text), with a digest of its content."""
@@ -91,16 +91,16 @@ class BucketTable:
         before = self.manifest(batch)
         packed = self._packed(rows, batch)
         self._schema = packed.schema
-        folder = f"{self.path}/delta/batch={batch}"
+        folder = f"{self.path}/data/kind=delta/batch={batch}"
         packed.drop("batch").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
         store = self._store()
-        touched = [s.getPath().getName().removeprefix("bucket=") for s in store.listStatus(self._at(f"delta/batch={batch}")) if s.getPath().getName().startswith("bucket=")]
+        touched = [s.getPath().getName().removeprefix("bucket=") for s in store.listStatus(self._at(f"data/kind=delta/batch={batch}")) if s.getPath().getName().startswith("bucket=")]
         manifest = {"batch": batch, "buckets": self.buckets, "base": dict(before["base"]), "deltas": {b: list(n) for b, n in before["deltas"].items()}}
         for b in touched:
             manifest["deltas"].setdefault(b, []).append(batch)
         full = [b for b, n in manifest["deltas"].items() if len(n) >= self.most_deltas]
         if full:
-            self._merged(manifest, full).drop("batch").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/base/batch={batch}")
+            self._merged(manifest, full).drop("batch").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/kind=base/batch={batch}")
             for b in full:
                 manifest["base"][b], manifest["deltas"][b] = batch, []
         self._publish(manifest)
@@ -108,8 +108,8 @@ class BucketTable:
 
     def _folders(self, manifest: dict, buckets: list[str] | None = None) -> list[str]:
         wanted = set(manifest["base"]) | set(manifest["deltas"]) if buckets is None else set(buckets)
-        bases = [f"{self.path}/base/batch={n}/bucket={b}" for b, n in manifest["base"].items() if b in wanted]
-        return bases + [f"{self.path}/delta/batch={n}/bucket={b}" for b, many in manifest["deltas"].items() if b in wanted for n in many]
+        bases = [f"{self.path}/data/kind=base/batch={n}/bucket={b}" for b, n in manifest["base"].items() if b in wanted]
+        return bases + [f"{self.path}/data/kind=delta/batch={n}/bucket={b}" for b, many in manifest["deltas"].items() if b in wanted for n in many]
 
     def _merged(self, manifest: dict, buckets: list[str] | None = None) -> DataFrame:
         return folded(self._read(self._folders(manifest, buckets)), self.keys)
@@ -121,7 +121,7 @@ class BucketTable:
         if not folders:
             return None
         if not hasattr(self, "_schema"):
-            own = self.spark.read.option("basePath", self.path).parquet(folders[0])
+            own = self.spark.read.option("basePath", f"{self.path}/data").parquet(folders[0])
             self._schema = own.schema
         return self._merged(manifest).select("row.*")
 
@@ -134,11 +134,11 @@ class BucketTable:
         named = {"base": {n for m in kept for n in m["base"].values()}, "delta": {n for m in kept for many in m["deltas"].values() for n in many}}
         store = self._store()
         for kind, still in named.items():
-            if store.exists(self._at(kind)):
-                for s in store.listStatus(self._at(kind)):
+            if store.exists(self._at(f"data/kind={kind}")):
+                for s in store.listStatus(self._at(f"data/kind={kind}")):
                     n = int(s.getPath().getName().removeprefix("batch="))
                     if n not in still and n < found[-1]:
-                        delete(self.spark, f"{self.path}/{kind}/batch={n}")
+                        delete(self.spark, f"{self.path}/data/kind={kind}/batch={n}")
 
 
 def bucket_sink(path: str, keys: list[str], version: str, content: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
