@@ -28,7 +28,7 @@ def shared_tokens(most: int) -> int:
 
 
 def prefix_keys(sets: DataFrame, key: str, least: float, count: int) -> DataFrame:
-    """key, _tokens (their number), _taken, _hash: hashes of _taken tokens each, of which sets alike by `least` must have
+    """key, _t, _tokens (their number), _taken, _hash: hashes of _taken tokens each, of which sets alike by `least` must have
     one in common; sets: key, _t (tokens, the rarest first).
 
     Sets of n tokens alike by `least` share c = ceil(least * n) or more, so both hold k of the shared ones among their
@@ -45,31 +45,31 @@ def prefix_keys(sets: DataFrame, key: str, least: float, count: int) -> DataFram
     two = F.flatten(F.transform(every, lambda i: F.transform(after(i), lambda j: F.xxhash64(at(i), at(j)))))
     three = F.flatten(F.transform(every, lambda i: F.flatten(F.transform(after(i), lambda j: F.transform(after(j), lambda m: F.xxhash64(at(i), at(j), at(m)))))))
     hashes = F.when(F.col("_taken") == 1, one).when(F.col("_taken") == 2, two).otherwise(three)
-    return each.select(key, "_tokens", "_taken", F.explode(hashes).alias("_hash"))
+    return each.select(key, "_t", "_tokens", "_taken", F.explode(hashes).alias("_hash"))
 
 
-def similar(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float, tokens: str = "tokens", ordered: bool = False) -> DataFrame:
-    """left_key, right_key, score: all pairs whose token sets have a Jaccard index of `least` or more; ordered: only those
-    with left_key < right_key, for a table with itself.
+def similar(left: DataFrame, right: DataFrame | None, left_key: str, right_key: str, least: float, tokens: str = "tokens") -> DataFrame:
+    """left_key, right_key, score: all pairs whose token sets have a Jaccard index of `least` or more; without a right
+    table those of the left one with itself, left_key < right_key.
 
     Sets meet by combinations of their rarest tokens and by size; both sets travel with the keys, so each candidate is
     measured where it is met."""
-    rows = [df.select(F.col(k).alias(k), F.array_distinct(tokens).alias("_t")).where(F.size("_t") > 0) for df, k in ((left, left_key), (right, right_key))]
-    counts = rows[0].select(F.explode("_t").alias("token")).unionByName(rows[1].select(F.explode("_t").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
-    most = max([0, *(df.agg(F.max(F.size("_t")).alias("n")).first().n or 0 for df in rows)])
-    count = shared_tokens(most)
+    sides = [(left, left_key)] + ([(right, right_key)] if right is not None else [])
+    rows = [settled(df.select(F.col(k).alias(k), F.array_distinct(tokens).alias("_t")).where(F.size("_t") > 0), "token-sets") for df, k in sides]
+    tokens_of = lambda df: df.select(F.explode("_t").alias("token"))
+    counts = (tokens_of(rows[0]) if right is None else tokens_of(rows[0]).unionByName(tokens_of(rows[1]))).groupBy("token").agg(F.count("*").alias("n"))
+    count = shared_tokens(max(df.agg(F.coalesce(F.max(F.size("_t")), F.lit(0)).alias("n")).first().n for df in rows))
 
-    def keyed(df: DataFrame, key: str, side: str) -> DataFrame:
+    def keyed(df: DataFrame, key: str) -> DataFrame:
         long = df.select(key, F.explode("_t").alias("token")).join(counts, "token")
-        sets = settled(long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("_t")), "sorted-sets")
-        keys = prefix_keys(sets, key, least, count)
-        return keys.join(sets, key).select(key, F.col("_t").alias(f"_t{side}"), F.col("_tokens").alias(f"_n{side}"), "_taken", "_hash")
+        return prefix_keys(long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("_t")), key, least, count)
 
-    a = keyed(rows[0], left_key, "a")
-    b = a.select(F.col(left_key).alias(right_key), F.col("_ta").alias("_tb"), F.col("_na").alias("_nb"), "_taken", "_hash") if ordered and left is right else keyed(rows[1], right_key, "b")
-    fits = (F.least("_na", "_nb") >= F.lit(least) * F.greatest("_na", "_nb") - 1e-9) & ((F.col(left_key) < F.col(right_key)) if ordered else F.lit(True))
-    score = jaccard(F.col("_ta"), F.col("_tb"))
-    return a.join(b, ["_taken", "_hash"]).where(fits).withColumn("score", score).where(F.col("score") >= least).groupBy(left_key, right_key).agg(F.first("score").alias("score"))
+    a = keyed(rows[0], left_key)
+    b = keyed(rows[1], right_key) if right is not None else a.withColumnRenamed(left_key, right_key)
+    b = b.withColumnsRenamed({"_t": "_t2", "_tokens": "_tokens2"})
+    fits = F.least("_tokens", "_tokens2") >= F.lit(least) * F.greatest("_tokens", "_tokens2") - 1e-9
+    both = a.join(b, ["_taken", "_hash"]).where(fits if right is not None else fits & (F.col(left_key) < F.col(right_key)))
+    return both.withColumn("score", jaccard(F.col("_t"), F.col("_t2"))).where(F.col("score") >= least).groupBy(left_key, right_key).agg(F.first("score").alias("score"))
 
 
 def token_classes(rows: DataFrame, tokens: str = "tokens", by: list[str] | tuple[str, ...] = (), **columns: Column) -> DataFrame:
@@ -82,8 +82,7 @@ def similar_classes(rows: DataFrame, key: str, least: float, tokens: str = "toke
     """class_key (the smallest key of equal sets), n, tokens of the classes of a table; and one < other, score: the pairs of
     classes whose sets have a Jaccard index of `least` or more."""
     classes = settled(token_classes(rows, tokens, class_key=F.min(key), n=F.count("*")).withColumnRenamed(tokens, "tokens"), "token-classes")
-    one, other = (classes.select(F.col("class_key").alias(n), "tokens") for n in ("one", "other"))
-    return classes, similar(one, other, "one", "other", least, ordered=True)
+    return classes, similar(classes.select(F.col("class_key").alias("one"), "tokens"), None, "one", "other", least)
 
 
 def similar_within(rows: DataFrame, key: str, least: float, tokens: str = "tokens") -> DataFrame:
