@@ -6,10 +6,13 @@ its own (the one line is then the passage), and a chunk has at most `most_lines`
 or of one long line, count as repeated if an equal chunk stands anywhere else.
 
 `line_dedup` removes whole chunks. `run_dedup`, the query, finds every repeated run of `long_words` words or more,
-wherever it is cut: besides the chunks its candidates are, from each line, the fewest lines onward and the fewest lines
-backward that have so many words. These windows depend on nothing outside of them, so equal runs have equal windows, and
-the windows inside a run cover it whole (but for blank lines at its ends). A line goes if it is in a candidate that
-stands earlier too; lines that the earlier one itself holds stay.
+wherever it is cut, from denser chunks, the anchors: of each shortest stretch of `ANCHOR_WORDS` words or more the line
+whose rolling hash is smallest ends one, and a line that has so many words is one by itself. What lies outside of a run
+moves only the boundaries at its ends, so a repeated run of 50 words, whatever surrounds it, holds an anchor that repeats
+(proof at `anchors`). Only where an anchor stands elsewhere too is it extended line by line to both sides, to the fewest
+lines onward or backward that have `long_words` words and hold it; these windows depend on nothing outside of them, so
+equal runs have equal windows, and the windows inside a run cover it whole (but for blank lines at its ends). A line goes
+if it is in a chunk or window that stands earlier too; lines that the earlier one itself holds stay.
 
 One pass packs each text (zstandard) beside the places and 128-bit digests of its candidates. Digests are counted with
 partial sums and give the first place of each: the smallest doc_id, then the text's hash, so rows in another order give
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from orarium.llm.common import arrow_map, batch, discard, pick, written
 
 MEAN_LINES, MOST_LINES, LONG_WORDS = 4, 32, 50
+#: Words of a stretch that has an anchor's end; at most a quarter of LONG_WORDS, or short runs may have none.
+ANCHOR_WORDS = 12
 BROADCAST_BYTES = 0
 
 
@@ -64,6 +69,45 @@ def chunks(lines: list[bytes], mean_lines: int = MEAN_LINES, most_lines: int = M
     return out
 
 
+def anchors(lines: list[bytes], least: int = ANCHOR_WORDS) -> list[tuple[int, int, int]]:
+    """begin, end and hash of the anchors: chunks that end where a rolling hash over two lines is smallest.
+
+    From each line the shortest stretch of `least` words or more gives one end, at its smallest hash (the last of equal
+    ones). A run of 4 * least + 2 words or more of shorter lines than that has, after its first line (whose hash depends
+    on the line before), two stretches that don't overlap; they give two ends, y and z. A stretch that begins before the
+    run sees a part of the first of them, so it can add an end only up to y; one that goes on after the run, from z on
+    only. So between y and z the run is cut alike wherever it stands. Blank lines are passed over."""
+    import xxhash
+
+    count = [len(x.split()) for x in lines]
+    rows = [i for i, n in enumerate(count) if n]
+    hashes, before = [], 0
+    for i in rows:
+        h = xxhash.xxh64_intdigest(lines[i])
+        hashes.append((before * 0x9E3779B97F4A7C15 + h) * 0xFF51AFD7ED558CCD >> 8 & 0xFFFFFFFFFFFF)
+        before = h
+    ends, begins, queue, head, last, have = set(), set(), [], 0, 0, 0
+    for first, i in enumerate(rows):
+        while last < len(rows) and have < least:
+            while len(queue) > head and hashes[queue[-1]] >= hashes[last]:
+                queue.pop()
+            queue.append(last)
+            have += count[rows[last]]
+            last += 1
+        if have < least:
+            break
+        ends.add(rows[queue[head]] + 1)
+        if count[i] >= least:
+            begins.add(i)
+            ends.add(i + 1)
+        have -= count[i]
+        if queue[head] == first:
+            head += 1
+    cuts = sorted({0, len(lines)} | ends | begins)
+    spans = [(b, e) for b, e in zip(cuts, cuts[1:], strict=False) if any(count[b:e])]
+    return [(b, e, xxhash.xxh64_intdigest(b"\n".join(lines[b:e]).strip(b"\n")) - (1 << 63)) for b, e in spans]
+
+
 def windows(lines: list[bytes], long_words: int = LONG_WORDS) -> set[tuple[int, int]]:
     """begin, end of the shortest runs of lines from each line, and up to each line, with `long_words` words or more."""
     count = [len(x.split()) for x in lines]
@@ -81,10 +125,12 @@ def windows(lines: list[bytes], long_words: int = LONG_WORDS) -> set[tuple[int,
     return out
 
 
-def packed(texts: DataFrame, cut) -> DataFrame:
-    """uid of the row, doc_id, tie (the text's hash), z (the packed text) and spans (begin, end, digest) that cut finds."""
+def packed(texts: DataFrame, cut, anchor) -> DataFrame:
+    """uid of the row, doc_id, tie (the text's hash), z (the packed text), the spans (begin, end, digest) that cut finds, and
+    the anchors (begin, end, hash) that `anchor` finds."""
     span = pa.struct({"begin": pa.int32(), "end": pa.int32(), "digest": pa.binary()})
-    types = {"uid": pa.int64(), "doc_id": pa.int64(), "tie": pa.int64(), "z": pa.binary(), "spans": pa.list_(span)}
+    anchored = pa.struct({"begin": pa.int32(), "end": pa.int32(), "hash": pa.int64()})
+    types = {"uid": pa.int64(), "doc_id": pa.int64(), "tie": pa.int64(), "z": pa.binary(), "spans": pa.list_(span), "anchors": pa.list_(anchored)}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -96,16 +142,44 @@ def packed(texts: DataFrame, cut) -> DataFrame:
             rows = []
             for doc_id, text in zip(b.column("doc_id").cast(pa.int64()).to_pylist(), b.column("text").to_pylist(), strict=True):
                 if text is None:
-                    rows.append((uid, doc_id, 0, None, []))
+                    rows.append((uid, doc_id, 0, None, [], []))
                 else:
                     data = text.encode()
                     lines = data.split(b"\n")
                     digest = lambda at: hashlib.blake2b(b"\n".join(lines[at[0] : at[1]]), digest_size=16).digest()  # noqa: B023, E731
-                    rows.append((uid, doc_id, xxhash.xxh64_intdigest(data) >> 1, press(data), [(*at, digest(at)) for at in cut(lines)]))
+                    rows.append((uid, doc_id, xxhash.xxh64_intdigest(data) >> 1, press(data), [(*at, digest(at)) for at in cut(lines)], anchor(lines)))
                 uid += 1
-            yield batch(types, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 5))
+            yield batch(types, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 6))
+
+    return arrow_map(texts, pack, "uid long, doc_id long, tie long, z binary, spans array<struct<begin: int, `end`: int, digest: binary>>, anchors array<struct<begin: int, `end`: int, hash: bigint>>")
+
+
+def extended(texts: DataFrame, cut, long_words: int) -> DataFrame:
+    """uid, doc_id, tie, begin, end, digest of the windows that hold an anchor which stands elsewhere too, but for those
+    that cut finds."""
+    each = texts.select("uid", F.inline("anchors"))
+    repeated = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    found = each.join(repeated.hint("merge"), "hash").groupBy("uid").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    types = {"uid": pa.int64(), "doc_id": pa.int64(), "tie": pa.int64(), "begin": pa.int32(), "end": pa.int32(), "digest": pa.binary()}
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for uid, doc_id, tie, z, held in zip(*(b.column(c).to_pylist() for c in ("uid", "doc_id", "tie", "z", "found")), strict=True):
+                lines = unpack(z).split(b"\n")
+                # the last begin of an anchor that ends by each place: a window holds one if that is not before its own begin
+                latest = [-1] * (len(lines) + 1)
+                for a in held:
+                    latest[a["end"]] = max(latest[a["end"]], a["begin"])
+                latest = list(accumulate(latest, max))
+                rows = [(uid, doc_id, tie, begin, end, hashlib.blake2b(b"\n".join(lines[begin:end]), digest_size=16).digest()) for begin, end in sorted(windows(lines, long_words) - set(cut(lines))) if latest[end] >= begin]
+                if rows:
+                    yield batch(types, *map(list, zip(*rows, strict=True)))
 
-    return arrow_map(texts, pack, "uid long, doc_id long, tie long, z binary, spans array<struct<begin: int, `end`: int, digest: binary>>")
+    both = texts.select("uid", "doc_id", "tie", "z").join(found.hint("merge"), "uid")
+    return arrow_map(both, extend, "uid long, doc_id long, tie long, begin int, end int, digest binary")
 
 
 def stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -128,14 +202,16 @@ def stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, runs: bool, id_col: str, text_col: str, mean_lines: int, most_lines: int, long_words: int, broadcast_bytes: int) -> DataFrame:
     def candidates(lines: list[bytes]) -> list[tuple[int, int]]:
-        found = {(begin, end) for begin, end, may in chunks(lines, mean_lines, most_lines, long_words) if may}
-        return sorted(found | windows(lines, long_words) if runs else found)
+        return sorted((begin, end) for begin, end, may in chunks(lines, mean_lines, most_lines, long_words) if may)
 
     def side(df: DataFrame, size: Column) -> DataFrame:
         return F.broadcast(df) if broadcast_bytes and (df.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes else df.hint("merge")
 
-    texts = written(packed(pick(docs, doc_id=id_col, text=text_col), candidates), "texts")
+    texts = written(packed(pick(docs, doc_id=id_col, text=text_col), candidates, (lambda lines: anchors(lines, min(ANCHOR_WORDS, max(1, (long_words - 2) // 4)))) if runs else lambda lines: []), "texts")
     spans = texts.select("uid", "doc_id", "tie", F.inline("spans"))
+    if runs:
+        more = written(extended(texts, candidates, long_words), "windows")
+        spans = spans.unionByName(more)
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie", "uid", "begin", "end")
     repeated = spans.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = written(repeated.select("digest", F.col("first.uid").alias("first_uid"), F.col("first.begin").alias("first_begin"), F.col("first.end").alias("first_end")), "repeated")
@@ -154,7 +230,7 @@ def deduplicated(docs: DataFrame, runs: bool, id_col: str, text_col: str, mean_l
     first = written(stretches(texts, side(wanted, F.lit(16))), "stretches")
     marks = found.join(side(first, F.octet_length("first_z") + 16), keys).groupBy("uid").agg(F.collect_list(F.struct("at", "parts", "first_z")).alias("marks"), F.sum(F.octet_length("first_z") + 16 * F.size("parts") + 16).alias("bytes"))
     marks = written(marks, "marks")
-    discard(repeated, found, wanted, first)
+    discard(repeated, found, wanted, first, *([more] if runs else []))
     result = {"doc_id": pa.int64(), "text": pa.string(), **dict.fromkeys(("n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks"), pa.int64())}
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

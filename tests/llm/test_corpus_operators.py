@@ -363,3 +363,41 @@ def test_windows_of_many_distinct_words():
     assert repeated_words(w) == 6000
     assert repeated_words(w[:3000]) == 0
     assert repeated_words(w[:3]) == 0
+
+
+def test_every_repeated_run_holds_a_common_anchor():
+    """Runs of 50 words or more, of lines of any length and with blank ones, in surroundings that differ."""
+    rng = np.random.default_rng(12)
+    line = lambda n: " ".join(words(rng, n, "l", 200)).encode()
+    for longest in (1, 3, 6, 11, 12, 20, 45):
+        for _ in range(60):
+            run = [line(2)]
+            while sum(len(x.split()) for x in run) < 50:
+                run.append(line(int(rng.integers(0, longest + 1))))
+            seen = []
+            for _ in range(2):
+                own = [[line(int(rng.integers(0, 25))) for _ in range(int(rng.integers(0, 5)))] for _ in range(2)]
+                found = line_chunks.anchors(own[0] + run + own[1])
+                seen.append({h for b, e, h in found if b >= len(own[0]) and e <= len(own[0]) + len(run)})
+            assert seen[0] & seen[1]
+
+
+def test_runs_equal_windows_of_every_line(spark):
+    """What is extended from anchors is what comparing the windows of every line finds."""
+    rng = np.random.default_rng(13)
+    line = lambda: " ".join(words(rng, int(rng.choice([0, 1, 3, 8, 14, 30, 55])), "l", 100_000))
+    shared = [[line() for _ in range(int(rng.integers(2, 9)))] for _ in range(12)]
+    texts = []
+    for _ in range(80):
+        parts = [[line() for _ in range(int(rng.integers(1, 4)))] if rng.random() < 0.6 else shared[int(rng.integers(12))] for _ in range(4)]
+        texts.append([x for p in parts for x in p])
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.n_removed_lines for r in line_chunks.run_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, gone = {}, {i: set() for i, _ in rows}
+    for i, text in rows:
+        lines = text.encode().split(b"\n")
+        for b, e in sorted(line_chunks.windows(lines) | {(b, e) for b, e, may in line_chunks.chunks(lines) if may}):
+            at = first.setdefault(b"\n".join(lines[b:e]), (i, b, e))
+            if at != (i, b, e):
+                gone[i] |= set(range(max(b, at[2]) if at[0] == i else b, e))
+    assert got == {i: len(x) for i, x in gone.items()} and sum(got.values()) > 100
