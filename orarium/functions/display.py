@@ -107,10 +107,10 @@ def price_text(euros: Column, locale: str = "en") -> Column:
 
 
 def distance_text(metres: Column, locale: str = "en") -> Column:
-    """350 m, 1.2 km, 12 km: tens of metres (ten at least), tenths of kilometres below ten of them."""
+    """350 m, 1.2 km, 12 km: tens of metres (ten at least), tenths of kilometres below ten of them; half-way is rounded up."""
     m, km = UNITS[locale]
     tens = F.greatest(F.lit(10), F.floor(metres / 10 + 0.5) * 10).cast("int")
-    far = F.when(metres < 10_000, F.regexp_replace(F.format_number(metres / 1000, 1), r"\.0$", "")).otherwise(F.format_number(metres / 1000, 0))
+    far = F.when(metres < 10_000, F.regexp_replace(F.format_number(F.round(metres / 1000, 1), 1), r"\.0$", "")).otherwise(F.format_number(F.round(metres / 1000), 0))
     number = F.when(metres < 1000, F.format_number(tens, 0)).otherwise(far)
     unit = F.when(metres < 1000, m).otherwise(km)
     return F.concat_ws(" ", number if locale == "en" else F.translate(number, ",.", ".,"), unit)

@@ -56,3 +56,15 @@ def sun_elevation(at: Column, lat: Column, lon: Column) -> Column:
 def sun_is_down(at: Column, lat: Column, lon: Column) -> Column:
     """Below the horizon, with refraction and the sun's radius as sunset is timed."""
     return sun_elevation(at, lat, lon) < -0.833
+
+
+def curve(lat: Column, lon: Column, bits: int = 16) -> Column:
+    """A place's number on a space-filling curve: the bits of its row and column, of 2 ** bits each, take turns. Places with
+    near numbers lie near each other, so files in its order hold compact areas."""
+    steps = 1 << bits
+    index = lambda share: F.greatest(F.lit(0), F.least(F.floor(share * steps), F.lit(steps - 1))).cast("bigint")
+    y, x = index((lat + 90) / 180), index((lon + 180) / 360)
+    out = F.lit(0).cast("bigint")
+    for k in range(bits):
+        out = out.bitwiseOR(F.shiftleft(F.shiftright(y, k).bitwiseAND(F.lit(1)), 2 * k + 1)).bitwiseOR(F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1)), 2 * k))
+    return out

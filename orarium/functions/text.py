@@ -1,14 +1,12 @@
-"""Text keys, phones, ids and similarity, as column expressions (transliteration as a pandas UDF)."""
+"""Text keys, phones, ids and similarity, as column expressions."""
 
 from __future__ import annotations
 
 import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Latin capitals that are typed for Greek ones.
 LATIN_LOOKALIKES, GREEK_LOOKALIKES = "ABEZHIKMNOPTYX", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
@@ -202,26 +200,16 @@ ELOT_INITIAL = {"μπ": "b", "ντ": "d"}
 VOICELESS = "θκξπσςτφχψ"
 
 
-def romanized(text: str) -> str:
-    """ELOT 743, lower case: a scan by one pattern whose alternatives are the rules."""
-    import regex
-
-    plain = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F).lower())
-    one = dict(zip(GREEK_ONE, LATIN_ONE, strict=True)) | dict(GREEK_SMALL)
-    pattern = regex.compile(rf"(?P<v>[αεη])υ(?P<f>(?=[{VOICELESS}]|\P{{L}}|$))?|(?P<i>(?<!\p{{L}})(?:{'|'.join(ELOT_INITIAL)}))|(?P<p>{'|'.join(ELOT_PAIRS)})|(?P<c>.)", regex.S)
-
-    def spell(m) -> str:
-        if m["v"]:
-            return one[m["v"]] + ("v" if m["f"] is None else "f")
-        return ELOT_INITIAL[m["i"]] if m["i"] else ELOT_PAIRS[m["p"]] if m["p"] else one.get(m["c"], m["c"])
-
-    return pattern.sub(spell, plain)
-
-
-@F.pandas_udf(T.StringType())
-def transliterate(x: pd.Series) -> pd.Series:
-    known = {t: romanized(t) for t in x.dropna().unique()}
-    return x.map(known, na_action="ignore")
+def transliterate(x: Column) -> Column:
+    """ELOT 743, lower case, without marks. Replacements in the order in which a reader from left to right would take them:
+    αυ, ευ, ηυ by what follows, then the beginnings of words, then pairs (ου before υι, which shares a letter with it)."""
+    plain = F.lower(strip_marks(F.lower(x)))
+    plain = rewrite(plain, ((rf"([αεη])υ(?=[{VOICELESS}]|\P{{L}}|$)", "$1f"), (r"([αεη])υ", "$1v"), *((rf"(?<!\p{{L}}){pair}", latin) for pair, latin in ELOT_INITIAL.items())))
+    for pair in sorted(ELOT_PAIRS, key=lambda p: p != "ου"):
+        plain = F.replace(plain, F.lit(pair), F.lit(ELOT_PAIRS[pair]))
+    for letter, latin in GREEK_SMALL:
+        plain = F.replace(plain, F.lit(letter), F.lit(latin))
+    return F.translate(plain, GREEK_ONE, LATIN_ONE)
 
 
 def slugify(x: Column, ascii_only: bool = False) -> Column:

@@ -159,3 +159,11 @@ def unescape_js(body: Column) -> Column:
     control = lambda p: F.when(p == "\\n", "\n").when(p == "\\r", "\r").when(p == "\\t", "\t").when(p == "\\b", "\b").when(p == "\\f", "\f")
     one = lambda p: F.when(~p.startswith("\\"), p).when(F.length(p) > 2, code(p)).otherwise(F.coalesce(control(p), F.substring(p, 2, 1)))
     return F.array_join(F.transform(pieces, one), "")
+
+
+def file_date(url: Column, stem: str) -> Column:
+    """The date in a file's name, <stem>_dd-mm-yyyy.pdf with any numbers after it, the name percent-encoded or not; null for
+    any other name."""
+    name = F.try_url_decode(F.substring_index(url, "/", -1))
+    found = lambda k: F.regexp_extract(name, rf"^{stem}_(\d{{2}})-(\d{{2}})-(\d{{4}})(?:-\d+)*\.pdf$", k)
+    return strict_date(F.concat_ws("-", found(3), found(2), found(1)))

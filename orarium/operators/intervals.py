@@ -123,3 +123,17 @@ def join_overnight(days: Column, all_day_minutes: int = 1380) -> Column:
         return F.when(F.coalesce(joins, F.lit(False)), joined).otherwise(F.concat(out, F.array(day)))
 
     return F.aggregate(F.slice(days, 2, F.greatest(F.size(days) - 1, F.lit(0))), F.slice(days, 1, 1).cast(kind), step)
+
+
+def merge_windows(windows: Column) -> Column:
+    """An array of windows (from_sec, to_sec, printed) of a day, in seconds from midnight, in any order -> those that touch
+    or overlap joined, in order, with all that was printed of each (printed: an array)."""
+    kind = "array<struct<from_sec:bigint,to_sec:bigint,printed:array<string>>>"
+    single = F.transform(F.array_sort(windows), lambda w: F.struct(w["from_sec"].cast("bigint").alias("from_sec"), w["to_sec"].cast("bigint").alias("to_sec"), F.array(w["printed"]).alias("printed")))
+
+    def step(out: Column, w: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.struct(last["from_sec"].alias("from_sec"), F.greatest(last["to_sec"], w["to_sec"]).alias("to_sec"), F.concat(last["printed"], w["printed"]).alias("printed"))
+        return F.when(w["from_sec"] <= last["to_sec"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(w)))
+
+    return F.aggregate(F.slice(single, 2, F.greatest(F.size(single) - 1, F.lit(0))), F.slice(single, 1, 1).cast(kind), step)

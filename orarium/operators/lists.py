@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orarium.functions.display import is_duty_look
+from orarium.functions.display import checked_text, is_duty_look, until_date
 from orarium.functions.timez import local_to_instant
+from orarium.operators.spatial import knn
 
 LOOKS = ("duty", "open", "duty-unknown", "closed")
 
@@ -150,3 +151,47 @@ def sections(rows: DataFrame, keys: list[str], position: str, entry: str) -> Dat
     section's first place."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(entry).alias("e")))), lambda x: x["e"])
     return rows.groupBy(*keys).agg(F.min(position).alias("first"), listed.alias("entries"))
+
+
+def offered(rows: DataFrame) -> DataFrame:
+    """Rows that a list shows: all of an area whose regular hours are known (regular_known); of another's not the closed
+    ones, which are only not on duty."""
+    return rows.where(F.col("regular_known") | (F.col("look") != "closed"))
+
+
+def neighbours(entities: DataFrame, k: int, metres=lambda d: d) -> DataFrame:
+    """entity_id, other, metres, nth: the k nearest of each precisely placed entity; of one that isn't the first k others of
+    its locality, with no distance, as one from the middle of a village would look more exact than it is.
+
+    entities: entity_id, position (in the registry), locality, lat, lon, precision."""
+    precise = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.coalesce(F.col("precision").isin("exact", "street"), F.lit(False))
+    placed = entities.where(precise)
+    near = knn(placed, placed, k, "entity_id", metres=metres)
+    # k + 1 rows of a locality hold k others of anyone there
+    first = Window.partitionBy("locality").orderBy("position", "entity_id")
+    heads = entities.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).select("locality", F.col("entity_id").alias("other"), "_n")
+    fellows = entities.where(~precise).select("entity_id", "locality").join(heads, "locality").where(F.col("entity_id") != F.col("other"))
+    nth = F.row_number().over(Window.partitionBy("entity_id").orderBy("_n"))
+    there = fellows.withColumn("nth", nth).where(F.col("nth") <= k).select("entity_id", "other", F.lit(None).cast(near.schema["metres"].dataType).alias("metres"), "nth")
+    return near.select("entity_id", "other", "metres", "nth").unionByName(there)
+
+
+def status_rows(areas: DataFrame, now: Column, zone: str, hours: int = 36) -> DataFrame:
+    """area_id, checked, checked_text, duty_until, fresh of every area: when it was checked (else updated), up to when its
+    duties are published, and whether that is less than `hours` ago.
+
+    areas: area_id, checked_at, updated_at, duties_to."""
+    checked = F.coalesce("checked_at", "updated_at")
+    fresh = checked.isNotNull() & (F.unix_micros(now) - F.unix_micros(checked) <= hours * 3_600_000_000)
+    return areas.select("area_id", checked.alias("checked"), checked_text(checked, zone).alias("checked_text"), F.when(F.col("duties_to").isNotNull(), until_date(F.col("duties_to"), now, zone)).alias("duty_until"), F.coalesce(fresh, F.lit(False)).alias("fresh"))
+
+
+def national_index(areas: DataFrame, entities: DataFrame, dates: DataFrame) -> DataFrame:
+    """One row an area as the national index has it: area_id, bounds, center, n_entities, updated_at, checked_at, duties
+    (from, to; null without any) and duty_dates in order.
+
+    areas: area_id, bounds, center, updated_at, checked_at; entities: area_id; dates: area_id, date."""
+    sizes = entities.groupBy("area_id").agg(F.count("*").alias("n_entities"))
+    lists = dates.groupBy("area_id").agg(F.struct(F.min("date").alias("from"), F.max("date").alias("to")).alias("duties"), F.array_sort(F.collect_set("date")).alias("duty_dates"))
+    both = areas.select("area_id", "bounds", "center", "updated_at", "checked_at").join(sizes, "area_id", "left").join(lists, "area_id", "left")
+    return both.withColumns({"n_entities": F.coalesce("n_entities", F.lit(0)).cast("long"), "duty_dates": F.coalesce("duty_dates", F.array().cast(lists.schema["duty_dates"].dataType))})

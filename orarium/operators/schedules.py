@@ -114,3 +114,12 @@ def with_mornings(days: DataFrame, mornings: DataFrame) -> DataFrame:
     keyed = days.withColumn("weekday", iso_weekday(F.col("date"))).join(mornings.select("weekday", F.struct("from", "to").alias("morning")), "weekday", "left")
     fuller = F.when(early | F.col("morning").isNull() | (F.size("ranges") == 0), F.col("ranges")).otherwise(F.concat(F.array("morning"), F.col("ranges")))
     return keyed.withColumn("ranges", fuller).drop("weekday", "morning")
+
+
+def regular_known(asked: DataFrame, regular: DataFrame) -> DataFrame:
+    """area_id, date -> area_id, date, regular_known: whether any period of the area's regular hours holds the date. Without
+    one only what is on duty is known to be open; the rest is not closed, its hours aren't known.
+
+    regular: area_id, seq, valid_from, valid_to."""
+    found = first_fitting(asked, regular, "date", "valid_from", "valid_to", "seq", ["area_id"])
+    return asked.select("area_id", "date").distinct().join(found, ["area_id", "date"], "left").select("area_id", "date", F.col("seq").isNotNull().alias("regular_known"))

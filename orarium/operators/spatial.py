@@ -11,6 +11,8 @@ from orarium.functions.geo import REGISTRY_RADIUS_METRES, box_area, haversine, i
 from orarium.operators.ranges import settled
 
 METRES_A_DEGREE = 111_195.0
+#: Degrees of the tree's widest cells, levels below them (the finest are some 5 metres), and spots that a leaf holds.
+COARSEST, LEVELS, CROWDED = 45.0, 10, 64
 
 
 #: Targets up to which each point meets all of them; more are searched by grid, with the same result.
@@ -36,11 +38,14 @@ def knn(points: DataFrame, others: DataFrame, k: int, key: str = "id", other: st
     same: both are one table (a row is not its own neighbour); else `other` is also the name of the others' key. Points meet
     in grid cells: first those in the 3 x 3 cells around, of a size that suits the density; then, for points whose k-th
     neighbour may lie farther out, wider rings, until every point has its k or the rings cover the map. Each round is an
-    equi join and is settled before the next; one hot cell is split by Spark."""
+    equi join and is settled before the next. Where a cell holds more than CROWDED places of the others, all points go down
+    a tree of cells instead (`tree_knn`), with the same result."""
     others, points = located(others, lat, lon), located(points, lat, lon)
     other_rows = others.select(F.col(key if same else other).alias(other), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
     open_points, done = points.select(key, lat, lon), None
     degrees = degrees or cell_size(points, others, k, lat, lon)
+    if not other_rows.groupBy(F.floor(F.col("_lat") / degrees), F.floor(F.col("_lon") / degrees)).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED * k).isEmpty():
+        return tree_knn(open_points.withColumnsRenamed({lat: "lat", lon: "lon"}), other_rows, k, key, other, metres, same)
     best = Window.partitionBy(key).orderBy("metres", other)
     while True:
         size = lambda c: F.floor(F.col(c) / degrees).cast("int")  # noqa: B023, E731
@@ -64,6 +69,69 @@ def knn(points: DataFrame, others: DataFrame, k: int, key: str = "id", other: st
         degrees = min(180.0, degrees * 2)
 
 
+def tree_cells(spots: DataFrame) -> list[DataFrame]:
+    """y, x, n of the cells of each level that hold spots (their `_lat`, `_lon`): 45 degrees wide at level 0, a quarter of
+    that at each next one; counted on the finest level, and summed up from there."""
+    finest = COARSEST / 4**LEVELS
+    at = lambda c, low: F.floor((F.col(c) + low) / finest)
+    cells = [settled(spots.groupBy(at("_lat", 90).alias("y"), at("_lon", 180).alias("x")).agg(F.count("*").alias("n")), "cells")]
+    for _ in range(LEVELS):
+        cells.append(settled(cells[-1].groupBy(F.shiftright("y", 2).alias("y"), F.shiftright("x", 2).alias("x")).agg(F.sum("n").alias("n")), "cells"))
+    return cells[::-1]
+
+
+def bounds(level: int) -> tuple[Column, Column]:
+    """A lower and an upper bound, in metres, of the distance from (lat, lon) to what lies in the cell (y, x) of a level."""
+    size, metre = COARSEST / 4**level, METRES_A_DEGREE
+    south, middle = F.col("y") * size - 90, (F.col("x") + 0.5) * size - 180
+    apart = F.abs(F.pmod(F.col("lon") - middle + 540, F.lit(360.0)) - 180)
+    gap, lat = F.greatest(apart - size / 2, F.lit(0.0)), F.col("lat")
+    meridian = F.when(gap >= 90, 90 - F.abs(lat)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(gap)) * F.cos(F.radians("lat"))))))
+    near = F.greatest(south - lat, lat - south - size, meridian, F.lit(0.0)) * metre * 0.999
+    widest = F.when((south <= 0) & (south + size >= 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs(south), F.abs(south + size)))))
+    far = F.greatest(F.abs(lat - south), F.abs(lat - south - size)) + F.least(apart + size / 2, F.lit(180.0)) * widest
+    return near, far * metre * 1.001
+
+
+def tree_knn(points: DataFrame, others: DataFrame, k: int, key: str, other: str, metres=lambda d: d, same: bool = True) -> DataFrame:
+    """As `knn`, however the rows are crowded; points: key, lat, lon; others: other, _lat, _lon, all located.
+
+    Others at one spot are a spot with its first k + 1 keys. Each point goes down the tree of cells with those that may
+    hold one of its k nearest: it knows how many spots each holds, so the k-th smallest upper bound tells which cells are
+    too far. Cells of up to CROWDED spots are leaves; only there points meet spots, so a point meets a bounded number,
+    however dense or far the next town is."""
+    at_spot = Window.partitionBy("_lat", "_lon").orderBy(other)
+    named = others.withColumn("_n", F.row_number().over(at_spot)).where(F.col("_n") <= k + 1)
+    spots = settled(named.groupBy("_lat", "_lon").agg(F.array_sort(F.collect_list(other)).alias("_keys")), "spots")
+    cells = tree_cells(spots)
+    open_cells, leaves = points.crossJoin(F.broadcast(cells[0])), []  # 45 cells at most
+    for level in range(LEVELS + 1):
+        near, far = bounds(level)
+        by_far = Window.partitionBy(key).orderBy("far", "y", "x")
+        # a point's own spot may hold nobody else
+        ranked = open_cells.withColumns({"near": near, "far": far, "leaf": F.lit(level)}).unionByName(leaves[0], allowMissingColumns=True) if leaves else open_cells.withColumns({"near": near, "far": far, "leaf": F.lit(level)})
+        ranked = ranked.withColumn("held", F.sum("n").over(by_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        reach = F.min(F.when(F.col("held") > k, F.col("far"))).over(Window.partitionBy(key))
+        kept = settled(ranked.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("near") <= F.col("reach") * 1.001 + 2)).drop("held", "reach"), "candidates")
+        leaves = [kept.where((F.col("leaf") < level) | (F.col("n") <= CROWDED) | F.lit(level == LEVELS))]
+        inner = kept.where((F.col("leaf") == level) & (F.col("n") > CROWDED))
+        if level == LEVELS or inner.isEmpty():
+            break
+        below = cells[level + 1].select(F.shiftright("y", 2).alias("_y"), F.shiftright("x", 2).alias("_x"), "y", "x", "n")
+        open_cells = inner.select(key, "lat", "lon", F.col("y").alias("_y"), F.col("x").alias("_x")).join(below, ["_y", "_x"]).drop("_y", "_x")
+    finest = COARSEST / 4**LEVELS
+    # a spot lies in one cell of each level; it is met in the level of its leaf
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    y, x = F.floor((F.col("_lat") + 90) / finest), F.floor((F.col("_lon") + 180) / finest)
+    used = [r.leaf for r in leaves[0].select("leaf").distinct().collect()]
+    held = spots.withColumns({"y": y, "x": x}).withColumn("leaf", levels).where(F.col("leaf").isin(used)).withColumns({"y": F.expr(f"shiftright(y, 2 * ({LEVELS} - leaf))"), "x": F.expr(f"shiftright(x, 2 * ({LEVELS} - leaf))")})
+    found = leaves[0].select(key, "lat", "lon", "leaf", "y", "x").join(held, ["leaf", "y", "x"])
+    found = found.withColumn("metres", metres(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))).select(key, "metres", F.explode("_keys").alias(other))
+    best = Window.partitionBy(key).orderBy("metres", other)
+    found = found.where(F.col(key) != F.col(other)) if same else found
+    return found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select(key, other, "metres", "nth")
+
+
 def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, metres=lambda d: d) -> DataFrame:
     """The nearest target of each point (ties by target); none of a point without a place, or where no target has one.
 

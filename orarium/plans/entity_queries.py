@@ -60,10 +60,13 @@ def knn_suppliers(spark, d):
     return spatial.knn(s, s, 3, "s_suppkey", "neighbour", metres=whole)
 
 
-@query(f"""WITH {CUSTOMERS}, {NATIONS}, r AS (SELECT c.id AS c_custkey, n.id AS n_nationkey, {metres('c', 'n')} AS metres, row_number() OVER (PARTITION BY c.id ORDER BY {metres('c', 'n')}, n.id) AS nth FROM c CROSS JOIN n)
+@query(f"""WITH {CUSTOMERS}, {NATIONS}, r AS (SELECT c.id AS c_custkey, n.id AS n_nationkey, {metres('c', 'n')} AS metres, row_number() OVER (PARTITION BY c.id ORDER BY {metres('c', 'n')}, n.id) AS nth FROM c CROSS JOIN n WHERE c.id % 9 <> 0 AND n.id % 6 <> 0)
 SELECT c_custkey, n_nationkey, metres FROM r WHERE nth = 1""")
 def nearest_group(spark, d):
+    """Every ninth customer and every sixth nation has no place (the nation half of one)."""
     c, n = placed(table(spark, d, "customer"), "c_custkey"), placed(table(spark, d, "nation"), "n_nationkey")
+    c = c.withColumns({x: F.when(F.col("c_custkey") % 9 != 0, F.col(x)) for x in ("lat", "lon")})
+    n = n.withColumn("lon", F.when(F.col("n_nationkey") % 6 != 0, F.col("lon")))
     return spatial.nearest(c.select("c_custkey", "lat", "lon"), n, "c_custkey", "n_nationkey", whole)
 
 
@@ -85,6 +88,18 @@ def box_filter(spark, d):
     return c.groupBy(in_box(F.col("lat"), F.col("lon"), 19.3, 34.5, 26.0, 41.8).alias("inside")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {CUSTOMERS} SELECT id AS c_custkey, round(lat, 1) AS lat, round(lon, 1) AS lon FROM c WHERE lat BETWEEN 37.0 AND 38.5 AND lon BETWEEN 22.0 AND 24.25 AND c_mktsegment = 'BUILDING'")
+def places_in_box(spark, d):
+    """Customers written along a space-filling curve, and those of a box and a segment read back."""
+    from orarium.operators.ranges import scratch
+    from orarium.sources import sinks, tables
+
+    path = scratch(spark, "places")
+    sinks.write_places(placed(table(spark, d, "customer"), "c_custkey"), path)
+    found = tables.places_in_box(spark, path, 22.0, 37.0, 24.25, 38.5, 1, where=F.col("c_mktsegment") == "BUILDING")
+    return found.select("c_custkey", "lat", "lon")
+
+
 @query(f"""WITH {CUSTOMERS}, p AS (SELECT *, CASE WHEN id % 5 = 0 THEN NULL ELSE lat END AS la, CASE WHEN id % 5 = 0 THEN NULL ELSE lon END AS lo, id % 3 = 0 AND c_nationkey % 4 <> 0 AS exact FROM c)
 SELECT c_nationkey, count(*)::BIGINT AS n, round(coalesce(avg(la) FILTER (WHERE exact), avg(la)), 6) AS lat, round(coalesce(avg(lo) FILTER (WHERE exact), avg(lo)), 6) AS lon FROM p GROUP BY c_nationkey HAVING count(la) > 0""")
 def locality_centroid(spark, d):
@@ -248,14 +263,13 @@ def upsert_latest(spark, d):
     return capture.upsert_latest(stored, fetched, ["o_custkey"], "version", ["o_orderkey", "o_orderstatus"]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-VERSIONS = "v AS (SELECT l_partkey, l_orderkey * 100000000 + l_linenumber * 10000000 + l_suppkey AS seq, l_extendedprice, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag END AS flag, CASE WHEN l_quantity > 10 THEN l_quantity END AS qty, l_linestatus FROM lineitem), f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY l_partkey, seq) AS twins FROM v) WHERE twins = 1)"
+#: Lines of one number in an order are told apart by all that the fold reads of them.
+VERSIONS = "f AS (SELECT l_partkey, (l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_returnflag, l_quantity, l_linestatus) AS seq, l_extendedprice, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag END AS flag, CASE WHEN l_quantity > 10 THEN l_quantity END AS qty, l_linestatus FROM lineitem)"
 
 
 def versions(spark, d):
-    li = table(spark, d, "lineitem")
-    seq = F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 10_000_000 + F.col("l_suppkey")
-    v = li.select("l_partkey", seq.alias("seq"), "l_extendedprice", F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("l_returnflag")).alias("flag"), F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("qty"), "l_linestatus")
-    return v.withColumn("twins", F.count("*").over(Window.partitionBy("l_partkey", "seq"))).where("twins = 1").drop("twins")
+    seq = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_returnflag", "l_quantity", "l_linestatus")
+    return table(spark, d, "lineitem").select("l_partkey", seq.alias("seq"), "l_extendedprice", F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("l_returnflag")).alias("flag"), F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("qty"), "l_linestatus")
 
 
 @query(f"WITH {VERSIONS} SELECT l_partkey, arg_max(l_extendedprice, seq) AS price, arg_max(flag, seq) FILTER (WHERE flag <> '') AS flag, arg_max(qty, seq) FILTER (WHERE qty IS NOT NULL) AS qty FROM f GROUP BY l_partkey")
@@ -268,6 +282,24 @@ def kind_changes(spark, d):
     return capture.changes(versions(spark, d), "l_partkey", "seq", "l_linestatus").groupBy("l_partkey").agg(F.count("*").alias("n_changes"))
 
 
+# four batches of orders, folded in turn: a later version replaces what is stored unless its content is the same
+BATCHES = ", ".join(f"b{k} AS (SELECT o_custkey AS c, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s, max((o_orderdate, o_orderkey)) AS v FROM orders WHERE o_orderkey % 4 = {k} GROUP BY 1)" for k in range(4))
+FOLDED = ", ".join(f"s{k + 1} AS (SELECT coalesce(a.c, b.c) AS c, CASE WHEN b.c IS NULL OR a.c IS NOT NULL AND (b.v < a.v OR b.s = a.s) THEN a.s ELSE b.s END AS s, CASE WHEN b.c IS NULL OR a.c IS NOT NULL AND (b.v < a.v OR b.s = a.s) THEN a.v ELSE b.v END AS v FROM s{k} a FULL JOIN b{k + 1} b ON a.c = b.c)" for k in range(3))
+
+
+@query(f"WITH {BATCHES}, s0 AS (SELECT * FROM b0), {FOLDED} SELECT c AS o_custkey, s AS o_orderstatus, v[2] AS o_orderkey FROM s3")
+def bucketed_upsert(spark, d):
+    """Orders come in four batches, the third one twice, and are read from the buckets that they touched."""
+    from orarium.operators.ranges import scratch
+    from orarium.streaming.buckets import BucketTable
+
+    o = table(spark, d, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("version"), "o_orderstatus", "o_orderkey")
+    stored = BucketTable(spark, scratch(spark, "buckets"), ["o_custkey"], "version", ["o_orderstatus"], buckets=8, most_deltas=3)
+    for batch in (0, 1, 2, 2, 3):
+        stored.write(o.where(F.col("o_orderkey") % 4 == batch), batch)
+    return stored.read().select("o_custkey", "o_orderstatus", "o_orderkey")
+
+
 @query("""SELECT o_custkey, strftime(min(o_orderdate), '%Y-%m-%d') AS first_seen, strftime(max(o_orderdate), '%Y-%m-%d') AS last_seen, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS sources,
 arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_totalprice > 100000) AS last_large, arg_min(o_totalprice, o_orderkey) FILTER (WHERE o_totalprice > 100000) AS first_large FROM orders GROUP BY o_custkey""")
 def registry_build(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orarium.functions.calendar import holiday_rows, orthodox_easter, years_between
+from orarium.functions.calendar import holiday_rows, orthodox_easter
 from orarium.functions.geo import sun_elevation
 from orarium.functions.timez import duty_date, is_proper_range, iso_weekday, local_to_instant, normalize_time, time_of, zoned_date, zoned_minutes
 from orarium.operators import intervals, periods, schedules, status, visits
@@ -159,12 +159,14 @@ def status_classify(spark, d):
 
 
 @query(f"""WITH {NUMBERED}, parts AS (SELECT *, min(s) OVER w AS rs, max(e) OVER w AS re FROM numbered WINDOW w AS (PARTITION BY user_id, run)),
-first_run AS (SELECT *, min(run) OVER (PARTITION BY user_id) AS f FROM parts WHERE re > {AT} AND rs < {AT + 168 * HOUR})
-SELECT user_id, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (WHERE CASE WHEN rs <= {AT} THEN s <= {AT} AND {AT} < e ELSE greatest(s, {AT}) = greatest(rs, {AT}) END), '') AS reasons,
-string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS run_reasons FROM first_run WHERE run = f GROUP BY user_id""")
+first_run AS (SELECT *, min(run) OVER (PARTITION BY user_id) AS f FROM parts WHERE re > {AT} AND rs < {AT + 168 * HOUR}),
+shown AS (SELECT *, CASE WHEN rs <= {AT} THEN s <= {AT} AND {AT} < e ELSE greatest(s, {AT}) = greatest(rs, {AT}) END AS now FROM first_run WHERE run = f),
+kinds AS (SELECT user_id, event_type, min((s, e)) AS place, min((s, e)) FILTER (WHERE now) AS place_now FROM shown GROUP BY ALL)
+SELECT user_id, coalesce(string_agg(event_type, ',' ORDER BY place_now, event_type) FILTER (WHERE place_now IS NOT NULL), '') AS reasons,
+string_agg(event_type, ',' ORDER BY place, event_type) AS run_reasons FROM kinds GROUP BY user_id""")
 def status_reasons(spark, d):
-    """Why just now (or why the next opening), and why in the whole run; compared as sets."""
-    text = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    """Why just now (or why the next opening), and why in the whole run; in the order of their first appearance."""
+    text = lambda c: F.array_join(c, ",").alias(c)
     return statuses(spark, d, past=True).where("run_reasons IS NOT NULL").select(F.col("entity_id").alias("user_id"), text("reasons"), text("run_reasons"))
 
 
@@ -268,7 +270,7 @@ def duty_day(spark, d):
     return table(spark, d, "events").select("event_id", duty_date(F.col("ts"), ZONE).cast("string").alias("duty_date"))
 
 
-EASTER = """years AS (SELECT y::INT AS y FROM range(1900, 2100) t(y)),
+EASTER = """years AS (SELECT DISTINCT year(o_orderdate)::INT AS y FROM orders),
 c AS (SELECT y, (y % 19 * 19 + 15) % 30 AS moon FROM years),
 w AS (SELECT y, moon, (y % 4 * 2 + y % 7 * 4 - moon + 34) % 7 AS week FROM c),
 easter AS (SELECT y, make_date(y, ((moon + week + 114) // 31)::INT, ((moon + week + 114) % 31 + 1)::INT) + 13 AS easter FROM w)"""
@@ -277,20 +279,24 @@ SELECT y, unnest([make_date(y,1,1), make_date(y,1,6), make_date(y,3,25), make_da
 unnest(['New Year''s Day','Epiphany','Independence Day','Labour Day','Dormition of the Theotokos','Ohi Day','Christmas Day','Boxing Day','Clean Monday','Good Friday','Easter Sunday','Easter Monday','Whit Monday']) AS name FROM easter)"""
 
 
+def order_years(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+
+
 @query(f"WITH {EASTER} SELECT y AS year, strftime(easter, '%Y-%m-%d') AS easter FROM easter")
 def easter_dates(spark, d):
-    return years_between(spark, 1900, 2099).select("year", orthodox_easter(F.col("year")).cast("string").alias("easter"))
+    return order_years(spark, d).select("year", orthodox_easter(F.col("year")).cast("string").alias("easter"))
 
 
-@query(f"WITH {HOLIDAYS} SELECT strftime(date, '%Y-%m-%d') AS date, name, name IN ('Good Friday', 'Whit Monday') AS soft FROM holidays WHERE y BETWEEN 1995 AND 2030")
+@query(f"WITH {HOLIDAYS} SELECT strftime(date, '%Y-%m-%d') AS date, name, name IN ('Good Friday', 'Whit Monday') AS soft FROM holidays")
 def holiday_calendar(spark, d):
-    return holiday_rows(years_between(spark, 1995, 2030)).select(F.col("date").cast("string").alias("date"), "name", "soft")
+    return holiday_rows(order_years(spark, d)).select(F.col("date").cast("string").alias("date"), "name", "soft")
 
 
 @query(f"WITH {HOLIDAYS} SELECT name, count(*)::BIGINT AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN holidays ON o_orderdate::DATE = date GROUP BY name")
 def holiday_orders(spark, d):
     orders = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice")
-    days = holiday_rows(years_between(spark, 1990, 2010))
+    days = holiday_rows(order_years(spark, d))
     return orders.join(F.broadcast(days), "date").groupBy("name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -343,17 +349,25 @@ def extended_priority(spark, d):
     lists = spark.sql(f"SELECT list_from, list_to, type, explode(split(keys, ',')) AS key FROM {LISTS} AS t(list_from, list_to, type, keys)")
     ranges = F.array(F.struct(F.col("list_from").cast("string").alias("from"), F.lit("00:00").alias("to")))
     extended = orders.select("entity_id").distinct().join(F.broadcast(lists)).select("entity_id", "list_from", "list_to", F.lit(0).alias("position"), "type", "key", ranges.alias("ranges"))  # nine rows of keys
-    found = schedules.extended_ranges(days, extended)
+    # a second row of a list, with other hours, is not read
+    again = extended.withColumns({"position": F.lit(1), "ranges": F.array(F.struct(F.lit("second").alias("from"), F.lit("00:00").alias("to")))})
+    found = schedules.extended_ranges(days, extended.unionByName(again))
     return found.groupBy(F.get("ranges", F.lit(0))["from"].alias("list_from")).agg(F.count("*").alias("n_days"))
 
 
-@query("""WITH spine AS (SELECT unnest(range(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 1 DAY))::DATE AS date)
-SELECT strftime(date, '%Y-%m-%d') AS date, CASE WHEN date = DATE '2024-01-06' THEN '' WHEN date = DATE '2024-02-14' THEN '10:00-12:00' WHEN isodow(date) <= 5 THEN '08:00-14:30' WHEN isodow(date) = 6 THEN '09:00-13:00' END AS hours FROM spine""")
+@query("""WITH o AS (SELECT o_orderkey, o_custkey AS c, o_orderdate::DATE AS d, isodow(o_orderdate)::INT AS wd FROM orders)
+SELECT o_orderkey, CASE WHEN c % 5 = 0 AND d = DATE '1996-01-06' + (c % 40)::INT THEN '' WHEN d = DATE '1995-01-01' + (c % 900)::INT THEN '10:00-12:00' WHEN wd <= 5 AND (c + wd) % 3 <> 0 THEN '08:00-14:30' WHEN wd = 6 AND c % 2 = 0 THEN '09:00-13:00' END AS hours FROM o""")
 def schedule_expand(spark, d):
-    spine = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-02-29')) AS date")
-    weekly = F.expr("map('1', array('08:00-14:30'), '2', array('08:00-14:30'), '3', array('08:00-14:30'), '4', array('08:00-14:30'), '5', array('08:00-14:30'), '6', array('09:00-13:00'))")
-    dated = F.expr("map('2024-01-06', array(), '2024-02-14', array('10:00-12:00'))")
-    return schedules.expand_schedule(spine, weekly, dated).select(F.col("date").cast("string").alias("date"), F.array_join("ranges", ",").alias("hours"))
+    """The hours of each order's day in its customer's schedule: weekly ranges, and dated ones that replace them."""
+    c = F.col("o_custkey")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("date"))
+    entry = lambda key, hours: F.struct(key.alias("key"), hours.alias("value"))
+    week = [F.when((c + k) % 3 != 0, entry(F.lit(str(k)), F.array(F.lit("08:00-14:30")))) for k in range(1, 6)] + [F.when(c % 2 == 0, entry(F.lit("6"), F.array(F.lit("09:00-13:00"))))]
+    day = lambda first, n: F.date_add(F.lit(first).cast("date"), (c % n).cast("int")).cast("string")
+    closed, short = F.when(c % 5 == 0, entry(day("1996-01-06", 40), F.array().cast("array<string>"))), entry(day("1995-01-01", 900), F.array(F.lit("10:00-12:00")))
+    dated = F.when(day("1996-01-06", 40) == day("1995-01-01", 900), F.array(F.coalesce(closed, short))).otherwise(F.array(closed, short))
+    maps = orders.withColumns({"weekly": F.map_from_entries(F.array_compact(F.array(*week))), "dated": F.map_from_entries(F.array_compact(dated))})
+    return schedules.expand_schedule(maps, F.col("weekly"), F.col("dated")).select("o_orderkey", F.array_join("ranges", ",").alias("hours"))
 
 
 @query("""WITH r AS (SELECT event_id, printf('%02d:%02d', (event_id * 7) % 24, (event_id * 13) % 60) AS f, CASE WHEN event_id % 5 = 0 THEN '00:00' ELSE printf('%02d:%02d', (event_id * 11) % 24, (event_id * 17) % 60) END AS t FROM events)

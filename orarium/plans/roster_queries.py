@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orarium.functions import text
-from orarium.functions.calendar import holiday_rows, with_holiday, years_between
-from orarium.operators import lists, medicines, resolve, roster, schedules, status
-from orarium.plans.entity_queries import CUSTOMERS, placed, whole
+from orarium.functions import text, titles
+from orarium.functions.calendar import holiday_rows, with_holiday
+from orarium.operators import hours, intervals, lists, medicines, resolve, roster, schedules, status
+from orarium.plans.entity_queries import CUSTOMERS, SUPPLIERS, metres, placed, whole
 from orarium.plans.registry import register
 from orarium.sources import layout, sheets
 from orarium.sources.tables import latest_linked, search_windows, table, unread
@@ -108,11 +108,11 @@ def areas_by_group(spark, d):
     return lists.areas_by_group(areas, groups)
 
 
-@query("""SELECT l_suppkey % 10 AS g, l_returnflag AS heading, min(l_orderkey * 10 + l_linenumber) AS first, array_to_string(list(l_partkey::VARCHAR ORDER BY l_orderkey * 10 + l_linenumber), ',') AS entries FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01' GROUP BY ALL""")
+@query("""SELECT l_suppkey % 10 AS g, l_returnflag AS heading, strftime(l_shipdate, '%Y-%m') AS page, min(l_orderkey * 10 + l_linenumber) AS first, array_to_string(list(l_partkey::VARCHAR ORDER BY l_orderkey * 10 + l_linenumber, l_partkey::VARCHAR), ',') AS entries FROM lineitem GROUP BY ALL""")
 def list_sections(spark, d):
-    """Entries of a page grouped to sections, in page order."""
-    rows = table(spark, d, "lineitem").where("l_shipdate < TIMESTAMP '1995-02-01'").select((F.col("l_suppkey") % 10).alias("g"), F.col("l_returnflag").alias("heading"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.col("l_partkey").cast("string").alias("entry"))
-    return lists.sections(rows, ["g", "heading"], "position", "entry").select("g", "heading", "first", F.array_join("entries", ",").alias("entries"))
+    """Entries of a month's page grouped to sections, in page order."""
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("g"), F.col("l_returnflag").alias("heading"), F.date_format("l_shipdate", "yyyy-MM").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.col("l_partkey").cast("string").alias("entry"))
+    return lists.sections(rows, ["g", "heading", "page"], "position", "entry").select("g", "heading", "page", "first", F.array_join("entries", ",").alias("entries"))
 
 
 @query("SELECT c_mktsegment AS source, CASE WHEN c_acctbal < 0 THEN 'locality' ELSE 'street' END AS precision, count(*)::BIGINT AS n FROM customer GROUP BY ALL")
@@ -183,8 +183,8 @@ def entry_ids(spark, d):
     return roster.entry_ids(part.where("key % 2 = 1"), known)
 
 
-@query("""WITH r AS (SELECT p_partkey AS row_id, string_split(p_name, ' ') AS w, CASE WHEN p_partkey % 4 = 0 THEN 'brand' || p_size % 3 END AS hint FROM part WHERE p_partkey % 5 = 0),
-m AS (SELECT p_partkey AS member_id, string_split(p_name, ' ') AS w, 'brand' || p_partkey % 3 AS place FROM part WHERE p_partkey % 97 = 1),
+@query("""WITH r AS (SELECT p_partkey AS row_id, string_split(p_name, ' ') AS w, CASE WHEN p_partkey % 4 = 0 THEN 'brand' || p_size % 3 END AS hint FROM part),
+m AS (SELECT p_partkey AS member_id, string_split(p_name, ' ') AS w, 'brand' || p_partkey % 3 AS place FROM part JOIN nation ON p_partkey = n_nationkey * 7),
 s AS (SELECT row_id, member_id, hint, place, len(list_intersect(r.w, m.w)) AS score FROM r JOIN m ON list_contains(r.w, m.w[1])),
 t AS (SELECT *, max(score) OVER (PARTITION BY row_id) AS best, coalesce(hint = place, false) AS fits FROM s), u AS (SELECT *, max(fits::INT) OVER (PARTITION BY row_id) AS any_fits, count(*) OVER (PARTITION BY row_id) AS n FROM t WHERE score = best),
 v AS (SELECT row_id, count(*) AS n, min(member_id) AS member_id, bool_or(fits) AS fits, bool_or(hint IS NOT NULL) AS hinted FROM u WHERE fits OR n = 1 OR any_fits = 0 GROUP BY row_id),
@@ -195,8 +195,8 @@ def member_match(spark, d):
     k, words = F.col("p_partkey"), F.split("p_name", " ")
     part = table(spark, d, "part")
     hints = F.filter(F.array(F.when(k % 4 == 0, F.concat(F.lit("brand"), (F.col("p_size") % 3).cast("string")))), lambda h: h.isNotNull())
-    rows = part.where("p_partkey % 5 = 0").select(k.alias("row_id"), words.alias("words"), hints.alias("hints"))
-    members = part.where("p_partkey % 97 = 1").select(k.alias("member_id"), words.alias("words"), F.slice(words, 1, 1).alias("surnames"), F.concat(F.lit("brand"), (k % 3).cast("string")).alias("place"))
+    rows = part.select(k.alias("row_id"), words.alias("words"), hints.alias("hints"))
+    members = part.join(table(spark, d, "nation").select((F.col("n_nationkey") * 7).alias("p_partkey")), "p_partkey").select(k.alias("member_id"), words.alias("words"), F.slice(words, 1, 1).alias("surnames"), F.concat(F.lit("brand"), (k % 3).cast("string")).alias("place"))
     return roster.match_members(rows, members)
 
 
@@ -294,20 +294,20 @@ def carry_forward(spark, d):
 HOLIDAY = "h AS (SELECT DISTINCT date FROM holidays)"
 
 
-@query("""WITH d AS (SELECT DISTINCT o_custkey AS k, o_orderdate::DATE AS date FROM orders WHERE o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'),
+@query("""WITH d AS (SELECT DISTINCT o_custkey AS k, o_orderdate::DATE AS date FROM orders),
 x AS (SELECT *, month(date) = 12 AND day(date) IN (25, 26) AS holiday, isodow(date) AS wd, date::TIMESTAMP AS t FROM d),
-ext AS (SELECT k, date, wd IN (2, 4) AND NOT holiday AS named FROM x WHERE k % 4 = 0 AND date >= DATE '1996-06-01'),
+ext AS (SELECT k, date, wd IN (2, 4) AND NOT holiday AS named FROM x WHERE k % 4 = 0 AND date BETWEEN DATE '1996-06-01' AND DATE '1996-12-31'),
 y AS (SELECT x.*, coalesce(named, false) AS named FROM x LEFT JOIN ext USING (k, date)),
 o AS (SELECT k, date, 'extended' AS reason, t + INTERVAL 8 HOUR AS s, t + INTERVAL 21 HOUR AS e FROM y WHERE named
-  UNION ALL SELECT k, date, 'regular', t + INTERVAL 8 HOUR, t + INTERVAL 14 HOUR FROM y WHERE NOT named AND NOT holiday AND wd <= 5
-  UNION ALL SELECT k, date, 'regular', t + INTERVAL 17 HOUR, t + INTERVAL 24 HOUR FROM y WHERE NOT named AND NOT holiday AND wd = 5
+  UNION ALL SELECT k, date, 'regular', t + INTERVAL 8 HOUR, t + INTERVAL 14 HOUR FROM y WHERE NOT named AND NOT holiday AND wd <= 5 AND date >= DATE '1995-01-01'
+  UNION ALL SELECT k, date, 'regular', t + INTERVAL 17 HOUR, t + INTERVAL 24 HOUR FROM y WHERE NOT named AND NOT holiday AND wd = 5 AND date >= DATE '1995-01-01'
   UNION ALL SELECT k, date, 'duty', t + INTERVAL 20 HOUR, t + INTERVAL 32 HOUR FROM y WHERE k % 5 = 0
   UNION ALL SELECT k, date, 'duty-extra', t + INTERVAL 10 HOUR, t + INTERVAL 12 HOUR FROM y WHERE k % 5 = 0 AND wd = 6 AND NOT holiday)
 SELECT reason, count(*)::BIGINT AS n, sum(epoch_us(e) - epoch_us(s))::BIGINT // 3600000000 AS hours FROM o GROUP BY reason""")
 def openings_of_days(spark, d):
     """Everything that starts on a date: regular hours, longer ones in their place, duties on top; in UTC."""
-    days = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.to_date("o_orderdate").alias("date")).distinct().where("date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'").withColumn("group_id", F.lit("g"))
-    calendar = holiday_rows(years_between(spark, 1996, 1996)).where("name IN ('Christmas Day', 'Boxing Day')")
+    days = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.to_date("o_orderdate").alias("date")).distinct().withColumn("group_id", F.lit("g"))
+    calendar = holiday_rows(days.select(F.year("date").alias("year")).distinct()).where("name IN ('Christmas Day', 'Boxing Day')")
     listed = spark.createDataFrame([], "date date, group_id string, listed boolean")
     days = with_holiday(days, calendar, listed, "g")
     one = "array(named_struct('from', '08:00', 'to', '14:00'))"
@@ -397,3 +397,113 @@ def greek_keys(spark, d):
     shares = text.share_token(text.name_tokens(F.lit("ΣΑΒΒΙΔΗΣ ΝΙΚΟΣ")), text.name_tokens(F.when(k % 2 == 0, "Savvidis Giorgos").otherwise("Μάρκου Άννα")))
     street = text.same_street(F.lit("Τσιμισκή 12"), F.when(k % 3 == 0, "ΤΣΙΜΙΣΚΗ 12-14").when(k % 3 == 1, "ΤΣΙΜΙΣΚΗ 13").otherwise("Εγνατίας 12"))
     return table(spark, d, "part").select("p_partkey", text.join_lines(lines).alias("joined"), shares.alias("shares"), street.alias("same_street"), text.latin_key(F.when(k % 2 == 0, "Θαλής").otherwise("Νίκη")).alias("latin"))
+
+
+# --- areas and neighbours ---
+
+
+@query("""WITH p AS (SELECT n_nationkey AS a, DATE '1993-01-01' + n_nationkey * 40 AS f, CASE WHEN n_nationkey % 5 <> 0 THEN DATE '1993-01-01' + n_nationkey * 40 + 500 END AS t FROM nation WHERE n_nationkey % 6 <> 0),
+d AS (SELECT DISTINCT c_nationkey AS a, o_orderdate::DATE AS d FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT a AS area_id, strftime(d, '%Y-%m-%d') AS date, EXISTS (SELECT 1 FROM p WHERE p.a = d.a AND f <= d.d AND (t IS NULL OR d.d <= t)) AS regular_known FROM d""")
+def regular_known(spark, d):
+    """Whether each area's regular hours are known on each day: some areas have no period, some an open one."""
+    k = F.col("n_nationkey")
+    start = F.date_add(F.lit("1993-01-01").cast("date"), k * 40)
+    periods = table(spark, d, "nation").where(k % 6 != 0).select(k.alias("area_id"), k.alias("seq"), start.alias("valid_from"), F.when(k % 5 != 0, F.date_add(start, 500)).alias("valid_to"))
+    asked = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("area_id"), F.to_date("o_orderdate").alias("date"))
+    return schedules.regular_known(asked, periods).select("area_id", F.col("date").cast("string").alias("date"), "regular_known")
+
+
+@query(f"WITH {ROWS} SELECT k AS entity_id FROM rows WHERE area % 3 <> 0 OR look <> 'closed'")
+def offered_rows(spark, d):
+    """Lists without closed rows in areas whose regular hours aren't known."""
+    return lists.offered(pins(spark, d).withColumn("regular_known", F.col("area") % 3 != 0)).select("entity_id")
+
+
+@query(f"""WITH {SUPPLIERS}, p AS (SELECT *, id % 7 <> 0 AND id % 11 <> 0 AS precise FROM s), r AS (SELECT a.id AS entity_id, b.id AS other, {metres('a', 'b')} AS metres FROM p a JOIN p b ON a.id <> b.id AND a.precise AND b.precise),
+n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY metres, other)::INT AS nth FROM r), f AS (SELECT a.id AS entity_id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY b.id)::INT AS nth FROM p a JOIN p b ON a.id <> b.id AND NOT a.precise AND a.s_nationkey = b.s_nationkey)
+SELECT entity_id, other, metres, nth FROM n WHERE nth <= 3 UNION ALL SELECT entity_id, other, NULL, nth FROM f WHERE nth <= 3""")
+def neighbours(spark, d):
+    """The nearest of each supplier; of one without an exact place others of its nation."""
+    k = F.col("s_suppkey")
+    rows = placed(table(spark, d, "supplier"), "s_suppkey").select(k.alias("entity_id"), k.alias("position"), F.col("s_nationkey").alias("locality"), F.when(k % 11 != 0, F.col("lat")).alias("lat"), "lon", F.when(k % 7 == 0, "locality").otherwise("street").alias("precision"))
+    return lists.neighbours(rows, 3, whole)
+
+
+@query("""WITH a AS (SELECT user_id, max(ts) FILTER (WHERE event_type = 'purchase' AND user_id % 3 <> 0) AS c, max(ts) AS u, CASE WHEN user_id % 4 <> 0 THEN min(ts)::DATE + (user_id % 500)::INT END AS t FROM events GROUP BY user_id),
+b AS (SELECT *, coalesce(c, u) AS x, (coalesce(c, u) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Athens' AS local, ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'] AS m FROM a)
+SELECT user_id AS area_id, epoch_us(x) AS checked_us, day(local) || ' ' || m[month(local)] || ' ' || strftime(local, '%H:%M') AS checked_text, day(t) || ' ' || m[month(t)] || CASE WHEN year(t) <> 2024 THEN ' ' || year(t) ELSE '' END AS duty_until,
+1706659200000000 - epoch_us(x) <= 36 * 3600000000 AS fresh FROM b""")
+def status_rows(spark, d):
+    """Users as areas: when each was checked, else updated, and how far its duties go."""
+    e, k = table(spark, d, "events"), F.col("user_id")
+    areas = e.groupBy(k.alias("area_id")).agg(F.max(F.when((F.col("event_type") == "purchase") & (k % 3 != 0), F.col("ts"))).alias("checked_at"), F.max("ts").alias("updated_at"), F.min(F.to_date("ts")).alias("first"))
+    areas = areas.withColumn("duties_to", F.when(F.col("area_id") % 4 != 0, F.date_add("first", (F.col("area_id") % 500).cast("int"))))
+    found = lists.status_rows(areas, F.timestamp_micros(F.lit(1_706_659_200_000_000)), "Europe/Athens")
+    return found.select("area_id", F.unix_micros("checked").alias("checked_us"), "checked_text", "duty_until", "fresh")
+
+
+@query("""WITH d AS (SELECT DISTINCT c_nationkey AS a, o_orderdate::DATE AS d FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 7 <> 0), l AS (SELECT a, min(d) AS f, max(d) AS t, count(*) AS n, sha256(string_agg(strftime(d, '%Y-%m-%d'), ',' ORDER BY d)) AS h FROM d GROUP BY a),
+c AS (SELECT c_nationkey AS a, count(*) AS n FROM customer GROUP BY 1)
+SELECT n_nationkey AS area_id, coalesce(c.n, 0)::BIGINT AS n_entities, strftime(f, '%Y-%m-%d') AS first, strftime(t, '%Y-%m-%d') AS last, coalesce(l.n, 0)::INT AS n_dates, coalesce(h, sha256('')) AS dates FROM nation LEFT JOIN c ON c.a = n_nationkey LEFT JOIN l ON l.a = n_nationkey""")
+def national_index(spark, d):
+    """Nations as areas, with their customers and the dates of their orders (some have none)."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("area_id"), "c_custkey")
+    dates = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).where("area_id % 7 <> 0").select("area_id", F.to_date("o_orderdate").alias("date"))
+    nothing = F.lit(None)
+    areas = table(spark, d, "nation").select(F.col("n_nationkey").alias("area_id"), nothing.cast("array<double>").alias("bounds"), nothing.cast("array<double>").alias("center"), nothing.cast("timestamp").alias("updated_at"), nothing.cast("timestamp").alias("checked_at"))
+    found = lists.national_index(areas, c, dates)
+    return found.select("area_id", "n_entities", F.col("duties.from").cast("string").alias("first"), F.col("duties.to").cast("string").alias("last"), F.size("duty_dates").alias("n_dates"), F.sha2(F.array_join(F.transform("duty_dates", lambda x: x.cast("string")), ","), 256).alias("dates"))
+
+
+@query("""WITH w AS (SELECT l_orderkey AS o, l_suppkey * 977 % 86400 AS f, l_suppkey * 977 % 86400 + (l_quantity * 300)::BIGINT AS t, l_returnflag AS p FROM lineitem),
+r AS (SELECT *, max(t) OVER (PARTITION BY o ORDER BY f, t, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM w), n AS (SELECT *, sum(CASE WHEN reached IS NULL OR f > reached THEN 1 ELSE 0 END) OVER (PARTITION BY o ORDER BY f, t, p ROWS UNBOUNDED PRECEDING) AS run FROM r)
+SELECT o AS l_orderkey, (run - 1)::INT AS nth, min(f) AS from_sec, max(t) AS to_sec, string_agg(p, '' ORDER BY f, t, p) AS printed FROM n GROUP BY o, run""")
+def merge_day_windows(spark, d):
+    """The lines of an order as windows of a day in seconds, joined where they touch."""
+    start = F.col("l_suppkey") * 977 % 86_400
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(start.alias("from_sec"), (start + (F.col("l_quantity") * 300).cast("bigint")).alias("to_sec"), F.col("l_returnflag").alias("printed"))).alias("windows"))
+    found = lines.select("l_orderkey", F.posexplode(intervals.merge_windows(F.col("windows"))).alias("nth", "w"))
+    return found.select("l_orderkey", "nth", "w.from_sec", "w.to_sec", F.array_join("w.printed", "").alias("printed"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders""")
+def file_dates(spark, d):
+    """Dates in files' names: plain, percent-encoded with numbers after, days that don't exist, and other names."""
+    k, at = F.col("o_orderkey"), F.date_format("o_orderdate", "dd-MM-yyyy")
+    base, stem = F.lit("https://host.example/up/"), "Εφημερίες"
+    url = F.when(k % 5 == 0, F.concat(base, F.lit(f"{stem}_"), at, F.lit(".pdf"))).when(k % 5 == 1, F.concat(base, F.url_encode(F.concat(F.lit(f"{stem}_"), at, F.lit("-2-1.pdf"))))).when(k % 5 == 2, F.concat(base, F.lit(f"{stem}_31-02-1997.pdf"))).when(k % 5 == 3, F.concat(base, F.lit(f"{stem}_"), at, F.lit("-x.pdf"))).otherwise(F.concat(base, F.lit("other_"), at, F.lit(".pdf")))
+    return table(spark, d, "orders").select("o_orderkey", titles.file_date(url, stem).cast("string").alias("date"))
+
+
+#: Cells of the query below, by the supplier's number modulo ten; the first four are weekly, the next three dated, the rest is not read.
+CELLS = (
+    ("ΔΕΥΤΕΡΑ-ΠΑΡΑΣΚΕΥΗ", "08:00-14:30& 17:30-20:30"),
+    ("ΔΕΥΤΕΡΑ-ΤΡΙΤΗ-ΠΕΜΠΤΗ-ΠΑΡΑΣΚΕΥΗ", "8:30-15:00", "Τετάρτη - Σάββατο", "9.00 - 13.00 (ΣΑΜΑΡΑ 7-9)", "Εκτός επισήμων αργιών"),
+    ("(ΠΛΑΤΕΙΑ)", "ΔΕΥΤΕΡΑ", "14:00-21:00", "", "ΤΡΙΤΗ", "15:30-21:00"),
+    ("ΠΑΡΑΣΚΕΥΗ-ΣΑΒΒΑΤΟ", "09:00-14:00"),
+    ("ΔΕΥΤΕΡΑ-ΤΕΤΑΡΤΗ", "14:00-20:00", "24/12 & 31/12", "09:00-18:00"),
+    ("ΠΑΡΑΣΚΕΥΗ 25/12/26", "10:00-12:00", "Σάββατο 19 Δεκεμβρίου", "16:00-18:00"),
+    ("ΠΕΜΠΤΗ", "08:00-13:00", "ΠΕΜΠΤΗ 3/12/2026", "9:00-10:00"),
+    ("ΔΕΥΤΕΡΑ-ΣΑΒΒΑΤΟ", "08:00-21:00"),
+    ("ΠΕΜΠΤΗ 25/12/26", "09:00-14:00"),
+    ("ΤΡΙΤΗ", "25:00-26:00"),
+)
+
+
+@query("""WITH w(kind, days, hours) AS (VALUES (0, [1, 2, 3, 4, 5], '08:00-14:30,17:30-20:30'), (1, [1, 2, 4, 5], '08:30-15:00'), (1, [3, 6], '09:00-13:00'), (2, [1], '08:00-21:00'), (2, [2], '08:00-14:30,15:30-21:00'), (3, [5, 6], '09:00-14:00'), (4, [1, 2, 3], '08:00-20:00'), (6, [4], '08:00-13:00')),
+d(kind, date, hours) AS (VALUES (4, DATE '2026-12-24', '09:00-18:00'), (4, DATE '2026-12-31', '09:00-18:00'), (5, DATE '2026-12-25', '10:00-12:00'), (5, DATE '2026-12-19', '16:00-18:00'), (6, DATE '2026-12-03', '09:00-10:00')),
+days AS (SELECT unnest(range(DATE '2026-12-01', DATE '2027-01-01', INTERVAL 1 DAY))::DATE AS date), kinds AS (SELECT unnest([4, 5, 6]) AS kind),
+dated AS (SELECT k.kind, s.date, coalesce(d.hours, CASE WHEN s.date NOT IN (DATE '2026-12-25', DATE '2026-12-26') THEN w.hours END) AS hours FROM kinds k CROSS JOIN days s LEFT JOIN d ON d.kind = k.kind AND d.date = s.date LEFT JOIN w ON w.kind = k.kind AND list_contains(w.days, isodow(s.date)::INT)),
+r AS (SELECT kind, 'weekly' AS type, unnest(days)::VARCHAR AS key, hours FROM w WHERE kind < 4 UNION ALL SELECT kind, 'dates', strftime(date, '%Y-%m-%d'), hours FROM dated WHERE hours IS NOT NULL
+  UNION ALL VALUES (7, 'problem', '', 'a range of weekdays with more than one reading'), (8, 'problem', '', 'a line that is neither days nor hours'), (9, 'problem', '', 'a line that is neither days nor hours'))
+SELECT s_suppkey, type, key, hours FROM supplier JOIN r ON kind = s_suppkey % 10""")
+def hours_cells(spark, d):
+    """Suppliers' free-typed hours in December 2026, with hints, notes, weekdays, dates and what can't be read."""
+    cell = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in CELLS]), (F.col("s_suppkey") % 10 + 1).cast("int"))
+    cells = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), cell.alias("lines"), F.lit("2026-12-01").cast("date").alias("period_from"), F.lit("2026-12-31").cast("date").alias("period_to"))
+    holidays = spark.sql("SELECT explode(array(DATE '2026-12-25', DATE '2026-12-26')) AS date")
+    mornings = spark.sql("SELECT explode(sequence(1, 5)) AS weekday, array(named_struct('from', '08:00', 'to', '14:30')) AS ranges")
+    found, problems = hours.hours_of_cells(cells, holidays, mornings)
+    text = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["from"], r["to"])), ",")
+    return found.select(F.col("cell_id").alias("s_suppkey"), "type", "key", text.alias("hours")).unionByName(problems.select(F.col("cell_id").alias("s_suppkey"), F.lit("problem").alias("type"), F.lit("").alias("key"), F.col("problem").alias("hours")))

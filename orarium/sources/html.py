@@ -25,7 +25,7 @@ def page_cards(pages: DataFrame) -> DataFrame:
 
 def cards(pages: DataFrame, start: str, fields: dict[str, str]) -> DataFrame:
     """One row for each card: the page is cut where `start` fits, and each field is the first group of its pattern."""
-    cut = pages.select("page_id", F.posexplode(F.slice(F.split("html", start), 2, 1 << 20)).alias("position", "card"))
+    cut = pages.select("page_id", F.posexplode(F.slice(F.split("html", start), 2, F.greatest(F.size(F.split("html", start)) - 1, F.lit(0)))).alias("position", "card"))
     return cut.select("page_id", "position", *[text_of(F.regexp_extract("card", p, 1)).alias(n) for n, p in fields.items()])
 
 

@@ -172,7 +172,7 @@ def map_entities(pages: DataFrame) -> DataFrame:
 def map_extras(pages: DataFrame) -> DataFrame:
     """page_id, nth, hours (lines), entities (name, address): groups of a page's block of longer hours. Lines of hours
     that follow an entity begin the next group."""
-    block = F.substring_index(F.col("html"), 'id="extras"', -1)
+    block = F.element_at(F.split("html", 'id="extras"', 2), 2)
     token = r'<span class="glyphicon[^"]*" aria-hidden="true"></span>\s*<strong>([^<]+)</strong>|<span class="pharmacy_name">([^<]*)</span><br /><span class="pharmacy_address"><strong>([^<]*)</strong>'
     zipped = F.arrays_zip(*[all_of(block, token, k).alias(n) for k, n in ((1, "hours"), (2, "name"), (3, "address"))])
     rows = pages.where(F.contains("html", F.lit('id="extras"'))).select("page_id", F.posexplode(zipped).alias("position", "t")).select("page_id", "position", "t.*")

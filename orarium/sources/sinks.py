@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orarium.functions.geo import curve
+
 
 def changed_partitions(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """The keys whose rows differ, either way: what has to be written again."""
@@ -38,6 +40,13 @@ def write_changed(new: DataFrame, path: str, keys: list[str]) -> None:
         delete(spark, "/".join([path, *(f"{k}={row[k]}" for k in keys)]))
 
 
+def write_places(places: DataFrame, path: str, lat: str = "lat", lon: str = "lon", group_bytes: int = 16 << 20) -> None:
+    """Writes places in the order of a space-filling curve, range-sorted over files and sorted in each, in row groups of
+    `group_bytes`: their smallest and largest coordinates then let a reader of a box skip most of them."""
+    rows = places.withColumn("_curve", curve(F.col(lat), F.col(lon)))
+    rows.repartitionByRange("_curve").sortWithinPartitions("_curve").drop("_curve").write.mode("overwrite").option("parquet.block.size", group_bytes).option("parquet.page.row.count.limit", 2000).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder or a file, wherever Spark can reach it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -115,12 +124,17 @@ def xml_text(x: Column) -> Column:
     return x
 
 
-def sitemap(pages: DataFrame, by: str) -> DataFrame:
-    """path_url, lastmod -> one sitemap for each `by`, urls in order."""
+#: Fixed value: urls that the format allows in one file.
+SITEMAP_URLS = 50_000
+
+
+def sitemap(pages: DataFrame, by: str, most: int = SITEMAP_URLS) -> DataFrame:
+    """path_url, lastmod -> by, file, xml: a sitemap for each `by` and each `most` of its urls, in order; files from 0."""
     entry = F.concat(F.lit("<url><loc>"), xml_text(F.col("path_url")), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), F.date_format("lastmod", "yyyy-MM-dd"), F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path_url", entry.alias("e")))), lambda x: x["e"]), "\n")
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("path_url", "lastmod")) - 1
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
-    return pages.groupBy(by).agg(F.concat(F.lit(head), rows, F.lit("\n</urlset>\n")).alias("xml"))
+    return pages.withColumn("file", F.floor(nth / most).cast("int")).groupBy(by, "file").agg(F.concat(F.lit(head), rows, F.lit("\n</urlset>\n")).alias("xml"))
 
 
 def sitemap_index(maps: DataFrame) -> DataFrame:

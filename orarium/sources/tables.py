@@ -59,3 +59,11 @@ def search_windows(first: Column, last: Column, days: int) -> Column:
     """Consecutive spans of at most `days` days."""
     starts = F.sequence(first, last, F.expr(f"INTERVAL {days} DAYS"))
     return F.transform(starts, lambda d: F.struct(d.alias("from"), F.least(F.date_add(d, days - 1), last).alias("to")))
+
+
+def places_in_box(spark: SparkSession, path: str, west: float, south: float, east: float, north: float, digits: int = 6, lat: str = "lat", lon: str = "lon", where: Column | None = None) -> DataFrame:
+    """The places of a box (edges included), coordinates rounded. The four bounds, and an equality that `where` asks for,
+    are filters of the scan: row groups and pages outside are not read."""
+    inside = F.col(lat).between(south, north) & F.col(lon).between(west, east)
+    rows = prepared(spark).read.parquet(path).where(inside if where is None else inside & where)
+    return rows.withColumns({c: F.round(c, digits) for c in (lat, lon)})

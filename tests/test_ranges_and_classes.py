@@ -274,3 +274,79 @@ def test_buckets_merge_on_read(spark, tmp_path):
         now = table.manifest()
         assert max(map(len, now["deltas"].values())) < 3
     assert len(table.manifests()) == buckets.KEPT
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_nearest_rows_of_crowded_places(spark, same):
+    """Half of all rows in one town, many at one spot, others around it and all over the globe."""
+    r = rng(12)
+    town = [(40.6 + r.random() / 200, 22.9 + r.random() / 200) for _ in range(500)] + [(40.601, 22.901)] * 60
+    spots = town + [(40.6 + r.uniform(-1, 1), 22.9 + r.uniform(-1, 1)) for _ in range(60)] + [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(60)] + [(89.9, 10.0), (-90.0, 0.0), (0.0, 180.0), (0.1, -179.9)]
+    rows = [(i, *p) for i, p in enumerate(spots)] + [(5000, None, 1.0)]
+    others = spark.createDataFrame(rows, "other long, lat double, lon double")
+    asked = sorted({*rows[::7], *rows[-8:]}, key=lambda x: x[0])
+    points = spark.createDataFrame([(i + (0 if same else 10**6), la, lo) for i, la, lo in asked], "id long, lat double, lon double")
+    table = others.withColumnRenamed("other", "id") if same else others
+    got = defaultdict(list)
+    for x in sorted(spatial.knn(points, table, 4, "id", "other", same=same, metres=lambda d: F.round(d).cast("long")).collect(), key=lambda x: x.nth):
+        got[x.id].append((x.other, x.metres))
+    for i, *p in asked:
+        if None not in p:
+            want = sorted((int(metres(p, q) + 0.5), j) for j, *q in rows if None not in q and not (same and j == i))[:4]
+            assert got.pop(i + (0 if same else 10**6)) == [(j, m) for m, j in want], (i, p)
+    assert not got
+
+
+def test_a_box_reads_few_row_groups(spark, tmp_path):
+    """Of places all over the globe the box of a country lies in a small share of the row groups."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from orarium.sources import sinks, tables
+
+    path = f"file://{tmp_path}/places"
+    rows = spark.range(200_000).select("id", (F.rand(1) * 180 - 90).alias("lat"), (F.rand(2) * 360 - 180).alias("lon"), (F.col("id") % 7).alias("kind"))
+    sinks.write_places(rows, path, group_bytes=64 << 10)
+    box = (19.0, 34.0, 30.0, 42.0)
+    groups, met = 0, 0
+    for name in glob.glob(f"{tmp_path}/places/*.parquet"):
+        data = pq.ParquetFile(name).metadata
+        for g in range(data.num_row_groups):
+            column = {data.row_group(g).column(c).path_in_schema: data.row_group(g).column(c).statistics for c in range(data.num_columns)}
+            groups += 1
+            met += all(column[c].min <= high and column[c].max >= low for c, low, high in (("lon", box[0], box[2]), ("lat", box[1], box[3])))
+    assert groups > 40 and met * 8 < groups
+    found = tables.places_in_box(spark, path, *box, where=F.col("kind") == 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(lat,34.0)" in plan and "EqualTo(kind,3)" in plan
+    assert {r.id for r in found.collect()} == {r.id for r in rows.where("kind = 3 AND lat BETWEEN 34 AND 42 AND lon BETWEEN 19 AND 30").collect()}
+
+
+def test_hours_cells_that_are_not_read(spark):
+    """Each way in which a cell has no reading, or two."""
+    from orarium.operators import hours
+
+    begin, end = date(2026, 12, 1), date(2026, 12, 31)
+    cells = {
+        1: (["ΔΕΥΤΕΡΑ"], "days without hours"),
+        2: (["08:00-14:00"], "days and hours don't follow each other"),
+        3: (["ΔΕΥΤΕΡΑ", "ΤΡΙΤΗ", "08:00-14:00"], "days and hours don't follow each other"),
+        4: (["ΔΕΥΤΕΡΑ", "08:00-14:00", "ΔΕΥΤΕΡΑ-ΤΡΙΤΗ", "09:00-15:00"], None),
+        5: (["ΔΕΥΤΕΡΑ-ΤΡΙΤΗ-ΤΕΤΑΡΤΗ", "08:00-14:00", "ΤΡΙΤΗ", "09:00-15:00"], "a weekday given twice"),
+        6: (["24/12", "08:00-14:00", "24/12/2026", "09:00-15:00"], "a date given twice"),
+        7: (["24/11", "08:00-14:00"], "a date outside of the period"),
+        8: (["(ΠΛΑΤΕΙΑ)", "ΕΚΤΟΣ ΑΡΓΙΩΝ"], "no hours"),
+        9: (["31/02", "08:00-14:00"], "a line that is neither days nor hours"),
+        10: (["ΤΡΙΤΗ-ΔΕΥΤΕΡΑ", "08:00-14:00"], "a range of weekdays with more than one reading"),
+        11: (["ΤΡΙΤΗ", "14:00-08:00"], "a line that is neither days nor hours"),
+        12: ([], "no hours"),
+        13: (["ΔΕΥΤΕΡΑ-ΤΕΤΑΡΤΗ", "08:00-14:00", "ΤΡΙΤΗ", "09:00-15:00"], None),
+        14: (["ΠΑΡΑΣΚΕΥΗ 24 ΔΕΚΕΜΒΡΙΟΥ", "08:00-14:00"], "a line that is neither days nor hours"),
+    }
+    frame = spark.createDataFrame([(k, v, begin, end) for k, (v, _) in cells.items()], "cell_id int, lines array<string>, period_from date, period_to date")
+    found, problems = hours.hours_of_cells(frame, spark.createDataFrame([], "date date"), spark.createDataFrame([], f"weekday int, ranges {hours.RANGES}"))
+    got = {r.cell_id: r.problem for r in problems.collect()}
+    # 4: Monday stands in a list, so the pair of days is these two, and Monday is given twice; 13: so is Tuesday's span
+    assert got == {k: p for k, (_, p) in cells.items() if p} | {4: "a weekday given twice"}
+    assert sorted((r.key, r.ranges[0]["from"]) for r in found.collect()) == [("1", "08:00"), ("2", "09:00"), ("3", "08:00")]
