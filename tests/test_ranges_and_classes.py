@@ -318,7 +318,9 @@ def test_a_box_reads_few_row_groups(spark, tmp_path):
             met += all(column[c].min <= high and column[c].max >= low for c, low, high in (("lon", box[0], box[2]), ("lat", box[1], box[3])))
     assert groups > 40 and met * 8 < groups
     found = tables.places_in_box(spark, path, *box, where=F.col("kind") == 3)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(lat,34.0)" in plan and "EqualTo(kind,3)" in plan
     assert {r.id for r in found.collect()} == {r.id for r in rows.where("kind = 3 AND lat BETWEEN 34 AND 42 AND lon BETWEEN 19 AND 30").collect()}
 
