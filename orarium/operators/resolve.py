@@ -176,7 +176,7 @@ def greedy_assignment(scored: DataFrame, lists: str, key: str, other: str) -> Da
     ones before it will hold what comes before. Rounds end when nobody is left to ask; what is kept between them is who
     holds each candidate.
     scored: lists, key, position, other, other_position, score, strong."""
-    fit = scored.where("score IS NOT NULL")
+    fit = settled(scored.where("score IS NOT NULL").select(lists, key, "position", other, "other_position", "score", "strong"), "candidates")
     order = Window.partitionBy(lists, key).orderBy(F.desc("score"), "other_position")
     ranked = fit.withColumn("choice", F.row_number().over(order)).where(F.col("strong") | (F.col("choice") == 1))
     turn = fit.groupBy(lists, key).agg(F.struct((-F.max("score")).alias("s"), F.min("position").alias("p"), F.first(key).alias("k")).alias("turn"))
@@ -193,16 +193,16 @@ def greedy_assignment(scored: DataFrame, lists: str, key: str, other: str) -> Da
         alike = Window.partitionBy(lists, "options")
         free = free.withColumns({"bound": F.min("holder").over(alike), "nth": F.dense_rank().over(alike.orderBy("turn")), "option": F.row_number().over(Window.partitionBy(lists, key).orderBy("choice"))})
         # beyond the first holder's turn the candidates still open differ between alike entries: those wait a round
-        asks = free.where((F.col("option") == F.col("nth")) & ((F.col("nth") == 1) | F.col("bound").isNull() | (F.col("turn") < F.col("bound")))).select(lists, key, other, "turn")
-        asks = settled(asks, "asks")
-        if asks.isEmpty():
+        asks = free.where((F.col("option") == F.col("nth")) & ((F.col("nth") == 1) | F.col("bound").isNull() | (F.col("turn") < F.col("bound")))).select(lists, key, other, "turn", F.lit(True).alias("fresh"))
+        rows = asks if held is None else held.withColumn("fresh", F.lit(False)).unionByName(asks)
+        best = rows.groupBy(lists, other).agg(F.min(F.struct("turn", key, "fresh")).alias("b"))
+        before, held = held, settled(best.select(lists, F.col(f"b.{key}").alias(key), other, F.col("b.turn").alias("turn"), F.col("b.fresh").alias("fresh")), "held")
+        if before is not None:
+            discard(before)
+        # whoever asks has a candidate free or held by a later one, so somebody new holds one as long as anybody asks
+        if held.where("fresh").isEmpty():
             break
-        rows = asks if held is None else held.unionByName(asks)
-        best = rows.groupBy(lists, other).agg(F.min(F.struct("turn", key)).alias("b"))
-        before, held = held, settled(best.select(lists, F.col(f"b.{key}").alias(key), other, F.col("b.turn").alias("turn")), "held")
-        discard(asks, *([before] if before is not None else []))
-    matches = held.select(lists, key, other) if held is not None else offers.select(lists, key, other).limit(0)
-    return turn.select(lists, key).join(matches, [lists, key], "left").select(lists, key, other)
+    return entries.select(lists, key).join(held.select(lists, key, other), [lists, key], "left").select(lists, key, other)
 
 
 def unique_best(scored: DataFrame, key: str, other: str) -> DataFrame:
