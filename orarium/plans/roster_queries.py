@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from orarium.functions import text, titles
 from orarium.functions.calendar import holiday_rows, with_holiday
-from orarium.operators import hours, intervals, lists, medicines, resolve, roster, schedules, status
+from orarium.operators import capture, hours, intervals, lists, medicines, resolve, roster, schedules, status
 from orarium.plans.entity_queries import CUSTOMERS, SUPPLIERS, metres, placed, whole
 from orarium.plans.registry import register
-from orarium.sources import layout, sheets
+from orarium.sources import layout, sheets, sinks
 from orarium.sources.tables import latest_linked, search_windows, table, unread
 
 QUERIES: dict = {}
@@ -507,3 +507,38 @@ def hours_cells(spark, d):
     found, problems = hours.hours_of_cells(cells, holidays, mornings)
     text = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["from"], r["to"])), ",")
     return found.select(F.col("cell_id").alias("s_suppkey"), "type", "key", text.alias("hours")).unionByName(problems.select(F.col("cell_id").alias("s_suppkey"), F.lit("problem").alias("type"), F.lit("").alias("key"), F.col("problem").alias("hours")))
+
+
+# --- publication and capture ---
+
+
+GROUP_DAYS = "g AS (SELECT o_custkey % 20 AS g, o_orderdate::DATE AS date, count(*) % 3 AS size, max(o_orderstatus) AS kind FROM orders GROUP BY ALL)"
+
+
+def group_days(spark: SparkSession, d: str) -> DataFrame:
+    """A list for each group of customers and day: how many orders (modulo three) and their last status."""
+    return table(spark, d, "orders").groupBy((F.col("o_custkey") % 20).alias("g"), F.to_date("o_orderdate").alias("date")).agg((F.count("*") % 3).alias("size"), F.max("o_orderstatus").alias("kind"))
+
+
+@query(f"""WITH {GROUP_DAYS}, b AS (SELECT *, lag(date) OVER w AS before, lag(size) OVER w AS s, lag(kind) OVER w AS k FROM g WINDOW w AS (PARTITION BY g ORDER BY date))
+SELECT g, strftime(date, '%Y-%m-%d') AS date FROM b WHERE before = date - 1 AND s = size AND k = kind""")
+def repeated_lists(spark, d):
+    """Lists that only repeat the day before."""
+    found = capture.repeats_of_yesterday(group_days(spark, d), "g", "date", ["size", "kind"])
+    return found.select("g", F.col("date").cast("string").alias("date"))
+
+
+@query(f"""WITH {GROUP_DAYS} SELECT g AS area_id, strftime(min(date), '%Y-%m-%d') AS first, strftime(max(date), '%Y-%m-%d') AS last, sha256(string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY date)) AS dates
+FROM g WHERE date >= DATE '1997-06-08' GROUP BY g""")
+def manifests(spark, d):
+    """The dates that each area publishes: a week back from a day, and all to come."""
+    days = sinks.published_window(group_days(spark, d).withColumnRenamed("g", "area_id"), F.lit("1997-06-15").cast("date"))
+    found = sinks.manifest(days)
+    return found.select("area_id", F.col("from").cast("string").alias("first"), F.col("to").cast("string").alias("last"), F.sha2(F.array_join(F.transform("dates", lambda x: x.cast("string")), ","), 256).alias("dates"))
+
+
+@query("SELECT l_suppkey AS phone, strftime(min(l_shipdate), '%Y-%m-%d') AS date FROM lineitem GROUP BY 1")
+def first_duties(spark, d):
+    """The first date that each supplier was named on."""
+    listings = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("phone"), F.to_date("l_shipdate").alias("date"))
+    return roster.first_duties(listings).select("phone", F.col("date").cast("string").alias("date"))
