@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orarium.functions.display import MONTHS, fill, named
 from orarium.functions.timez import clock_of_seconds
 from orarium.plans.registry import register
-from orarium.sources import html, layout, pages, sheets, sinks
+from orarium.sources import html, layout, pages, sheets, sinks, yearly
 from orarium.sources.tables import table
 
 QUERIES: dict = {}
@@ -219,6 +219,58 @@ def yearly_table(spark, d):
     return found.select("doc", "town", "nth", "date_text", F.array_join("cells", "|").alias("cells"))
 
 
+# A year's table of orders: ten rows a page, ten pages a town, two towns a document. What k % 13 does to a row is in `year_items`.
+YEAR = """o AS (SELECT o_orderkey AS k, k % 13 AS v, k // 10 AS p, (k // 100) % 10 = 9 AS named, DATE '2026-01-01' + (k % 365)::INT AS day FROM orders),
+tails AS (SELECT p, (8 - 10 * p % 13 + 13) % 13 < 10 AS has_cut FROM o WHERE k % 10 = 9 AND p % 3 = 0 AND v <> 3 AND NOT named),
+filled AS (SELECT p FROM tails UNION SELECT p + 1 FROM tails WHERE NOT has_cut AND p % 10 <> 9)"""
+
+
+@query(f"""WITH {YEAR}, r AS (SELECT *, NOT named AND v = 8 AS cut, p IN (FROM filled) AS mended FROM o)
+SELECT k // 200 AS doc, 'ΠΟΛΗ ' || substr('ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ', ((k // 100) % 24 + 1)::INT, 1) AS town, p % 20 AS page, k AS key,
+CASE WHEN v <> 10 THEN strftime(day, '%Y-%m-%d') END AS date, CASE WHEN NOT named AND v <> 6 THEN '08:00-14:30 & 17:30-08:00' END AS hours,
+CASE WHEN named THEN true WHEN NOT cut THEN k % 2 = 0 WHEN mended THEN false END AS overnight, CASE WHEN NOT named AND v <> 5 THEN '26' || lpad(k::VARCHAR, 8, '0') END AS phone,
+CASE WHEN named OR v <> 3 THEN 'ΟΝΟΜΑ ' || k END AS name, CASE WHEN NOT named AND v <> 3 THEN 'ΟΔΟΣ ' || k END AS address,
+CASE WHEN v = 10 THEN 'date' WHEN v = 4 THEN 'weekday' WHEN named THEN '' WHEN v = 6 THEN 'hours' WHEN v = 5 THEN 'phone' WHEN cut AND NOT mended THEN 'flag' ELSE '' END AS reasons FROM r""")
+def yearly_duties(spark, d):
+    """Every order as a row of a year's table, printed badly and read by what the cells say; refused rows with reasons."""
+    found = yearly.rows(year_items(spark, d))
+    key = F.coalesce(F.regexp_extract("name", r"(\d+)$", 1), F.substring("phone", 3, 8)).cast("long")
+    return found.select("doc", "town", "page", key.alias("key"), text("date").alias("date"), "hours", "overnight", "phone", "name", "address", F.array_join("reasons", ",").alias("reasons"))
+
+
+def year_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items of the printed year. By k % 13: 0 wrapped hours, 1 a weekday run into the phone, 2 a flag run into the name,
+    3 all in one line, 4 another weekday, 5 two phones, 6 cut hours, 7 name and phone run into the date, 8 no flag, 9 the
+    weekday below the date, 10 no such date. Last rows of pages go on on the next one; feet of pages hold another row's flag."""
+    lit = F.lit
+    k, v = F.col("k"), F.col("v")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).withColumns({"v": k % 13, "p": F.floor(k / 10), "doc": F.floor(k / 200), "named": F.floor(k / 100) % 10 == 9})
+    rows = rows.withColumns({"page": F.col("p") % 20, "day": F.date_add(lit("2026-01-01").cast("date"), (k % 365).cast("int")), "y": 700 - 60 * (k % 10)})
+    names = F.array(*[lit(w) for w in ("Δευτέρα", "Τρίτη", "Τετάρτη", "Πέμπτη", "Παρασκευή", "Σάββατο", "Κυριακή")])
+    weekday = F.get(names, F.weekday(F.date_add("day", F.when(v == 4, 1).otherwise(0))))
+    date = F.when(v == 10, "31/2/2026").otherwise(F.date_format("day", "d/M/yyyy"))
+    phone, name, street = F.concat(lit("26"), F.lpad(text("k"), 8, "0")), F.concat(lit("ΟΝΟΜΑ "), text("k")), F.concat(lit("ΟΔΟΣ "), text("k"))
+    flag = F.when(k % 2 == 0, yearly.YES).otherwise(yearly.NO)
+    early, late, y = lit("08:00-14:30 &"), lit("17:30-08:00"), F.col("y")
+    both = F.concat_ws(" ", early, late)
+    goes_on = v.isin(11, 12) & (k % 10 == 9) & (k % 100 != 99)
+    table_rows = rows.where("NOT named")
+    first = F.when(v == 3, F.concat_ws(" ", F.concat(date, lit(",")), both, name, street, phone, flag, weekday)).when(v == 7, F.concat_ws(" ", F.concat(date, lit(",")), weekday, name, phone)).when(v.isin(1, 9), F.concat(date, lit(","))).otherwise(F.concat_ws(" ", F.concat(date, lit(",")), weekday))
+    cell = lambda x, dy, t, on=lit(True): (lit(x), y + dy, F.when(on & (v != 3), t), 8)
+    body = items(
+        table_rows, (lit(30), y, first, 8), cell(32, -8, weekday, v == 9), cell(100, 0, F.when(v.isin(0, 6) | goes_on, early).otherwise(both)), cell(100, -9, late, v == 0),
+        cell(200, 0, F.when(v == 2, F.concat_ws(" ", flag, name)).otherwise(name), v != 7), cell(300, 0, street),
+        cell(400, 0, F.when(v == 1, F.concat_ws(" ", phone, weekday)).when(v == 5, F.concat_ws(" ", phone, phone)).otherwise(phone), v != 7), cell(450, 0, flag, ~v.isin(2, 8)),
+        cell(450, -30, lit(yearly.NO), (k % 10 == 9) & (F.col("p") % 3 == 0)),
+    )
+    over = items(table_rows.where(goes_on).withColumn("page", F.col("page") + 1), (lit(100), lit(780), late, 8))
+    letter = F.get(F.split(lit("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"), ""), (F.floor(k / 100) % 24).cast("int"))
+    town = F.concat(lit("ΠΟΛΗ "), letter)
+    nights = items(rows.where("named"), (lit(30), y, F.concat_ws(" ", date, F.upper(weekday)), 8), (lit(100), y, F.when(k % 5 == 0, yearly.HOLIDAY), 8), (lit(200), y, name, 8), (lit(300), y, lit(yearly.OVERNIGHT), 8), (lit(400), y, town, 8))
+    towns = items(rows.where("k % 100 = 0"), (lit(30), lit(790), F.concat(town, lit(" 2026")), 11), (lit(30), lit(770), lit("Ημερομηνία"), 8))
+    return body.unionByName(over).unionByName(nights).unionByName(towns)
+
+
 @query("""SELECT p_partkey % 5 || '' AS file, p_partkey AS row, p_name AS name, lpad(p_partkey::VARCHAR, 13, '5') AS barcode, p_retailprice AS price FROM part WHERE p_partkey % 9 <> 0""")
 def price_sheets(spark, d):
     """Price rows of sheets whose columns stand in another order in each file."""
