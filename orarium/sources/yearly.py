@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orarium.functions.grammars import WEEKDAYS
-from orarium.functions.text import clean_display, join_lines, match_key, squash, strip_accents
+from orarium.functions.text import clean_display, join_lines, match_key, squash
 from orarium.functions.timez import iso_weekday
 from orarium.functions.titles import built_date
+from orarium.operators.ranges import settled
 from orarium.sources.sheets import upper_median
 
 # The printed table's labels, flags and the word of a row that is on duty overnight; forms of its cells.
@@ -27,6 +28,8 @@ DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4}),?(?:\s+(\p{L}+))?$"
 DATE_AND_MORE = r"^(\d{1,2}/\d{1,2}/\d{4}),?\s+(\p{L}+)\s*(.*)$"
 WINDOW = r"\d{1,2}:\d{2}-\d{1,2}:\d{2}\*?"
 ONE_LINE = rf"^(\d{{1,2}}/\d{{1,2}}/\d{{4}}),\s+((?:{WINDOW}(?:\s*&\s*)?)+)\s+(.*?)\s*(\d{{10}})\s+({YES}|{NO})\s+(\p{{L}}+)$"
+WEEKDAY = r"(?iu:Δευτ[εέ]\p{M}?ρα|Τρ[ιί]\p{M}?τη|Τετ[αά]\p{M}?ρτη|Π[εέ]\p{M}?μπτη|Παρασκευ[ηή]\p{M}?|Σ[αά]\p{M}?ββατο|Κυριακ[ηή]\p{M}?)"
+FOREIGN = rf"(?<!\S)(?:\d{{10}}|{YES}|{NO})(?!\S)"
 # Fixed values, in points: a heading's height, how far above its date a row's item may lie, how far below it a flag is
 # another row's, where the column of dates ends, how near to the date its weekday stands.
 HEADING, ABOVE, BELOW, DATES_END, BESIDE = 9.5, 7.0, 15.0, 90.0, 25.0
@@ -44,7 +47,8 @@ def is_phone(x: Column) -> Column:
 
 def weekday_number(word: Column) -> Column:
     """1 (Monday) to 7 of a weekday's name in any case; null for another word."""
-    return F.nullif(F.array_position(F.lit(list(WEEKDAYS)), strip_accents(word)), F.lit(0))
+    plain = F.translate(F.regexp_replace(F.lower(word), r"\p{M}", ""), "άέήίό", "αεηιο")
+    return F.nullif(F.array_position(F.lit(list(WEEKDAYS)), plain), F.lit(0))
 
 
 def date_parts(x: Column) -> tuple[Column, Column]:
@@ -60,46 +64,31 @@ def whole_hours(x: Column) -> Column:
     return F.when(bare.rlike(f"^{WINDOW}(&{WINDOW})?$"), F.replace(padded, F.lit("&"), F.lit(" & ")))
 
 
-def peeled(text: Column) -> Column:
-    """Struct of phones, flags, weekday and rest: what the printing ran into a cell is taken out of it again.
+def peeled(cells: DataFrame) -> DataFrame:
+    """Adds phones, flags, side and rest: what the printing ran into a cell is taken out of it again.
 
     A cell of one word is what it is. Of several, a phone or a flag is another cell's, and then so is a weekday at either
     end (the last one goes before the first one)."""
-    tokens = F.split(text, " ")
-    foreign = lambda t: is_phone(t) | is_flag(t)
-    several = (F.size(tokens) > 1) & F.exists(tokens, foreign)
-    own = F.filter(tokens, lambda t: ~foreign(t))
-    days = F.transform(own, lambda t: weekday_number(t).isNotNull())
-    last, first = F.element_at(own, -1), F.element_at(own, 1)
-    head, tail = F.array_position(days, F.lit(False)), F.array_position(F.reverse(days), F.lit(False))
-    kept = F.when(head > 0, F.array_join(F.slice(own, head.cast("int"), (F.size(own) - head - tail + 2).cast("int")), " ")).otherwise("")
-    weekday = F.when(F.size(own) > 0, F.when(weekday_number(last).isNotNull(), last).when(weekday_number(first).isNotNull(), first))
-    none = F.array().cast("array<string>")
-    return F.struct(
-        F.when(several, F.filter(tokens, is_phone)).otherwise(none).alias("phones"),
-        F.when(several, F.filter(tokens, is_flag)).otherwise(none).alias("flags"),
-        F.when(several, weekday).alias("weekday"),
-        F.when(several, kept).otherwise(text).alias("rest"),
-    )
+    taken, none = F.col("kind").eqNullSafe("cell") & F.col("text").contains(" ") & F.col("text").rlike(FOREIGN), F.array().cast("array<string>")
+    cells = cells.withColumn("_own", F.when(taken, squash(F.regexp_replace("text", FOREIGN, " "))))
+    own, end = F.col("_own"), lambda pattern: F.nullif(F.regexp_extract("_own", pattern, 1), F.lit(""))
+    return cells.withColumns({
+        "phones": F.when(own.isNotNull(), F.regexp_extract_all("text", F.lit(r"(?<!\S)(\d{10})(?!\S)"), F.lit(1))).otherwise(none),
+        "flags": F.when(own.isNotNull(), F.regexp_extract_all("text", F.lit(rf"(?<!\S)({YES}|{NO})(?!\S)"), F.lit(1))).otherwise(none),
+        "side": F.coalesce(end(rf"(?:^| )({WEEKDAY})$"), end(rf"^({WEEKDAY})(?= )")),
+        "rest": F.when(own.isNotNull(), F.regexp_replace(own, rf"^(?:{WEEKDAY}(?: |$))+|(?: {WEEKDAY})+$", "")).otherwise(F.when(F.col("kind") == "cell", F.col("text"))),
+    }).drop("_own")
 
 
 def with_parts(cells: DataFrame) -> DataFrame:
     """Adds phones, flags, weekday, hours and words of each cell of a row that begins at `start`."""
-    p = F.col("_p")
-    rest, lone = p["rest"], lambda c: F.array(p["rest"]) if c else F.array()
+    rest = F.col("rest")
     near = weekday_number(rest).isNotNull() & (F.abs(F.col("x") - F.col("start.x")) < BESIDE)
-    kind = F.when(rest == "", "none").when(is_phone(rest), "phone").when(is_flag(rest), "flag").when(near, "weekday").when(rest.rlike(r"^[\d:\-*&\s]+$") & rest.rlike("[:&]"), "hours").otherwise("words")
-    cells = cells.withColumn("_p", F.when(F.col("kind") == "cell", peeled(F.col("text")))).withColumn("_k", F.when(F.col("kind") == "cell", kind).otherwise("none"))
-    is_kind = lambda k: F.col("_k") == k
-    empty = F.array().cast("array<string>")
-    more = lambda part, k: F.concat(F.coalesce(p[part], empty), F.when(is_kind(k), lone(True)).otherwise(empty))
-    return cells.withColumns({
-        "phones": more("phones", "phone"),
-        "flags": more("flags", "flag"),
-        "weekday": F.coalesce(p["weekday"], F.when(is_kind("weekday"), rest)),
-        "hours": F.when(is_kind("hours"), rest),
-        "words": F.when(is_kind("words"), rest),
-    }).drop("_p", "_k")
+    form = F.when(rest == "", "none").when(is_phone(rest), "phone").when(is_flag(rest), "flag").when(near, "weekday").when(rest.rlike(r"^[\d:\-*&\s]+$") & rest.rlike("[:&]"), "hours").when(rest.isNotNull(), "words")
+    only = lambda k: F.when(F.col("_f") == k, rest)
+    more = lambda c, k: F.concat(c, F.array_compact(F.array(only(k))))
+    cells = peeled(cells).withColumn("_f", form)
+    return cells.withColumns({"phones": more("phones", "phone"), "flags": more("flags", "flag"), "weekday": F.coalesce("side", only("weekday")), "hours": only("hours"), "words": only("words")}).drop("_f", "side", "rest")
 
 
 def sections(items: DataFrame) -> DataFrame:
@@ -139,7 +128,7 @@ def owned(found: DataFrame) -> DataFrame:
     """Adds `start`, the date whose row an item is: the lowest one that lies above it or at most ABOVE below its top, else
     the last row of the page before in the same section (then `goes_on`), else null. Dates are their own rows."""
     start = F.when(F.col("kind") == "date", F.struct("page", "page_nth", "position", "x", "y", "text", "named"))
-    found = found.where("kind <> 'line'").withColumns({"_key": F.col("y") - F.when(F.col("kind") == "date", 0.0).otherwise(ABOVE), "_start": start})
+    found = found.withColumns({"_key": F.col("y") - F.when(F.col("kind") == "date", 0.0).otherwise(ABOVE), "_start": start})
     order = Window.partitionBy("doc", "section").orderBy("page", F.desc("_key"), F.col("kind") != "date", "position", "part").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("start", F.last("_start", ignorenulls=True).over(order))
     before = F.col("page_nth") - F.col("start.page_nth")
@@ -175,14 +164,15 @@ def rows(items: DataFrame) -> DataFrame:
     one, or a weekday that isn't the date's), name (a named row without one), orphan (a flag or hours above the first date
     of a page that continue no row; date_text is the cell). Rows of a section in which OVERNIGHT is printed have neither
     phone nor hours but a name. A row printed as one line of text has no name and address. Null text is no item."""
-    found = sections(items)
-    cells = owned(found)
+    cells = owned(sections(items))
     whole = Window.partitionBy("doc", "page", "section")
     last = F.max(F.when(F.col("kind") == "date", F.struct(-F.col("y"), "position"))).over(whole)
     cells = with_parts(cells).withColumn("is_last", F.col("is_last_section") & ~F.col("named") & F.coalesce(F.struct(-F.col("start.y"), F.col("start.position")) == last, F.lit(False)))
     own = F.col("start").isNotNull() & ~F.col("goes_on")
     stray = F.max(F.when(own & F.col("is_last") & (F.size("flags") > 0) & (F.col("y") < F.col("start.y") - BELOW), F.col("y"))).over(whole)
     cells = cells.withColumn("_stray", stray).withColumn("is_tail", F.coalesce(own & F.col("is_last") & (F.col("kind") == "cell") & (F.col("y") <= F.col("_stray") + ABOVE), F.lit(False))).drop("_stray")
+    cells = settled(cells, "cells")  # pages are read once
+    found, cells = cells.where("kind = 'line'"), cells.where("kind <> 'line'")
     # rows of a page, those without a flag numbered; then each tail goes to the row it completes
     drafts = cells.where(own).groupBy("doc", "section", "page_nth", F.col("start.position").alias("at")).agg(
         F.first("start").alias("start"), F.max("is_last").alias("is_last"), F.max("is_tail").alias("has_tail"),
@@ -198,7 +188,7 @@ def rows(items: DataFrame) -> DataFrame:
     # one row a start
     sorted_cells = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct((-F.col("y")).alias("d"), "x", "turn", "position", F.col(c).alias("text")))))
     texts = lambda c: F.transform(c, lambda i: i["text"])
-    plain = F.when((F.col("kind") == "cell") & ~F.col("goes_on") & ~F.col("text").isin(HOLIDAY, OVERNIGHT) & (match_key(F.col("text")) != match_key(F.col("town"))), F.col("text"))
+    plain = F.when(F.col("named") & (F.col("kind") == "cell") & ~F.col("goes_on") & ~F.col("text").isin(HOLIDAY, OVERNIGHT) & (match_key(F.col("text")) != match_key(F.col("town"))), F.col("text"))
     made = every.withColumn("plain", plain).groupBy("doc", "section", F.col("start.page").alias("page"), F.col("start.position").alias("at")).agg(
         F.first("start").alias("start"), F.first("town").alias("town"), F.first("year").alias("year"), F.max(F.col("is_last") & ~F.col("goes_on")).alias("held"),
         F.flatten(F.collect_list("phones")).alias("phones"), F.flatten(F.collect_list("flags")).alias("flags"),
@@ -234,7 +224,7 @@ def rows(items: DataFrame) -> DataFrame:
     made = made.select("doc", "town", "year", "page", F.col("start.text").alias("date_text"), "date", "hours", F.when(is_named, F.lit(True)).when(F.size("flags") == 1, flag == YES).alias("overnight"), F.when(~is_named & (F.size("phones") == 1), phone).alias("phone"), "name", "address", reasons(wrong))
     # rows printed as one line
     read = [F.regexp_extract("text", ONE_LINE, k) for k in range(7)]
-    lines = found.where("kind = 'line'").withColumns({"date": date_parts(read[1])[0], "hours": whole_hours(read[2])})
+    lines = found.withColumns({"date": date_parts(read[1])[0], "hours": whole_hours(read[2])})
     bad = {"date": F.col("date").isNull(), "weekday": F.col("date").isNotNull() & ~F.coalesce(weekday_number(read[6]) == iso_weekday(F.col("date")), F.lit(False)), "hours": F.col("hours").isNull()}
     none = F.lit(None).cast("string")
     lines = lines.select("doc", "town", "year", "page", read[1].alias("date_text"), "date", "hours", (read[5] == YES).alias("overnight"), read[4].alias("phone"), none.alias("name"), none.alias("address"), reasons(bad))
