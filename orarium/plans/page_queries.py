@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orarium.functions.display import MONTHS, fill, named
 from orarium.functions.timez import clock_of_seconds
 from orarium.plans.registry import register
-from orarium.sources import html, layout, pages, sheets, sinks, yearly
+from orarium.sources import html, layout, pages, publication, sheets, sinks, yearly
 from orarium.sources.tables import table
 
 QUERIES: dict = {}
@@ -321,3 +321,29 @@ def site_files(spark, d):
     schema = sinks.json_schema(areas).select(F.get_json_object("schema", "$.properties.area.type").alias("_t"))
     found = index.withColumn("area", F.regexp_extract("loc", r"-(\d+)\.xml", 1).cast("int"))
     return found.crossJoin(robots).crossJoin(schema).select("area", "loc", "rule", F.when(F.col("_t") == "integer", "bigint").alias("type"))  # one row each
+
+
+@query("""WITH a AS (SELECT 'n' || n_nationkey AS area, n_nationkey AS k, CASE WHEN n_nationkey % 5 <> 0 THEN '2001-07-01' END AS f, CASE WHEN n_nationkey % 5 <> 0 THEN '2001-07-28' END AS t FROM nation),
+p AS (SELECT 'n' || c_nationkey AS area, c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 90 END AS lat, c_custkey % 180 AS lon FROM customer),
+d AS (SELECT 'n' || o_custkey % 25 AS area, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey AS id, o_custkey AS place FROM orders),
+place AS (SELECT *, '{"area":"' || area || '","id":' || id || CASE WHEN lat IS NULL THEN '' ELSE ',"lat":' || lat END || ',"lon":' || lon || '}' AS j FROM p),
+day AS (SELECT *, '{"area":"' || area || '","date":"' || date || '","id":' || id || ',"place":' || place || '}' AS j FROM d),
+kept AS (SELECT * FROM day WHERE date >= '2001-07-13'), national AS (SELECT * FROM day WHERE date BETWEEN '2001-07-19' AND '2001-08-03'),
+rows AS (SELECT area || '/pharmacies.json' AS path, lpad(id::VARCHAR, 20, '0') AS key, j FROM place UNION ALL SELECT area || '/duties/' || date || '.json', lpad(id::VARCHAR, 20, '0'), j FROM kept
+UNION ALL SELECT 'n' || o_custkey % 25 || '/extended-hours/h.json', lpad(o_orderkey::VARCHAR, 20, '0'), '{"area":"n' || o_custkey % 25 || '","file":"extended-hours/h.json","id":' || o_orderkey || '}' FROM orders WHERE o_orderkey % 7 = 0 AND (o_custkey % 25) % 2 = 0
+UNION ALL SELECT 'national/places.json', area || chr(9) || lpad(id::VARCHAR, 20, '0'), j FROM place WHERE lat IS NOT NULL
+UNION ALL SELECT 'national/' || date || '.json', area || chr(9) || lpad(id::VARCHAR, 20, '0'), j FROM national
+UNION ALL SELECT 'national/index.json', date, '{"date":"' || date || '","areas":' || count(DISTINCT area) || ',"rows":' || count(*) || '}' FROM national GROUP BY date)
+SELECT path, 1 AS part, key, CASE WHEN key = min(key) OVER (PARTITION BY path) THEN '[' ELSE ',' END || j AS line FROM rows UNION ALL SELECT path, 2, max(key), ']' FROM rows GROUP BY path
+UNION ALL SELECT area || '/meta.json', 1, '', '{"area":"' || area || '"' || CASE WHEN f IS NULL THEN '' ELSE ',"duties":{"from":"' || f || '","to":"' || t || '","dates":[' || coalesce((SELECT string_agg(DISTINCT '"' || date || '"', ',' ORDER BY '"' || date || '"') FROM kept WHERE kept.area = a.area AND date <= t), '') || ']}' END || ',"extendedHours":' || CASE WHEN k % 2 = 0 THEN '["extended-hours/h.json"]' ELSE '[]' END || '}' FROM a""")
+def publication_plan(spark, d):
+    """Every line of every file that a site of nations, customers and orders publishes on one day."""
+    area = lambda c: F.concat(F.lit("n"), text(c))
+    k, dated = F.col("n_nationkey"), lambda t: F.when(F.col("n_nationkey") % 5 != 0, F.lit(t).cast("date"))
+    file = F.lit("extended-hours/h.json")
+    areas = table(spark, d, "nation").select(area(k).alias("area"), dated("2001-07-01").alias("from"), dated("2001-07-28").alias("to"), F.when(k % 2 == 0, F.array(file)).otherwise(F.array().cast("array<string>")).alias("extended"))
+    c = F.col("c_custkey")
+    places = table(spark, d, "customer").select(area("c_nationkey").alias("area"), c.alias("id"), F.when(c % 4 != 0, c % 90).alias("lat"), (c % 180).alias("lon"))
+    orders = table(spark, d, "orders").select(area(F.col("o_custkey") % 25).alias("area"), F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("place"))
+    hours = orders.where("id % 7 = 0").select("area", file.alias("file"), "id")
+    return publication.plan(areas, places, orders, hours, F.lit("2001-07-20").cast("date"))

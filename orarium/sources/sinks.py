@@ -67,7 +67,8 @@ def manifest(days: DataFrame, area: str = "area_id") -> DataFrame:
 
 
 def is_published_path(path: Column) -> Column:
-    return path.rlike(r"^[a-z-]+/(meta|pharmacies)\.json$|^[a-z-]+/(duties|extended-hours)/[0-9-]+(_[0-9-]+)?\.json$")
+    """Whether area/path is a file that may be published; nothing that leaves its folder is."""
+    return path.rlike(r"^[a-z0-9-]+/(meta\.json|pharmacies\.json|duties/\d{4}-\d{2}-\d{2}\.json|extended-hours/[A-Za-z0-9_.-]+\.json)$") & ~path.contains("..")
 
 
 def features(pins: DataFrame, properties: list[str]) -> DataFrame:
