@@ -55,9 +55,9 @@ CASE k % 6 WHEN 0 THEN t[:3] || ' ' || t[4:] WHEN 1 THEN t[:4] || ' ' || t[5:] W
 def numbers_as_text(spark, d):
     """Prices, distances and phones."""
     k = F.col("p_partkey")
-    tail = lambda n: F.lpad((k % 10**n).cast("string"), n, "0")
+    padded = lambda x, n: F.lpad(x.cast("string"), n, "0")  # a longer number keeps its first digits
     metres = k * 37 % 40_000
-    phone = F.when(k % 6 == 0, F.concat(F.lit("210"), tail(7))).when(k % 6 == 1, F.concat(F.lit("2310"), tail(6))).when(k % 6 == 2, F.concat(F.lit("23920"), tail(5))).when(k % 6 == 3, F.concat(F.lit("694"), tail(7))).when(k % 6 == 4, F.concat(F.lit("800"), tail(7))).otherwise(k.cast("string"))
+    phone = F.when(k % 6 == 0, F.concat(F.lit("210"), padded(k % 10**7, 7))).when(k % 6 == 1, F.concat(F.lit("2310"), padded(k, 6))).when(k % 6 == 2, F.concat(F.lit("23920"), padded(k % 10**5, 5))).when(k % 6 == 3, F.concat(F.lit("694"), padded(k, 7))).when(k % 6 == 4, F.concat(F.lit("800"), padded(k, 7))).otherwise(k.cast("string"))
     rows = table(spark, d, "part")
     return rows.select("p_partkey", D.price_text(F.col("p_retailprice")).alias("price"), D.price_text(F.col("p_retailprice"), "el").alias("price_el"), D.distance_text(metres).alias("distance"), format_phone(phone).alias("phone"))
 
