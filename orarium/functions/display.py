@@ -24,6 +24,7 @@ MONTHS = {
 SHORT_MONTHS = {
     "el": ("Ιαν", "Φεβ", "Μαρ", "Απρ", "Μαΐ", "Ιουν", "Ιουλ", "Αυγ", "Σεπ", "Οκτ", "Νοε", "Δεκ"),
     "en": ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sept", "Oct", "Nov", "Dec"),
+    "en-US": ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"),
 }
 # Units of distance by language, and forms of companies and of partners at a name's end.
 UNITS = {"el": ("μ", "χλμ"), "en": ("m", "km")}

@@ -176,14 +176,14 @@ def neighbours(entities: DataFrame, k: int, metres=lambda d: d) -> DataFrame:
     return near.select("entity_id", "other", "metres", "nth").unionByName(there)
 
 
-def status_rows(areas: DataFrame, now: Column, zone: str, hours: int = 36) -> DataFrame:
+def status_rows(areas: DataFrame, now: Column, zone: str, hours: int = 36, locale: str = "en") -> DataFrame:
     """area_id, checked, checked_text, duty_until, fresh of every area: when it was checked (else updated), up to when its
     duties are published, and whether that is less than `hours` ago.
 
     areas: area_id, checked_at, updated_at, duties_to."""
     checked = F.coalesce("checked_at", "updated_at")
     fresh = checked.isNotNull() & (F.unix_micros(now) - F.unix_micros(checked) <= hours * 3_600_000_000)
-    return areas.select("area_id", checked.alias("checked"), checked_text(checked, zone).alias("checked_text"), F.when(F.col("duties_to").isNotNull(), until_date(F.col("duties_to"), now, zone)).alias("duty_until"), F.coalesce(fresh, F.lit(False)).alias("fresh"))
+    return areas.select("area_id", checked.alias("checked"), checked_text(checked, zone, locale).alias("checked_text"), F.when(F.col("duties_to").isNotNull(), until_date(F.col("duties_to"), now, zone, locale)).alias("duty_until"), F.coalesce(fresh, F.lit(False)).alias("fresh"))
 
 
 def national_index(areas: DataFrame, entities: DataFrame, dates: DataFrame) -> DataFrame:

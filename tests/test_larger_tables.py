@@ -33,3 +33,9 @@ def test_lines_with_one_number(spark):
     lines = "SELECT l_orderkey::BIGINT AS l_orderkey, 1::INT AS l_linenumber, l_suppkey::BIGINT AS l_suppkey FROM (VALUES (1, 8), (1, 4), (2, 4), (2, 8), (3, 3), (3, 12), (3, 8)) t(l_orderkey, l_suppkey)"
     got, want = both(spark, "rows_by_any_phone", lineitem=lines, supplier="SELECT s::BIGINT AS s_suppkey FROM range(20) t(s)")
     assert got == want == [(12, 3), (4, 2), (8, 1)]
+
+
+def test_duties_until_september(spark):
+    events = "SELECT u::BIGINT AS event_id, u::BIGINT AS user_id, TIMESTAMP '2024-01-05 10:00:00' + to_days((u % 300)::INT) AS ts, 'purchase' AS event_type FROM range(600) t(u)"
+    got, want = both(spark, "status_rows", events=events)
+    assert got == want and any(" Sep " in r[2] for r in got) and any((r[3] or "").endswith(" Sep") for r in got)
