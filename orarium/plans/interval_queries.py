@@ -283,9 +283,13 @@ def order_years(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()
 
 
-@query(f"WITH {EASTER} SELECT y AS year, strftime(easter, '%Y-%m-%d') AS easter FROM easter")
+@query(f"""WITH {EASTER.replace("SELECT DISTINCT year(o_orderdate)::INT AS y FROM orders", "SELECT y::INT AS y FROM range(1900, 2100) t(y) UNION SELECT year(o_orderdate)::INT FROM orders")}
+SELECT y AS year, CASE WHEN y BETWEEN 1900 AND 2099 THEN strftime(easter, '%Y-%m-%d') END AS easter FROM easter""")
 def easter_dates(spark, d):
-    return order_years(spark, d).select("year", orthodox_easter(F.col("year")).cast("string").alias("easter"))
+    """Easter of all years that the rule holds for; orders of other years have none."""
+    rule = spark.range(1900, 2100).select(F.col("id").cast("int").alias("year"))
+    years = rule.union(order_years(spark, d)).distinct()
+    return years.select("year", orthodox_easter(F.col("year")).cast("string").alias("easter"))
 
 
 @query(f"WITH {HOLIDAYS} SELECT strftime(date, '%Y-%m-%d') AS date, name, name IN ('Good Friday', 'Whit Monday') AS soft FROM holidays")

@@ -39,3 +39,9 @@ def test_duties_until_september(spark):
     events = "SELECT u::BIGINT AS event_id, u::BIGINT AS user_id, TIMESTAMP '2024-01-05 10:00:00' + to_days((u % 300)::INT) AS ts, 'purchase' AS event_type FROM range(600) t(u)"
     got, want = both(spark, "status_rows", events=events)
     assert got == want and any(" Sep " in r[2] for r in got) and any((r[3] or "").endswith(" Sep") for r in got)
+
+
+def test_easter_of_every_year(spark):
+    orders = "SELECT TIMESTAMP '1997-03-04 00:00:00' AS o_orderdate UNION ALL SELECT TIMESTAMP '2104-03-04 00:00:00' UNION ALL SELECT NULL"
+    got, want = both(spark, "easter_dates", orders=orders)
+    assert got == want and len(got) == 202
