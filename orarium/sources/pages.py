@@ -187,7 +187,9 @@ def town_duties(pages: DataFrame) -> DataFrame:
     """page_id, date, heading, position, name, address, phone of a town's page: entities (blue) under the last heading
     (red) before them; what stands before any heading is left out."""
     date = numeric_date(F.regexp_extract(first(F.col("html"), r"(?i)<h3[^>]*>\s*[^<\d]*(\d{1,2}/\d{1,2}/\d{4})\s*</h3>"), r"(.*)", 1))
-    rows = pages.select("page_id", date.alias("date"), F.posexplode(all_of(F.col("html"), "(?is)<center>(.*?)</center>")).alias("position", "inner"))
+    # the date is read once a page, before the page is cut: beside the parts it would be read, and the page copied, for each
+    dated = pages.select("page_id", "html", date.alias("date"))
+    rows = dated.select("page_id", "date", F.posexplode(all_of(F.col("html"), "(?is)<center>(.*?)</center>")).alias("position", "inner"))
     is_heading, is_entity = (F.col("inner").rlike(rf"(?i)color:\s*{c}") for c in ("#800000", "#000080"))
     order = Window.partitionBy("page_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("heading", F.last(F.when(is_heading, text_of(F.col("inner"))), ignorenulls=True).over(order)).where(is_entity & F.col("heading").isNotNull())

@@ -1,10 +1,14 @@
 """Queries on keys, dates and ties that only larger copies of the tables hold, beside their SQL."""
 
+import math
 import tempfile
 
 import duckdb
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
+from orarium.operators import ranges, roster, spatial
+from orarium.sources import pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +27,11 @@ def both(spark, name, **tables):
     return sorted(map(tuple, got.collect()), key=repr), sorted(want, key=repr)
 
 
+def haversine_of(a, b):
+    half = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6_371_008.8 * math.asin(min(1.0, math.sqrt(half)))
+
+
 def test_phones_of_long_keys(spark):
     parts = f"SELECT * REPLACE (p_partkey + r AS p_partkey) FROM '{SF}/part.parquet', (VALUES (0::BIGINT), (1_234_500), (123_456_700)) t(r)"
     got, want = both(spark, "numbers_as_text", part=parts)
@@ -45,3 +54,13 @@ def test_easter_of_every_year(spark):
     orders = "SELECT TIMESTAMP '1997-03-04 00:00:00' AS o_orderdate UNION ALL SELECT TIMESTAMP '2104-03-04 00:00:00' UNION ALL SELECT NULL"
     got, want = both(spark, "easter_dates", orders=orders)
     assert got == want and len(got) == 202
+
+
+def test_a_town_page_is_dated_once(spark):
+    entry = '<center><span style="color: #000080"><strong>N {k}</strong></span><br>S {k} - ΤΗΛ. 2310000000<br/></center>'
+    html = "<h3> Δευτέρα 02/11/2026 </h3><center><font style='color:#800000'>H</font></center>" + "".join(entry.replace("{k}", str(k)) for k in range(300))
+    found = pages.town_duties(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
+    assert found.count() == 300 and {str(r.date) for r in found.select("date").collect()} == {"2026-11-02"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate posexplode", 1)
+    assert "<h3" in below and "<h3" not in above
