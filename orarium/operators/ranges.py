@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -39,6 +40,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that `spread` gives a task.
+ROWS_A_TASK = 50_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = ROWS_A_TASK) -> DataFrame:
+    """df dealt by keys over tasks of some `rows` rows each, at least one a core. What a task sorts or groups by these keys
+    (and others) stays as large as it is however the table grows, and a file of one row group is read by one task only once."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, math.ceil(df.count() / rows)), *keys)
+
+
 @dataclass(frozen=True)
 class Run:
     """What `running` gathers of a column: its sum, max or min, over the rows up to this one, or before it."""

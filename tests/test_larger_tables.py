@@ -64,3 +64,20 @@ def test_a_town_page_is_dated_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Generate posexplode", 1)
     assert "<h3" in below and "<h3" not in above
+
+
+def test_few_targets_make_no_pairs(spark):
+    points = spark.createDataFrame([(k, 35.0 + k % 7, 20.0 + k % 5) for k in range(50)], "p long, lat double, lon double")
+    targets = spark.createDataFrame([(k, 35.0 + k, 20.0 + k) for k in range(5)], "t long, lat double, lon double")
+    found = spatial.nearest(points, targets, "p", "t")
+    far = lambda p, t: haversine_of((p % 7 + 35.0, p % 5 + 20.0), (35.0 + t, 20.0 + t))
+    assert {r.p: r.t for r in found.collect()} == {p: min(range(5), key=lambda t: (far(p, t), t)) for p in range(50)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "array_min" in plan
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    rows = spark.range(1000).withColumn("g", F.col("id") % 7)
+    dealt = ranges.spread(rows, "g", rows=50)
+    assert dealt.rdd.getNumPartitions() == 20 and ranges.spread(rows, "g").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert dealt.withColumn("p", F.spark_partition_id()).groupBy("g").agg(F.count_distinct("p").alias("n")).where("n > 1").isEmpty() and dealt.count() == 1000
