@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orarium.functions.geo import REGISTRY_RADIUS_METRES, haversine
 from orarium.functions.text import entity_id, match_key, name_tokens, normalize_phone
 from orarium.operators.periods import held
+from orarium.operators.ranges import spread
 from orarium.operators.resolve import most_alike
 
 # Metres between a place matched by phone and the address's own before it is reported, and how far a place
@@ -15,6 +16,8 @@ from orarium.operators.resolve import most_alike
 DISAGREEMENT = 1500.0
 SNAP = {"exact": 150.0, "street": 600.0, "locality": 2500.0}
 BAD_PHONE = 0.6
+#: Members up to which a roster is sent to every task.
+SMALL_ROSTER = 10_000
 
 
 def one_a_phone(members: DataFrame, stored: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +75,10 @@ def match_members(rows: DataFrame, roster: DataFrame) -> DataFrame:
     A surname at least must be the member's; of several with as many words those at a hinted place; a row with hints is
     no member's elsewhere. rows: row_id, words, hints (match keys); roster: member_id, words, surnames, place (a match key).
 
-    Words that are equal, or one letter apart, share a form with one letter left out, which makes the join an equi join."""
+    Words that are equal, or one letter apart, share a form with one letter left out, which makes the join an equi join.
+    Rows are dealt by row_id before their words are taken apart. A roster of up to SMALL_ROSTER members goes to all tasks;
+    then no row moves again, and a task holds the pairs of a bounded number of rows."""
+    rows, small = spread(rows, "row_id", rows=20_000), len(roster.select("member_id").take(SMALL_ROSTER + 1)) <= SMALL_ROSTER
 
     def forms(word: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.concat(F.substr(word, F.lit(1), k - 1), F.substr(word, k + 1)))
@@ -80,9 +86,9 @@ def match_members(rows: DataFrame, roster: DataFrame) -> DataFrame:
 
     wanted = rows.select("row_id", F.explode(F.array_distinct("words")).alias("w")).where("w <> ''").select("row_id", "w", F.explode(forms(F.col("w"))).alias("form"))
     have = roster.select("member_id", "surnames", F.explode(F.array_distinct("words")).alias("v")).where("v <> ''").select("member_id", F.array_contains("surnames", F.col("v")).alias("is_surname"), "v", F.explode(forms(F.col("v"))).alias("form"))
-    pairs = wanted.join(have, "form").where(same_word(F.col("w"), F.col("v"))).groupBy("row_id", "member_id").agg(F.count_distinct("w").alias("score"), F.bool_or("is_surname").alias("surname")).where("surname")
+    pairs = wanted.join(F.broadcast(have) if small else have, "form").where(same_word(F.col("w"), F.col("v"))).groupBy("row_id", "member_id").agg(F.count_distinct("w").alias("score"), F.bool_or("is_surname").alias("surname")).where("surname")
     top = pairs.withColumn("best", F.max("score").over(Window.partitionBy("row_id"))).where("score = best")
-    placed = top.join(rows.select("row_id", "hints"), "row_id").join(roster.select("member_id", "place"), "member_id")
+    placed = top.join(rows.select("row_id", "hints"), "row_id").join(F.broadcast(roster.select("member_id", "place")) if small else roster.select("member_id", "place"), "member_id")
     placed = placed.withColumn("fits", F.exists("hints", lambda h: F.contains(F.col("place"), h)))
     some = Window.partitionBy("row_id")
     placed = placed.withColumns({"any_fits": F.max("fits").over(some), "n": F.count("*").over(some)})

@@ -81,3 +81,16 @@ def test_rows_are_dealt_by_their_number(spark):
     dealt = ranges.spread(rows, "g", rows=50)
     assert dealt.rdd.getNumPartitions() == 20 and ranges.spread(rows, "g").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert dealt.withColumn("p", F.spark_partition_id()).groupBy("g").agg(F.count_distinct("p").alias("n")).where("n > 1").isEmpty() and dealt.count() == 1000
+
+
+def test_rows_stay_where_their_words_are(spark, monkeypatch):
+    rows = [(1, ["alpha", "strong"], []), (2, ["alpha", "strang"], ["x"]), (3, ["beta"], []), (4, ["gamma"], []), (5, ["alpha"], ["far"])]
+    members = [(1, ["alpha", "strong"], ["alpha"], "x"), (2, ["alpha", "other"], ["alpha"], "y"), (3, ["beta"], ["beta"], "x"), (4, ["beta"], ["beta"], "y")]
+    frames = spark.createDataFrame(rows, "row_id int, words array<string>, hints array<string>"), spark.createDataFrame(members, "member_id int, words array<string>, surnames array<string>, place string")
+    want = [(1, 1, "one"), (2, 1, "one"), (3, None, "several"), (4, None, "none"), (5, None, "several")]
+    found = roster.match_members(*frames)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [form" not in plan and plan.count("ObjectHashAggregate") == 0
+    monkeypatch.setattr(roster, "SMALL_ROSTER", 1)
+    assert sorted(map(tuple, roster.match_members(*frames).collect())) == want
