@@ -17,7 +17,7 @@ from orarium.functions.grammars import WEEKDAYS
 from orarium.functions.text import clean_display, join_lines, match_key, squash
 from orarium.functions.timez import iso_weekday
 from orarium.functions.titles import built_date
-from orarium.operators.ranges import settled
+from orarium.operators.ranges import settled, spread
 from orarium.sources.sheets import upper_median
 
 # The printed table's labels, flags and the word of a row that is on duty overnight; forms of its cells.
@@ -164,14 +164,14 @@ def rows(items: DataFrame) -> DataFrame:
     one, or a weekday that isn't the date's), name (a named row without one), orphan (a flag or hours above the first date
     of a page that continue no row; date_text is the cell). Rows of a section in which OVERNIGHT is printed have neither
     phone nor hours but a name. A row printed as one line of text has no name and address. Null text is no item."""
-    cells = owned(sections(items))
+    cells = owned(sections(spread(items, "doc", rows=100_000)))
     whole = Window.partitionBy("doc", "page", "section")
     last = F.max(F.when(F.col("kind") == "date", F.struct(-F.col("y"), "position"))).over(whole)
     cells = with_parts(cells).withColumn("is_last", F.col("is_last_section") & ~F.col("named") & F.coalesce(F.struct(-F.col("start.y"), F.col("start.position")) == last, F.lit(False)))
     own = F.col("start").isNotNull() & ~F.col("goes_on")
     stray = F.max(F.when(own & F.col("is_last") & (F.size("flags") > 0) & (F.col("y") < F.col("start.y") - BELOW), F.col("y"))).over(whole)
     cells = cells.withColumn("_stray", stray).withColumn("is_tail", F.coalesce(own & F.col("is_last") & (F.col("kind") == "cell") & (F.col("y") <= F.col("_stray") + ABOVE), F.lit(False))).drop("_stray")
-    cells = settled(cells, "cells")  # pages are read once
+    cells = spread(settled(cells, "cells"), "doc", rows=100_000)  # pages are read once
     found, cells = cells.where("kind = 'line'"), cells.where("kind <> 'line'")
     # rows of a page, those without a flag numbered; then each tail goes to the row it completes
     drafts = cells.where(own).groupBy("doc", "section", "page_nth", F.col("start.position").alias("at")).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from orarium.operators import ranges, roster, spatial
-from orarium.sources import pages
+from orarium.sources import pages, yearly
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,3 +103,9 @@ def test_keys_are_made_in_every_task(spark):
     folder = tempfile.mkdtemp(prefix="orarium-larger-")
     duckdb.sql(f"COPY ({parts}) TO '{folder}/part.parquet'")
     assert queries()["greek_keys"](spark, folder).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_documents_of_a_year_are_dealt_by_items(spark):
+    items = spark.createDataFrame([(d, 0, 0, 30.0, 790.0, 10.0, 11.0, "ΠΟΛΗ 2026") for d in range(3)], "doc long, page int, position long, x double, y double, width double, height double, text string")
+    found = yearly.rows(items)
+    assert found.count() == 0 and "RepartitionByExpression [doc" in found._jdf.queryExecution().optimizedPlan().toString()
