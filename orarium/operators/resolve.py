@@ -181,14 +181,15 @@ def greedy_assignment(scored: DataFrame, lists: str, key: str, other: str) -> Da
     ranked = fit.withColumn("choice", F.row_number().over(order)).where(F.col("strong") | (F.col("choice") == 1))
     turn = fit.groupBy(lists, key).agg(F.struct((-F.max("score")).alias("s"), F.min("position").alias("p"), F.first(key).alias("k")).alias("turn"))
     options = F.transform(F.array_sort(F.collect_list(F.struct("choice", other))), lambda x: x[other])
-    entries = settled(ranked.groupBy(lists, key).agg(options.alias("options")).join(turn, [lists, key]), "entries")
+    entries = settled(ranked.groupBy(lists, key).agg(options.alias("options")).join(turn.hint("merge"), [lists, key]), "entries")
     offers = settled(entries.select(lists, key, "turn", "options", F.posexplode("options").alias("choice", other)), "offers")
     held = None
     while True:
         if held is None:
             free = offers.withColumn("holder", F.lit(None).cast(offers.schema["turn"].dataType))
         else:
-            free = offers.join(held.select(lists, key), [lists, key], "left_anti").join(held.select(lists, other, F.col("turn").alias("holder")), [lists, other], "left")
+            # merged: a round would send holders to the driver for a broadcast, and rounds are many
+            free = offers.join(held.select(lists, key).hint("merge"), [lists, key], "left_anti").join(held.select(lists, other, F.col("turn").alias("holder")).hint("merge"), [lists, other], "left")
             free = free.where("holder IS NULL OR turn < holder")
         alike = Window.partitionBy(lists, "options")
         free = free.withColumns({"bound": F.min("holder").over(alike), "nth": F.dense_rank().over(alike.orderBy("turn")), "option": F.row_number().over(Window.partitionBy(lists, key).orderBy("choice"))})
@@ -202,7 +203,7 @@ def greedy_assignment(scored: DataFrame, lists: str, key: str, other: str) -> Da
         # whoever asks has a candidate free or held by a later one, so somebody new holds one as long as anybody asks
         if held.where("fresh").isEmpty():
             break
-    return entries.select(lists, key).join(held.select(lists, key, other), [lists, key], "left").select(lists, key, other)
+    return entries.select(lists, key).join(held.select(lists, key, other).hint("merge"), [lists, key], "left").select(lists, key, other)
 
 
 def unique_best(scored: DataFrame, key: str, other: str) -> DataFrame:

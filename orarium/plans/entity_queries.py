@@ -229,14 +229,15 @@ walk AS (SELECT p_brand, 0::BIGINT AS turn, NULL::BIGINT AS entry, NULL::BIGINT
 SELECT p_brand, entry, match FROM walk WHERE turn > 0""")
 def greedy_assignment(spark, d):
     """Odd parts of a brand matched one to one with its even parts; parts of one street (400 numbers) are strong matches."""
-    t = part_tokens(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand", F.floor(F.col("p_partkey") / 400).alias("street")), "p_partkey")
+    part = table(spark, d, "part")
+    t = part.select("p_partkey", F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_brand", "p_type"))).alias("tokens"), "p_brand", F.floor(F.col("p_partkey") / 400).alias("street"))
     odd = t.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "entry")
     even = t.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "match")
     # a street's numbers are bounded; beyond it only the most similar name can be chosen
-    strong = odd.select("entry", "p_brand", "street").join(even.select("match", "p_brand", "street"), ["p_brand", "street"]).select("entry", "match")
+    strong = odd.select("entry", "p_brand", "street").join(even.select("match", "p_brand", "street").hint("merge"), ["p_brand", "street"]).select("entry", "match")
     alike = resolve.most_alike(odd, even.withColumn("position", F.col("match")), "entry", "match", resolve.NAME_ONLY, by=["p_brand"]).select("entry", "match")
     mate = even.select("match", F.col("p_brand").alias("_brand"), F.col("street").alias("_street"), F.col("tokens").alias("_tokens"))
-    pairs = strong.union(alike).distinct().join(odd, "entry").join(mate, "match").where("p_brand = _brand").withColumn("strong", F.col("street") == F.col("_street"))
+    pairs = strong.union(alike).distinct().join(odd.hint("merge"), "entry").join(mate.hint("merge"), "match").where("p_brand = _brand").withColumn("strong", F.col("street") == F.col("_street"))
     score = resolve.match_score(text.jaccard(F.col("tokens"), F.col("_tokens")), F.col("strong"), F.lit(True), F.lit(False))
     scored = pairs.select("p_brand", "entry", F.col("entry").alias("position"), "match", F.col("match").alias("other_position"), score.alias("score"), "strong")
     return resolve.greedy_assignment(scored, "p_brand", "entry", "match")

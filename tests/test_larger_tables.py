@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
-from orarium.operators import ranges, roster, spatial
+from orarium.operators import ranges, resolve, roster, spatial
 from orarium.sources import pages, yearly
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +109,17 @@ def test_documents_of_a_year_are_dealt_by_items(spark):
     items = spark.createDataFrame([(d, 0, 0, 30.0, 790.0, 10.0, 11.0, "ΠΟΛΗ 2026") for d in range(3)], "doc long, page int, position long, x double, y double, width double, height double, text string")
     found = yearly.rows(items)
     assert found.count() == 0 and "RepartitionByExpression [doc" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_send_no_holders_to_the_driver(spark, monkeypatch):
+    rows = [("l", e, e, o, o, 2.0 - abs(e - o) / 100, True) for e in range(6) for o in range(5)]
+    plans, settled = {}, resolve.settled
+
+    def watched(df, name="settled"):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().sparkPlan().toString())
+        return settled(df, name)
+
+    monkeypatch.setattr(resolve, "settled", watched)
+    found = resolve.greedy_assignment(spark.createDataFrame(rows, "l string, e long, position long, o long, other_position long, score double, strong boolean"), "l", "e", "o")
+    assert sorted((r.e, r.o) for r in found.where("o IS NOT NULL").collect()) == [(k, k) for k in range(5)] and found.count() == 6
+    assert len(plans["held"]) > 1 and not any("BroadcastHashJoin" in p for p in [*plans["held"], found._jdf.queryExecution().sparkPlan().toString()])
