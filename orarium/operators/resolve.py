@@ -11,6 +11,8 @@ from orarium.operators.spatial import within
 
 # Similarity that a name alone needs, and what the same locality adds to break ties.
 NAME_ONLY, SAME_LOCALITY = 0.8, 0.01
+#: Members of a class that are paired with those of another in one go.
+BLOCK = 1_000
 
 
 def token_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str = "tokens", ordered: bool = False) -> DataFrame:
@@ -101,6 +103,26 @@ def similar_within(rows: DataFrame, key: str, least: float, tokens: str = "token
     return keyed.join(counted, "_t", "left").select(key, F.coalesce("class_key", F.col(key)).alias("class_key"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"))
 
 
+def similar_pairs(rows: DataFrame, key: str, left_key: str, right_key: str, least: float, tokens: str = "tokens") -> DataFrame:
+    """left_key, right_key, score: all pairs of rows of a table, left_key < right_key, whose token sets have a Jaccard index of
+    `least` or more.
+
+    Only classes of equal sets are compared; what is alike is then told of each pair of their rows, so what comes out grows
+    with the square of the copies. Large classes meet in blocks: no key of a join has more than some BLOCK * BLOCK pairs."""
+    classes, pairs = similar_classes(rows, key, least, tokens)
+    blocks = classes.select("class_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    keyed = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.array_sort(F.array_distinct(tokens)).alias("tokens"))
+    members = keyed.join(classes.select("tokens", "class_key"), "tokens").join(blocks, "class_key").select("class_key", F.pmod(F.xxhash64("_k"), "blocks").cast("int").alias("_block"), "_k")
+    links = pairs.unionByName(classes.where("n > 1").select(F.col("class_key").alias("one"), F.col("class_key").alias("other"), F.lit(1.0).alias("score")))
+    for side, at in (("one", "_i"), ("other", "_j")):
+        links = links.join(blocks.withColumnRenamed("class_key", side), side).withColumn(at, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    links = links.where("one <> other OR _i <= _j")
+    a = links.join(members.toDF("one", "_i", "_left"), ["one", "_i"])
+    b = links.drop("score").join(members.toDF("other", "_j", "_right"), ["other", "_j"])
+    both = a.join(b, ["one", "other", "_i", "_j"]).where("one <> other OR _i < _j OR _left < _right")
+    return both.select(F.least("_left", "_right").alias(left_key), F.greatest("_left", "_right").alias(right_key), "score")
+
+
 def most_alike(entries: DataFrame, known: DataFrame, key: str, other: str, least: float, position: str = "position", tokens: str = "tokens", by: list[str] | tuple[str, ...] = (), rank: str = "score") -> DataFrame:
     """key, other, score: for each entry the known row whose token set (of the same `by`) is most alike, from `least` on;
     ties, or with rank="position" all, by position.

@@ -193,16 +193,24 @@ def url_parameters(spark, d):
 
 
 def part_tokens(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_brand", "p_type"))).alias("tokens"))
+    name = F.coalesce(F.split("p_name", " "), F.array().cast("array<string>"))
+    return table(spark, d, "part").select("p_partkey", F.array_compact(F.array_distinct(F.concat(name, F.array("p_brand", "p_type")))).alias("tokens"))
 
 
 PARTS = "t AS (SELECT p_partkey AS k, list_distinct(list_concat(string_split(p_name, ' '), [p_brand, p_type])) AS tokens FROM part)"
 
 
+@query(f"""WITH {PARTS}, x AS (SELECT k, len(tokens) AS n, unnest(tokens) AS tok FROM t), c AS (SELECT a.k AS left_key, b.k AS right_key, any_value(a.n) + any_value(b.n) - count(*) AS u, count(*) AS c FROM x a JOIN x b ON a.tok = b.tok AND a.k < b.k GROUP BY 1, 2)
+SELECT left_key, right_key, c::DOUBLE / u AS score FROM c WHERE c::DOUBLE / u >= 0.8""")
+def jaccard_parts(spark, d):
+    """All pairs of parts whose tokens are alike by 0.8 or more, copies among them."""
+    return resolve.similar_pairs(part_tokens(spark, d), "p_partkey", "left_key", "right_key", 0.8)
+
+
 @query(f"""WITH {PARTS}, x AS (SELECT k, len(tokens) AS n, unnest(tokens) AS tok FROM t), c AS (SELECT a.k, b.k AS other, any_value(a.n) + any_value(b.n) - count(*) AS u, count(*) AS c FROM x a JOIN x b ON a.tok = b.tok AND a.k <> b.k GROUP BY 1, 2),
 m AS (SELECT k, count(*) AS n FROM c WHERE c::DOUBLE / u >= 0.8 GROUP BY k)
 SELECT k AS p_partkey, min(k) OVER (PARTITION BY list_sort(tokens)) AS class_key, coalesce(n, 0)::BIGINT AS n_similar FROM t LEFT JOIN m USING (k)""")
-def jaccard_parts(spark, d):
+def part_classes(spark, d):
     """Each part with the smallest one of equal tokens, and how many others are alike by 0.8 or more."""
     return resolve.similar_within(part_tokens(spark, d), "p_partkey", 0.8)
 

@@ -135,3 +135,21 @@ def test_rounds_send_no_holders_to_the_driver(spark, monkeypatch):
     found = resolve.greedy_assignment(spark.createDataFrame(rows, "l string, e long, position long, o long, other_position long, score double, strong boolean"), "l", "e", "o")
     assert sorted((r.e, r.o) for r in found.where("o IS NOT NULL").collect()) == [(k, k) for k in range(5)] and found.count() == 6
     assert len(plans["held"]) > 1 and not any("BroadcastHashJoin" in p for p in [*plans["held"], found._jdf.queryExecution().sparkPlan().toString()])
+
+
+def test_all_pairs_of_parts_with_their_scores(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 3)
+    parts = f"SELECT p_partkey + r * 1000 AS p_partkey, p_name, p_brand, p_type FROM '{SF}/part.parquet', range(7) t(r) WHERE p_partkey < 60 UNION ALL SELECT * FROM (VALUES (9001, NULL, 'Brand#1', 'SMALL'), (9002, NULL, 'Brand#1', 'SMALL'), (9003, 'red bolt', NULL, NULL), (9004, 'red red bolt', NULL, NULL), (9005, 'a b c', 'd', 'e'), (9006, 'a b c', 'd', NULL), (9007, NULL, NULL, NULL), (NULL, 'red bolt', NULL, NULL))"
+    got, want = both(spark, "jaccard_parts", part=parts)
+    assert got == want and all(left < right and score >= 0.8 for left, right, score in got)
+    assert {(9001, 9002, 1.0), (9003, 9004, 1.0), (9005, 9006, 0.8)} <= set(got) and len(got) >= 60 * 21
+
+
+def test_pairs_of_blocks_are_the_pairs_of_rows(spark, monkeypatch):
+    sets = [(k, "abcde"[: 1 + k % 5]) for k in range(60)]
+    frame = spark.createDataFrame([(k, list(t)) for k, t in sets] + [(100, []), (101, None)], "k int, tokens array<string>")
+    want = {(i, j, len(set(s) & set(t)) / len(set(s) | set(t))) for i, s in sets for j, t in sets if i < j}
+    for block in (1, 5, 1000):
+        monkeypatch.setattr(resolve, "BLOCK", block)
+        got = list(map(tuple, resolve.similar_pairs(frame, "k", "left", "right", 0.6).collect()))
+        assert len(got) == len(set(got)) and set(got) == {p for p in want if p[2] >= 0.6}
